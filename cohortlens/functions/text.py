@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 __all__ = ["PUNCT", "WS", "re_escape", "strip_ws", "word_count", "word_count_clean",
            "clean_text", "sentence_split", "contains_any", "contains_any_ci",
-           "SEP", "split_sep", "join_sep", "find_terms"]
+           "SEP", "split_sep", "join_sep", "find_terms", "let"]
 
 # Fixed values (must equal the reference): a token is dropped by the clean word
 # count when it is a substring of this punctuation string (PRE word rule).
@@ -35,6 +35,16 @@ def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def let(value, fn) -> Column:
+    """Bind ``value`` once and use it inside ``fn`` (``let v = value in fn(v)``).
+
+    Higher-order lambdas get no common-subexpression elimination and Catalyst
+    inlines projected columns into them, so an expression referenced inside a
+    lambda would be re-evaluated per element. A one-element ``transform`` binds
+    it as a lambda variable instead, evaluated exactly once per row."""
+    return F.element_at(F.transform(F.array(_c(value)), fn), 1)
+
+
 def strip_ws(x) -> Column:
     """Python-style strip of leading/trailing whitespace (trim() only drops spaces)."""
     return F.regexp_replace(_c(x), f"^{WS}+|{WS}+$", "")
@@ -98,6 +108,12 @@ def contains_any_ci(x, terms: Iterable[str]) -> Column:
     return contains_any(F.upper(_c(x)), [t.upper() for t in terms])
 
 
+def contains_any_folded(x, terms: Iterable[str], fold=F.lower) -> Column:
+    """Fold the text once (let-bound), then test every term against it."""
+    terms = list(terms)
+    return let(fold(_c(x)), lambda f: contains_any(f, terms))
+
+
 def split_sep(x, sep: str = SEP) -> Column:
     """p_join_split_sep: string -> list on a literal separator."""
     return F.split(_c(x), re_escape(sep))

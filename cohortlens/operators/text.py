@@ -12,10 +12,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pandas as pd
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import SEP, contains_any, join_sep, sentence_split, word_count_clean
+from ..functions.text import (SEP, contains_any, contains_any_folded, join_sep, let,
+                              sentence_split, word_count_clean)
 
 MAX_LITERAL_TERMS = 50_000
 
@@ -44,32 +47,48 @@ def has_mention(text, terms: Sequence[str]) -> Column:
     vocabulary matches everything, as the reference's empty regex does."""
     if not terms:
         return F.lit(True)
-    return contains_any(F.lower(text if isinstance(text, Column) else F.col(text)),
-                        [t.lower() for t in terms])
+    return contains_any_folded(text, [t.lower() for t in terms], F.lower)
 
 
-def doc_terms(notes: DataFrame, terms: Sequence[str], id_col: str = "note_id",
-              text_col: str = "note", fold: str = "upper") -> DataFrame:
-    """t_doc_term: (note, term_id) for every lexicon term contained in the note,
-    in lexicon order (term_id = position in ``terms``)."""
-    fn = F.upper if fold == "upper" else F.lower
-    folded = [t.upper() if fold == "upper" else t.lower() for t in terms]
-    ids = F.filter(F.sequence(F.lit(0), F.lit(len(terms) - 1)),
-                   lambda i: fn(F.col(text_col)).contains(F.element_at(lit_array(folded), i + 1)))
-    return notes.select(id_col, F.posexplode(ids).alias("pos", "term_id"))
+def sentence_hits(sentences, terms: Sequence[str]) -> Column:
+    """Per sentence, does it mention a term. Each sentence is lower-cased once
+    (an inner transform), not once per term: higher-order lambdas get no
+    common-subexpression elimination."""
+    s = F.col(sentences) if isinstance(sentences, str) else sentences
+    if not terms:
+        return F.transform(s, lambda x: F.lit(True))
+    low = [t.lower() for t in terms]
+    return F.transform(F.transform(s, F.lower), lambda x: contains_any(x, low))
+
+
+def _term_ids(folded_text: Column, folded_terms: Sequence[str]) -> Column:
+    lex = F.array(*[F.struct(F.lit(i).alias("id"), F.lit(t).alias("t"))
+                    for i, t in enumerate(folded_terms)])
+    return F.transform(F.filter(lex, lambda e: folded_text.contains(e["t"])), lambda e: e["id"])
 
 
 def doc_term_lists(notes: DataFrame, terms: Sequence[str], id_col: str = "note_id",
                    text_col: str = "note", fold: str = "upper") -> DataFrame:
-    """Per note, the ordered array of contained term ids (empty notes kept)."""
+    """Per note, the ordered array of contained term ids (lexicon order, term id
+    = position in ``terms``); notes without a term keep an empty array. The
+    folded note is a column of its own so it is computed once per note."""
     fn = F.upper if fold == "upper" else F.lower
     folded = [t.upper() if fold == "upper" else t.lower() for t in terms]
-    arr = lit_array(folded)
-    ids = F.filter(F.sequence(F.lit(0), F.lit(max(len(terms) - 1, 0))),
-                   lambda i: fn(F.col(text_col)).contains(F.element_at(arr, i + 1)))
     if not terms:
-        ids = F.array().cast("array<int>")
-    return notes.select(id_col, ids.alias("terms"))
+        return notes.select(id_col, F.array().cast("array<int>").alias("terms"))
+    return notes.select(id_col, let(fn(F.col(text_col)), lambda f: _term_ids(f, folded))
+                        .alias("terms"))
+
+
+def doc_terms(notes: DataFrame, terms: Sequence[str], id_col: str = "note_id",
+              text_col: str = "note", fold: str = "upper") -> DataFrame:
+    """t_doc_term: (note, pos, term_id) for every lexicon term contained in the
+    note, in lexicon order."""
+    # explode_outer: an inner explode makes Catalyst infer size(terms) > 0 as a
+    # filter and evaluate the whole matching twice
+    return (doc_term_lists(notes, terms, id_col, text_col, fold)
+            .select(id_col, F.posexplode_outer("terms").alias("pos", "term_id"))
+            .where(F.col("term_id").isNotNull()))
 
 
 def mention_filter(notes: DataFrame, terms: Sequence[str]) -> DataFrame:
@@ -78,20 +97,22 @@ def mention_filter(notes: DataFrame, terms: Sequence[str]) -> DataFrame:
             .select("pat_deid", "note", "effective_time").distinct())
 
 
-def trim_expr(sentences: Column, terms: Sequence[str], n: int = 2) -> Column:
+def neighbourhood(sentences, hits, n: int = 2) -> Column:
     """w_neighborhood: keep sentences within +-n positions of a mentioning one
-    (ascending order). Without terms every sentence is kept."""
-    if not terms:
-        return sentences
-    hits = F.transform(sentences, lambda s: has_mention(s, terms))
+    (ascending order); ``hits`` is a bound boolean array."""
     return F.filter(sentences, lambda s, i: F.exists(
         F.slice(hits, F.greatest(i - n, F.lit(0)) + 1, 2 * n + 1 + F.least(i - n, F.lit(0))),
         lambda h: h))
 
 
-def trim(notes: DataFrame, terms: Sequence[str], n: int = 2) -> DataFrame:
-    """t_trim: split into sentences and keep the mention neighbourhoods."""
-    return notes.withColumn("sentence_list", trim_expr(sentence_split("note"), terms, n))
+def trim(notes: DataFrame, terms: Sequence[str], n: int = 2,
+         out: str = "sentence_list") -> DataFrame:
+    """t_trim: split into sentences and keep the mention neighbourhoods
+    (without terms every sentence is kept)."""
+    if not terms:
+        return notes.withColumn(out, sentence_split("note"))
+    return notes.withColumn(out, let(sentence_split("note"), lambda s: let(
+        sentence_hits(s, terms), lambda h: neighbourhood(s, h, n))))
 
 
 def patient_sentences(trimmed: DataFrame,
@@ -154,8 +175,6 @@ def near_dup_ratcliff(df: DataFrame, col: str = "sentence_list", key: str = "pat
                       threshold: float = 0.8) -> DataFrame:
     """t_near_dup_ratcliff: parity form with the Ratcliff/Obershelp ratio
     (difflib), run per patient as an Arrow-batched pandas UDF."""
-    import pandas as pd
-
     @F.pandas_udf("string")
     def fold(texts: pd.Series) -> pd.Series:
         from difflib import SequenceMatcher
@@ -172,41 +191,52 @@ def near_dup_ratcliff(df: DataFrame, col: str = "sentence_list", key: str = "pat
     return df.withColumn(col, fold(F.col(col)))
 
 
-def shorten_gaps_expr(text: Column, terms: Sequence[str]) -> Column:
+def shorten_gaps(df: DataFrame, text_col: str, terms: Sequence[str], out: str = "g") -> DataFrame:
     """t_shorten_gaps: split on blank-line/newline; between consecutive
-    mentioning sentences y < y+x with x > 3, delete y+2 .. y+x-2."""
-    s = F.split(text, "\n\n|\n")
-    hit = F.transform(s, lambda x: has_mention(x, terms))
-    idx = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: F.element_at(hit, i + 1))
-
-    def keep(x, i):
-        prev = F.array_max(F.filter(idx, lambda j: j < i))
-        nxt = F.array_min(F.filter(idx, lambda j: j > i))
-        gone = prev.isNotNull() & nxt.isNotNull() & (nxt - prev > 3) & (i >= prev + 2) & (i <= nxt - 2)
-        return ~F.coalesce(gone, F.lit(False))
-    return F.filter(s, keep)
-
-
-def shorten_budget_expr(sentences: Column, terms: Sequence[str], max_length: int = 512,
-                        overshoot: int = 2) -> Column:
+    mentioning sentences y < y+x with x > 3, delete y+2 .. y+x-2.
+    The sentence array and the hit positions are let-bound (computed once)."""
+    def with_idx(s):
+        h = sentence_hits(s, terms)
+        return let(h, lambda hh: F.filter(F.sequence(F.lit(0), F.size(s) - 1),
+                                          lambda i: F.element_at(hh, i + 1)))
+
+    def body(s):
+        def keep(idx):
+            def k(x, i):
+                prev = F.array_max(F.filter(idx, lambda j: j < i))
+                nxt = F.array_min(F.filter(idx, lambda j: j > i))
+                gone = (prev.isNotNull() & nxt.isNotNull() & (nxt - prev > 3)
+                        & (i >= prev + 2) & (i <= nxt - 2))
+                return ~F.coalesce(gone, F.lit(False))
+            return F.filter(s, k)
+        return let(with_idx(s), keep)
+    return df.withColumn(out, let(F.split(F.col(text_col), "\n\n|\n"), body))
+
+
+def shorten_budget(df: DataFrame, sent_col: str, terms: Sequence[str], max_length: int = 512,
+                   overshoot: int = 2, out: str = "kept") -> DataFrame:
     """t_shorten_budget: if still over budget, drop the longest non-mention
-    sentences (length desc, then position): the smallest prefix that covers the
-    excess plus ``overshoot`` more (2 = the reference's count)."""
-    n = word_count_clean(F.array_join(sentences, "\n"))
-    info = F.transform(sentences, lambda x, i: F.struct(
-        (-word_count_clean(x)).alias("neg"), i.alias("i"), has_mention(x, terms).alias("hit")))
-    cand = F.array_sort(F.filter(info, lambda r: ~r["hit"]))
-    cum = F.aggregate(cand, F.array(F.lit(0).cast("bigint")),
-                      lambda acc, r: F.concat(acc, F.array(F.element_at(acc, -1) - r["neg"])))
-    excess = n - max_length
-    k = F.size(F.filter(cum, lambda c: c < excess)) - 1
-    drop = F.transform(F.slice(cand, 1, F.greatest(k + 1 + overshoot, F.lit(1))), lambda r: r["i"])
-    kept = F.filter(sentences, lambda x, i: ~F.array_contains(drop, i))
-    return F.when(n > max_length, kept).otherwise(sentences)
-
-
-def shorten(text: Column, terms: Sequence[str], max_length: int = 512,
-            overshoot: int = 2) -> Column:
-    """Both shortening steps; returns the newline-joined text."""
-    g = shorten_gaps_expr(text, terms)
-    return F.array_join(shorten_budget_expr(g, terms, max_length, overshoot), "\n")
+    sentences (length desc, then position): the smallest prefix of that order
+    whose words cover the excess, plus ``overshoot`` more (2 = reference)."""
+    def body(s):
+        n = word_count_clean(F.array_join(s, "\n"))
+
+        def with_n(nn):
+            def with_hits(h):
+                cand = F.array_sort(F.filter(
+                    F.transform(s, lambda x, i: F.struct((-word_count_clean(x)).alias("neg"),
+                                                         i.alias("i"),
+                                                         F.element_at(h, i + 1).alias("hit"))),
+                    lambda r: ~r["hit"]))
+
+                def with_cand(c):
+                    cum = F.aggregate(c, F.array(F.lit(0).cast("bigint")),
+                                      lambda acc, r: F.concat(acc, F.array(F.element_at(acc, -1) - r["neg"])))
+                    k = F.size(F.filter(cum, lambda v: v < nn - max_length)) - 1
+                    drop = F.transform(F.slice(c, 1, F.greatest(k + 1 + overshoot, F.lit(1))),
+                                       lambda r: r["i"])
+                    return let(drop, lambda d: F.filter(s, lambda x, i: ~F.array_contains(d, i)))
+                return let(cand, with_cand)
+            return F.when(nn > max_length, let(sentence_hits(s, terms), with_hits)).otherwise(s)
+        return let(n, with_n)
+    return df.withColumn(out, let(F.col(sent_col), body))

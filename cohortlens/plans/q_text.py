@@ -1,6 +1,307 @@
-"""Registered queries (q_text)."""
+"""Registered text queries (2.9 t_*): the note preprocessing chain over the
+fixture notes, with the test lexicon as vocabulary."""
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import text as TX
+from ..operators import text as T
+from ..operators import vocab as V
+from ..sources.fixtures import LEXICON
+from .q_relational import CLEAN_PHRASES, SPLIT_SQL, T1_BASE, WCC, clean_sql, t1
 from .registry import query
+
+MAX_WORDS = 512
+
+
+def lex_terms(t) -> list[str]:
+    """Lexicon terms in term_id order (size-checked collect of a small table)."""
+    return t.memo("lex_terms", lambda: T.term_list(t.lexicon, "term", "term_id"))
+
+
+def vocab_terms(t) -> list[str]:
+    """Minimal vocabulary terms (no term contains another), sorted."""
+    return t.memo("vocab_terms", lambda: sorted(
+        T.term_list(V.minimal_terms(t.lexicon, "term"), "name", "name")))
+
+
+# Oracle side: the same lists restated from the fixture values.
+SQL_LEX = [x[1] for x in LEXICON]
+SQL_TERMS = sorted({a for a in (x.lower() for x in SQL_LEX)
+                    if not any(b != a and b in a for b in (y.lower() for y in SQL_LEX))})
+
+
+def mention_sql(x: str) -> str:
+    return "(" + " or ".join(f"contains(lower({x}), '{w}')" for w in SQL_TERMS) + ")"
+
+
+def _q(s: str) -> str:
+    return s.replace("'", "''")
+
+
+TRIM_SQL = ("list_filter({l}, lambda s, i: len(list_filter(range(greatest(i - 2, 1), "
+            "least(i + 2, len({l})) + 1), lambda j: " + mention_sql("{l}[j]") + ")) > 0)")
+
+MENTIONS = f"""mentions as (select distinct pat_deid, note, effective_time from notes
+  where {mention_sql('note')})"""
+TRIMMED = f"""trimmed as (select pat_deid, note, effective_time, md5(note) as note_key,
+  {TRIM_SQL.replace('{l}', 'l')} as sentence_list
+  from (select *, {SPLIT_SQL.replace('{x}', 'note')} as l from mentions) z)"""
+PSENT = """psent as (select pat_deid, sentence, effective_time, note_key, idx from
+  (select pat_deid, effective_time, note_key, unnest(sentence_list) as sentence,
+          generate_subscripts(sentence_list, 1) - 1 as idx from trimmed) e
+  qualify row_number() over (partition by pat_deid, sentence
+                             order by effective_time, note_key, idx) = 1)"""
+PNOTE = """pnote as (select t1.pat_deid, p.sentence_list, t1.class_1, t1.class_2, t1.class_3,
+  t1.class_4, t1.class_1 + t1.class_2 + t1.class_3 + t1.class_4 as total
+  from (select pat_deid, string_agg(sentence, '[SEP]' order by effective_time, note_key, idx)
+               as sentence_list from psent group by pat_deid) p
+  right join t1 on p.pat_deid = t1.pat_deid)"""
+# DuckDB's levenshtein counts bytes, Spark's (and the reference's ratio) counts
+# characters. The oracle maps each accented letter to one unused control
+# character first, so byte and character distances agree on this corpus.
+ONE_BYTE = "ÄÇÈÉÊÍÑÓÖÜßäçèéêíñóöüàâôûù"
+_CODES = [c for c in range(1, 32) if c not in (9, 10, 11, 12, 13)]
+
+
+def one_byte_sql(x: str) -> str:
+    for ch, code in zip(ONE_BYTE, _CODES):
+        x = f"replace({x}, '{ch}', chr({code}))"
+    return x
+
+
+ND_SQL = ("array_to_string(list_transform(list_reduce(list_transform(string_split({x}, '[SEP]'), "
+          "lambda x: [{'s': x, 'a': " + one_byte_sql("x") + "}]), "
+          "lambda acc, x: case when len(list_filter(acc, lambda k: case when least(length(x[1].s), "
+          "length(k.s)) >= 0.8 * greatest(length(x[1].s), length(k.s)) - 1e-9 then "
+          "1 - levenshtein(x[1].a, k.a) / greatest(length(x[1].s), length(k.s)) >= 0.8 "
+          "else false end)) > 0 then acc else list_concat(acc, x) end), "
+          "lambda e: e.s), chr(10))")
+NEARDUP = f"""neardup as (select pat_deid, class_1, class_2, class_3, class_4, total,
+  {ND_SQL.replace('{x}', 'sentence_list')} as sentence_list from pnote
+  where sentence_list is not null)"""
+CLEANED = f"""cleaned as (select pat_deid, txt, {WCC.replace('{x}', 'txt')} as n_words from
+  (select pat_deid, {clean_sql('sentence_list')} as txt from neardup) z)"""
+
+GAPS_SQL = """list_filter({s}, lambda x, i: not coalesce(
+    list_max(list_filter({h}, lambda j: j < i - 1)) is not null
+    and list_min(list_filter({h}, lambda j: j > i - 1)) is not null
+    and list_min(list_filter({h}, lambda j: j > i - 1)) - list_max(list_filter({h}, lambda j: j < i - 1)) > 3
+    and i - 1 >= list_max(list_filter({h}, lambda j: j < i - 1)) + 2
+    and i - 1 <= list_min(list_filter({h}, lambda j: j > i - 1)) - 2, false))"""
+GAPS = f"""gaps as (select pat_deid, n_words, {GAPS_SQL.replace('{s}', 's').replace('{h}', 'h')} as g
+  from (select pat_deid, n_words, s, list_filter(range(0, len(s)), lambda i: {mention_sql('s[i + 1]')}) as h
+        from (select pat_deid, n_words, string_split_regex(txt, '\\n\\n|\\n') as s from cleaned
+              where n_words > {MAX_WORDS}) a) b)"""
+BUDGET = f"""gx as (select pat_deid, n_words, g, i, x, -{WCC.replace('{x}', 'x')} as neg,
+    {mention_sql('x')} as hit,
+    {WCC.replace('{x}', "array_to_string(g, chr(10))")} as n2
+  from (select pat_deid, n_words, g, unnest(g) as x, generate_subscripts(g, 1) - 1 as i from gaps) u),
+cand as (select pat_deid, i, n2, row_number() over (partition by pat_deid order by neg, i) as r,
+    sum(-neg) over (partition by pat_deid order by neg, i rows between unbounded preceding
+                    and current row) as cum
+  from gx where not hit),
+istar as (select pat_deid, count(*) filter (where cum < n2 - {MAX_WORDS}) as k from cand group by pat_deid),
+dropped as (select c.pat_deid, c.i from cand c join istar s on c.pat_deid = s.pat_deid
+  where c.n2 > {MAX_WORDS} and c.r <= s.k + 3),
+budget as (select g.pat_deid, g.n_words,
+    coalesce((select string_agg(x, chr(10) order by i) from gx
+              where gx.pat_deid = g.pat_deid and (gx.pat_deid, gx.i) not in
+                (select pat_deid, i from dropped)), '') as kept_txt
+  from gaps g)"""
+FINAL = f"""final as (select p.pat_deid, p.class_1, p.class_2, p.class_3, p.class_4, p.total,
+  coalesce(b.kept_txt, d.sentence_list) as all_sentences_merged
+  from pnote p left join neardup d on p.pat_deid = d.pat_deid
+  left join budget b on p.pat_deid = b.pat_deid)"""
+
+TEXT_CHAIN = T1_BASE.rstrip() + ",\n" + ",\n".join([MENTIONS, TRIMMED, PSENT, PNOTE]) + "\n"
+
+
+def chain_sql(*more: str) -> str:
+    return TEXT_CHAIN.rstrip() + "".join(",\n" + m for m in more) + "\n"
+
+
+# ---------------------------------------------------------------- Spark chain
+def mentions(t):
+    return T.mention_filter(t.notes, vocab_terms(t))
+
+
+def trimmed(t):
+    return T.trim(mentions(t), vocab_terms(t))
+
+
+def outcomes(t):
+    return t1(t).drop("classes")
+
+
+def pnote(t):
+    return T.patient_note(trimmed(t), outcomes(t))
+
+
+def neardup(t):
+    return T.near_dup(pnote(t).where(F.col("sentence_list").isNotNull()))
+
+
+def cleaned(t):
+    c = neardup(t).select("pat_deid", TX.clean_text("sentence_list", CLEAN_PHRASES).alias("txt"))
+    return c.withColumn("n_words", TX.word_count_clean("txt"))
+
+
+def gaps(t):
+    terms = vocab_terms(t)
+    c = cleaned(t).where(F.col("n_words") > MAX_WORDS)
+    return T.shorten_gaps(c, "txt", terms, "g").select("pat_deid", "n_words", "g")
+
+
+def budget(t):
+    terms = vocab_terms(t)
+    return T.shorten_budget(gaps(t), "g", terms, MAX_WORDS).select("pat_deid", "n_words", "kept")
+
+
+def final_notes(t):
+    """t_final_notes: shortened text for long notes, near-dup text otherwise
+    (clean='long_only' parity), n_words on the result; every outcome patient."""
+    d = neardup(t).select("pat_deid", F.col("sentence_list").alias("_merged"))
+    b = budget(t).select("pat_deid", F.array_join("kept", "\n").alias("_short"))
+    out = (pnote(t).drop("sentence_list").join(d, "pat_deid", "left").join(b, "pat_deid", "left")
+           .withColumn("all_sentences_merged", F.coalesce("_short", "_merged"))
+           .drop("_short", "_merged"))
+    return out.withColumn("n_words", TX.word_count_clean("all_sentences_merged"))
+
+
+# ---------------------------------------------------------------- registered
+DOC_TERM_SQL = ("select note_id, generate_subscripts(ids, 1) - 1 as pos, unnest(ids) as term_id "
+                "from (select note_id, list_filter(range(0, " + str(len(SQL_LEX)) + "), lambda i: "
+                "contains(upper(replace(note, 'ß', 'SS')), upper([" + ", ".join(f"'{w}'" for w in SQL_LEX)
+                + "][i + 1]))) as ids from notes) z")
+
+
+@query("t_doc_term", DOC_TERM_SQL)
+def t_doc_term(t):
+    return T.doc_terms(t.notes, lex_terms(t))
+
+
+@query("t_mention_filter", chain_sql() + "select * from mentions")
+def t_mention_filter(t):
+    return mentions(t)
+
+
+@query("t_trim", chain_sql() + "select pat_deid, note_key, effective_time, "
+       "array_to_string(sentence_list, '[SEP]') as trimmed from trimmed")
+def t_trim(t):
+    return trimmed(t).select("pat_deid", F.md5("note").alias("note_key"), "effective_time",
+                             TX.join_sep("sentence_list").alias("trimmed"))
+
+
+@query("w_neighborhood", chain_sql() + "select pat_deid, note_key, len(sentence_list) as n_kept, "
+       "len(l) as n_all from (select *, " + SPLIT_SQL.replace("{x}", "note") + " as l from trimmed) z")
+def w_neighborhood(t):
+    tr = trimmed(t)
+    return tr.select("pat_deid", F.md5("note").alias("note_key"),
+                     F.size("sentence_list").alias("n_kept"),
+                     F.size(TX.sentence_split("note")).alias("n_all"))
+
+
+@query("t_patient_note", chain_sql() + "select * from pnote")
+def t_patient_note(t):
+    return pnote(t)
+
+
+@query("a_collect_ordered", chain_sql() + "select pat_deid, string_agg(sentence, '[SEP]' order by "
+       "effective_time, note_key, idx) as sentences, count(*) as n from psent group by pat_deid")
+def a_collect_ordered(t):
+    ps = T.patient_sentences(trimmed(t))
+    return (ps.groupBy("pat_deid")
+            .agg(F.array_sort(F.collect_list(F.struct("first_at", "sentence"))).alias("_s"),
+                 F.count(F.lit(1)).alias("n"))
+            .select("pat_deid", TX.join_sep(F.transform("_s", lambda x: x["sentence"])).alias("sentences"),
+                    "n"))
+
+
+@query("t_near_dup", chain_sql(NEARDUP) + "select * from neardup")
+def t_near_dup(t):
+    return neardup(t)
+
+
+@query("t_near_dup_ratcliff")
+def t_near_dup_ratcliff(t):
+    return T.near_dup_ratcliff(pnote(t).where(F.col("sentence_list").isNotNull()))
+
+
+@query("p_clean_text_notes", chain_sql(NEARDUP, CLEANED) + "select * from cleaned")
+def p_clean_text_notes(t):
+    return cleaned(t)
+
+
+LEN_SQL = f"""select stage, count(n) as n, cast(max(n) as double) as max, cast(min(n) as double) as min,
+  round(avg(n), 6) as mean, median(n) as median, round(stddev_samp(n), 6) as std,
+  cast(sum(cast(n > 512 as int)) as bigint) as n_over_512,
+  cast(sum(cast(n > 1024 as int)) as bigint) as n_over_1024,
+  round(100.0 * sum(cast(n > 512 as int)) / count(n), 6) as pct_over_512
+from (select 'cleaned' as stage, n_words as n from cleaned
+      union all select 'long_shortened', {WCC.replace('{x}', "kept_txt")} from budget
+      union all select 'final', {WCC.replace('{x}', 'all_sentences_merged')} from final) z
+group by stage"""
+
+
+@query("t_length_report", chain_sql(NEARDUP, CLEANED, GAPS, BUDGET, FINAL) + LEN_SQL)
+def t_length_report(t):
+    c = cleaned(t).select(F.lit("cleaned").alias("stage"), F.col("n_words").alias("n"))
+    b = budget(t).select(F.lit("long_shortened").alias("stage"),
+                         TX.word_count_clean(F.array_join("kept", "\n")).alias("n"))
+    f = final_notes(t).select(F.lit("final").alias("stage"), F.col("n_words").alias("n"))
+    n = F.col("n")
+    return c.unionByName(b).unionByName(f).groupBy("stage").agg(
+        F.count(n).alias("n"), F.max(n).cast("double").alias("max"),
+        F.min(n).cast("double").alias("min"), F.round(F.avg(n), 6).alias("mean"),
+        F.median(n).alias("median"), F.round(F.stddev_samp(n), 6).alias("std"),
+        F.sum((n > 512).cast("int")).cast("bigint").alias("n_over_512"),
+        F.sum((n > 1024).cast("int")).cast("bigint").alias("n_over_1024"),
+        F.round(100.0 * F.sum((n > 512).cast("int")) / F.count(n), 6).alias("pct_over_512"))
+
+
+@query("t_shorten_gaps", chain_sql(NEARDUP, CLEANED, GAPS)
+       + "select pat_deid, n_words, array_to_string(g, chr(10)) as txt, len(g) as n_sentences from gaps")
+def t_shorten_gaps(t):
+    return gaps(t).select("pat_deid", "n_words", F.array_join("g", "\n").alias("txt"),
+                          F.size("g").alias("n_sentences"))
+
+
+@query("w_gap_delete", chain_sql(NEARDUP, CLEANED, GAPS)
+       + "select pat_deid, len(g) as n_kept from gaps")
+def w_gap_delete(t):
+    return gaps(t).select("pat_deid", F.size("g").alias("n_kept"))
+
+
+@query("t_shorten_budget", chain_sql(NEARDUP, CLEANED, GAPS, BUDGET)
+       + "select pat_deid, kept_txt as txt, "
+       + WCC.replace("{x}", "kept_txt") + " as new_n_words from budget")
+def t_shorten_budget(t):
+    b = budget(t).select("pat_deid", F.array_join("kept", "\n").alias("txt"))
+    return b.withColumn("new_n_words", TX.word_count_clean("txt"))
+
+
+@query("w_cumsum_budget", chain_sql(NEARDUP, CLEANED, GAPS, BUDGET)
+       + "select g.pat_deid, (select count(*) from dropped d where d.pat_deid = g.pat_deid) "
+         "as n_dropped from gaps g")
+def w_cumsum_budget(t):
+    return (budget(t).join(gaps(t).select("pat_deid", "g"), "pat_deid")
+            .select("pat_deid", (F.size("g") - F.size("kept")).alias("n_dropped")))
+
+
+@query("t_final_notes", chain_sql(NEARDUP, CLEANED, GAPS, BUDGET, FINAL)
+       + "select *, " + WCC.replace("{x}", "all_sentences_merged") + " as n_words from final")
+def t_final_notes(t):
+    return final_notes(t)
+
+
+@query("t_dataset_select", chain_sql(NEARDUP, CLEANED, GAPS, BUDGET, FINAL)
+       + "select pat_deid, all_sentences_merged as note, class_1, class_2, class_3, class_4 "
+         "from final where all_sentences_merged is not null")
+def t_dataset_select(t):
+    f = final_notes(t).where(F.col("all_sentences_merged").isNotNull())
+    return f.select("pat_deid", F.col("all_sentences_merged").alias("note"),
+                    "class_1", "class_2", "class_3", "class_4")
+
+
+_ = _q

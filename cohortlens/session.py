@@ -33,7 +33,8 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
          .config("spark.ui.enabled", "false")
          .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
          .config("spark.driver.memory", os.environ.get("COHORTLENS_DRIVER_MEM", "16g"))
-         .config("spark.sql.execution.arrow.pyspark.enabled", "true"))
+         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+         .config("spark.ui.showConsoleProgress", "false"))
     for k, v in RUNTIME_CONF.items():
         b = b.config(k, v)
     spark = b.getOrCreate()

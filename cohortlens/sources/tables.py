@@ -6,6 +6,7 @@ filters and column pruning into the parquet scan.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import prepare
@@ -15,6 +16,26 @@ BASE_TABLES = ("region", "nation", "customer", "supplier", "part", "orders",
                "benchmark", "labels", "conversations")
 
 
+TEXT_TABLES = ("documents", "pages", "conversations")
+
+
+def spread(df: DataFrame, min_parts: int | None = None) -> DataFrame:
+    """Make sure CPU-heavy text work gets at least one partition per core.
+
+    A scan of a few large row groups can yield fewer partitions than cores
+    (one parquet row group is never split); then a round-robin repartition is
+    cheaper than running the text operators on one thread. A large input
+    already scans into thousands of partitions and is left untouched."""
+    sc = df.sparkSession.sparkContext
+    want = min_parts or sc.defaultParallelism
+    if df.rdd.getNumPartitions() >= want:
+        return df
+    # Partitioning by a seeded rand() keeps Catalyst from pushing the (costly)
+    # text filters below the exchange, where they would run on one thread; the
+    # seed makes a recomputed partition reproduce the same rows.
+    return df.repartition(want, F.rand(42))
+
+
 def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
     """io_read_table: full (lazy) table read; pruning/pushdown left to Catalyst."""
     return spark.read.parquet(f"{root.rstrip('/')}/{name}.parquet")
@@ -50,10 +71,20 @@ class Tables:
         self.root = root.rstrip("/")
         self._cache: dict[str, DataFrame] = {}
 
+    def memo(self, key: str, fn):
+        """Per-instance memo for small driver-side values (e.g. a term list)."""
+        k = "memo:" + key
+        if k not in self._cache:
+            self._cache[k] = fn()
+        return self._cache[k]
+
     def table(self, name: str) -> DataFrame:
         if name not in self._cache:
             if name in BASE_TABLES:
-                self._cache[name] = read_table(self.spark, self.root, name)
+                df = read_table(self.spark, self.root, name)
+                if name in TEXT_TABLES:
+                    df = spread(df)
+                self._cache[name] = df
             else:
                 from . import fixtures
                 self._cache[name] = getattr(fixtures, name)(self)
