@@ -1,6 +1,174 @@
-"""Registered queries (q_graph)."""
+"""Registered graph queries (2.11 g_*, w_sliding, j_pair_window)."""
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from ..operators import graph as G
+from ..operators import text as T
+from ..session import checkpoint_dir
+from ..sources import tables as IO
+from .q_text import SQL_LEX, lex_terms
 from .registry import query
+
+W = G.WINDOW
+
+
+def term_lists(t):
+    return T.doc_term_lists(t.notes, lex_terms(t))
+
+
+def wins(t):
+    return G.windows(term_lists(t), W)
+
+
+def doc_word(t):
+    return G.doc_word_edges(T.doc_terms(t.notes, lex_terms(t)))
+
+
+TL = ("tl as (select note_id, list_filter(range(0, " + str(len(SQL_LEX)) + "), lambda i: "
+      "contains(upper(replace(note, 'ß', 'SS')), upper([" + ", ".join(f"'{w}'" for w in SQL_LEX)
+      + "][i + 1]))) as terms from notes)")
+WINS = f"""wins as (select note_id, w, terms[start + 1: start + {W}] as win from
+  (select note_id, terms, unnest(range(0, greatest(len(terms) - {W}, 0) + 1)) as start,
+          generate_subscripts(range(0, greatest(len(terms) - {W}, 0) + 1), 1) - 1 as w from tl) z)"""
+FREQ = """freq as (select term, count(*) as freq from
+  (select unnest(list_distinct(win)) as term from wins) u group by term)"""
+PAIRS = """pairs as (select a.t as i, b.t as j, count(*) as count from
+  (select note_id, w, unnest(win) as t from wins) a join
+  (select note_id, w, unnest(win) as t from wins) b
+  on a.note_id = b.note_id and a.w = b.w and a.t <> b.t group by a.t, b.t)"""
+PMI = """pmi as (select p.i, p.j, ln(p.count * (select count(*) from wins)::double / (fi.freq * fj.freq)) as weight
+  from pairs p join freq fi on p.i = fi.term join freq fj on p.j = fj.term)"""
+BASE = "with " + TL + ",\n" + WINS + ",\n" + FREQ + ",\n" + PAIRS + ",\n" + PMI + "\n"
+DW = ("dw as (select distinct note_id as doc, unnest(terms) as term, 1.0 as weight from tl)")
+
+
+@query("g_windows", BASE + "select note_id, w, len(win) as n_terms, "
+       "array_to_string(win, ',') as win from wins")
+def g_windows(t):
+    return wins(t).select("note_id", "w", F.size("window").alias("n_terms"),
+                          F.array_join(F.transform("window", lambda x: x.cast("string")), ",")
+                          .alias("win"))
+
+
+@query("w_sliding", BASE + "select count(*) as n_windows, count(distinct note_id) as n_docs, "
+       "cast(sum(len(win)) as bigint) as n_slots from wins")
+def w_sliding(t):
+    return wins(t).agg(F.count(F.lit(1)).alias("n_windows"),
+                       F.count_distinct("note_id").alias("n_docs"),
+                       F.sum(F.size("window")).cast("bigint").alias("n_slots"))
+
+
+@query("g_window_freq", BASE + "select * from freq")
+def g_window_freq(t):
+    return G.window_freq(wins(t))
+
+
+@query("g_pair_count", BASE + "select * from pairs")
+def g_pair_count(t):
+    return G.pair_count(wins(t))
+
+
+@query("j_pair_window", BASE + "select count(*) as n_pairs, cast(sum(count) as bigint) as n_window_pairs "
+       "from pairs")
+def j_pair_window(t):
+    p = G.pair_count(wins(t))
+    return p.agg(F.count(F.lit(1)).alias("n_pairs"),
+                 F.sum("count").cast("bigint").alias("n_window_pairs"))
+
+
+@query("g_pmi", BASE + "select i, j, round(weight, 6) as weight from pmi where weight > 0")
+def g_pmi(t):
+    return G.pmi(wins(t)).withColumn("weight", F.round("weight", 6))
+
+
+@query("g_doc_word", BASE.rstrip() + ",\n" + DW + "\nselect * from dw")
+def g_doc_word(t):
+    return doc_word(t)
+
+
+@query("g_nonzero", BASE + f"""select note_id as row, j as col, 1.0 as weight from
+  (select note_id, terms, unnest(range(0, {len(SQL_LEX)})) as j from tl) z
+  where list_contains(terms, j)""")
+def g_nonzero(t):
+    dense = term_lists(t).select(
+        F.col("note_id").alias("row"),
+        F.transform(F.sequence(F.lit(0), F.lit(len(SQL_LEX) - 1)),
+                    lambda j: F.when(F.array_contains("terms", j), 1.0).otherwise(0.0)).alias("values"))
+    return G.nonzero(dense)
+
+
+@query("g_hetero_graph", BASE.rstrip() + ",\n" + DW + """
+select term as src, doc as dst, 'in' as etype, weight from dw
+union all select i, j, 'co-occur', round(weight, 6) from pmi where weight > 0
+union all select doc, term, 'contains', weight from dw""")
+def g_hetero_graph(t):
+    g = G.hetero_graph(doc_word(t), G.pmi(wins(t)))
+    return g.withColumn("weight", F.round("weight", 6))
+
+
+@query("g_save")
+def g_save(t):
+    root = f"{checkpoint_dir(t.spark).rstrip('/')}/graph/{uuid.uuid4().hex}"
+    IO.write_table(G.pmi(wins(t)), root + "/pmi")
+    IO.write_table(doc_word(t), root + "/doc_word")
+    a = t.spark.read.parquet(root + "/pmi").select(F.lit("pmi").alias("part"))
+    b = t.spark.read.parquet(root + "/doc_word").select(F.lit("doc_word").alias("part"))
+    return a.unionByName(b).groupBy("part").agg(F.count(F.lit(1)).alias("n_edges"))
+
+
+def feats(t):
+    return G.explode_features(t.embeddings, "vec_id", "embedding")
+
+
+FEATS = ("feats as (select vec_id as node, generate_subscripts(embedding, 1) - 1 as dim, "
+         "cast(unnest(embedding) as double) as x from embeddings)")
+MSG = ("msg as (select e.dst, e.etype, f.dim, e.weight * f.x as m from graph_edges e "
+       "join feats f on e.src = f.node)")
+GBASE = "with " + FEATS + ",\n" + MSG + "\n"
+
+
+@query("g_neighbor_mean", GBASE + "select dst, etype, dim, round(avg(m), 6) as value from msg "
+       "group by dst, etype, dim")
+def g_neighbor_mean(t):
+    return G.neighbor_mean(t.graph_edges, feats(t)).withColumn("value", F.round("value", 6))
+
+
+@query("g_neighbor_gcn", GBASE + """select s.dst, s.etype, s.dim,
+  round((s.s + coalesce(f.x, 0.0)) / (d.deg + 1), 6) as value
+from (select dst, etype, dim, sum(m) as s from msg group by dst, etype, dim) s
+join (select dst, etype, count(*) as deg from graph_edges group by dst, etype) d
+  on s.dst = d.dst and s.etype = d.etype
+left join feats f on s.dst = f.node and s.dim = f.dim""")
+def g_neighbor_gcn(t):
+    return G.neighbor_gcn(t.graph_edges, feats(t)).withColumn("value", F.round("value", 6))
+
+
+@query("g_neighbor_max", GBASE + "select dst, etype, dim, round(max(m), 6) as value from msg "
+       "group by dst, etype, dim")
+def g_neighbor_max(t):
+    return G.neighbor_max(t.graph_edges, feats(t)).withColumn("value", F.round("value", 6))
+
+
+ETYPES = ["co-occur", "in"]
+
+
+@query("g_zero_degree", GBASE + """, agg as (select dst, etype, dim, avg(m) as value from msg
+  group by dst, etype, dim)
+select n.node as dst, et.etype, d.dim, round(coalesce(a.value, 0.0), 6) as value
+from (select distinct node from feats) n, (select unnest(['co-occur', 'in']) as etype) et,
+     (select unnest(range(0, 64)) as dim) d
+left join agg a on a.dst = n.node and a.etype = et.etype and a.dim = d.dim""")
+def g_zero_degree(t):
+    agg = G.neighbor_mean(t.graph_edges, feats(t))
+    nodes = feats(t).select("node").distinct()
+    return G.zero_degree(agg, nodes, ETYPES, 64).withColumn("value", F.round("value", 6))
+
+
+@query("g_relation_sum", GBASE + """select dst, dim, round(sum(value), 6) as value from
+  (select dst, etype, dim, avg(m) as value from msg group by dst, etype, dim) a group by dst, dim""")
+def g_relation_sum(t):
+    per = G.neighbor_mean(t.graph_edges, feats(t))
+    return G.relation_sum(per).withColumn("value", F.round("value", 6))

@@ -1,6 +1,107 @@
-"""Registered queries (q_split)."""
+"""Registered split queries (2.10 x_*) over the outcome table of the cohort."""
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import split as S
+from ..operators import text as T
+from ..operators import vocab as V
+from .q_relational import LABEL_KEY, T1_BASE, t1
 from .registry import query
+
+SEED = 42
+TEST_FRAC = 0.06
+VAL_FRAC = 0.2
+K = 4
+
+
+def labelled(t):
+    o = t1(t)
+    key = F.concat_ws("", *[F.col(f"class_{i}").cast("string") for i in range(1, 5)])
+    return o.select("pat_deid", key.alias("label_key"))
+
+
+def split_table(t):
+    """Train/test split of the outcome patients, stratified on the label key."""
+    return S.stratified_split(labelled(t), "pat_deid", ["label_key"], TEST_FRAC, SEED)
+
+
+def train_ids(t):
+    return split_table(t).where(F.col("split") == "train")
+
+
+H = "md5(cast(pat_deid as varchar) || '42'), pat_deid"
+LK = T1_BASE + f""", lk as (select pat_deid, {LABEL_KEY} as label_key from t1),
+sp as (select pat_deid, label_key, case when rk <= round(n * {TEST_FRAC}) then 'test' else 'train'
+         end as split from (select *, row_number() over (partition by label_key order by {H}) as rk,
+         count(*) over (partition by label_key) as n from lk) r),
+kf as (select pat_deid, label_key, cast((row_number() over (partition by label_key order by {H}) - 1)
+         % {K} as int) as fold from sp where split = 'train')
+"""
+
+
+@query("x_stratified_split", LK + "select * from sp")
+def x_stratified_split(t):
+    return split_table(t)
+
+
+@query("x_random_split", LK + f"""select pat_deid, case when rk <= round(n * {VAL_FRAC}) then 'val'
+  else 'train' end as split from (select pat_deid, row_number() over (order by {H}) as rk,
+  count(*) over () as n from sp where split = 'train') r""")
+def x_random_split(t):
+    tr = train_ids(t).select("pat_deid")
+    return S.stratified_split(tr, "pat_deid", [], VAL_FRAC, SEED, names=("train", "val"))
+
+
+def kfold(t):
+    return S.stratified_kfold(train_ids(t).drop("split"), "pat_deid", ["label_key"], K, SEED)
+
+
+@query("x_stratified_kfold", LK + "select * from kf")
+def x_stratified_kfold(t):
+    return kfold(t)
+
+
+@query("x_fold_expand", LK + f"""select pat_deid, fold, fold_i,
+  case when fold = fold_i then 'val' else 'train' end as role
+  from kf, (select unnest(range(0, {K})) as fold_i) f""")
+def x_fold_expand(t):
+    return S.fold_expand(kfold(t), K).select("pat_deid", "fold", "fold_i", "role")
+
+
+@query("x_apply_split", LK + """select n.note_id, n.pat_deid, t1.class_1, t1.class_2, t1.class_3,
+  t1.class_4 from notes n join t1 on n.pat_deid = t1.pat_deid
+  where n.pat_deid in (select pat_deid from sp where split = 'test')""")
+def x_apply_split(t):
+    ids = split_table(t).where(F.col("split") == "test")
+    out = S.apply_split(t.notes.select("note_id", "pat_deid"), t1(t).drop("classes", "total"), ids)
+    return out
+
+
+# x_train_only_vocab: the vocabulary is refit on the train split only (terms
+# that occur in train notes of their class), then applied to the test notes.
+SL_TRAIN = """sl as (select n.note_id, n.note, case when t1.class_1 = 1 then 'class_1'
+    when t1.class_2 = 1 then 'class_2' when t1.class_3 = 1 then 'class_3' else 'class_4' end as diagnose
+  from notes n join t1 on n.pat_deid = t1.pat_deid
+  where t1.class_1 + t1.class_2 + t1.class_3 + t1.class_4 = 1
+    and n.pat_deid in (select pat_deid from sp where split = 'train')),
+occ as (select v.term as name, v.class as diagnose, count(distinct sl.note_id) as occurence
+  from lexicon v join sl on v.class = sl.diagnose
+   and contains(upper(replace(sl.note, 'ß', 'SS')), upper(v.term)) group by v.term, v.class)
+"""
+
+
+@query("x_train_only_vocab", LK + ", " + SL_TRAIN + """select n.note_id, n.pat_deid
+from notes n where n.pat_deid in (select pat_deid from sp where split = 'test')
+  and exists (select 1 from occ where contains(lower(n.note), lower(occ.name)))""")
+def x_train_only_vocab(t):
+    ids = split_table(t)
+    o = t1(t)
+    train_notes = t.notes.join(ids.where(F.col("split") == "train").select("pat_deid"),
+                               "pat_deid", "left_semi")
+    vocab = V.occurrence(t.lexicon.select(F.col("term").alias("name"),
+                                          F.col("class").alias("diagnose")), train_notes, o)
+    terms = T.term_list(vocab.select("name").distinct(), "name", "name")
+    test_notes = t.notes.join(ids.where(F.col("split") == "test").select("pat_deid"),
+                              "pat_deid", "left_semi")
+    return test_notes.where(T.has_mention("note", terms)).select("note_id", "pat_deid")
