@@ -240,3 +240,37 @@ def shorten_budget(df: DataFrame, sent_col: str, terms: Sequence[str], max_lengt
             return F.when(nn > max_length, let(sentence_hits(s, terms), with_hits)).otherwise(s)
         return let(n, with_n)
     return df.withColumn(out, let(F.col(sent_col), body))
+
+
+def _minhash_bands(s: Column, n_hash: int = 8, rows: int = 2) -> Column:
+    """Band keys of a sentence: min over its 3-character shingles of
+    md5(k|shingle) for k < n_hash, grouped ``rows`` hashes per band."""
+    def with_shingles(sh):
+        mh = [F.array_min(F.transform(sh, lambda g, k=k: F.md5(F.concat(F.lit(f"{k}|"), g))))
+              for k in range(n_hash)]
+        return F.array(*[F.md5(F.concat_ws("|", F.lit(f"b{b}"), *mh[b * rows:(b + 1) * rows]))
+                         for b in range(n_hash // rows)])
+    shingles = F.transform(F.sequence(F.lit(1), F.greatest(F.length(s) - 2, F.lit(1))),
+                           lambda p: F.substring(s, p, 3))
+    return let(shingles, with_shingles)
+
+
+def near_dup_lsh(df: DataFrame, col: str = "sentence_list", threshold: float = 0.8,
+                 n_hash: int = 8, rows: int = 2) -> DataFrame:
+    """t_near_dup_lsh: the greedy fold where only sentences sharing a MinHash
+    band with a kept sentence are compared (bounded Levenshtein), so the
+    quadratic edit-distance work shrinks to candidate pairs; no pair table is
+    ever materialised."""
+    def similar(s, k):
+        ls, lk = F.length(s), F.length(k)
+        mx, mn = F.greatest(ls, lk), F.least(ls, lk)
+        budget = F.floor(mx * (1 - threshold) + 1e-9).cast("int")
+        d = F.call_function("levenshtein", s, k, budget)
+        return (mn >= mx * threshold - 1e-9) & (d >= 0) & ((1 - d / mx) >= threshold)
+    items = F.transform(F.split(F.col(col), "\\[SEP\\]"),
+                        lambda x: F.struct(x.alias("s"), _minhash_bands(x, n_hash, rows).alias("b")))
+    empty = F.array().cast("array<struct<s:string,b:array<string>>>")
+    kept = F.aggregate(items, empty, lambda acc, x: F.when(
+        F.exists(acc, lambda k: F.arrays_overlap(k["b"], x["b"]) & similar(x["s"], k["s"])), acc)
+        .otherwise(F.concat(acc, F.array(x))))
+    return df.withColumn(col, F.array_join(F.transform(kept, lambda e: e["s"]), "\n"))

@@ -322,3 +322,4 @@ def a_table_one(t):
 
 
 _ = (DX_CASE, FLOOR_DAYS)
+

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as TX
+from ..operators import relational as R
 from ..operators import text as T
 from ..operators import vocab as V
 from ..sources.fixtures import LEXICON
@@ -305,3 +306,104 @@ def t_dataset_select(t):
 
 
 _ = _q
+
+
+def _bands_sql(x: str, n_hash: int = 8, rows: int = 2) -> str:
+    sh = f"list_transform(range(1, greatest(length({x}) - 2, 1) + 1), lambda p: substring({x}, p, 3))"
+    mh = [f"list_min(list_transform({sh}, lambda g: md5('{k}|' || g)))" for k in range(n_hash)]
+    return "[" + ", ".join(
+        "md5(concat_ws('|', 'b%d', %s))" % (b, ", ".join(mh[b * rows:(b + 1) * rows]))
+        for b in range(n_hash // rows)) + "]"
+
+
+LSH_SQL = ("array_to_string(list_transform(list_reduce(list_transform(string_split(sentence_list, '[SEP]'), "
+           "lambda x: [{'s': x, 'a': " + one_byte_sql("x") + ", 'b': " + _bands_sql("x") + "}]), "
+           "lambda acc, x: case when len(list_filter(acc, lambda k: list_has_any(k.b, x[1].b) and "
+           "case when least(length(x[1].s), length(k.s)) >= 0.8 * greatest(length(x[1].s), length(k.s)) "
+           "- 1e-9 then 1 - levenshtein(x[1].a, k.a) / greatest(length(x[1].s), length(k.s)) >= 0.8 "
+           "else false end)) > 0 then acc else list_concat(acc, x) end), lambda e: e.s), chr(10))")
+
+
+@query("t_near_dup_lsh", chain_sql() + "select pat_deid, class_1, class_2, class_3, class_4, total, "
+       + LSH_SQL + " as sentence_list from pnote where sentence_list is not null")
+def t_near_dup_lsh(t):
+    return T.near_dup_lsh(pnote(t).where(F.col("sentence_list").isNotNull()))
+
+
+# ------------------------------------------------------------ note types (NB2)
+def _wc(t):
+    from ..functions.text import word_count
+    return t.notes.withColumn("wc", word_count("note"))
+
+
+@query("c_type_share", """select note_desc, count(*) as n, count(*) / sum(count(*)) over () as share
+  from notes where note_desc is not null group by note_desc
+  qualify count(*) / sum(count(*)) over () >= 0.015""")
+def c_type_share(t):
+    return R.value_counts_norm(t.notes, "note_desc").where(F.col("share") >= 0.015)
+
+
+def _type_relevance(t, min_pct=50.0):
+    terms = vocab_terms(t)
+    h = t.notes.select("note_desc", T.has_mention("note", terms).cast("double").alias("hit"))
+    return (h.groupBy("note_desc").agg(F.round(F.avg("hit") * 100, 6).alias("pct"),
+                                       F.sum("hit").alias("_hits"))
+            .where((F.col("_hits") > 0) & (F.col("pct") >= min_pct)).drop("_hits"))
+
+
+def _mention_sql_q(x):
+    return mention_sql(x)
+
+
+@query("c_type_relevance", "select note_desc, round(avg(cast(" + _mention_sql_q("note")
+       + " as double)) * 100, 6) as pct from notes group by note_desc having sum(cast("
+       + _mention_sql_q("note") + " as int)) > 0 and round(avg(cast(" + _mention_sql_q("note")
+       + " as double)) * 100, 6) >= 50")
+def c_type_relevance(t):
+    return _type_relevance(t)
+
+
+@query("c_type_patients", """select note_desc, count(distinct pat_deid) as n_patients from notes
+  group by note_desc order by n_patients desc, note_desc limit 20""")
+def c_type_patients(t):
+    c = t.notes.groupBy("note_desc").agg(F.count_distinct("pat_deid").alias("n_patients"))
+    return R.topk(c, [F.desc("n_patients"), "note_desc"], 20)
+
+
+@query("c_type_length", """select note_desc, cast(min(wc) as double) as min, cast(max(wc) as double) as max,
+  round(avg(wc), 6) as mean, median(wc) as median
+  from (select note_desc, len(string_split(note, ' ')) as wc from notes) z group by note_desc""")
+def c_type_length(t):
+    return (_wc(t).groupBy("note_desc")
+            .agg(F.min("wc").cast("double").alias("min"), F.max("wc").cast("double").alias("max"),
+                 F.round(F.avg("wc"), 6).alias("mean"), F.median("wc").alias("median")))
+
+
+@query("c_note_outliers", """with c as (select pat_deid, count(*) as n_notes,
+  min(len(string_split(note, ' '))) as min_wc from notes group by pat_deid)
+select 'one_note' as kind, pat_deid, n_notes from c where n_notes = 1
+union all select 'max_notes', pat_deid, n_notes from c where n_notes = (select max(n_notes) from c)
+union all select 'short_note', pat_deid, n_notes from c where min_wc <= 12""")
+def c_note_outliers(t):
+    c = _wc(t).groupBy("pat_deid").agg(F.count(F.lit(1)).alias("n_notes"),
+                                       F.min("wc").alias("min_wc"))
+    mx = c.select(F.max("n_notes")).scalar()
+    one = c.where(F.col("n_notes") == 1).select(F.lit("one_note").alias("kind"), "pat_deid", "n_notes")
+    top = c.where(F.col("n_notes") == mx).select(F.lit("max_notes").alias("kind"), "pat_deid", "n_notes")
+    short = c.where(F.col("min_wc") <= 12).select(F.lit("short_note").alias("kind"), "pat_deid", "n_notes")
+    return one.unionByName(top).unionByName(short)
+
+
+@query("c_relevant_notes", """with rel as (select pat_deid, note_id from notes where """
+       + _mention_sql_q("note") + """),
+removed as (select pat_deid, note_id from (select pat_deid, note_id from notes union all
+  select pat_deid, note_id from rel) u group by pat_deid, note_id having count(*) = 1)
+select r.pat_deid, r.note_id, r.pat_deid not in (select pat_deid from rel) as patient_removed
+from removed r""")
+def c_relevant_notes(t):
+    n = t.notes.select("pat_deid", "note_id", "note")
+    rel = n.where(T.has_mention("note", vocab_terms(t))).select("pat_deid", "note_id")
+    removed = R.symdiff(n.select("pat_deid", "note_id"), rel)
+    kept_pat = rel.select("pat_deid").distinct().withColumn("_k", F.lit(True))
+    return (removed.join(kept_pat, "pat_deid", "left")
+            .select("pat_deid", "note_id", F.col("_k").isNull().alias("patient_removed")))
