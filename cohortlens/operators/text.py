@@ -205,8 +205,9 @@ def shorten_gaps(df: DataFrame, text_col: str, terms: Sequence[str], out: str =
             def k(x, i):
                 prev = F.array_max(F.filter(idx, lambda j: j < i))
                 nxt = F.array_min(F.filter(idx, lambda j: j > i))
-                gone = (prev.isNotNull() & nxt.isNotNull() & (nxt - prev > 3)
-                        & (i >= prev + 2) & (i <= nxt - 2))
+                # i is not a hit, so prev/nxt are consecutive hits around it
+                gone = (~F.array_contains(idx, i) & prev.isNotNull() & nxt.isNotNull()
+                        & (nxt - prev > 3) & (i >= prev + 2) & (i <= nxt - 2))
                 return ~F.coalesce(gone, F.lit(False))
             return F.filter(s, k)
         return let(with_idx(s), keep)

@@ -197,7 +197,7 @@ def c_note_type_list(t):
 # c_enrich_*: the warehouse-side joins that add discharge time / diagnosis source.
 ENR_L = "select enc_id, pat_deid, hosp_admsn_time, pt_class, dx_name, che_tx_date from encounters"
 ENR_R = ("select pat_deid, hosp_admsn_time, pt_class, dx_name, hosp_dischrg_time "
-         "from encounters where enc_id % 3 <> 0")
+         "from encounters where pt_class <> 'Outpatient'")
 
 
 @query("c_enrich_discharge", f"""
@@ -207,27 +207,27 @@ select distinct l.*, r.hosp_dischrg_time from ({ENR_L}) l left join ({ENR_R}) r
 def c_enrich_discharge(t):
     e = t.encounters
     left = e.select("enc_id", "pat_deid", "hosp_admsn_time", "pt_class", "dx_name", "che_tx_date")
-    right = e.where(F.col("enc_id") % 3 != 0)
+    right = e.where(F.col("pt_class") != "Outpatient")
     return C.enrich_left(left, right, ["pat_deid", "hosp_admsn_time", "pt_class", "dx_name"],
                          ["hosp_dischrg_time"])
 
 
-SRC_CASE = ("case cast(enc_id % 3 as int) when 0 then 'ADMIT' when 1 then 'ENCOUNTER' "
+SRC_CASE = ("case pt_class when 'Emergency Services' then 'ADMIT' when 'Inpatient' then 'ENCOUNTER' "
             "else 'PROBLEM LIST' end")
 
 
 @query("c_enrich_source", f"""
 select distinct l.*, r.source from encounters l left join
   (select pat_deid, enc_id, dx_name, pt_class, hosp_admsn_time, che_tx_date, {SRC_CASE} as source
-   from encounters where enc_id % 5 <> 1) r
+   from encounters where hosp_admsn_time >= che_tx_date) r
   on l.pat_deid = r.pat_deid and l.enc_id = r.enc_id and l.dx_name = r.dx_name
  and l.pt_class = r.pt_class and l.hosp_admsn_time = r.hosp_admsn_time
  and l.che_tx_date = r.che_tx_date""")
 def c_enrich_source(t):
     e = t.encounters
-    code = (F.col("enc_id") % 3).cast("int")
-    src = (F.when(code == 0, "ADMIT").when(code == 1, "ENCOUNTER").otherwise("PROBLEM LIST"))
-    right = e.where(F.col("enc_id") % 5 != 1).withColumn("source", src)
+    src = (F.when(F.col("pt_class") == C.ED, "ADMIT").when(F.col("pt_class") == C.INPATIENT, "ENCOUNTER")
+           .otherwise("PROBLEM LIST"))
+    right = e.where(F.col("hosp_admsn_time") >= F.col("che_tx_date")).withColumn("source", src)
     keys = ["pat_deid", "enc_id", "dx_name", "pt_class", "hosp_admsn_time", "che_tx_date"]
     return C.enrich_left(e, right, keys, ["source"])
 

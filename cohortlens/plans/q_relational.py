@@ -414,13 +414,13 @@ def j_left_multikey(t):
 
 
 @query("j_left_sixkey", """select distinct l.*, r.flag from events l left join
-  (select event_id, user_id, event_type, ts, value, props, event_id % 4 as flag from events
-   where event_id % 3 <> 0) r
+  (select event_id, user_id, event_type, ts, value, props, length(event_type) as flag from events
+   where event_type <> 'view') r
 on l.event_id = r.event_id and l.user_id = r.user_id and l.event_type = r.event_type
 and l.ts = r.ts and l.value = r.value and l.props = r.props""")
 def j_left_sixkey(t):
     e = t.events
-    right = e.where(F.col("event_id") % 3 != 0).withColumn("flag", F.col("event_id") % 4)
+    right = e.where(F.col("event_type") != "view").withColumn("flag", F.length("event_type"))
     return C.enrich_left(e, right, ["event_id", "user_id", "event_type", "ts", "value", "props"],
                          ["flag"])
 
@@ -637,13 +637,15 @@ def s_intersect(t):
 
 
 @query("s_symdiff", """select pat_deid, note_desc from (
-  select pat_deid, note_desc from notes where note_id % 2 = 0
-  union all select pat_deid, note_desc from notes where note_id % 3 = 0) u
+  select distinct pat_deid, 'H&P' as note_desc from notes where note_desc = 'H&P'
+  union all select distinct pat_deid, 'H&P' from encounters where pt_class = 'Inpatient') u
   group by pat_deid, note_desc having count(*) = 1""")
 def s_symdiff(t):
     n = t.notes
-    return R.symdiff(n.where(F.col("note_id") % 2 == 0).select("pat_deid", "note_desc"),
-                     n.where(F.col("note_id") % 3 == 0).select("pat_deid", "note_desc"))
+    a = n.where(F.col("note_desc") == "H&P").select("pat_deid", "note_desc").distinct()
+    b = (t.encounters.where(F.col("pt_class") == C.INPATIENT)
+         .select("pat_deid", F.lit("H&P").alias("note_desc")).distinct())
+    return R.symdiff(a, b)
 
 
 _ = (symu, SYMU, Window)

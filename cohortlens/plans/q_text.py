@@ -85,7 +85,7 @@ CLEANED = f"""cleaned as (select pat_deid, txt, {WCC.replace('{x}', 'txt')} as n
   (select pat_deid, {clean_sql('sentence_list')} as txt from neardup) z)"""
 
 GAPS_SQL = """list_filter({s}, lambda x, i: not coalesce(
-    list_max(list_filter({h}, lambda j: j < i - 1)) is not null
+    not list_contains({h}, i - 1) and list_max(list_filter({h}, lambda j: j < i - 1)) is not null
     and list_min(list_filter({h}, lambda j: j > i - 1)) is not null
     and list_min(list_filter({h}, lambda j: j > i - 1)) - list_max(list_filter({h}, lambda j: j < i - 1)) > 3
     and i - 1 >= list_max(list_filter({h}, lambda j: j < i - 1)) + 2
