@@ -160,13 +160,20 @@ def budget(t):
 
 
 def final_notes(t):
-    """t_final_notes: shortened text for long notes, near-dup text otherwise
-    (clean='long_only' parity), n_words on the result; every outcome patient."""
-    d = neardup(t).select("pat_deid", F.col("sentence_list").alias("_merged"))
-    b = budget(t).select("pat_deid", F.array_join("kept", "\n").alias("_short"))
-    out = (pnote(t).drop("sentence_list").join(d, "pat_deid", "left").join(b, "pat_deid", "left")
-           .withColumn("all_sentences_merged", F.coalesce("_short", "_merged"))
-           .drop("_short", "_merged"))
+    """t_final_notes: shortened (cleaned) text for notes over the budget, the
+    near-dup text otherwise (clean='long_only' parity), n_words on the result;
+    every outcome patient. One pass: the near-dup fold is computed once and
+    both branches are columns of the same rows."""
+    terms = vocab_terms(t)
+    nd = neardup(t).select("pat_deid", F.col("sentence_list").alias("_merged"))
+    c = (nd.withColumn("txt", TX.clean_text("_merged", CLEAN_PHRASES))
+         .withColumn("_n", TX.word_count_clean("txt")))
+    long_ = F.col("_n") > MAX_WORDS
+    g = T.shorten_gaps(c.withColumn("txt", F.when(long_, F.col("txt"))), "txt", terms, "g")
+    k = T.shorten_budget(g, "g", terms, MAX_WORDS)
+    text = (k.select("pat_deid", F.when(long_, F.array_join("kept", "\n"))
+                     .otherwise(F.col("_merged")).alias("all_sentences_merged")))
+    out = outcomes(t).join(text, "pat_deid", "left")
     return out.withColumn("n_words", TX.word_count_clean("all_sentences_merged"))
 
 
