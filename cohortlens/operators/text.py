@@ -184,7 +184,16 @@ def near_dup_ratcliff(df: DataFrame, col: str = "sentence_list", key: str = "pat
                 return None
             kept = []
             for p in t.split(SEP):
-                if all(SequenceMatcher(None, p, q).ratio() < threshold for q in kept):
+                def similar(q):
+                    # exact upper bounds first (ratio <= each of them), then the ratio;
+                    # a = new sentence, b = kept one, as the ratio is asymmetric
+                    n = len(p) + len(q)
+                    if n and 2.0 * min(len(p), len(q)) / n < threshold:
+                        return False
+                    sm = SequenceMatcher(None, p, q)
+                    return (sm.real_quick_ratio() >= threshold and sm.quick_ratio() >= threshold
+                            and sm.ratio() >= threshold)
+                if not any(similar(q) for q in kept):
                     kept.append(p)
             return "\n".join(kept)
         return texts.map(one)
