@@ -1,4 +1,5 @@
 import tempfile
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -13,7 +14,7 @@ def test_incremental_word_counts(spark):
     docs.write.mode("overwrite").parquet(src + "/part1")
     q = run_incremental(spark, src + "/part1", docs.schema,
                         lambda b: b.select("doc_id", word_count_clean("text").alias("n")), out,
-                        name="test-wc")
+                        name=f"test-wc-{uuid.uuid4().hex}")  # fresh stream state per run
     q.awaitTermination(120)
     got = spark.read.parquet(out)
     assert got.count() == docs.count()
