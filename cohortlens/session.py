@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -19,10 +20,7 @@ def prepare(spark: SparkSession) -> SparkSession:
     """Apply the runtime settings that results depend on to an existing session."""
     for k, v in RUNTIME_CONF.items():
         if spark.conf.get(k, None) != v:
-            try:
-                spark.conf.set(k, v)
-            except Exception:  # static conf on a shared session: leave as is
-                pass
+            spark.conf.set(k, v)
     return spark
 
 
@@ -45,21 +43,22 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by the cluster (spark.checkpoint.dir).
 
-    Only when the session has none (tests, local runs) do we create a scratch
-    folder of our own; on a cluster the setting must point at shared storage.
+    Where it is unset, a single-machine session (tests, local runs) gets a scratch
+    folder; on a cluster that is an error, because every executor would write to
+    its own disk.
     """
-    d = spark.conf.get("spark.checkpoint.dir", None)
-    if not d:
-        d = spark.sparkContext.getCheckpointDir()
+    sc = spark.sparkContext
+    d = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not d:
+        if not re.fullmatch(r"local(\[[^]]*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         d = tempfile.mkdtemp(prefix="cohortlens-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", d)
-    spark.sparkContext.setCheckpointDir(d)
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(d)
     return d
 
 
-def cut_lineage(df, spark: SparkSession | None = None):
+def cut_lineage(df):
     """Reliable checkpoint (never localCheckpoint): survives executor loss."""
-    spark = spark or df.sparkSession
-    checkpoint_dir(spark)
+    checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)

@@ -15,8 +15,7 @@ def spark():
          .config("spark.ui.enabled", "false")
          .config("spark.ui.showConsoleProgress", "false")
          .config("spark.sql.session.timeZone", "UTC")
+         .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="cohortlens-test-ckpt-"))
          .getOrCreate())
     s.sparkContext.setLogLevel("ERROR")
-    if not s.conf.get("spark.checkpoint.dir", None):  # tests only: no cluster setting
-        s.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="cohortlens-test-ckpt-"))
     yield s
