@@ -20,7 +20,7 @@ SIZES = (3, 5)            # byte n-grams
 MAX_DOCS_PER_LANG = 4_000  # expected size of the labelled sample of each language
 MIN_SHARE = 1e-4          # an n-gram of a language: at least this share of its n-grams
 PROBES = 3
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 UND = "und"
 
 _SPACE = np.arange(256, dtype=np.uint8)

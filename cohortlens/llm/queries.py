@@ -1,7 +1,10 @@
 """Registered queries of the training-data operators and their DuckDB SQL."""
 from __future__ import annotations
 
+from . import decontaminate
+from .decontaminate import op9_decontamination
 from .language import op8_language_id
+from .sharding import op6_sharding
 
-QUERIES = {f.__name__: f for f in (op8_language_id,)}
-ORACLE: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op6_sharding, op8_language_id, op9_decontamination)}
+ORACLE: dict[str, str] = {"op9_decontamination": decontaminate.SQL}
