@@ -1,10 +1,12 @@
 """Registered queries of the training-data operators and their DuckDB SQL."""
 from __future__ import annotations
 
-from . import decontaminate
+from . import decontaminate, mixing
 from .decontaminate import op9_decontamination
 from .language import op8_language_id
+from .license import op1_license_scan
+from .mixing import op5_mixing
 from .sharding import op6_sharding
 
-QUERIES = {f.__name__: f for f in (op6_sharding, op8_language_id, op9_decontamination)}
-ORACLE: dict[str, str] = {"op9_decontamination": decontaminate.SQL}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op5_mixing, op6_sharding, op8_language_id, op9_decontamination)}
+ORACLE: dict[str, str] = {"op5_mixing": mixing.SQL, "op9_decontamination": decontaminate.SQL}
