@@ -6,7 +6,8 @@ from .decontaminate import op9_decontamination
 from .language import op8_language_id
 from .license import op1_license_scan
 from .mixing import op5_mixing
+from .ngram_join import op2_ngram_jaccard_join
 from .sharding import op6_sharding
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op5_mixing, op6_sharding, op8_language_id, op9_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_ngram_jaccard_join, op5_mixing, op6_sharding, op8_language_id, op9_decontamination)}
 ORACLE: dict[str, str] = {"op5_mixing": mixing.SQL, "op9_decontamination": decontaminate.SQL}

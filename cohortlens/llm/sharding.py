@@ -59,27 +59,27 @@ def row_at(shard: int, slot: int, n: int, shards: int, seed: int = SEED) -> int:
 def shard_rows(df: DataFrame, key: list[str], shards: int, seed: int = SEED) -> DataFrame:
     """``row`` (the input row as a struct), ``row_number``, ``shard`` (int) and ``slot``.
 
-    Shards differ by one row at most and slots have no gaps. Row numbers follow the
-    hash bucket and then the columns of ``key``, so they depend on the data alone, not
-    on partitions; rows that agree in ``key`` are numbered in an order left open, and
-    so are interchangeable only if equal. Equal rows are counted before they are dealt
-    out, so many copies or nulls are one row in a bucket. Empty tables give no rows;
-    columns of any name stay inside ``row``."""
-    spark = df.sparkSession
-    row = F.struct(*[F.col(f"`{c}`") for c in df.columns])
-    rows = df.groupBy(*[F.col(f"`{c}`") for c in df.columns]).agg(F.count(F.lit(1)).alias("__n"))
-    rows = rows.select(row.alias("row"), F.col("__n").alias("n"),
-                       F.shiftrightunsigned(F.xxhash64(*[F.col(f"`{c}`") for c in key]), 48).alias("b"))
-    sums = rows.groupBy("b").agg(F.sum("n").alias("in_b"))  # at most BUCKETS rows
-    before = Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sums.select("b", F.coalesce(F.sum("in_b").over(before), F.lit(0)).alias("start"))
-    total = rows.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"))
-    n = spark.createDataFrame(total.collect(), "total long").first()["total"]
-    inside = Window.partitionBy("b").orderBy(*[F.col(f"row.`{c}`") for c in key]).rowsBetween(
-        Window.unboundedPreceding, -1)
-    numbered = rows.join(F.broadcast(starts), "b").withColumn(
-        "at", F.col("start") + F.coalesce(F.sum("n").over(inside), F.lit(0)))
-    each = numbered.select("row", F.explode(F.sequence(F.col("at"), F.col("at") + F.col("n") - 1)).alias("row_number"))
+    Shards differ by one row at most and slots have no gaps. Row numbers follow a hash
+    of the columns of ``key`` and then one of the whole row, so they depend on the data
+    alone, not on partitions. Equal rows are counted before they are dealt out, so many
+    copies (or nulls) are one row in a bucket; they take consecutive numbers. Empty
+    tables give no rows; columns of any name stay inside ``row``. Whole rows are
+    shuffled once; all else runs on two hashes of a row."""
+    spark, columns = df.sparkSession, [F.col(f"`{c}`") for c in df.columns]
+    named = df.select(
+        F.struct(*columns).alias("row"), F.xxhash64(*[F.col(f"`{c}`") for c in key]).alias("k"),
+        F.xxhash64(F.lit(seed), *columns, *[c.isNull() for c in columns]).alias("h"))
+    counted = (named.groupBy("k", "h").agg(F.count(F.lit(1)).alias("n"))
+               .withColumn("b", F.shiftrightunsigned("k", 48)))
+    sums = counted.groupBy("b").agg(F.sum("n").alias("n")).toPandas().sort_values("b")  # at most BUCKETS rows
+    n = int(sums["n"].sum())
+    sums["start"] = sums["n"].cumsum() - sums["n"]
+    starts = spark.createDataFrame([(int(b), int(s)) for b, s in zip(sums["b"], sums["start"])], "b long, start long")
+    inside = Window.partitionBy("b").orderBy("k", "h").rowsBetween(Window.unboundedPreceding, -1)
+    numbered = counted.join(F.broadcast(starts), "b").withColumn(
+        "at", F.col("start") + F.coalesce(F.sum("n").over(inside), F.lit(0))).select("k", "h", "at", "n")
+    each = numbered.join(named.dropDuplicates(["k", "h"]), ["k", "h"]).select(
+        "row", F.explode(F.sequence(F.col("at"), F.col("at") + F.col("n") - 1)).alias("row_number"))
 
     @F.pandas_udf("long")
     def place(r: pd.Series) -> pd.Series:
