@@ -133,14 +133,16 @@ def _longs(rows: list) -> pa.Array:
 
 
 def _sets(docs: DataFrame, rule: Rule) -> DataFrame:
-    """(id, n, h1, h2) of every row."""
+    """(id, n, h1, h2, sketch) of every row."""
     def run(batches):
         for b in batches:
-            rows = [(len(s), *(set_hash(s) if len(s) else (0, 0))) for s in shingle_sets(b.column("text"), rule.k)]
-            n, h1, h2 = (np.array(x, np.int64) for x in zip(*rows)) if rows else (np.zeros(0, np.int64),) * 3
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(n), pa.array(h1), pa.array(h2)],
-                                             ["id", "n", "h1", "h2"])
-    return docs.mapInArrow(run, "id long, n long, h1 long, h2 long")
+            rows = [(len(s), *(set_hash(s) if len(s) else (0, 0)), check_sketch(s))
+                    for s in shingle_sets(b.column("text"), rule.k)]
+            n, h1, h2 = (np.array([r[i] for r in rows], np.int64) for i in range(3))
+            yield pa.RecordBatch.from_arrays(
+                [b.column("id"), pa.array(n), pa.array(h1), pa.array(h2), _longs([r[3] for r in rows])],
+                ["id", "n", "h1", "h2", "sketch"])
+    return docs.mapInArrow(run, "id long, n long, h1 long, h2 long, sketch array<long>")
 
 
 def _keys(docs: DataFrame, rule: Rule) -> DataFrame:
@@ -174,26 +176,15 @@ def _combined(key: np.ndarray, own: np.ndarray):
                                           pa.array(hub[part])], ["key", "id", "hub"])
 
 
-def _features(docs: DataFrame, rule: Rule) -> DataFrame:
-    """(id, n, s, sketch) of the rows that candidates need: the whole shingle set."""
+def _shingles(docs: DataFrame, rule: Rule) -> DataFrame:
+    """(id, s): the whole shingle sets, of the rows that a sketch can't decide."""
     def run(batches):
         for b in batches:
-            ids, rows = b.column("id").to_numpy(zero_copy_only=False), []
-            for i, s in zip(ids, shingle_sets(b.column("text"), rule.k)):
-                rows.append((i, s, check_sketch(s)))
-                if len(rows) == 256:
-                    yield _feature_batch(rows)
-                    rows = []
-            if rows:
-                yield _feature_batch(rows)
-    return docs.mapInArrow(run, "id long, n long, s array<long>, sketch array<long>")
-
-
-def _feature_batch(rows: list) -> pa.RecordBatch:
-    ids, sets, sketches = zip(*rows)
-    return pa.RecordBatch.from_arrays(
-        [pa.array(np.array(ids, np.int64)), pa.array(np.array([len(s) for s in sets], np.int64)),
-         _longs(list(sets)), _longs(list(sketches))], ["id", "n", "s", "sketch"])
+            ids, rows = b.column("id").to_numpy(zero_copy_only=False), shingle_sets(b.column("text"), rule.k)
+            for lo in range(0, len(ids), 256):
+                part = ids[lo:lo + 256]
+                yield pa.RecordBatch.from_arrays([pa.array(part), _longs([next(rows) for _ in part])], ["id", "s"])
+    return docs.mapInArrow(run, "id long, s array<long>")
 
 
 def _near_enough(rule: Rule, a: str, b: str) -> Column:
@@ -218,15 +209,20 @@ def _verified(pairs: DataFrame, rule: Rule) -> DataFrame:
     return pairs.select("a", "b", "as", "bs").mapInArrow(run, "a long, b long")
 
 
-def _check(pairs: DataFrame, features: DataFrame, rule: Rule) -> DataFrame:
-    """Links among candidate pairs (a, b), by sketch and then by shingles."""
-    small = features.drop("s")
-    a = small.select(*[F.col(c).alias("a" + c if c != "id" else "a") for c in small.columns])
-    b = small.select(*[F.col(c).alias("b" + c if c != "id" else "b") for c in small.columns])
-    close = pairs.join(a, "a").join(b, "b").where(_near_enough(rule, "a", "b")).select("a", "b")
-    sets = features.select("id", "s")
-    return _verified(close.join(sets.withColumnsRenamed({"id": "a", "s": "as"}), "a")
-                     .join(sets.withColumnsRenamed({"id": "b", "s": "bs"}), "b"), rule)
+def _sides(sketches: DataFrame, *more: str) -> tuple[DataFrame, DataFrame]:
+    """The same rows under the names of the two sides of a pair."""
+    return tuple(sketches.select(F.col("id").alias(x), *[F.col(c).alias(x + c) for c in ("n", "sketch")],
+                                 *[c if c == "key" else F.col(c).alias(x + c) for c in more]) for x in "ab")
+
+
+def _check(pairs: DataFrame, base: DataFrame, rule: Rule) -> DataFrame:
+    """Links among candidate pairs (a, b) that passed the sketch, by their shingles."""
+    pairs = cut_lineage(pairs)
+    ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
+    few = pairs.count() <= BROADCAST_IDS
+    sets = _shingles(base.join(F.broadcast(ids) if few else ids, "id", "left_semi"), rule)
+    return cut_lineage(_verified(pairs.join(sets.withColumnsRenamed({"id": "a", "s": "as"}), "a")
+                                 .join(sets.withColumnsRenamed({"id": "b", "s": "bs"}), "b"), rule))
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", rule: Rule = Rule()) -> DataFrame:
@@ -260,11 +256,10 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", ru
     first = to_rep(to_rep(shared.select("id", "to").where("id <> to").distinct(), "id"), "to")
     first = cut_lineage(first.where("id <> to").select(F.least("id", "to").alias("a"), F.greatest("id", "to").alias("b"))
                         .distinct())
-    members = cut_lineage(first.select(F.col("a").alias("id")).union(first.select(F.col("b").alias("id"))).distinct())
-    few = members.count() <= BROADCAST_IDS
-    wanted = base.where("text is not null").join(F.broadcast(members) if few else members, "id", "left_semi")
-    features = cut_lineage(_features(wanted, rule).dropDuplicates(["id"]))
-    links = cut_lineage(_check(first, features, rule))
+    sketches = sets.join(rep.where("id = rep").select("id"), "id", "left_semi").select("id", "n", "sketch")
+    left, right = _sides(sketches)
+    texts = base.where("text is not null and id is not null")
+    links = _check(first.join(left, "a").join(right, "b").where(_near_enough(rule, "a", "b")).select("a", "b"), texts, rule)
     found = components(links)
 
     every = shared.select("key", "id").union(shared.select("key", F.col("to").alias("id"))).distinct()
@@ -272,13 +267,12 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", ru
         "key", "id", F.coalesce("component", "id").alias("c"))
     label = cut_lineage(label)
     mixed = label.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")
-    rest = label.join(mixed, "key", "left_semi").join(features.drop("s"), "id")
-    x = rest.select("key", *[F.col(c).alias("a" + c if c != "id" else "a") for c in ("id", "n", "sketch", "c")])
-    y = rest.select("key", *[F.col(c).alias("b" + c if c != "id" else "b") for c in ("id", "n", "sketch", "c")])
+    rest = label.join(mixed, "key", "left_semi").join(sketches, "id")
+    x, y = _sides(rest, "key", "c")
     more = (x.join(y, "key").where((F.col("a") < F.col("b")) & (F.col("ac") != F.col("bc")) & _near_enough(rule, "a", "b"))
             .select("a", "b").distinct().join(first, ["a", "b"], "left_anti"))
     copies = rep.where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))
-    final = components(links.union(_check(more, features, rule)).union(copies))
+    final = components(links.union(_check(more, texts, rule)).union(copies))
     return sets.join(final, "id", "left").select(
         "id", F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
 
