@@ -16,15 +16,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
-from ._common import byte_column, mix64, row_blocks
+from ._common import byte_column, mix64, row_blocks, written
 from ._components import components
 from ._tokens import NONSPACE, grams, tokenise
 
-BAND = 1.5          # sizes from one band's smallest to its largest
-CHECK_WORDS = 16    # 64-bit words of the fixed sketch that candidates are checked with
+BAND = 1.25         # sizes from one band's smallest to its largest
+CHECK_WORDS = 12    # 64-bit words of the fixed sketch that candidates are checked with
 BLOCK = 1 << 20
-BROADCAST_IDS = 500_000  # more candidate ids than this are joined by shuffle
+BROADCAST_IDS = 500_000  # tables of ids or sketches with more rows than this are joined by shuffle
 
 
 @dataclass(frozen=True)
@@ -217,12 +216,12 @@ def _sides(sketches: DataFrame, *more: str) -> tuple[DataFrame, DataFrame]:
 
 def _check(pairs: DataFrame, base: DataFrame, rule: Rule) -> DataFrame:
     """Links among candidate pairs (a, b) that passed the sketch, by their shingles."""
-    pairs = cut_lineage(pairs)
+    pairs = written(pairs, "candidate-pairs")
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
     few = pairs.count() <= BROADCAST_IDS
     sets = _shingles(base.join(F.broadcast(ids) if few else ids, "id", "left_semi"), rule)
-    return cut_lineage(_verified(pairs.join(sets.withColumnsRenamed({"id": "a", "s": "as"}), "a")
-                                 .join(sets.withColumnsRenamed({"id": "b", "s": "bs"}), "b"), rule))
+    return written(_verified(pairs.join(sets.withColumnsRenamed({"id": "a", "s": "as"}), "a")
+                             .join(sets.withColumnsRenamed({"id": "b", "s": "bs"}), "b"), rule), "links")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", rule: Rule = Rule()) -> DataFrame:
@@ -238,36 +237,41 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", ru
     members), and only classes that this leaves in different components are tested
     with each other, behind the sketch distance: near copies are not expanded into pairs."""
     base = docs.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"))
-    sets = cut_lineage(_sets(base, rule))
+    sets = written(_sets(base, rule), "shingle-sets")
     known = sets.where("n > 0 and id is not null")
     classes = known.groupBy("h1", "h2", "n").agg(F.min("id").alias("rep"))
-    rep = cut_lineage(known.join(classes, ["h1", "h2", "n"]).select("id", "rep").distinct())
+    rep = written(known.join(classes, ["h1", "h2", "n"]).select("id", "rep").distinct(), "shingle-classes")
+    sketches = sets.join(rep.where("id = rep").select("id"), "id", "left_semi").select("id", "n", "sketch")
+    few = sets.count() <= BROADCAST_IDS
+
+    def small(df):
+        return F.broadcast(df) if few else df
 
     same = Window.partitionBy("key", "hub")
     keys = _keys(base.where("text is not null and id is not null"), rule)
-    shared = cut_lineage(keys.withColumn("lo", F.min("id").over(same)).withColumn("hi", F.max("id").over(same))
-                         .where("hub <> 0 or lo <> hi")
-                         .select("key", "id", F.when(F.col("hub") != 0, F.col("hub")).otherwise(F.col("lo")).alias("to")))
+    shared = written(keys.withColumn("lo", F.min("id").over(same)).withColumn("hi", F.max("id").over(same))
+                     .where("hub <> 0 or lo <> hi").select("key", "id", "hub", F.when(
+                         F.col("hub") != 0, F.col("hub")).otherwise(F.col("lo")).alias("to")), "shared-keys")
 
     def to_rep(df, column):
-        return df.join(rep.select(F.col("id").alias(column), F.col("rep").alias("r")), column).drop(column) \
+        return df.join(small(rep.select(F.col("id").alias(column), F.col("rep").alias("r"))), column).drop(column) \
             .withColumnRenamed("r", column)
 
     first = to_rep(to_rep(shared.select("id", "to").where("id <> to").distinct(), "id"), "to")
-    first = cut_lineage(first.where("id <> to").select(F.least("id", "to").alias("a"), F.greatest("id", "to").alias("b"))
-                        .distinct())
-    sketches = sets.join(rep.where("id = rep").select("id"), "id", "left_semi").select("id", "n", "sketch")
+    first = written(first.where("id <> to").select(F.least("id", "to").alias("a"), F.greatest("id", "to").alias("b"))
+                    .distinct(), "hub-pairs")
     left, right = _sides(sketches)
     texts = base.where("text is not null and id is not null")
-    links = _check(first.join(left, "a").join(right, "b").where(_near_enough(rule, "a", "b")).select("a", "b"), texts, rule)
+    links = _check(first.join(small(left), "a").join(small(right), "b").where(_near_enough(rule, "a", "b"))
+                   .select("a", "b"), texts, rule)
     found = components(links)
 
-    every = shared.select("key", "id").union(shared.select("key", F.col("to").alias("id"))).distinct()
-    label = to_rep(every, "id").distinct().join(found, "id", "left").select(
+    # rows of a block's representative may be missing where the block alone shares the key
+    every = shared.select("key", "id").union(shared.where("hub <> 0").select("key", F.col("to").alias("id")))
+    label = to_rep(every, "id").join(small(found), "id", "left").select(
         "key", "id", F.coalesce("component", "id").alias("c"))
-    label = cut_lineage(label)
     mixed = label.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")
-    rest = label.join(mixed, "key", "left_semi").join(sketches, "id")
+    rest = label.join(mixed, "key", "left_semi").join(small(sketches), "id")
     x, y = _sides(rest, "key", "c")
     more = (x.join(y, "key").where((F.col("a") < F.col("b")) & (F.col("ac") != F.col("bc")) & _near_enough(rule, "a", "b"))
             .select("a", "b").distinct().join(first, ["a", "b"], "left_anti"))

@@ -124,7 +124,8 @@ def shared_words(streams: list[list[str]], run: int = RUN_WORDS, min_pages: int
     depth = 1
     while depth < run:
         step = min(depth, run - depth)
-        after = np.concatenate([rank[step:], np.zeros(step, rank.dtype)])
+        after = np.zeros_like(rank)
+        after[:-step] = rank[step:]
         _, rank = np.unique(rank.astype(np.int64) * (len(text) + 1) + after, return_inverse=True)
         depth += step
     order = np.lexsort((page, rank))  # the suffix array, pages in order within equal prefixes
