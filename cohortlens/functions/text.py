@@ -90,16 +90,11 @@ def sentence_split(x) -> Column:
 
 
 def contains_any(x, terms: Iterable[str]) -> Column:
-    """p_contains_any: literal containment of any term (OR chain -> codegen)."""
+    """p_contains_any: literal containment of any term, the terms as one array literal."""
     x = _c(x)
     terms = list(terms)
     if not terms:
         return F.lit(False)
-    if len(terms) <= 64:
-        out = x.contains(terms[0])
-        for t in terms[1:]:
-            out = out | x.contains(t)
-        return out
     return F.exists(F.array(*[F.lit(t) for t in terms]), lambda t: x.contains(t))
 
 

@@ -10,7 +10,6 @@ vectors to (node, dim) rows so every reduction is a partial aggregate keyed by
 """
 from __future__ import annotations
 
-import math
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -106,14 +105,16 @@ def neighbor_mean(edges: DataFrame, feats: DataFrame) -> DataFrame:
             .agg(F.avg("m").alias("value")))
 
 
-def neighbor_gcn(edges: DataFrame, feats: DataFrame) -> DataFrame:
-    """g_neighbor_gcn: (sum of messages + own feature) / (in-degree + 1)."""
+def neighbor_gcn(edges: DataFrame, feats: DataFrame, etypes: list[str]) -> DataFrame:
+    """g_neighbor_gcn: (sum of messages + own feature) / (in-degree + 1), for every node
+    and relation; a node without in-edges keeps its own feature."""
     deg = edges.groupBy("dst", "etype").agg(F.count(F.lit(1)).alias("deg"))
     s = _messages(edges, feats).groupBy("dst", "etype", "dim").agg(F.sum("m").alias("s"))
-    own = feats.select(F.col("node").alias("dst"), "dim", F.col("x").alias("own"))
-    return (s.join(deg, ["dst", "etype"]).join(own, ["dst", "dim"], "left")
-            .select("dst", "etype", "dim",
-                    ((F.col("s") + F.coalesce("own", F.lit(0.0))) / (F.col("deg") + 1)).alias("value")))
+    own = feats.select(F.col("node").alias("dst"), "dim", F.col("x").alias("own"),
+                       F.explode(F.array(*[F.lit(e) for e in etypes])).alias("etype"))
+    return (own.join(s, ["dst", "etype", "dim"], "left").join(deg, ["dst", "etype"], "left")
+            .select("dst", "etype", "dim", ((F.coalesce("s", F.lit(0.0)) + F.col("own"))
+                                            / (F.coalesce("deg", F.lit(0)) + 1)).alias("value")))
 
 
 def neighbor_max(edges: DataFrame, feats: DataFrame) -> DataFrame:
@@ -152,5 +153,3 @@ def fanout_sample(edges: DataFrame, k: int, seed: int = 42, dst: str = "dst",
     return (first.withColumn("_r", F.row_number().over(w2)).where(F.col("_r") <= k)
             .drop("_r", "_k", "_s"))
 
-
-_ = math

@@ -117,10 +117,14 @@ def _cum_by_score(scored: DataFrame) -> DataFrame:
 
 
 def roc(scored: DataFrame) -> DataFrame:
-    """m_roc: FPR/TPR at each distinct score threshold (score >= t predicted 1)."""
+    """m_roc: FPR/TPR at each distinct score threshold (score >= t predicted 1), and the
+    start (0, 0) of each class, where nothing is predicted (null threshold)."""
     c = _cum_by_score(scored)
     tot = scored.groupBy("class").agg(F.sum("y").alias("P"), F.sum(1 - F.col("y")).alias("N"))
-    return (c.join(tot, "class")
+    start = tot.select("class", F.lit(None).cast("double").alias("threshold"),
+                       F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"))
+    return start.unionByName(
+            c.join(tot, "class")
             .select("class", F.col("score").alias("threshold"),
                     ((F.col("neg_above") + F.col("neg")) / F.nullif(F.col("N"), F.lit(0))).alias("fpr"),
                     ((F.col("pos_above") + F.col("pos")) / F.nullif(F.col("P"), F.lit(0))).alias("tpr")))

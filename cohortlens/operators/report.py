@@ -36,15 +36,15 @@ def replace_all(df: DataFrame, values: list[str], to: str = "Other") -> DataFram
 def patient_table(notes: DataFrame, classes: DataFrame, sym_unique: DataFrame,
                   sym: DataFrame) -> DataFrame:
     """r_patient_table: per patient note count, mean words per note, class,
-    distinct-symptom and symptom counts (left join notes: 0 when none)."""
+    distinct-symptom and symptom counts. Without notes the count is missing, so that
+    means and minima skip it, as the source's left merge does."""
     n = notes.groupBy("pat_deid").agg(F.count(F.lit(1)).alias("note_count"),
                                       F.avg(word_count("note")).alias("avg_word_count_note"))
     k = classes.groupBy("pat_deid").agg(F.count(F.lit(1)).alias("class_count"))
     u = sym_unique.groupBy("pat_deid").agg(F.count(F.lit(1)).alias("distinct_symptom_count"))
     s = sym.groupBy("pat_deid").agg(F.count(F.lit(1)).alias("symptom_count"))
     return (k.join(n, "pat_deid", "left").join(u, "pat_deid").join(s, "pat_deid")
-            .select("pat_deid", F.coalesce("note_count", F.lit(0)).alias("note_count"),
-                    "avg_word_count_note", "class_count", "distinct_symptom_count",
+            .select("pat_deid", "note_count", "avg_word_count_note", "class_count", "distinct_symptom_count",
                     "symptom_count"))
 
 

@@ -12,8 +12,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -171,35 +169,6 @@ def near_dup(df: DataFrame, col: str = "sentence_list", threshold: float = 0.8,
     return df.withColumn(col, F.array_join(near_dup_expr(s, threshold), "\n"))
 
 
-def near_dup_ratcliff(df: DataFrame, col: str = "sentence_list", key: str = "pat_deid",
-                      threshold: float = 0.8) -> DataFrame:
-    """t_near_dup_ratcliff: parity form with the Ratcliff/Obershelp ratio
-    (difflib), run per patient as an Arrow-batched pandas UDF."""
-    @F.pandas_udf("string")
-    def fold(texts: pd.Series) -> pd.Series:
-        from difflib import SequenceMatcher
-
-        def one(t):
-            if t is None:
-                return None
-            kept = []
-            for p in t.split(SEP):
-                def similar(q):
-                    # exact upper bounds first (ratio <= each of them), then the ratio;
-                    # a = new sentence, b = kept one, as the ratio is asymmetric
-                    n = len(p) + len(q)
-                    if n and 2.0 * min(len(p), len(q)) / n < threshold:
-                        return False
-                    sm = SequenceMatcher(None, p, q)
-                    return (sm.real_quick_ratio() >= threshold and sm.quick_ratio() >= threshold
-                            and sm.ratio() >= threshold)
-                if not any(similar(q) for q in kept):
-                    kept.append(p)
-            return "\n".join(kept)
-        return texts.map(one)
-    return df.withColumn(col, fold(F.col(col)))
-
-
 def shorten_gaps(df: DataFrame, text_col: str, terms: Sequence[str], out: str = "g") -> DataFrame:
     """t_shorten_gaps: split on blank-line/newline; between consecutive
     mentioning sentences y < y+x with x > 3, delete y+2 .. y+x-2.

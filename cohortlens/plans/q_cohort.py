@@ -26,7 +26,8 @@ def sym(t):
 
 
 def symu(t):
-    return O.symptom_unique(sym(t))
+    """Outcomes count only patients with a note in their window."""
+    return O.symptom_unique(C.has_note(sym(t), notewin(t)))
 
 
 def anchor_sym(t):
@@ -197,7 +198,7 @@ def c_note_type_list(t):
 # c_enrich_*: the warehouse-side joins that add discharge time / diagnosis source.
 ENR_L = "select enc_id, pat_deid, hosp_admsn_time, pt_class, dx_name, che_tx_date from encounters"
 ENR_R = ("select pat_deid, hosp_admsn_time, pt_class, dx_name, hosp_dischrg_time "
-         "from encounters where pt_class <> 'Outpatient'")
+         "from encounters")
 
 
 @query("c_enrich_discharge", f"""
@@ -207,8 +208,7 @@ select distinct l.*, r.hosp_dischrg_time from ({ENR_L}) l left join ({ENR_R}) r
 def c_enrich_discharge(t):
     e = t.encounters
     left = e.select("enc_id", "pat_deid", "hosp_admsn_time", "pt_class", "dx_name", "che_tx_date")
-    right = e.where(F.col("pt_class") != "Outpatient")
-    return C.enrich_left(left, right, ["pat_deid", "hosp_admsn_time", "pt_class", "dx_name"],
+    return C.enrich_left(left, e, ["pat_deid", "hosp_admsn_time", "pt_class", "dx_name"],
                          ["hosp_dischrg_time"])
 
 
@@ -219,7 +219,7 @@ SRC_CASE = ("case pt_class when 'Emergency Services' then 'ADMIT' when 'Inpatien
 @query("c_enrich_source", f"""
 select distinct l.*, r.source from encounters l left join
   (select pat_deid, enc_id, dx_name, pt_class, hosp_admsn_time, che_tx_date, {SRC_CASE} as source
-   from encounters where hosp_admsn_time >= che_tx_date) r
+   from encounters) r
   on l.pat_deid = r.pat_deid and l.enc_id = r.enc_id and l.dx_name = r.dx_name
  and l.pt_class = r.pt_class and l.hosp_admsn_time = r.hosp_admsn_time
  and l.che_tx_date = r.che_tx_date""")
@@ -227,14 +227,14 @@ def c_enrich_source(t):
     e = t.encounters
     src = (F.when(F.col("pt_class") == C.ED, "ADMIT").when(F.col("pt_class") == C.INPATIENT, "ENCOUNTER")
            .otherwise("PROBLEM LIST"))
-    right = e.where(F.col("hosp_admsn_time") >= F.col("che_tx_date")).withColumn("source", src)
+    right = e.withColumn("source", src)
     keys = ["pat_deid", "enc_id", "dx_name", "pt_class", "hosp_admsn_time", "che_tx_date"]
     return C.enrich_left(e, right, keys, ["source"])
 
 
 # ------------------------------------------------------------ reports
 @query("r_patient_table", chain(*NOTES_CHAIN, SYMU, CLS) + """
-select c.pat_deid, coalesce(n.note_count, 0) as note_count, n.avg_word_count_note,
+select c.pat_deid, n.note_count, n.avg_word_count_note,
        k.class_count, u.distinct_symptom_count, s.symptom_count
 from (select distinct pat_deid from cls) c
 left join (select pat_deid, count(*) as note_count,
@@ -250,7 +250,7 @@ def r_patient_table(t):
 
 
 STATS_SQL = chain(*NOTES_CHAIN, SYMU, CLS) + """, pt as (
-select c.pat_deid, coalesce(n.note_count, 0) as note_count, n.avg_word_count_note,
+select c.pat_deid, n.note_count, n.avg_word_count_note,
        k.class_count, u.distinct_symptom_count, s.symptom_count
 from (select distinct pat_deid from cls) c
 left join (select pat_deid, count(*) as note_count,
@@ -321,5 +321,3 @@ def a_table_one(t):
     return RP.table_one(O.ae_class(symu(t)), t.patients)
 
 
-_ = (DX_CASE, FLOOR_DAYS)
-

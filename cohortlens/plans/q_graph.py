@@ -136,14 +136,18 @@ def g_neighbor_mean(t):
     return G.neighbor_mean(t.graph_edges, feats(t)).withColumn("value", F.round("value", 6))
 
 
-@query("g_neighbor_gcn", GBASE + """select s.dst, s.etype, s.dim,
-  round((s.s + coalesce(f.x, 0.0)) / (d.deg + 1), 6) as value
-from (select dst, etype, dim, sum(m) as s from msg group by dst, etype, dim) s
-join (select dst, etype, count(*) as deg from graph_edges group by dst, etype) d
-  on s.dst = d.dst and s.etype = d.etype
-left join feats f on s.dst = f.node and s.dim = f.dim""")
+ETYPES = ["co-occur", "in"]
+
+
+@query("g_neighbor_gcn", GBASE + """select f.node as dst, f.etype, f.dim,
+  round((coalesce(s.s, 0.0) + f.x) / (coalesce(d.deg, 0) + 1), 6) as value
+from (select node, dim, x, unnest(['co-occur', 'in']) as etype from feats) f
+left join (select dst, etype, dim, sum(m) as s from msg group by dst, etype, dim) s
+  on s.dst = f.node and s.etype = f.etype and s.dim = f.dim
+left join (select dst, etype, count(*) as deg from graph_edges group by dst, etype) d
+  on d.dst = f.node and d.etype = f.etype""")
 def g_neighbor_gcn(t):
-    return G.neighbor_gcn(t.graph_edges, feats(t)).withColumn("value", F.round("value", 6))
+    return G.neighbor_gcn(t.graph_edges, feats(t), ETYPES).withColumn("value", F.round("value", 6))
 
 
 @query("g_neighbor_max", GBASE + "select dst, etype, dim, round(max(m), 6) as value from msg "
@@ -152,9 +156,6 @@ def g_neighbor_max(t):
     return G.neighbor_max(t.graph_edges, feats(t)).withColumn("value", F.round("value", 6))
 
 
-ETYPES = ["co-occur", "in"]
-
-
 @query("g_zero_degree", GBASE + """, agg as (select dst, etype, dim, avg(m) as value from msg
   group by dst, etype, dim)
 select n.node as dst, et.etype, d.dim, round(coalesce(a.value, 0.0), 6) as value

@@ -86,7 +86,8 @@ tot as (select class, sum(y) as P, sum(1 - y) as N from scored group by class)""
 
 @query("m_roc", "with " + CUM + """ select c.class, c.score as threshold,
   round((neg_above + neg) / nullif(N, 0), 6) as fpr, round((pos_above + pos) / nullif(P, 0), 6) as tpr
-  from c join tot on c.class = tot.class""")
+  from c join tot on c.class = tot.class
+  union all select class, cast(null as double), 0.0, 0.0 from tot""")
 def m_roc(t):
     return r6(M.roc(t.scored), "fpr", "tpr")
 

@@ -169,9 +169,9 @@ def p_date_literal(t):
 
 
 @query("p_contains_any", "select note_id, (" + " or ".join(
-    f"contains(upper(note), '{x.upper()}')" for x in LEX_TERMS[:5]) + ") as hit from notes")
+    f"contains(upper(note), '{x.upper()}')" for x in LEX_TERMS) + ") as hit from notes")
 def p_contains_any(t):
-    return t.notes.select("note_id", TX.contains_any_ci("note", LEX_TERMS[:5]).alias("hit"))
+    return t.notes.select("note_id", TX.contains_any_ci("note", LEX_TERMS).alias("hit"))
 
 
 @query("p_find", "select enc_id, dx_name, contains(upper(dx_name), 'NAUS') as nausea "
@@ -382,9 +382,9 @@ def f_not_isin(t):
 
 
 @query("f_regex_search", "select note_id, pat_deid from notes where regexp_matches(lower(note), '"
-       + "|".join(TX.re_escape(x) for x in LEX_TERMS[:8]) + "')")
+       + "|".join(TX.re_escape(x) for x in LEX_TERMS) + "')")
 def f_regex_search(t):
-    pat = "|".join(TX.re_escape(x) for x in LEX_TERMS[:8])
+    pat = "|".join(TX.re_escape(x) for x in LEX_TERMS)
     return t.notes.where(F.lower("note").rlike(pat)).select("note_id", "pat_deid")
 
 
@@ -403,24 +403,24 @@ def f_single_label(t):
 @query("j_left_multikey", """select distinct l.l_orderkey, l.l_partkey, l.l_suppkey, l.l_linenumber,
   l.l_quantity, r.l_tax as tax_match
 from lineitem l left join (select l_orderkey, l_partkey, l_suppkey, l_linenumber, l_tax
-  from lineitem where l_linenumber <= 3) r
+  from lineitem) r
 on l.l_orderkey = r.l_orderkey and l.l_partkey = r.l_partkey and l.l_suppkey = r.l_suppkey
 and l.l_linenumber = r.l_linenumber""")
 def j_left_multikey(t):
     li = t.lineitem
     keys = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"]
-    right = li.where(F.col("l_linenumber") <= 3).select(*keys, F.col("l_tax").alias("tax_match"))
+    right = li.select(*keys, F.col("l_tax").alias("tax_match"))
     return li.select(*keys, "l_quantity").join(right, keys, "left").distinct()
 
 
 @query("j_left_sixkey", """select distinct l.*, r.flag from events l left join
-  (select event_id, user_id, event_type, ts, value, props, length(event_type) as flag from events
-   where event_type <> 'view') r
+  (select event_id, user_id, event_type, ts, value, props, length(event_type) as flag
+   from events) r
 on l.event_id = r.event_id and l.user_id = r.user_id and l.event_type = r.event_type
 and l.ts = r.ts and l.value = r.value and l.props = r.props""")
 def j_left_sixkey(t):
     e = t.events
-    right = e.where(F.col("event_type") != "view").withColumn("flag", F.length("event_type"))
+    right = e.withColumn("flag", F.length("event_type"))
     return C.enrich_left(e, right, ["event_id", "user_id", "event_type", "ts", "value", "props"],
                          ["flag"])
 
@@ -647,5 +647,3 @@ def s_symdiff(t):
          .select("pat_deid", F.lit("H&P").alias("note_desc")).distinct())
     return R.symdiff(a, b)
 
-
-_ = (symu, SYMU, Window)

@@ -231,11 +231,6 @@ def t_near_dup(t):
     return neardup(t)
 
 
-@query("t_near_dup_ratcliff")
-def t_near_dup_ratcliff(t):
-    return T.near_dup_ratcliff(pnote(t).where(F.col("sentence_list").isNotNull()))
-
-
 @query("p_clean_text_notes", chain_sql(NEARDUP, CLEANED) + "select * from cleaned")
 def p_clean_text_notes(t):
     return cleaned(t)
@@ -312,8 +307,6 @@ def t_dataset_select(t):
                     "class_1", "class_2", "class_3", "class_4")
 
 
-_ = _q
-
 
 def _bands_sql(x: str, n_hash: int = 8, rows: int = 2) -> str:
     sh = f"list_transform(range(1, greatest(length({x}) - 2, 1) + 1), lambda p: substring({x}, p, 3))"
@@ -352,7 +345,8 @@ def c_type_share(t):
 
 def _type_relevance(t, min_pct=50.0):
     terms = vocab_terms(t)
-    h = t.notes.select("note_desc", T.has_mention("note", terms).cast("double").alias("hit"))
+    often = R.value_counts_norm(t.notes, "note_desc").where(F.col("share") >= 0.015).select("note_desc")
+    h = t.notes.join(often, "note_desc", "left_semi").select("note_desc", T.has_mention("note", terms).cast("double").alias("hit"))
     return (h.groupBy("note_desc").agg(F.round(F.avg("hit") * 100, 6).alias("pct"),
                                        F.sum("hit").alias("_hits"))
             .where((F.col("_hits") > 0) & (F.col("pct") >= min_pct)).drop("_hits"))
@@ -363,7 +357,9 @@ def _mention_sql_q(x):
 
 
 @query("c_type_relevance", "select note_desc, round(avg(cast(" + _mention_sql_q("note")
-       + " as double)) * 100, 6) as pct from notes group by note_desc having sum(cast("
+       + " as double)) * 100, 6) as pct from notes where note_desc in (select note_desc from notes "
+       "where note_desc is not null group by note_desc qualify count(*) / sum(count(*)) over () >= 0.015) "
+       "group by note_desc having sum(cast("
        + _mention_sql_q("note") + " as int)) > 0 and round(avg(cast(" + _mention_sql_q("note")
        + " as double)) * 100, 6) >= 50")
 def c_type_relevance(t):

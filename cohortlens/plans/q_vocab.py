@@ -130,5 +130,3 @@ def a_doc_freq(t):
 def j_term_contains(t):
     return T.doc_terms(t.notes, lex_terms(t)).select("note_id", "term_id")
 
-
-_ = R

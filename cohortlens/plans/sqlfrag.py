@@ -33,7 +33,12 @@ OPX = """opx as (select * from op30 where pat_deid not in
   (select pat_deid from day0 where has_ed = 1))"""
 SYM = f"""sym as (select *, {DX_CASE} as dx_short from (select distinct * from opx) d
   where ({DX_CASE}) is not null)"""
-SYMU = """symu as (select * from sym qualify row_number() over
+SYMU = """symu as (select * from sym where pat_deid in (
+  select n.pat_deid from (select pat_deid, max(hosp_admsn_time) as last_time from opx
+                          where pat_deid in (select pat_deid from sym) group by pat_deid) a
+  join treatments t on a.pat_deid = t.pat_deid join notes n on a.pat_deid = n.pat_deid
+  where n.encounter_date <= a.last_time and n.encounter_date >= t.che_tx_date)
+  qualify row_number() over
   (partition by pat_deid, dx_short order by hosp_admsn_time, enc_id) = 1)"""
 CLS = f"""cls as (select * from (select *, {AE_CASE} as ae_class from symu) s qualify row_number()
   over (partition by pat_deid, ae_class order by hosp_admsn_time, enc_id) = 1)"""

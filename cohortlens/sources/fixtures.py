@@ -64,30 +64,24 @@ DX_BY_CODE = ["Acute abdominal pain", "Headache", "Nausea with vomiting", "Dehyd
 
 
 def encounters(t) -> DataFrame:
+    """Every event is an encounter. Patients whose id ends in 3 are seen on the day of
+    treatment only (their admissions fall on it), in one kind of visit each."""
     tr = t.treatments
-    e = t.events.where((F.col("event_id") % 7 == 0) & (F.col("user_id") % 10 != 3))
     code = (F.col("event_id") % 13).cast("int")
     dx = F.lit(None).cast("string")
     for k in reversed(range(len(DX_BY_CODE))):
         dx = F.when(code == k, F.lit(DX_BY_CODE[k])).otherwise(dx)
-    pt = (F.when(F.col("event_type").isin("error", "purchase"), "Emergency Services")
+    day0 = F.col("user_id") % 10 == 3
+    admitted = F.when(day0, plus(F.col("che_tx_date"), hours=(F.col("event_id") % 12).cast("int"))).otherwise(F.col("ts"))
+    stay = F.when(day0, F.lit(1)).otherwise(1 + F.col("event_id") % 96).cast("int")
+    pt = (F.when(day0, F.when(F.col("user_id") % 20 == 3, "Emergency Services").otherwise("Inpatient"))
+          .when(F.col("event_type").isin("error", "purchase"), "Emergency Services")
           .when(F.col("event_type").isin("click", "view"), "Inpatient")
           .otherwise("Outpatient"))
-    main = (e.join(tr, e.user_id == tr.pat_deid)
+    return (t.events.join(tr, t.events.user_id == tr.pat_deid)
             .select(F.col("event_id").alias("enc_id"), F.col("user_id").alias("pat_deid"),
-                    F.col("ts").alias("hosp_admsn_time"),
-                    plus(F.col("ts"), hours=(1 + F.col("event_id") % 96).cast("int"))
-                    .alias("hosp_dischrg_time"),
+                    admitted.alias("hosp_admsn_time"), plus(admitted, hours=stay).alias("hosp_dischrg_time"),
                     "che_tx_date", pt.alias("pt_class"), dx.alias("dx_name")))
-    day0 = (tr.where(F.col("pat_deid") % 10 == 3)
-            .select((F.lit(-1) - F.col("pat_deid")).cast("bigint").alias("enc_id"), "pat_deid",
-                    plus(F.col("che_tx_date"), hours=F.lit(5)).alias("hosp_admsn_time"),
-                    plus(F.col("che_tx_date"), hours=F.lit(9)).alias("hosp_dischrg_time"),
-                    "che_tx_date",
-                    F.when(F.col("pat_deid") % 20 == 3, "Emergency Services")
-                    .otherwise("Inpatient").alias("pt_class"),
-                    F.lit("Headache").alias("dx_name")))
-    return main.unionByName(day0)
 
 
 RACES = {0: "Asian", 1: "White", 2: "Black", 3: "Native American", 4: "Unknown"}
@@ -99,8 +93,7 @@ def patients(t) -> DataFrame:
     race = F.lit(None).cast("string")
     for k in sorted(RACES, reverse=True):
         race = F.when(code == k, F.lit(RACES[k])).otherwise(race)
-    return (c.where(F.col("c_custkey") < _n_patients(t))
-            .select(F.col("c_custkey").alias("pat_deid"),
+    return (c.select(F.col("c_custkey").alias("pat_deid"),
                     F.when(F.col("c_custkey") % 2 == 0, "Female").otherwise("Male").alias("sex"),
                     F.round(18 + F.abs("c_acctbal") / 150, 0).alias("age_at_dx"),
                     race.alias("race"),
@@ -163,10 +156,14 @@ from documents""",
     "treatments": """select distinct user_id as pat_deid,
        timestamp '2023-12-05 08:00:00' + cast(user_id % 40 as int) * interval '1' day as che_tx_date
 from events""",
-    "encounters": """select e.event_id as enc_id, e.user_id as pat_deid, e.ts as hosp_admsn_time,
-       e.ts + cast(1 + e.event_id % 96 as int) * interval '1' hour as hosp_dischrg_time,
+    "encounters": """select e.event_id as enc_id, e.user_id as pat_deid,
+       case when e.user_id % 10 = 3 then t.che_tx_date + cast(e.event_id % 12 as int) * interval '1' hour
+            else e.ts end as hosp_admsn_time,
+       case when e.user_id % 10 = 3 then t.che_tx_date + cast(e.event_id % 12 + 1 as int) * interval '1' hour
+            else e.ts + cast(1 + e.event_id % 96 as int) * interval '1' hour end as hosp_dischrg_time,
        t.che_tx_date,
-       case when e.event_type in ('error', 'purchase') then 'Emergency Services'
+       case when e.user_id % 20 = 3 then 'Emergency Services' when e.user_id % 10 = 3 then 'Inpatient'
+            when e.event_type in ('error', 'purchase') then 'Emergency Services'
             when e.event_type in ('click', 'view') then 'Inpatient'
             else 'Outpatient' end as pt_class,
        case cast(e.event_id % 13 as int)
@@ -177,16 +174,7 @@ from events""",
             when 8 then 'Fever, unspecified' when 9 then 'Pneumonia'
             when 10 then 'Gastritis' when 11 then 'Essential hypertension'
             else null end as dx_name
-from events e join treatments t on e.user_id = t.pat_deid
-where e.event_id % 7 = 0 and e.user_id % 10 <> 3
-union all
-select cast(-1 - t.pat_deid as bigint), t.pat_deid,
-       t.che_tx_date + cast(5 as int) * interval '1' hour,
-       t.che_tx_date + cast(9 as int) * interval '1' hour,
-       t.che_tx_date,
-       case when t.pat_deid % 20 = 3 then 'Emergency Services' else 'Inpatient' end,
-       'Headache'
-from treatments t where t.pat_deid % 10 = 3""",
+from events e join treatments t on e.user_id = t.pat_deid""",
     "patients": """select c_custkey as pat_deid,
        case when c_custkey % 2 = 0 then 'Female' else 'Male' end as sex,
        round(18 + abs(c_acctbal) / 150, 0) as age_at_dx,
@@ -194,8 +182,7 @@ from treatments t where t.pat_deid % 10 = 3""",
             when 3 then 'Native American' when 4 then 'Unknown' else null end as race,
        c_mktsegment as cancer_group,
        cast(1 + c_nationkey % 4 as double) as stage_four
-from customer
-where c_custkey < (select count(distinct user_id) from events)""",
+from customer""",
     "lexicon": """select * from (values (0, 'sting', 'class_1'), (1, 'ach', 'class_1'), (2, 'naus', 'class_2'),
                       (3, 'tens', 'class_1'), (4, ' ha ', 'class_1'), (5, 'pale', 'class_3'),
                       (6, 'sore', 'class_1'), (7, 'tingl', 'class_1'), (8, 'oral', 'class_4'),

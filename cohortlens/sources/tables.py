@@ -30,9 +30,8 @@ def spread(df: DataFrame, min_parts: int | None = None) -> DataFrame:
     want = min_parts or sc.defaultParallelism
     if df.rdd.getNumPartitions() >= want:
         return df
-    # Partitioning by a seeded rand() keeps Catalyst from pushing the (costly)
-    # text filters below the exchange, where they would run on one thread; the
-    # seed makes a recomputed partition reproduce the same rows.
+    # The seed makes a recomputed partition reproduce the same rows. A filter directly
+    # on the scan may still be pushed below the exchange.
     return df.repartition(want, F.rand(42))
 
 

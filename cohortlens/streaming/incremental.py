@@ -14,17 +14,19 @@ def run_incremental(spark: SparkSession, source_dir: str, schema: T.StructType |
                     name: str = "cohortlens-incremental", available_now: bool = True,
                     fmt: str = "parquet"):
     """Apply ``transform`` (any batch operator) to each micro-batch of new files
-    in ``source_dir`` and append the result to ``sink_dir``.
+    in ``source_dir`` and write each result to a folder of its batch in ``sink_dir``.
 
     The stream's progress lives under the shared checkpoint directory, so a
     restarted job (or one that lost executors) resumes without reprocessing or
-    skipping files; the parquet sink plus batch ids gives exactly-once output.
+    skipping files. A batch that is tried again overwrites its own folder
+    (``batch_id=``), so no row is written twice. Operators over groups see one
+    batch at a time; that is not the result over all files.
     """
     ckpt = f"{checkpoint_dir(spark).rstrip('/')}/streams/{name}"
     src = spark.readStream.schema(schema).format(fmt).load(source_dir)
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        transform(batch).write.mode("append").parquet(sink_dir)
+        transform(batch).write.mode("overwrite").parquet(f"{sink_dir}/batch_id={batch_id}")
 
     w = src.writeStream.foreachBatch(each).option("checkpointLocation", ckpt).queryName(name)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 minute")

@@ -48,17 +48,6 @@ def test_near_dup_chain_keeps_a_and_c(spark):
     assert T.near_dup(df).collect()[0][1] == "\n".join([a, c])
 
 
-def test_ratcliff_parity(spark):
-    from difflib import SequenceMatcher
-    sents = ["tide", "diet", "the cat sat", "the cat sat down", "completely else"]
-    df = spark.createDataFrame([(1, "[SEP]".join(sents))], "pat_deid long, sentence_list string")
-    kept = []
-    for p in sents:
-        if all(SequenceMatcher(None, p, q).ratio() < 0.8 for q in kept):
-            kept.append(p)
-    assert T.near_dup_ratcliff(df).collect()[0][1] == "\n".join(kept)
-
-
 def test_trim_neighbourhoods(spark):
     s = ["hit one", "b1", "b2", "b3", "b4", "b5", "b6", "hit two"]
     df = spark.createDataFrame([(". ".join(s),), ("no match here. at all",)], "note string")
