@@ -4,7 +4,8 @@ A text's shingles flip bits of a sketch, so the Hamming distance of two sketches
 at most the symmetric difference of the sets. A Jaccard threshold bounds that
 difference by D for a band of set sizes: of D + 1 sketch words one must be equal
 (pigeonhole), so an equi join on sketch words loses no pair. Candidates are checked
-with a second sketch and then against the shingles themselves.
+with two further sketches, one of a fixed size and one that grows with the set, and then
+against the shingles themselves.
 """
 from __future__ import annotations
 
@@ -21,9 +22,10 @@ from ._components import components
 from ._tokens import NONSPACE, grams, tokenise
 
 BAND = 1.25         # sizes from one band's smallest to its largest
-CHECK_WORDS = 12    # 64-bit words of the fixed sketch that candidates are checked with
+CHECK_WORDS = 12    # 64-bit words of the fixed sketch that candidates are checked with first
 BLOCK = 1 << 20
-BROADCAST_IDS = 500_000  # tables of ids or sketches with more rows than this are joined by shuffle
+BROADCAST_IDS = 500_000  # tables of ids with more rows than this are joined by shuffle
+BROADCAST_WORDS = 1 << 23  # and sketches of more words (64 MB) in all
 
 
 @dataclass(frozen=True)
@@ -115,8 +117,15 @@ def sketch_keys(s: np.ndarray, rule: Rule) -> np.ndarray:
     return np.concatenate(out)
 
 
-def check_sketch(s: np.ndarray) -> np.ndarray:
-    return _flip((s >> np.uint64(20)) % np.uint64(CHECK_WORDS), s & np.uint64(63), CHECK_WORDS)
+def check_sketch(s: np.ndarray, words: int) -> np.ndarray:
+    return _flip((s >> np.uint64(20)) % np.uint64(words), s & np.uint64(63), words)
+
+
+def wide_sketch(s: np.ndarray) -> np.ndarray:
+    """A sketch of one to two bits a shingle, so that it tells long sets apart as well as
+    short ones. Its words are a power of two: the halves of the longer of two sketches,
+    combined by XOR, are the sketch of half the words."""
+    return check_sketch(s, 1 << (max(1, -(-len(s) // 64)) - 1).bit_length())
 
 
 def set_hash(s: np.ndarray) -> tuple[int, int]:
@@ -132,16 +141,16 @@ def _longs(rows: list) -> pa.Array:
 
 
 def _sets(docs: DataFrame, rule: Rule) -> DataFrame:
-    """(id, n, h1, h2, sketch) of every row."""
+    """(id, n, h1, h2, sketch, wide) of every row."""
     def run(batches):
         for b in batches:
-            rows = [(len(s), *(set_hash(s) if len(s) else (0, 0)), check_sketch(s))
-                    for s in shingle_sets(b.column("text"), rule.k)]
+            rows = [(len(s), *(set_hash(s) if len(s) else (0, 0)), check_sketch(s, CHECK_WORDS),
+                     wide_sketch(s)) for s in shingle_sets(b.column("text"), rule.k)]
             n, h1, h2 = (np.array([r[i] for r in rows], np.int64) for i in range(3))
             yield pa.RecordBatch.from_arrays(
-                [b.column("id"), pa.array(n), pa.array(h1), pa.array(h2), _longs([r[3] for r in rows])],
-                ["id", "n", "h1", "h2", "sketch"])
-    return docs.mapInArrow(run, "id long, n long, h1 long, h2 long, sketch array<long>")
+                [b.column("id"), pa.array(n), pa.array(h1), pa.array(h2), *[_longs([r[i] for r in rows]) for i in (3, 4)]],
+                ["id", "n", "h1", "h2", "sketch", "wide"])
+    return docs.mapInArrow(run, "id long, n long, h1 long, h2 long, sketch array<long>, wide array<long>")
 
 
 def _keys(docs: DataFrame, rule: Rule) -> DataFrame:
@@ -187,11 +196,27 @@ def _shingles(docs: DataFrame, rule: Rule) -> DataFrame:
 
 
 def _near_enough(rule: Rule, a: str, b: str) -> Column:
-    """Sketches no further apart than the largest symmetric difference of a link."""
-    apart = F.lit(0)
+    """Sizes that a link allows, and fixed sketches no further apart than the largest
+    symmetric difference of a link."""
+    an, bn, apart = F.col(a + "n"), F.col(b + "n"), F.lit(0)
     for i in range(CHECK_WORDS):
         apart = apart + F.bit_count(F.col(f"{a}sketch")[i].bitwiseXOR(F.col(f"{b}sketch")[i]))
-    return apart * (rule.den + rule.num) <= (F.col(f"{a}n") + F.col(f"{b}n")) * (rule.den - rule.num)
+    return ((F.greatest(an, bn) * rule.num <= F.least(an, bn) * rule.den)
+            & (apart * (rule.den + rule.num) <= (an + bn) * (rule.den - rule.num)))
+
+
+def _wide_enough(rule: Rule, a: str, b: str) -> Column:
+    """The same by the wide sketches. Linked sizes differ by less than a factor of two, their
+    sketches in length by two at most: the words from ``short`` on fold onto those before."""
+    an, bn, x, y = (F.col(side + c) for c in ("n", "wide") for side in (a, b))
+    short = F.least(F.size(x), F.size(y))
+
+    def differ(i):
+        far = [F.coalesce(F.get(w, i + short), F.lit(0)) for w in (x, y)]
+        return F.bit_count(x[i].bitwiseXOR(y[i]).bitwiseXOR(far[0]).bitwiseXOR(far[1]))
+
+    apart = F.aggregate(F.sequence(F.lit(0), short - 1), F.lit(0), lambda total, i: total + differ(i))
+    return apart * (rule.den + rule.num) <= (an + bn) * (rule.den - rule.num)
 
 
 def _verified(pairs: DataFrame, rule: Rule) -> DataFrame:
@@ -208,15 +233,16 @@ def _verified(pairs: DataFrame, rule: Rule) -> DataFrame:
     return pairs.select("a", "b", "as", "bs").mapInArrow(run, "a long, b long")
 
 
-def _sides(sketches: DataFrame, *more: str) -> tuple[DataFrame, DataFrame]:
+def _sides(sets: DataFrame, *columns: str) -> tuple[DataFrame, DataFrame]:
     """The same rows under the names of the two sides of a pair."""
-    return tuple(sketches.select(F.col("id").alias(x), *[F.col(c).alias(x + c) for c in ("n", "sketch")],
-                                 *[c if c == "key" else F.col(c).alias(x + c) for c in more]) for x in "ab")
+    return tuple(sets.select(F.col("id").alias(x), *[c if c == "key" else F.col(c).alias(x + c) for c in columns])
+                 for x in "ab")
 
 
-def _check(pairs: DataFrame, base: DataFrame, rule: Rule) -> DataFrame:
-    """Links among candidate pairs (a, b) that passed the sketch, by their shingles."""
-    pairs = written(pairs, "candidate-pairs")
+def _check(pairs: DataFrame, base: DataFrame, wide: tuple[DataFrame, DataFrame], rule: Rule) -> DataFrame:
+    """Links among distinct candidate pairs (a, b): by the wide sketches, then by shingles."""
+    pairs = pairs.join(wide[0], "a").join(wide[1], "b").where(_wide_enough(rule, "a", "b"))
+    pairs = written(pairs.select("a", "b"), "candidate-pairs")
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
     few = pairs.count() <= BROADCAST_IDS
     sets = _shingles(base.join(F.broadcast(ids) if few else ids, "id", "left_semi"), rule)
@@ -241,8 +267,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", ru
     known = sets.where("n > 0 and id is not null")
     classes = known.groupBy("h1", "h2", "n").agg(F.min("id").alias("rep"))
     rep = written(known.join(classes, ["h1", "h2", "n"]).select("id", "rep").distinct(), "shingle-classes")
-    sketches = sets.join(rep.where("id = rep").select("id"), "id", "left_semi").select("id", "n", "sketch")
-    few = sets.count() <= BROADCAST_IDS
+    sketches = sets.join(rep.where("id = rep").select("id"), "id", "left_semi")
+    rows, words = sets.agg(F.count("*"), F.coalesce(F.sum(F.size("wide") + CHECK_WORDS), F.lit(0))).first()
+    few = rows <= BROADCAST_IDS and words <= BROADCAST_WORDS
 
     def small(df):
         return F.broadcast(df) if few else df
@@ -260,10 +287,11 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", ru
     first = to_rep(to_rep(shared.select("id", "to").where("id <> to").distinct(), "id"), "to")
     first = written(first.where("id <> to").select(F.least("id", "to").alias("a"), F.greatest("id", "to").alias("b"))
                     .distinct(), "hub-pairs")
-    left, right = _sides(sketches)
+    left, right = (small(side) for side in _sides(sketches, "n", "sketch"))
+    wide = tuple(small(side) for side in _sides(sketches, "n", "wide"))
     texts = base.where("text is not null and id is not null")
-    links = _check(first.join(small(left), "a").join(small(right), "b").where(_near_enough(rule, "a", "b"))
-                   .select("a", "b"), texts, rule)
+    links = _check(first.join(left, "a").join(right, "b").where(_near_enough(rule, "a", "b"))
+                   .select("a", "b"), texts, wide, rule)
     found = components(links)
 
     # rows of a block's representative may be missing where the block alone shares the key
@@ -271,12 +299,13 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", ru
     label = to_rep(every, "id").join(small(found), "id", "left").select(
         "key", "id", F.coalesce("component", "id").alias("c"))
     mixed = label.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")
-    rest = label.join(mixed, "key", "left_semi").join(small(sketches), "id")
-    x, y = _sides(rest, "key", "c")
+    rest = label.join(mixed, "key", "left_semi").join(
+        small(sketches.select("id", "n", "sketch")), "id")
+    x, y = _sides(rest, "key", "c", "n", "sketch")
     more = (x.join(y, "key").where((F.col("a") < F.col("b")) & (F.col("ac") != F.col("bc")) & _near_enough(rule, "a", "b"))
             .select("a", "b").distinct().join(first, ["a", "b"], "left_anti"))
     copies = rep.where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))
-    final = components(links.union(_check(more, texts, rule)).union(copies))
+    final = components(links.union(_check(more, texts, wide, rule)).union(copies))
     return sets.join(final, "id", "left").select(
         "id", F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
 

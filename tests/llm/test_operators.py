@@ -425,3 +425,21 @@ def test_llm_oracles_agree(spark):
         a, b = (sorted(tuple(str(round(x, 9) if isinstance(x, float) else x) for x in r) for r in f[columns].itertuples(index=False))
                 for f in (got, want))
         assert a == b, name
+
+
+@pytest.mark.parametrize("n", [1, 40, 63, 64, 65, 127, 129, 900, 1030, 5000])
+def test_wide_sketches_keep_links(spark, n):
+    """Linked sets pass, also where their sketches differ in length; unrelated sets don't."""
+    rng, rule = np.random.default_rng(n), ngram_join.Rule()
+    one = rng.integers(1, 2**63, n, dtype=np.uint64)
+    more = np.concatenate([one, rng.integers(1, 2**63, n // 4, dtype=np.uint64)])
+    other = rng.integers(1, 2**63, n, dtype=np.uint64)
+    assert rule.linked(len(one), len(more), n)
+    rows = [(len(a), len(b), *[[int(w) for w in f(s).view(np.int64)] for s in (a, b)
+                               for f in (ngram_join.wide_sketch, lambda s: ngram_join.check_sketch(s, 12))])
+            for a, b in ((one, more), (more, one), (one, other))]
+    df = spark.createDataFrame(rows, "an long, bn long, awide array<long>, asketch array<long>, "
+                                     "bwide array<long>, bsketch array<long>").coalesce(1)
+    got = df.select(ngram_join._near_enough(rule, "a", "b"), ngram_join._wide_enough(rule, "a", "b")).collect()
+    assert all(got[0]) and all(got[1])
+    assert n < 40 or not got[2][1]
