@@ -21,6 +21,7 @@ MAX_DOCS_PER_LANG = 4_000  # expected size of the labelled sample of each langua
 MIN_SHARE = 1e-4          # an n-gram of a language: at least this share of its n-grams
 PROBES = 3
 BLOCK = 1 << 18
+ROWS = 512                # rows of an Arrow batch taken at once; a long text is still whole
 UND = "und"
 
 _SPACE = np.arange(256, dtype=np.uint8)
@@ -80,7 +81,7 @@ def _lower(col: pa.Array) -> pa.Array:
 
 
 def _count_batches(batches):
-    for b in batches:
+    for b in (b.slice(lo, 4 * ROWS) for b in batches for lo in range(0, b.num_rows, 4 * ROWS)):
         for lang in pc.unique(b.column("lang")).to_pylist():
             part = b.filter(pc.equal(b.column("lang"), lang))
             data, bounds, _ = byte_column(_lower(part.column("text")))
@@ -173,11 +174,14 @@ def identify(docs: DataFrame, model: Filter, text: str = "text") -> DataFrame:
     def run(batches):
         m, wrong = shared.value
         for b in batches:
-            pred, score = classify(b.column("text"), m, wrong)
-            yield pa.RecordBatch.from_arrays(
-                [b.column("row"), pa.array(pred, pa.string()), pa.array(score)], ["row", "lang_pred", "score"])
-
-    frame = boxed(docs, text=F.col(f"`{text}`"))
+            for lo in range(0, b.num_rows, ROWS):
+                row = b.column("row").slice(lo, ROWS)
+                pred, score = classify(row.field(at), m, wrong)
+                yield pa.RecordBatch.from_arrays(
+                    [row, pa.array(pred, pa.string()), pa.array(score)], ["row", "lang_pred", "score"])
+
+    at = docs.columns.index(text)
+    frame = boxed(docs)
     return frame.mapInArrow(run, f"row {frame.schema['row'].dataType.simpleString()}, lang_pred string, score double")
 
 

@@ -24,6 +24,7 @@ from ._tokens import NONSPACE, grams, tokenise
 BAND = 1.25         # sizes from one band's smallest to its largest
 CHECK_WORDS = 12    # 64-bit words of the fixed sketch that candidates are checked with first
 BLOCK = 1 << 20
+KEY_ROWS = 4096     # rows whose keys are combined at once
 BROADCAST_IDS = 500_000  # tables of ids with more rows than this are joined by shuffle
 BROADCAST_WORDS = 1 << 23  # and sketches of more words (64 MB) in all
 
@@ -158,7 +159,7 @@ def _keys(docs: DataFrame, rule: Rule) -> DataFrame:
     are shuffled: in each block of rows, equal sets are one, and rows that share a key
     point at the smallest id with it (hub 0: the row stands for the block)."""
     def run(batches):
-        for b in batches:
+        for b in (b.slice(lo, KEY_ROWS) for b in batches for lo in range(0, b.num_rows, KEY_ROWS)):
             ids = b.column("id").to_numpy(zero_copy_only=False)
             key, own, seen = [], [], set()
             for i, s in zip(ids, shingle_sets(b.column("text"), rule.k)):
