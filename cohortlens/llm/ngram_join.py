@@ -26,7 +26,7 @@ CHECK_WORDS = 12    # 64-bit words of the fixed sketch that candidates are check
 BLOCK = 1 << 20
 KEY_ROWS = 4096     # rows whose keys are combined at once
 BROADCAST_IDS = 500_000  # tables of ids with more rows than this are joined by shuffle
-BROADCAST_WORDS = 1 << 23  # and sketches of more words (64 MB) in all
+BROADCAST_WORDS = 1 << 20  # and wide sketches of more words (8 MB) in all
 
 
 @dataclass(frozen=True)
@@ -269,8 +269,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", ru
     classes = known.groupBy("h1", "h2", "n").agg(F.min("id").alias("rep"))
     rep = written(known.join(classes, ["h1", "h2", "n"]).select("id", "rep").distinct(), "shingle-classes")
     sketches = sets.join(rep.where("id = rep").select("id"), "id", "left_semi")
-    rows, words = sets.agg(F.count("*"), F.coalesce(F.sum(F.size("wide") + CHECK_WORDS), F.lit(0))).first()
-    few = rows <= BROADCAST_IDS and words <= BROADCAST_WORDS
+    rows, words = sets.agg(F.count("*"), F.coalesce(F.sum(F.size("wide")), F.lit(0))).first()
+    few = rows <= BROADCAST_IDS
 
     def small(df):
         return F.broadcast(df) if few else df
@@ -289,7 +289,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", ru
     first = written(first.where("id <> to").select(F.least("id", "to").alias("a"), F.greatest("id", "to").alias("b"))
                     .distinct(), "hub-pairs")
     left, right = (small(side) for side in _sides(sketches, "n", "sketch"))
-    wide = tuple(small(side) for side in _sides(sketches, "n", "wide"))
+    wide = _sides(sketches, "n", "wide")
+    if words <= BROADCAST_WORDS:
+        wide = tuple(F.broadcast(side) for side in wide)
     texts = base.where("text is not null and id is not null")
     links = _check(first.join(left, "a").join(right, "b").where(_near_enough(rule, "a", "b"))
                    .select("a", "b"), texts, wide, rule)
