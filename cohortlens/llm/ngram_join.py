@@ -25,6 +25,7 @@ BAND = 1.25         # sizes from one band's smallest to its largest
 CHECK_WORDS = 12    # 64-bit words of the fixed sketch that candidates are checked with first
 BLOCK = 1 << 20
 KEY_ROWS = 4096     # rows whose keys are combined at once
+PIECE_WORDS = 1 << 18  # sketch words of pairs that are compared at once
 BROADCAST_IDS = 500_000  # tables of ids with more rows than this are joined by shuffle
 BROADCAST_WORDS = 1 << 20  # and wide sketches of more words (8 MB) in all
 
@@ -206,18 +207,39 @@ def _near_enough(rule: Rule, a: str, b: str) -> Column:
             & (apart * (rule.den + rule.num) <= (an + bn) * (rule.den - rule.num)))
 
 
-def _wide_enough(rule: Rule, a: str, b: str) -> Column:
-    """The same by the wide sketches. Linked sizes differ by less than a factor of two, their
-    sketches in length by two at most: the words from ``short`` on fold onto those before."""
-    an, bn, x, y = (F.col(side + c) for c in ("n", "wide") for side in (a, b))
-    short = F.least(F.size(x), F.size(y))
-
-    def differ(i):
-        far = [F.coalesce(F.get(w, i + short), F.lit(0)) for w in (x, y)]
-        return F.bit_count(x[i].bitwiseXOR(y[i]).bitwiseXOR(far[0]).bitwiseXOR(far[1]))
-
-    apart = F.aggregate(F.sequence(F.lit(0), short - 1), F.lit(0), lambda total, i: total + differ(i))
-    return apart * (rule.den + rule.num) <= (an + bn) * (rule.den - rule.num)
+def _folded_apart(x: tuple, y: tuple) -> np.ndarray:
+    """Hamming distances of pairs of wide sketches, each side (first word, words, all words).
+    The lengths of a pair differ by two at most: the words from ``short`` on fold onto
+    those before."""
+    short = np.minimum(x[1], y[1])
+    opens = np.cumsum(short) - short
+    within = np.arange(short.sum()) - np.repeat(opens, short)
+    differ = np.zeros(len(within), np.uint64)
+    for first, size, words in (x, y):
+        at = np.repeat(first, short) + within
+        differ ^= words[at]
+        longer = np.repeat(size > short, short)
+        differ[longer] ^= words[(at + np.repeat(short, short))[longer]]
+    return np.add.reduceat(np.bitwise_count(differ).astype(np.int64), opens)
+
+
+def _wide_enough(pairs: DataFrame, rule: Rule) -> DataFrame:
+    """The pairs (a, b) whose wide sketches are no further apart than the largest symmetric
+    difference of a link. ``pairs`` has an, bn, awide, bwide and sizes that a link allows."""
+    def run(batches):
+        for b in batches:
+            total = sum(b.column(c).to_numpy(zero_copy_only=False) for c in ("an", "bn"))
+            sides, keep = [], np.zeros(b.num_rows, bool)
+            for c in ("awide", "bwide"):
+                col = b.column(c)
+                ends = col.offsets.to_numpy().astype(np.int64)
+                sides.append((ends[:-1], np.diff(ends), col.values.to_numpy(zero_copy_only=False).view(np.uint64)))
+            words = np.concatenate([[0], np.cumsum(np.minimum(sides[0][1], sides[1][1]))])
+            for lo, hi in row_blocks(words, PIECE_WORDS):
+                x, y = ((first[lo:hi], size[lo:hi], flat) for first, size, flat in sides)
+                keep[lo:hi] = _folded_apart(x, y) * (rule.den + rule.num) <= total[lo:hi] * (rule.den - rule.num)
+            yield b.select(["a", "b"]).filter(pa.array(keep))
+    return pairs.select("a", "b", "an", "bn", "awide", "bwide").mapInArrow(run, "a long, b long")
 
 
 def _verified(pairs: DataFrame, rule: Rule) -> DataFrame:
@@ -242,8 +264,7 @@ def _sides(sets: DataFrame, *columns: str) -> tuple[DataFrame, DataFrame]:
 
 def _check(pairs: DataFrame, base: DataFrame, wide: tuple[DataFrame, DataFrame], rule: Rule) -> DataFrame:
     """Links among distinct candidate pairs (a, b): by the wide sketches, then by shingles."""
-    pairs = pairs.join(wide[0], "a").join(wide[1], "b").where(_wide_enough(rule, "a", "b"))
-    pairs = written(pairs.select("a", "b"), "candidate-pairs")
+    pairs = written(_wide_enough(pairs.join(wide[0], "a").join(wide[1], "b"), rule), "candidate-pairs")
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
     few = pairs.count() <= BROADCAST_IDS
     sets = _shingles(base.join(F.broadcast(ids) if few else ids, "id", "left_semi"), rule)
@@ -262,7 +283,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", ru
     Equal sets are one class first, so exact copies cost one row each. Members of a
     shared sketch word are then tested against one id that has it (linear in the
     members), and only classes that this leaves in different components are tested
-    with each other, behind the sketch distance: near copies are not expanded into pairs."""
+    with each other, behind the sketch distance: near copies are not expanded into pairs. Copies are one
+    row under a key by then, in every block."""
     base = docs.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"))
     sets = written(_sets(base, rule), "shingle-sets")
     known = sets.where("n > 0 and id is not null")
@@ -299,7 +321,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", ru
 
     # rows of a block's representative may be missing where the block alone shares the key
     every = shared.select("key", "id").union(shared.where("hub <> 0").select("key", F.col("to").alias("id")))
-    label = to_rep(every, "id").join(small(found), "id", "left").select(
+    label = to_rep(every, "id").distinct().join(small(found), "id", "left").select(
         "key", "id", F.coalesce("component", "id").alias("c"))
     mixed = label.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")
     rest = label.join(mixed, "key", "left_semi").join(
