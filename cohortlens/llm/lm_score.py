@@ -2,8 +2,8 @@
 
 Two bigram models over one vocabulary, one of target documents and one of all, score
 each word; a document's score is the mean difference of its losses (low: like the
-target). Words and bigrams are counted over all documents; a model keeps what makes
-up a fixed share of the counts, which bounds it by construction.
+target). Every word and bigram is counted and kept, in Spark tables that grow with the
+input; documents are scored by a join of their bigram counts with them.
 """
 from __future__ import annotations
 
@@ -11,18 +11,20 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import boxed, byte_column, row_blocks
+from ._common import boxed, byte_column, mix64, row_blocks, written
 from ._tokens import ALNUM, Tokens, tokenise
 
-MIN_WORD_SHARE = 1e-5     # at most 1e5 words in the vocabulary
-MIN_BIGRAM_SHARE = 2e-6   # at most 5e5 bigrams in the models
+HOT_SHARE = 2e-6          # bigrams of this share (at most 5e5) are looked up without a shuffle
 MIX = 0.7                 # weight of the bigram estimate
 ADD = 0.5                 # added to every unigram count
 BLOCK = 1 << 20
+START = 1                 # stands for the word before a text
+UNIT = 1 << 32            # losses are summed as integers of 1 / UNIT nats, so in any order
 BROADCAST_IDS = 1_000_000  # more target ids than this are joined by shuffle
+BROADCAST_WORDS = 1_000_000  # more distinct words than this are joined by shuffle
 
 
 def _blocks(col: pa.Array):
@@ -31,125 +33,172 @@ def _blocks(col: pa.Array):
         yield lo, hi, tokenise(data[bounds[lo]:bounds[hi]], bounds[lo:hi + 1] - bounds[lo], ALNUM)
 
 
-def _combined(keys: list, counts: list) -> tuple[np.ndarray, np.ndarray]:
-    key, at = np.unique(np.concatenate(keys), return_inverse=True)
-    return key, np.bincount(at, np.concatenate(counts), len(key)).astype(np.int64)
+def _pairs(t: Tokens) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of (word before, word, both) of every word."""
+    before = np.concatenate([t.hash[:1], t.hash[:-1]])
+    before[t.first[:-1][np.diff(t.first) > 0]] = START
+    return before, t.hash, _code(before, t.hash)
 
 
-def _word_counts(batches):
-    for b in batches:
-        found = [np.unique(t.hash, return_counts=True) for _, _, t in _blocks(b.column("text"))]
-        if found:
-            key, count = _combined([k for k, _ in found], [c for _, c in found])
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(count)], ["word", "c"])
+def _code(before: np.ndarray, word: np.ndarray) -> np.ndarray:
+    return mix64(before * np.uint64(0x9E3779B97F4A7C15) + word)
+
+
+def _signed(x: np.ndarray) -> pa.Array:
+    return pa.array(x.view(np.int64))
 
 
-def vocabulary(docs: DataFrame, min_share: float = MIN_WORD_SHARE) -> np.ndarray:
-    """Sorted hashes of the words that are at least ``min_share`` of all words."""
-    counts = docs.select("text").mapInArrow(_word_counts, "word long, c long").groupBy("word").agg(F.sum("c").alias("c"))
-    total = counts.agg(F.sum("c").alias("total"))  # one row
-    kept = counts.join(F.broadcast(total)).where(F.col("c") >= F.col("total") * F.lit(min_share)).select("word")
-    return np.sort(kept.toPandas()["word"].to_numpy(np.int64).view(np.uint64))
+def _pair_counts(batches):
+    for b in batches:
+        found = []
+        for _, _, t in _blocks(b.column("text")):
+            before, word, code = _pairs(t)
+            _, at, n = np.unique(code, return_index=True, return_counts=True)
+            found.append((before[at], word[at], n))
+        if found:
+            before, word, n = (np.concatenate(x) for x in zip(*found))
+            _, at, to = np.unique(_code(before, word), return_index=True, return_inverse=True)
+            yield pa.RecordBatch.from_arrays(
+                [_signed(before[at]), _signed(word[at]), pa.array(np.bincount(to, n, len(at)).astype(np.int64))],
+                ["before", "word", "c"])
 
 
-def word_ids(t: Tokens, vocab: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(word before, word) of every word as vocabulary numbers: len(vocab) for a word that
-    it lacks, and len(vocab) + 1 for the start of a text."""
-    at = np.searchsorted(vocab, t.hash)
-    known = at < len(vocab)
-    known[known] = vocab[at[known]] == t.hash[known]
-    ids = np.where(known, at, len(vocab))
-    before = np.concatenate([[0], ids[:-1]]) if len(ids) else ids
-    before[t.first[:-1][np.diff(t.first) > 0]] = len(vocab) + 1
-    return before, ids
+def vocabulary(docs: DataFrame) -> DataFrame:
+    """(word before, word, count) of all texts; a pair may come in several rows, to be summed."""
+    return docs.select("text").mapInArrow(_pair_counts, "before long, word long, c long")
 
 
 @dataclass
 class Models:
-    """Both models: bigrams by code (word before * base + word), unigrams by word."""
-    vocab: np.ndarray
-    codes: np.ndarray
-    bigrams: np.ndarray   # [2, bigrams]: target, background
-    unigrams: np.ndarray  # [2, words + 2]
+    """Both models as tables. ``pairs``: before, word, background, target (counts);
+    ``words``: word, background, target and, as a word before, next_background, next_target."""
+    pairs: DataFrame
+    words: DataFrame
+    n_words: int
+    total: dict[str, int]
+
+    @property
+    def vocab(self) -> range:
+        """The words by number, in the order of their hashes."""
+        return range(self.n_words)
+
+    def estimated(self, pairs: DataFrame) -> DataFrame:
+        """``before``, ``word`` and the negative log probabilities ``loss_target`` and
+        ``loss_background`` of pairs with their counts; both models interpolate the same
+        way, and a word they lack has count 0."""
+        few = self.n_words <= BROADCAST_WORDS
+        words = F.broadcast(self.words) if few else self.words
+        names = ("target", "background")
+        first = words.select(F.col("word").alias("before"),
+                             *[F.greatest(m, f"next_{m}").cast("double").alias(f"all_{m}") for m in names],
+                             *[F.col(f"next_{m}") for m in names])
+        second = words.select("word", *[F.col(m).alias(f"one_{m}") for m in names])
+
+        def loss(m: str) -> Column:
+            context = F.greatest(F.coalesce(F.col(f"all_{m}"), F.lit(0.0)), F.lit(1e-9))
+            single = (F.coalesce(F.col(f"one_{m}"), F.lit(0)) + ADD) / (self.total[m] + ADD * (self.n_words + 1))
+            rest = 1 - MIX * F.coalesce(F.col(f"next_{m}"), F.lit(0)) / context
+            return -F.log(MIX * F.col(m) / context + rest * single)
+
+        return pairs.join(first, "before", "left").join(second, "word", "left").select(
+            "before", "word", *[loss(m).alias(f"loss_{m}") for m in names])
 
     def losses(self, before: np.ndarray, ids: np.ndarray) -> np.ndarray:
-        """[2, words] negative log probabilities; both models interpolate the same way."""
-        base = len(self.vocab) + 2
-        code = before * base + ids
-        at = np.minimum(np.searchsorted(self.codes, code), max(0, len(self.codes) - 1))
-        hit = self.codes[at] == code if len(self.codes) else np.zeros(len(code), bool)
-        out = []
-        for m in (0, 1):
-            uni, pair = self.unigrams[m], self.bigrams[m]
-            words = uni[:base - 1]
-            p1 = (words[ids] + ADD) / (words.sum() + ADD * (base - 1))
-            kept = np.bincount(self.codes // base, pair, base) if len(self.codes) else np.zeros(base)
-            context = np.maximum(uni, 1e-9)
-            p2 = np.where(hit, pair[at] if len(pair) else 0.0, 0.0) / context[before]
-            rest = 1 - MIX * np.minimum(1, kept / context)[before]
-            out.append(-np.log(MIX * p2 + rest * p1))
-        return np.array(out)
-
-
-def fit(docs: DataFrame, target: DataFrame, vocab: np.ndarray, min_share: float = MIN_BIGRAM_SHARE) -> Models:
-    """Count words and bigrams of ``target`` and of all ``docs`` (column text)."""
-    base = len(vocab) + 2
-    shared = docs.sparkSession.sparkContext.broadcast(vocab)
-
-    def counted(batches):
-        for b in batches:
-            keys, counts = [], []
-            for _, _, t in _blocks(b.column("text")):
-                before, ids = word_ids(t, shared.value)
-                starts = np.full(np.count_nonzero(np.diff(t.first)), base - 1)
-                for part in (before * base + ids, -1 - np.concatenate([ids, starts])):
-                    k, c = np.unique(part, return_counts=True)
-                    keys.append(k)
-                    counts.append(c)
-            if keys:
-                key, count = _combined(keys, counts)
-                yield pa.RecordBatch.from_arrays([pa.array(key.astype(np.int64)), pa.array(count)], ["code", "c"])
-
-    def table(df, name):
-        return df.select("text").mapInArrow(counted, "code long, c long").groupBy("code").agg(F.sum("c").alias(name))
-
-    both = table(docs, "background").join(table(target, "target"), "code", "left").na.fill(0, ["target"])
-    total = both.where("code >= 0").agg(F.coalesce(F.sum("background"), F.lit(0)).alias("total"))  # one row
-    rows = both.join(F.broadcast(total)).where(
-        (F.col("code") < 0) | (F.col("background") >= F.greatest(F.lit(2), F.col("total") * F.lit(min_share)))).select(
-        "code", "target", "background").toPandas().sort_values("code")
-    single = rows[rows["code"] < 0]
-    pair = rows[rows["code"] >= 0]
-    unigrams = np.zeros((2, base))
-    unigrams[:, (-1 - single["code"]).to_numpy(np.int64)] = single[["target", "background"]].to_numpy(float).T
-    return Models(vocab, pair["code"].to_numpy(np.int64), pair[["target", "background"]].to_numpy(float).T, unigrams)
-
-
-def score(docs: DataFrame, models: Models, text: str = "text") -> DataFrame:
+        """[2, words] negative log probabilities by word numbers, ``n_words`` for a word that
+        the models lack and ``n_words`` + 1 for the start of a text. Collects the words: for
+        looking into small models."""
+        spark = self.pairs.sparkSession
+        known = sorted(r["word"] for r in self.words.where(F.col("word") != START).select("word").collect())
+        names = np.array([w % 2**64 for w in known] + [2, START], np.uint64).view(np.int64)
+        rows = spark.createDataFrame([(i, int(names[b]), int(names[w])) for i, (b, w) in enumerate(zip(before, ids))],
+                                     "at long, before long, word long")
+        pairs = rows.join(self.pairs, ["before", "word"], "left").na.fill(0, ["target", "background"])
+        out = rows.join(self.estimated(pairs.drop("at").distinct()), ["before", "word"]).orderBy("at").toPandas()
+        return out[["loss_target", "loss_background"]].to_numpy().T
+
+
+def fit(docs: DataFrame, target: DataFrame, vocab: DataFrame) -> Models:
+    """Count words and bigrams of ``target`` (column text) and, from ``vocab``, of all ``docs``."""
+    none = F.lit(0).cast("long")
+    both = vocab.select("before", "word", F.col("c").alias("background"), none.alias("target")).union(
+        vocabulary(target).select("before", "word", none, "c"))
+    sums = [F.sum("background").alias("background"), F.sum("target").alias("target")]
+    pairs = written(both.groupBy("before", "word").agg(*sums), "lm-pairs")
+    single = pairs.groupBy("word").agg(*sums)
+    ahead = pairs.groupBy("before").agg(*sums)
+    words = written(single.select("word", "background", "target", none.alias("next_background"), none.alias("next_target"))
+                    .union(ahead.select("before", none, none, "background", "target"))
+                    .groupBy("word").agg(*[F.sum(c).alias(c) for c in ("background", "target", "next_background", "next_target")]),
+                    "lm-words")
+    total = words.agg(F.coalesce(F.sum("background"), none).alias("background"),
+                      F.coalesce(F.sum("target"), none).alias("target"),
+                      F.count(F.when(F.col("word") != START, 1)).alias("n")).first()
+    return Models(pairs, words, total["n"], {m: total[m] for m in ("target", "background")})
+
+
+def score(docs: DataFrame, models: Models, text: str = "text", fitted: bool = False) -> DataFrame:
     """``row`` (the input row as a struct), ``n_tokens``, ``target_ce``, ``background_ce`` and
     ``score`` (their difference, in nats a word). Texts without words, null ones too, have
     n_tokens 0 and null losses; repeated rows get equal scores; columns of any name stay
-    inside ``row``."""
-    shared = docs.sparkSession.sparkContext.broadcast(models)
+    inside ``row``.
+
+    The bigrams of a share of ``HOT_SHARE`` or more, a bounded number, are looked up in a
+    broadcast table; all others are joined by shuffle with the models' tables. ``fitted``
+    says that the models counted all of these texts, so that no pair is unknown to them."""
+    frame = written(boxed(docs, text=F.col(f"`{text}`"), id=F.monotonically_increasing_id()), "lm-docs")
+    names = ("target", "background")
+    least = max(2, models.total["background"] * HOT_SHARE)
+    hot = models.estimated(models.pairs.where(F.col("background") >= least)).toPandas()
+    first, second = (hot[c].to_numpy(np.int64).view(np.uint64) for c in ("before", "word"))
+    codes = _code(first, second)
+    order = np.argsort(codes)
+    fixed = np.rint(hot[["loss_target", "loss_background"]].to_numpy(float).T * UNIT).astype(np.int64)
+    shared = docs.sparkSession.sparkContext.broadcast((codes[order], first[order], second[order], fixed[:, order]))
 
-    def run(batches):
+    def counted(batches):
+        codes, first, second, fixed = shared.value
         for b in batches:
-            n = np.zeros(b.num_rows, np.int64)
-            ce = np.zeros((2, b.num_rows))
+            ids = b.column("id").to_numpy()
             for lo, hi, t in _blocks(b.column("text")):
-                losses = shared.value.losses(*word_ids(t, shared.value.vocab))
-                n[lo:hi] = np.diff(t.first)
+                before, word, code = _pairs(t)
+                at = np.minimum(np.searchsorted(codes, code), max(0, len(codes) - 1))
+                hit = np.zeros(len(code), bool)
+                if len(codes):
+                    hit = (codes[at] == code) & (first[at] == before) & (second[at] == word)
+                rare = np.flatnonzero(~hit)
+                _, one, n = np.unique(mix64(code[rare] + t.doc[rare].astype(np.uint64)), return_index=True, return_counts=True)
+                one = rare[one]
+                # one row of known losses for each text with hot words, under a key without a partner
+                many = np.bincount(t.doc[hit], minlength=hi - lo)
+                of = np.flatnonzero(many)
+                known = np.zeros((2, hi - lo), np.int64)
                 for m in (0, 1):
-                    ce[m, lo:hi] = np.bincount(t.doc, losses[m], hi - lo)
-            ce = ce / np.maximum(n, 1)
-            none = n == 0
-            yield pa.RecordBatch.from_arrays(
-                [b.column("row"), pa.array(n), *(pa.array(x, mask=none) for x in (ce[0], ce[1], ce[0] - ce[1]))],
-                ["row", "n_tokens", "target_ce", "background_ce", "score"])
-
-    frame = boxed(docs, text=F.col(f"`{text}`"))
-    return frame.mapInArrow(run, f"row {frame.schema['row'].dataType.simpleString()}, n_tokens long, "
-                                 "target_ce double, background_ce double, score double")
+                    np.add.at(known[m], t.doc[hit], fixed[m][at[hit]])
+                key = ids[lo:hi][of]
+                blank = np.arange(len(one) + len(of)) < len(one)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.concatenate([ids[lo:hi][t.doc[one]], key])),
+                     pa.array(np.concatenate([before[one].view(np.int64), key])),
+                     pa.array(np.concatenate([word[one].view(np.int64), key])),
+                     pa.array(np.concatenate([n, many[of]])),
+                     *(pa.array(np.concatenate([np.zeros(len(one), np.int64), k[of]]), mask=blank) for k in known)],
+                    ["id", "before", "word", "n", *names])
+
+    found = frame.select("id", "text").mapInArrow(counted, "id long, before long, word long, n long, target long, background long")
+    table = models.estimated(models.pairs.where(F.col("background") < least))
+    if not fitted:
+        pairs = found.where("target IS NULL").select("before", "word").distinct()
+        none = F.lit(0).cast("long")
+        new = pairs.join(models.pairs, ["before", "word"], "left_anti").select(
+            "before", "word", none.alias("background"), none.alias("target"))
+        table = table.unionByName(models.estimated(new))
+    sums = found.join(table, ["before", "word"], "left").groupBy("id").agg(
+        F.sum("n").alias("n"), *[F.sum(F.coalesce(F.col(m), F.round(F.col(f"loss_{m}") * UNIT).cast("long") * F.col("n"))).alias(m)
+                                 for m in names])
+    ce = [(F.col(m) / F.lit(float(UNIT)) / F.col("n")).alias(f"{m}_ce") for m in names]
+    return frame.select("id", "row").join(sums, "id", "left").select(
+        "row", F.coalesce("n", F.lit(0).cast("long")).alias("n_tokens"), *ce).withColumn(
+        "score", F.col("target_ce") - F.col("background_ce"))
 
 
 def op4_lm_score(spark, sf_dir) -> DataFrame:
@@ -161,4 +210,4 @@ def op4_lm_score(spark, sf_dir) -> DataFrame:
     few = good.count() <= BROADCAST_IDS
     target = docs.join(F.broadcast(good) if few else good, "doc_id", "left_semi")
     models = fit(docs, target, vocabulary(docs))
-    return score(docs, models).select("row.doc_id", "n_tokens", "target_ce", "background_ce", "score")
+    return score(docs, models, fitted=True).select("row.doc_id", "n_tokens", "target_ce", "background_ce", "score")

@@ -176,6 +176,35 @@ def test_lm_score_prefers_the_target(spark):
     assert lm_score.score(empty, lm_score.fit(empty, empty, lm_score.vocabulary(empty))).count() == 0
 
 
+def test_lm_score_keeps_rare_words_and_bigrams(spark):
+    """Losses equal those of models that keep everything, in texts where no share would."""
+    common = " ".join(["a b"] * 150_000)
+    texts = [common, "rare words only here", "rare words elsewhere a b", "rare words only here"]
+    df = docs_of(spark, texts)
+    good = {1, 2}
+    models = lm_score.fit(df, df.where("doc_id in (1, 2)"), lm_score.vocabulary(df))
+    words = sorted({w for t in texts for w in alnum(t)})
+
+    def losses(chosen, text):
+        one, two, after = {}, {}, {}
+        for t in chosen:
+            for b, w in zip([None] + alnum(t), alnum(t)):
+                one[w], two[b, w], after[b] = one.get(w, 0) + 1, two.get((b, w), 0) + 1, after.get(b, 0) + 1
+        n = sum(one.values())
+        out = 0.0
+        for b, w in zip([None] + alnum(text), alnum(text)):
+            context = max(one.get(b, 0), after.get(b, 0), 1e-9)
+            p1 = (one.get(w, 0) + lm_score.ADD) / (n + lm_score.ADD * (len(words) + 1))
+            out -= math.log(lm_score.MIX * two.get((b, w), 0) / context + (1 - lm_score.MIX * after.get(b, 0) / context) * p1)
+        return out / len(alnum(text))
+    strange = docs_of(spark, ["rare new a", "only b rare"])
+    for frame, own, fitted in ((df, texts, True), (df, texts, False), (strange, ["rare new a", "only b rare"], False)):
+        rows = {r["row"]["doc_id"]: r for r in lm_score.score(frame, models, fitted=fitted).collect()}
+        for i, t in enumerate(own):
+            assert abs(rows[i]["target_ce"] - losses([texts[j] for j in good], t)) < 1e-8
+            assert abs(rows[i]["background_ce"] - losses(texts, t)) < 1e-8
+
+
 # 5 mixing
 
 def test_mixing_draws_from_poisson(spark):
