@@ -2,7 +2,7 @@
 
 A document of a source with mean target repetition rate r is written k times, k
 drawn from Poisson(r) by inverting its distribution at a uniform number hashed from
-the document, so any task draws the same k again. Copies are shuffled globally by a
+the document, so any task draws the same k again; a large rate is a sum of such draws. Copies are shuffled globally by a
 second hash. DataFrame functions only.
 """
 from __future__ import annotations
@@ -14,6 +14,7 @@ SEED = "mix-1"
 ALPHA = 0.5               # target weight of a source: its size to this power
 BROADCAST_SOURCES = 50_000  # more sources than this are joined by shuffle
 SALTS = 64
+MOST_RATE = 500.0         # a larger rate is a sum of draws up to this one: exp(-rate) must not underflow
 
 
 def uniform(*parts: Column) -> Column:
@@ -38,6 +39,19 @@ def copies(u: Column, cdf: Column) -> Column:
     return F.size(F.filter(cdf, lambda c: c <= u))
 
 
+def parts(rate: Column) -> Column:
+    """Number of equal draws that a rate is split into; 1 up to ``MOST_RATE``."""
+    return F.greatest(F.ceil(rate / MOST_RATE), F.lit(1)).cast("int")
+
+
+def drawn_copies(cdf: Column, n_parts: Column, *seed: Column) -> Column:
+    """Poisson count: the sum of independent draws of one distribution, the first seeded
+    by ``seed`` alone and the others by ``seed`` and their number."""
+    more = F.aggregate(F.sequence(F.lit(1), n_parts - 1), F.lit(0),
+                       lambda a, i: a + copies(uniform(*seed, F.lit("part"), i), cdf))
+    return copies(uniform(*seed), cdf) + F.when(n_parts > 1, more).otherwise(0)
+
+
 def source_rates(docs: DataFrame, source: str, size: Column, weights: DataFrame | None = None,
                  alpha: float = ALPHA) -> DataFrame:
     """Mean repetition rate of each source: target share x total size / own size.
@@ -71,7 +85,8 @@ def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str
     any name stay inside ``row``. Every source, whatever its size, is dealt row by row:
     the rates join by broadcast while sources are few, else by salted shuffle."""
     size = F.coalesce(F.octet_length(F.col(f"`{text}`")), F.lit(0)).cast("long") + 1
-    rates = source_rates(docs, source, size, weights, alpha).withColumn("cdf", cumulative(F.col("rate")))
+    rates = source_rates(docs, source, size, weights, alpha).withColumn("parts", parts(F.col("rate"))).withColumn(
+        "cdf", cumulative(F.col("rate") / F.col("parts")))
     boxed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
                         F.col(f"`{key}`").alias("key"), F.col(f"`{source}`").alias("from"))
     if docs.select(F.approx_count_distinct(F.col(f"`{source}`"))).first()[0] <= BROADCAST_SOURCES:
@@ -80,7 +95,7 @@ def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str
         dealt = rates.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         joined = boxed.withColumn("s", F.pmod(F.xxhash64("key"), F.lit(SALTS))).join(
             dealt, F.col("from").eqNullSafe(F.col("source")) & (F.col("s") == F.col("salt")))
-    n = copies(uniform(F.lit(seed), F.col("key")), F.col("cdf"))
+    n = drawn_copies(F.col("cdf"), F.col("parts"), F.lit(seed), F.col("key"))
     drawn = joined.withColumn("n_copies", n).where("n_copies > 0")
     each = drawn.select("row", "rate", "n_copies", "key",
                         F.explode(F.sequence(F.lit(0), F.col("n_copies") - 1)).alias("copy"))

@@ -225,6 +225,16 @@ def test_mixing_draws_from_poisson(spark):
     assert mixing.mix(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("rate", [3.0, 499.0, 501.0, 1000.0, 10000.0])
+def test_mixing_draws_large_rates(spark, rate):
+    n = 400
+    df = spark.range(n).select("id", F.lit(rate).alias("rate")).withColumn("parts", mixing.parts(F.col("rate")))
+    drawn = mixing.drawn_copies(F.col("cdf"), F.col("parts"), F.lit("s"), F.col("id"))
+    k = np.array([r[0] for r in df.withColumn("cdf", mixing.cumulative(F.col("rate") / F.col("parts"))).select(drawn).collect()])
+    assert abs(k.mean() - rate) < 5 * math.sqrt(rate / n)
+    assert 0.7 * rate < k.var() < 1.4 * rate  # a Poisson number's variance is its mean
+
+
 # 6 sharding
 
 @pytest.mark.parametrize("n", [1, 2, 3, 7, 64, 65, 1000])
