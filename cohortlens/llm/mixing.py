@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 SEED = "mix-1"
 ALPHA = 0.5               # target weight of a source: its size to this power
 BROADCAST_SOURCES = 50_000  # more sources than this are joined by shuffle
+BROADCAST_KEYS = 1_000_000  # more repeated keys than this are joined by shuffle
+PIECE = 10_000              # equal rows of a task, while they are numbered
 SALTS = 64
 MOST_RATE = 500.0         # a larger rate is a sum of draws up to this one: exp(-rate) must not underflow
 
@@ -74,21 +76,48 @@ def source_rates(docs: DataFrame, source: str, size: Column, weights: DataFrame
             F.round(F.col("weight") / F.col("all_weight") * F.col("all_own") / F.col("own"), 9)).alias("rate"))
 
 
+def told_apart(boxed: DataFrame) -> DataFrame:
+    """``row``, ``from`` and a ``key`` (string) that no two rows share: the key itself, or for
+    a null or repeated one the key, a hash of the row and a number among equal rows.
+
+    Equal rows are counted, not gathered: a count is dealt out again in pieces, so a row
+    that makes up much of the table is many tasks."""
+    keys = boxed.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1 or key is null").select("key")
+    plain = boxed.select("row", "from", F.col("key").cast("string").alias("key"))
+    if keys.isEmpty():
+        return plain
+    named = keys.where("key is not null")
+    few = named.count() <= BROADCAST_KEYS
+    named = F.broadcast(named) if few else named
+    shared = boxed.where("key is null").unionByName(boxed.join(named, "key", "left_semi"))
+    content = F.md5(F.to_json(F.struct("row")).cast("binary"))
+    counted = shared.groupBy("row", "key", "from").agg(F.count(F.lit(1)).alias("c"))
+    pieces = counted.withColumn("hash", content).withColumn(
+        "first", F.explode(F.sequence(F.lit(0).cast("long"), F.col("c") - 1, F.lit(PIECE).cast("long")))).repartition("hash", "first")
+    each = pieces.withColumn("number", F.explode(
+        F.sequence("first", F.least(F.col("c"), F.col("first") + PIECE) - 1)))
+    name = F.concat_ws(":", F.coalesce(F.col("key").cast("string"), F.lit("\\N")), "hash", "number")
+    return (boxed.where("key is not null").join(named, "key", "left_anti")
+            .select("row", "from", F.col("key").cast("string").alias("key"))
+            .unionByName(each.select("row", "from", name.alias("key"))))
+
+
 def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text",
         weights: DataFrame | None = None, alpha: float = ALPHA, seed: str = SEED) -> DataFrame:
     """``row`` (the input row as a struct), ``rate``, ``copy`` (from 0), ``n_copies`` and
     ``place`` (the number that orders the shuffled output), sorted by place.
 
     A size is a text's UTF-8 bytes plus 1, so null and empty texts take part. A null
-    source is a source of its own; a null key hashes like a value of its own; repeated
-    rows draw the same count, each for itself; an empty table gives no rows; columns of
-    any name stay inside ``row``. Every source, whatever its size, is dealt row by row:
-    the rates join by broadcast while sources are few, else by salted shuffle."""
+    source is a source of its own; an empty table gives no rows; columns of any name stay
+    inside ``row``. A row of a null or repeated key draws by its key, its content and a
+    number among equal rows, so each draws and is placed for itself. Every source, whatever
+    its size, is dealt row by row: the rates join by broadcast while sources are few, else
+    by salted shuffle."""
     size = F.coalesce(F.octet_length(F.col(f"`{text}`")), F.lit(0)).cast("long") + 1
     rates = source_rates(docs, source, size, weights, alpha).withColumn("parts", parts(F.col("rate"))).withColumn(
         "cdf", cumulative(F.col("rate") / F.col("parts")))
-    boxed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
-                        F.col(f"`{key}`").alias("key"), F.col(f"`{source}`").alias("from"))
+    boxed = told_apart(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+                                   F.col(f"`{key}`").alias("key"), F.col(f"`{source}`").alias("from")))
     if docs.select(F.approx_count_distinct(F.col(f"`{source}`"))).first()[0] <= BROADCAST_SOURCES:
         joined = boxed.join(F.broadcast(rates), F.col("from").eqNullSafe(F.col("source")))
     else:

@@ -235,6 +235,26 @@ def test_mixing_draws_large_rates(spark, rate):
     assert 0.7 * rate < k.var() < 1.4 * rate  # a Poisson number's variance is its mean
 
 
+def test_mixing_tells_rows_of_one_key_apart(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "PIECE", 64)
+    rows = [(None, f"t{i}", "a") for i in range(400)] + [(None, "same", "a")] * 400 + [(7, f"t{i}", "a") for i in range(400)]
+    rows += [(100 + i, "x" * 2000, "b") for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    weights = spark.createDataFrame([("a", 0.002), ("b", 1.0)], "source string, weight double")
+    out = mixing.mix(df, weights=weights).select("row.doc_id", "row.text", "row.source", "rate", "place").toPandas()
+    a = out[out["source"] == "a"]
+    rate = float(a["rate"].iloc[0])
+    for part in (a[a["doc_id"].isna() & (a["text"] != "same")], a[a["text"] == "same"], a[a["doc_id"] == 7]):
+        assert abs(len(part) - 400 * rate) < 5 * math.sqrt(400 * rate)
+    assert a["place"].is_unique
+    again = mixing.mix(df.repartition(5), weights=weights).select("row.text", "place").toPandas()
+    assert list(again["text"]) == list(out["text"]) and list(again["place"]) == list(out["place"])
+    unique = mixing.mix(df.where("doc_id >= 100")).select("row.doc_id", "n_copies").distinct().collect()
+    for r in unique:  # unique keys draw as before
+        u = int(hashlib.md5(f"mix-1:{r['doc_id']}".encode()).hexdigest()[:13], 16) / 2**52
+        assert r["n_copies"] == sum(u >= c for c in np.cumsum([math.exp(-1) / math.factorial(k) for k in range(20)]))
+
+
 # 6 sharding
 
 @pytest.mark.parametrize("n", [1, 2, 3, 7, 64, 65, 1000])
