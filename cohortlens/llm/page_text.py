@@ -9,6 +9,7 @@ keep their unique runs; blocks of an article are the text and stay.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from html.parser import HTMLParser
 
 import numpy as np
@@ -28,65 +29,112 @@ SKIP = frozenset("head script style noscript template svg math iframe object nav
 BLOCK = frozenset("p h1 h2 h3 h4 h5 h6 li ul ol dl dt dd div section article main blockquote pre figure figcaption "
                   "table thead tbody tfoot tr td th caption hr address details summary body html".split()) | SKIP
 MAIN = frozenset(("article", "main"))
-NAMED = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|notice|popup|modal|"
+NAMED = re.compile(r"(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|notice|popup|modal|"
                    r"sidebar|menu|nav\w*|breadcrumbs?|header|footer|comments?|replies|respond|disqus|share|social|"
-                   r"related|newsletter|subscribe|signup|login)(?:$|[\s_-])")
+                   r"related|newsletter|subscribe|signup|login)")
+#: Left out whatever they hold; other skipped elements are kept if an article lies in them.
+NEVER = frozenset("head script style noscript template svg math iframe object button select textarea menu".split())
+#: Elements whose end tag may be left out, and the start tags that then end them.
+IMPLIED = {"p": BLOCK - NEVER - {"html", "body"}, "li": {"li"}, "td": {"td", "th", "tr", "tbody", "tfoot", "thead"},
+           "th": {"td", "th", "tr", "tbody", "tfoot", "thead"}, "tr": {"tr", "tbody", "tfoot", "thead"},
+           "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option", "optgroup"}}
 ROLES = frozenset("navigation banner contentinfo complementary search menu menubar dialog alert form".split())
 BROKEN_END = re.compile(r"<(?:[a-zA-Z/!?][^<>]*)?$")
 
 
+class Skipped:
+    """An element that tag or name rule out, and what lies in it."""
+
+    def __init__(self, named: bool, never: bool):
+        self.named, self.never, self.main, self.chars = named, never, False, 0
+
+
 class Blocks(HTMLParser):
-    """Collects (inside an article, text) of the blocks that markup doesn't rule out."""
+    """Collects (inside an article, text, skipped elements around) of the blocks of a page."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.blocks, self.parts = [], []
-        self.skip, self.depth, self.main = None, 0, 0
+        self.open: list[tuple[str, Skipped | None]] = []
+        self.count = Counter()  # open elements by tag
+        self.around: list[Skipped] = []  # open ones that are skipped
+        self.chars = 0
 
     def _close_block(self):
         text = " ".join("".join(self.parts).split())
         self.parts = []
         if text:
-            self.blocks.append((self.main > 0, text))
+            self.blocks.append((any(self.count[tag] for tag in MAIN), text, tuple(self.around)))
+            if not any(s.never for s in self.around):
+                self.chars += len(text)
+                for s in self.around:
+                    s.chars += len(text)
+
+    def _end(self, at: int):
+        """Close the open element ``at`` and all inside it."""
+        if any(tag in BLOCK or s for tag, s in self.open[at:]):
+            self._close_block()
+        for tag, s in self.open[at:]:
+            self.count[tag] -= 1
+            if s:
+                self.around.pop()
+        del self.open[at:]
+
+    def _end_implied(self, tag: str):
+        ended = None
+        for at in range(len(self.open) - 1, -1, -1):
+            inner = self.open[at][0]
+            if tag in IMPLIED.get(inner, ()):
+                ended = at
+            elif inner in BLOCK and inner not in IMPLIED:
+                break
+        if ended is not None:
+            self._end(ended)
 
     def handle_starttag(self, tag, attrs):
-        if self.skip:
-            self.depth += tag == self.skip
-            return
         if tag in VOID:
             if tag == "hr":
+                self._end_implied(tag)
                 self._close_block()
             elif tag == "br":
                 self.parts.append(" ")
             return
+        self._end_implied(tag)
         named = tag not in ("html", "body") and tag not in MAIN and any(
-            (k in ("class", "id") and v and NAMED.search(v.lower())) or (k == "role" and v and v.lower() in ROLES)
+            (k in ("class", "id") and v and any(NAMED.fullmatch(x) for x in v.lower().split()))
+            or (k == "role" and v and v.lower() in ROLES)
             or k == "hidden" or (k == "aria-hidden" and v == "true") for k, v in attrs)
+        skip = Skipped(named and tag not in SKIP, tag in NEVER) if tag in SKIP or named else None
         if tag in BLOCK or named:
             self._close_block()
-        if tag in SKIP or named:
-            self.skip, self.depth = tag, 1
-        elif tag in MAIN:
-            self.main += 1
+        if tag in MAIN:
+            for s in self.around:
+                s.main = True
+        if tag in BLOCK or tag in IMPLIED or skip or self.count[tag]:
+            self.open.append((tag, skip))
+            self.count[tag] += 1
+            if skip:
+                self.around.append(skip)
 
     def handle_startendtag(self, tag, attrs):
         if tag in VOID:
             self.handle_starttag(tag, attrs)
 
     def handle_endtag(self, tag):
-        if self.skip:
-            self.depth -= tag == self.skip
-            if not self.depth:
-                self.skip = None
-            return
-        if tag in BLOCK:
+        if self.count[tag]:
+            self._end(next(at for at in range(len(self.open) - 1, -1, -1) if self.open[at][0] == tag))
+        elif tag in BLOCK:
             self._close_block()
-        if tag in MAIN:
-            self.main = max(0, self.main - 1)
 
     def handle_data(self, data):
-        if not self.skip:
-            self.parts.append(data)
+        self.parts.append(data)
+
+    def kept(self) -> list[tuple[bool, str]]:
+        """Blocks that no skipped element around them rules out. One that holds an article
+        rules out nothing, nor does one that a name alone marks if it holds most of the text."""
+        self._close_block()
+        return [(inside, text) for inside, text, around in self.blocks if not any(
+            s.never or not (s.main or (s.named and 2 * s.chars > self.chars)) for s in around)]
 
 
 def page_blocks(html: str | None) -> list[tuple[bool, str]]:
@@ -94,10 +142,10 @@ def page_blocks(html: str | None) -> list[tuple[bool, str]]:
     parser = Blocks()
     parser.feed(BROKEN_END.sub("", html or ""))
     parser.close()
-    parser._close_block()
-    if any(inside for inside, _ in parser.blocks):
-        return [b for b in parser.blocks if b[0]]
-    return parser.blocks
+    blocks = parser.kept()
+    if any(inside for inside, _ in blocks):
+        return [b for b in blocks if b[0]]
+    return blocks
 
 
 def shared_words(streams: list[list[str]], run: int = RUN_WORDS, min_pages: int = MIN_PAGES) -> list[np.ndarray]:

@@ -304,6 +304,20 @@ def test_suffix_array_removes_shared_runs_of_open_pages():
     assert page_text.main_texts(pages[:2])[0][0].startswith(notice)  # two pages are no evidence
 
 
+def test_page_names_match_whole_and_spare_the_article():
+    def text(html):
+        return [t for _, t in page_text.page_blocks(html)]
+    for name in ("layout has-sidebar", "no-sidebar", "with-header", "comments-open", "sidebar", "layout ad"):
+        assert text(f"<body><div class='{name}'><nav>go</nav><article><p>one<p>two</article></div></body>") == ["one", "two"]
+    assert text("<form><header>top</header><main>one</main></form>") == ["one"]
+    long = "a long text that makes up most of the page"
+    assert text(f"<div class=notice>{long}</div><div class=ad>buy</div>") == [long]
+    assert text(f"<p class=notice>buy now<p>{long}<p>two") == [long, "two"]
+    assert text(f"<ul><li class=ad>buy<li>{long}</ul><div>two</div>") == [long, "two"]
+    assert text(f"<p><b>{long}<br><p class=ad><b>buy<p>two</b>") == [long, "two"]
+    assert text(f"<div class='ad'>buy<div>more</div></div>{long}<script>var x='<article>'</script>") == [long]
+
+
 def test_shared_words_equals_brute_force():
     rng = np.random.default_rng(2)
     streams = [[str(x) for x in rng.integers(0, 3, int(n))] for n in rng.integers(0, 40, 8)]
