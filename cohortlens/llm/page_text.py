@@ -1,13 +1,15 @@
-"""7. Main text of web pages, with a suffix array over the pages of a host.
+"""7. Main text of web pages, with the runs of words that pages of a host share.
 
 Markup tells most parts of a page apart: menus, adverts and the like are named, and
-an article is too. The token streams of a host's pages are concatenated and their
-suffixes sorted; long substrings that several pages share are found there. Blocks
+an article is too. Runs of words are hashed and the distinct pages of a host that have
+them counted over the whole host; ``shared_words`` says the same of a few pages by a
+suffix array. Blocks
 that the markup leaves open (pages without an article) lose covered boilerplate and
 keep their unique runs; blocks of an article are the text and stay.
 """
 from __future__ import annotations
 
+import hashlib
 import re
 from collections import Counter
 from html.parser import HTMLParser
@@ -17,11 +19,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-CHUNK_PAGES = 256        # pages of one suffix array
+from ._common import mix64, written
+from ._tokens import Tokens, grams
+
+CHUNK_PAGES = 256        # pages worked on at a time
 CHUNK_BYTES = 32 << 20
 RUN_WORDS = 8            # shortest shared substring
 MIN_PAGES = 3            # distinct pages that share it
-BROADCAST_HOSTS = 100_000
+BROADCAST_RUNS = 2_000_000  # more shared runs, or copies of pages, are joined by shuffle
 
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 SKIP = frozenset("head script style noscript template svg math iframe object nav header footer aside form "
@@ -191,56 +196,151 @@ def shared_words(streams: list[list[str]], run: int = RUN_WORDS, min_pages: int
     return [inside[e - n - 1:e - 1] for e, n in zip(ends, size)]
 
 
+def without(blocks: list[tuple[bool, str]], words: list[list[str]], cover: np.ndarray) -> str:
+    """Text of a page from its blocks, their words and which of these are shared."""
+    kept, at = [], 0
+    for (inside, text), w in zip(blocks, words):
+        own = cover[at:at + len(w)]
+        at += len(w)
+        if inside or not own.any():
+            kept.append(text)
+        elif not own.all():  # an open block keeps its unique runs
+            kept.append(" ".join(x for x, c in zip(w, own) if not c))
+    return "\n\n".join(kept)
+
+
 def main_texts(pages: list[str | None]) -> list[tuple[str, int]]:
-    """(text, words shared with other pages) of the pages of one chunk of a host."""
+    """(text, words shared with other pages) of a few distinct pages of one host, by one
+    suffix array: what ``extract`` gives for a host of any size."""
     blocks = [page_blocks(h) for h in pages]
     words = [[t.split(" ") for _, t in b] for b in blocks]
     shared = shared_words([[w for block in page for w in block] for page in words])
-    out = []
-    for page, tokens, cover in zip(blocks, words, shared):
-        kept, at = [], 0
-        for (inside, text), w in zip(page, tokens):
-            own = cover[at:at + len(w)]
-            at += len(w)
-            if inside or not own.any():
-                kept.append(text)
-            elif not own.all():  # an open block keeps its unique runs
-                kept.append(" ".join(x for x, c in zip(w, own) if not c))
-        out.append(("\n\n".join(kept), int(cover.sum())))
-    return out
+    return [(without(page, tokens, cover), int(cover.sum())) for page, tokens, cover in zip(blocks, words, shared)]
+
+
+def run_keys(hosts: list[str], words: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash of (host, run) of every run of ``RUN_WORDS`` words inside a page, with its page
+    and the place of its first word among all words."""
+    doc = np.repeat(np.arange(len(words)), [len(w) for w in words])
+    flat = np.array([x for w in words for x in w], dtype=object)
+    if len(flat) < RUN_WORDS:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    t = Tokens(pd.util.hash_array(flat), doc, None, None, None, None)
+    run, page = grams(t, RUN_WORDS)
+    n = len(doc) - RUN_WORDS + 1
+    at = np.flatnonzero(doc[:n] == doc[RUN_WORDS - 1:])
+    own = pd.util.hash_array(np.array(hosts, dtype=object))
+    return mix64(run + mix64(own[page])), page, at
 
 
 def host_of(url: Column) -> Column:
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
 
 
+def _pieces(pdf: pd.DataFrame, size: pd.Series):
+    """Consecutive parts of a batch of bounded rows and bytes."""
+    part = np.maximum(np.arange(len(pdf)) // CHUNK_PAGES, size.cumsum().to_numpy() // CHUNK_BYTES)
+    for _, piece in pdf.groupby(part, sort=True):
+        yield piece
+
+
+def _words(blocks) -> list[list[str]]:
+    return [t.split(" ") for t in blocks]
+
+
+def _keys_of(piece: pd.DataFrame):
+    words = [_words(b) for b in piece["block"]]
+    flat = [[w for block in page for w in block] for page in words]
+    return words, flat, *run_keys(list(piece["host"]), flat)
+
+
+def _size(pdf: pd.DataFrame) -> pd.Series:
+    return pdf["block"].map(lambda b: sum(map(len, b)))
+
+
+def _page_runs(pdfs):
+    """(page, run), once for each run of a page."""
+    for pdf in pdfs:
+        for piece in _pieces(pdf, _size(pdf)):
+            _, _, keys, page, _ = _keys_of(piece)
+            both = pd.DataFrame({"id": piece["id"].to_numpy()[page], "run": keys.view(np.int64)})
+            yield both.drop_duplicates()
+
+
+def _run_counts(pdfs):
+    for both in _page_runs(pdfs):
+        run, n = np.unique(both["run"].to_numpy(), return_counts=True)
+        yield pd.DataFrame({"run": run, "n": n})
+
+
 def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """``key``, ``url``, ``text``, ``n_chars`` (code points), ``n_shared`` (words in substrings
     shared with other pages of the host) of every row.
 
     A null or empty page has an empty text; rows without a host form a host of their
-    own; repeated rows count as pages of their own and give equal texts if they have an
-    article; an empty table gives no rows; other columns don't matter. A host's pages
-    are dealt by hash over chunks of about ``CHUNK_PAGES``, so a large host is many
-    tasks and a suffix array has a bounded size; a notice that a large host repeats is
-    in each of its chunks."""
-    base = pages.select(F.col(f"`{key}`").alias(key), F.col(f"`{url}`").alias(url), F.col(f"`{html}`").alias("html"),
-                        host_of(F.col(f"`{url}`")).alias("host"))
-    hosts = base.groupBy("host").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("html")).alias("b"))
-    hosts = hosts.select("host", F.greatest(F.ceil(F.col("n") / CHUNK_PAGES),
-                                            F.ceil(F.coalesce("b", F.lit(0)) / CHUNK_BYTES), F.lit(1)).alias("chunks"))
-    few = base.select(F.approx_count_distinct("host")).first()[0] <= BROADCAST_HOSTS
-    dealt = base.join(F.broadcast(hosts) if few else hosts, "host").withColumn(
-        "chunk", F.pmod(F.xxhash64(F.col(key), F.col(url), F.length("html")), F.col("chunks")))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        found = main_texts([h if isinstance(h, str) else None for h in pdf["html"]])
-        return pd.DataFrame({key: pdf[key], url: pdf[url], "text": [t for t, _ in found],
-                             "n_chars": [len(t) for t, _ in found], "n_shared": [n for _, n in found]})
+    own; rows of a host with equal blocks count as one page and give equal texts; an empty
+    table gives no rows; other columns don't matter. The pages that have a run of words
+    are counted over the whole host, whatever its size, by an aggregate over hashes of
+    (host, run); the shared runs are broadcast while they are few, else joined by shuffle."""
+    spark = pages.sparkSession
+    base = pages.select(F.col(f"`{key}`").alias("key"), F.col(f"`{url}`").alias("url"), F.col(f"`{html}`").alias("html"),
+                        host_of(F.col(f"`{url}`")).alias("host"), F.monotonically_increasing_id().alias("id"))
+
+    def parse(pdfs):
+        for pdf in pdfs:
+            for piece in _pieces(pdf, pdf["html"].map(lambda h: len(h) if isinstance(h, str) else 0)):
+                blocks = [page_blocks(h if isinstance(h, str) else None) for h in piece["html"]]
+                yield piece.drop(columns="html").assign(
+                    inside=[[i for i, _ in b] for b in blocks], block=[[t for _, t in b] for b in blocks],
+                    digest=[hashlib.md5("\n".join(f"{i:d}{t}" for i, t in b).encode("utf-8", "surrogatepass")).hexdigest()
+                            for b in blocks])
 
     kind = dict(base.dtypes)
-    return dealt.groupBy("host", "chunk").applyInPandas(
-        run, f"`{key}` {kind[key]}, `{url}` string, text string, n_chars long, n_shared long")
+    parsed = written(base.mapInPandas(parse, f"key {kind['key']}, url string, host string, id long, "
+                                             "inside array<boolean>, block array<string>, digest string"), "pages")
+    same = ["host", "digest"]
+    first = parsed.groupBy(same).agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    later = parsed.select(*same, "id").join(first, same).where("id > first").select("id")
+    later = F.broadcast(later) if later.count() <= BROADCAST_RUNS else later
+    counts = parsed.join(later, "id", "left_anti").select("id", "host", "block").mapInPandas(_run_counts, "run long, n long")
+    shared = written(counts.groupBy("run").agg(F.sum("n").alias("n")).where(F.col("n") >= MIN_PAGES).select("run"), "page-runs")
+    few = shared.count() <= BROADCAST_RUNS
+    if few:
+        runs = spark.sparkContext.broadcast(np.sort(shared.toPandas()["run"].to_numpy(np.int64)))
+        found = parsed.withColumn("runs", F.lit(None).cast("array<long>"))
+    else:
+        own = parsed.select("id", "host", "block").mapInPandas(_page_runs, "id long, run long")
+        found = parsed.join(own.join(shared, "run", "left_semi").groupBy("id").agg(F.collect_list("run").alias("runs")),
+                            "id", "left")
+
+    def finish(pdfs):
+        for pdf in pdfs:
+            for piece in _pieces(pdf, _size(pdf)):
+                words, flat, keys, page, at = _keys_of(piece)
+                keys = keys.view(np.int64)
+                if few:
+                    place = np.minimum(np.searchsorted(runs.value, keys), max(0, len(runs.value) - 1))
+                    hit = runs.value[place] == keys if len(runs.value) else np.zeros(len(keys), bool)
+                else:
+                    hit = np.zeros(len(keys), bool)
+                    edge = np.searchsorted(page, np.arange(len(piece) + 1))
+                    for i, r in enumerate(piece["runs"]):
+                        if r is not None:
+                            hit[edge[i]:edge[i + 1]] = np.isin(keys[edge[i]:edge[i + 1]], r)
+                ends = np.cumsum([len(f) for f in flat])
+                cover = np.zeros(int(ends[-1]) + 1, np.int64)
+                np.add.at(cover, at[hit], 1)
+                np.add.at(cover, at[hit] + RUN_WORDS, -1)
+                cover = np.cumsum(cover)[:-1] > 0
+                covers = [cover[e - len(f):e] for e, f in zip(ends, flat)]
+                texts = [without(list(zip(i, b)), w, c)
+                         for i, b, w, c in zip(piece["inside"], piece["block"], words, covers)]
+                yield pd.DataFrame({"key": piece["key"], "url": piece["url"], "text": texts,
+                                    "n_chars": [len(t) for t in texts], "n_shared": [int(c.sum()) for c in covers]})
+
+    return found.select("id", "key", "url", "host", "inside", "block", "runs").mapInPandas(
+        finish, f"key {kind['key']}, url string, text string, n_chars long, n_shared long").select(
+        F.col("key").alias(key), F.col("url").alias(url), "text", "n_chars", "n_shared")
 
 
 def op7_page_text(spark, sf_dir) -> DataFrame:

@@ -318,6 +318,24 @@ def test_page_names_match_whole_and_spare_the_article():
     assert text(f"<div class='ad'>buy<div>more</div></div>{long}<script>var x='<article>'</script>") == [long]
 
 
+@pytest.mark.parametrize("few", [0, 1000])
+def test_page_runs_are_shared_over_the_whole_host(spark, monkeypatch, few):
+    monkeypatch.setattr(page_text, "BROADCAST_RUNS", few)
+    notice = "please accept all of our very fine cookies before reading"
+    pages = [f"<div>{notice if i % 300 == 0 else 'x'}</div><div>{prose(i, 12, 10**6)}</div>" for i in range(900)]
+    rows = [(i, f"https://h/{i}", h) for i, h in enumerate(pages)]
+    rows += [(1000 + i, f"https://{h}/{i}", f"<div>{notice}</div>") for i, h in enumerate("ab")]
+    rows += [(2000, "https://c/1", "<p>" + prose(7, 40))] * 2 + [(2001 + i, f"https://c/{i}", "<p>" + prose(7, 40)) for i in range(3)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    out = [(r["page_id"], r["text"], r["n_shared"]) for r in page_text.extract(df).collect()]
+    assert len(out) == len(rows)
+    got = {i: (t, n) for i, t, n in out}
+    want = page_text.main_texts(pages)
+    assert all(got[i] == want[i] for i in range(900)) and got[300] == (prose(300, 12, 10**6), 10)
+    assert got[1000] == got[1001] == (notice, 0)  # one page of each host
+    assert all(t == prose(7, 40) and n == 0 for i, t, n in out if i >= 2000)  # copies are one page
+
+
 def test_shared_words_equals_brute_force():
     rng = np.random.default_rng(2)
     streams = [[str(x) for x in rng.integers(0, 3, int(n))] for n in rng.integers(0, 40, 8)]
