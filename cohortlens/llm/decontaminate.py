@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import boxed, byte_column, row_blocks
+from ._common import boxed, byte_column, row_blocks, written
 from ._tokens import ALNUM, Tokens, tokenise
 
 WINDOW = 13
@@ -132,18 +132,20 @@ def covered(matches: list) -> int:
     return total
 
 
-def test_blocks(benchmark: DataFrame, item: str, text: str, most: int = TEST_BYTES) -> list[TestBlock]:
-    """The test items in blocks of about ``most`` bytes. Item hashes deal them out, so
-    each block that is gathered and broadcast has a bounded size whatever the table."""
+def test_blocks(benchmark: DataFrame, item: str, text: str, most: int = TEST_BYTES):
+    """(is the last, block): the test items in blocks of about ``most`` bytes, one gathered
+    after the other. Item hashes deal them out, so each block that is gathered and
+    broadcast has a bounded size whatever the table."""
     size = benchmark.agg(F.sum(F.octet_length(F.col(f"`{text}`"))).alias("n")).first()["n"] or 0
     n = -(-size // most) or 1
     b = benchmark.select(F.col(f"`{item}`").alias("item"), F.col(f"`{text}`").alias("text")).where("text is not null")
-    out = []
     for i in range(n):
         rows = b.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == i).distinct().toArrow()
         data, bounds, _ = byte_column(rows.column("text").combine_chunks() if rows.num_rows else pa.array([], pa.string()))
-        out.append(TestBlock(rows.column("item").to_pylist(), np.array(data), np.array(bounds)))
-    return out
+        block = TestBlock(rows.column("item").to_pylist(), np.array(data), np.array(bounds))
+        del rows, data, bounds
+        yield i == n - 1, block
+        del block
 
 
 def find_matches(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id",
@@ -156,13 +158,15 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, text: str = "text", item
     nothing; repeated rows get equal answers; a match of an item whose id is null
     counts in n_hit with a null item_id; empty tables work; columns of any name stay
     inside ``row``. No shuffle: a text stays in its task, and blocks of the test set
-    pass over it one after the other."""
+    pass over it one after the other; the matches of a block are written before the
+    next one is gathered."""
     sc = docs.sparkSession.sparkContext
     frame = boxed(docs, text=F.col(f"`{text}`")).withColumns(
         {"n_words": F.lit(0).cast("long"), "n_hit": F.lit(0).cast("long"),
          "matches": F.array().cast(f"array<{MATCH}>")})
-    for block in test_blocks(benchmark, item, item_text, test_bytes):
+    for last, block in test_blocks(benchmark, item, item_text, test_bytes):
         shared = sc.broadcast(block)
+        del block
 
         def run(batches, shared=shared):
             test = shared.value
@@ -177,6 +181,9 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, text: str = "text", item
                 yield pa.RecordBatch.from_arrays([columns[c] for c in b.schema.names], b.schema.names)
 
         frame = frame.mapInArrow(run, frame.schema)
+        if not last:
+            frame = written(frame, "block-matches")
+            shared.destroy()
     return frame.drop("text")
 
 

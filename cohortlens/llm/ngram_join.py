@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import byte_column, mix64, row_blocks, written
+from ._common import boxed, byte_column, mix64, row_blocks, written
 from ._components import components
 from ._tokens import NONSPACE, grams, tokenise
 
@@ -337,13 +337,33 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", ru
 
 def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", rule: Rule = Rule()) -> DataFrame:
     """One document of each group stays, the one with the smallest key, with all columns.
-    Rows of a null key stay; of repeated rows of a kept key one stays for each text."""
+    Rows of a null key stay, and so do all equal rows of a kept key. Different texts
+    under one key are documents of their own: each stays or goes by itself."""
+    own = F.xxhash64(F.col(f"`{text}`"))
+    several = docs.where(F.col(f"`{key}`").isNotNull()).groupBy(F.col(f"`{key}`").alias("id")).agg(
+        F.min(own).alias("lo"), F.max(own).alias("hi")).where("lo <> hi")
+    if not several.isEmpty():
+        return _drop_by_text(docs, key, text, rule)
     found = near_duplicates(docs, key, text, rule)
     gone = found.where("id <> component_id").select("id").distinct()
     few = gone.count() <= BROADCAST_IDS
     return docs.join(F.broadcast(gone) if few else gone, docs[key].cast("long") == gone["id"], "left_anti")
 
 
+def _drop_by_text(docs: DataFrame, key: str, text: str, rule: Rule) -> DataFrame:
+    """The same under a number for each (key, text), in the order of the keys."""
+    frame = boxed(docs, id=F.col(f"`{key}`").cast("long"), text=F.col(f"`{text}`")).withColumn(
+        "digest", F.coalesce(F.md5(F.col("text").cast("binary")), F.lit("")))
+    order = written(frame.where("id is not null").select("id", "digest").distinct().orderBy("id", "digest")
+                    .withColumn("number", F.monotonically_increasing_id()), "numbers")
+    numbered = written(frame.join(order, ["id", "digest"], "left").select("row", "text", "number"), "numbered")
+    found = near_duplicates(numbered.where("number is not null"), "number", "text", rule)
+    gone = found.where("id <> component_id").select(F.col("id").alias("number")).distinct()
+    few = gone.count() <= BROADCAST_IDS
+    return numbered.join(F.broadcast(gone) if few else gone, "number", "left_anti").select(
+        *[F.col("row").getField(c).alias(c) for c in docs.columns])
+
+
 RULE_OP2 = Rule(k=3, num=90, den=100)
 
 

@@ -125,6 +125,13 @@ def test_ngram_join_null_ids_repeats_and_empty(spark):
     assert sorted(r["doc_id"] or 0 for r in ngram_join.drop_near_duplicates(df).collect()) == [0, 3, 3]
 
 
+def test_texts_of_one_key_are_dropped_one_by_one(spark):
+    rows = [(1, prose(1, 50), "a"), (2, prose(1, 50), "b"), (2, prose(2, 50), "c"), (3, prose(2, 50), "d"), (None, prose(1, 50), "e")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, row string")
+    out = ngram_join.drop_near_duplicates(df)
+    assert out.columns == df.columns and sorted(r["row"] for r in out.collect()) == ["a", "c", "e"]
+
+
 # 3 embeddings
 
 def test_embeddings_against_brute_force(spark):
@@ -408,6 +415,21 @@ def test_decontamination_equals_brute_force(spark, test_bytes):
     assert decontaminate.find_matches(df, b.limit(0)).where("n_hit > 0").count() == 0
 
 
+def test_decontamination_holds_one_block_at_a_time(spark, monkeypatch):
+    import weakref
+    made, make = [], decontaminate.TestBlock.__init__
+
+    def watched(self, *args):
+        assert all(r() is None for r in made)
+        made.append(weakref.ref(self))
+        make(self, *args)
+    items = spark.createDataFrame([(i, prose(i, 20)) for i in range(6)], "item_id long, text string")
+    monkeypatch.setattr(decontaminate.TestBlock, "__init__", watched)
+    docs = docs_of(spark, [prose(i, 20) for i in range(6)] + ["none"])
+    rows = decontaminate.find_matches(docs, items, test_bytes=200).collect()
+    assert len(made) > 1 and sorted(r["n_hit"] for r in rows) == [0] + [20] * 6
+
+
 # 10 lines
 
 def test_line_dedup_equals_brute_force(spark):
