@@ -16,6 +16,7 @@ All 120 orders follow from the counts of 32 masks in each part.
 from __future__ import annotations
 
 import itertools
+import json
 import os
 from collections.abc import Iterator
 
@@ -218,8 +219,9 @@ def audit(counts: DataFrame) -> DataFrame:
 
     ``shapley`` sums what a filter removes over all orders: of the 120 orders, a
     document failing k filters falls to each of them in 120 / k."""
-    steps = F.array(*[F.struct(F.lit(o).alias("filter_order"), F.lit(s).alias("step"), F.lit(b).alias("bit"),
-                               F.lit(x).alias("before")) for o, s, b, x in _steps()])
+    names = ("filter_order", "step", "bit", "before")
+    steps = F.from_json(F.lit(json.dumps([dict(zip(names, x)) for x in _steps()])),
+                        "array<struct<filter_order: string, step: int, bit: int, before: int>>")
     each = counts.withColumn("s", F.explode(steps)).select(
         "part", "mask", "n", "good", "toxic", "s.filter_order", "s.step", "s.bit", "s.before")
     fails = F.col("mask").bitwiseAND(F.col("bit")) != 0
