@@ -48,12 +48,12 @@ def _powers(base: int, n: int) -> np.ndarray:
     return np.cumprod(out, dtype=np.uint64)
 
 
-def tokenise(data: np.ndarray, bounds: np.ndarray, word_byte: np.ndarray) -> Tokens:
-    """Words of the texts ``data[bounds[i]:bounds[i+1]]`` (A-Z lowered).
+def tokenise(data: np.ndarray, bounds: np.ndarray, word_byte: np.ndarray, fold: np.ndarray = LOWER) -> Tokens:
+    """Words of the texts ``data[bounds[i]:bounds[i+1]]`` (bytes mapped by ``fold``: A-Z lowered).
 
     A word's hash is a polynomial over random letter values, from prefix sums, so
     that no loop runs over words; pieces bound the 8-byte temporaries."""
-    data = LOWER[data]
+    data = fold[data]
     inside = word_byte[data]
     starts, ends = inside.copy(), inside.copy()
     if len(data):

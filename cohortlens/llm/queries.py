@@ -13,12 +13,13 @@ from .mixing import op5_mixing
 from .ngram_join import op2_ngram_jaccard_join
 from .page_text import op7_page_text
 from .prefix_trie import op11_prefix_trie
+from .quality_rules import op12_quality_rules
 from .sharding import op6_sharding
 
 QUERIES = {f.__name__: f for f in (
     op1_license_scan, op2_ngram_jaccard_join, op3_embedding_near_dedup, op4_lm_score, op5_mixing, op6_sharding,
     op7_page_text, op8_language_id, op9_decontamination, op10_line_dedup,
-    op11_prefix_trie, op13_filter_audit)}
+    op11_prefix_trie, op12_quality_rules, op13_filter_audit)}
 
 #: The others have parts that SQL can't express; tests hold them against brute force.
 ORACLE: dict[str, str] = {"op5_mixing": mixing.SQL, "op9_decontamination": decontaminate.SQL,
