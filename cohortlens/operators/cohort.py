@@ -106,15 +106,20 @@ def acu_anchor(op: DataFrame, cohort: DataFrame | None = None) -> DataFrame:
     return last if cohort is None else last.join(cohort, "pat_deid", "left")
 
 
+def notes_in_window(anchor: DataFrame, notes: DataFrame) -> DataFrame:
+    """Rows of ``notes`` whose encounter_date lies in [che_tx_date, last admission]."""
+    return (anchor.select("pat_deid", "che_tx_date", F.col("hosp_admsn_time").alias("anchor_time"))
+            .join(notes, "pat_deid")
+            .where((F.col("encounter_date") <= F.col("anchor_time"))
+                   & (F.col("encounter_date") >= F.col("che_tx_date"))))
+
+
 def note_window(anchor: DataFrame, notes: DataFrame) -> DataFrame:
     """c_note_window: notes with encounter_date in [che_tx_date, last admission]
     (equi join on patient + range residual), DISTINCT, then one row per
     (patient, note text) keeping the earliest (encounter_date, note_id)."""
     from .relational import dedupe_first
-    j = (anchor.select("pat_deid", "che_tx_date", F.col("hosp_admsn_time").alias("anchor_time"))
-         .join(notes, "pat_deid")
-         .where((F.col("encounter_date") <= F.col("anchor_time"))
-                & (F.col("encounter_date") >= F.col("che_tx_date")))
+    j = (notes_in_window(anchor, notes)
          .select("pat_deid", "note_id", "note", "encounter_date", "effective_time", "note_desc")
          .distinct())
     return dedupe_first(j, ["pat_deid", "note"], ["encounter_date", "note_id"])

@@ -2,16 +2,15 @@
 frequencies, pair counts, PMI, heterogeneous edge table, neighbour aggregates.
 
 Edges stay COO tables (src, dst, weight) — never dense V x V / D x V matrices.
-Pair counts are generated per distinct window term list (identical windows
-pre-aggregated first), inside array expressions (<= w(w-1) pairs per window),
-then summed with a partial aggregate. Neighbour aggregates explode feature
+Window and pair counts follow from the positions of terms in a doc, so no window is
+ever expanded into its pairs. Neighbour aggregates explode feature
 vectors to (node, dim) rows so every reduction is a partial aggregate keyed by
 (dst, dim): a node with a huge in-degree is spread over many tasks.
 """
 from __future__ import annotations
 
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 WINDOW = 20
@@ -23,45 +22,70 @@ def doc_word_edges(doc_terms: DataFrame, id_col: str = "note_id") -> DataFrame:
                             F.lit(1.0).alias("weight")).distinct()
 
 
-def windows(term_lists: DataFrame, size: int = WINDOW, id_col: str = "note_id") -> DataFrame:
-    """g_windows / w_sliding: windows of ``size`` over each doc's term list,
-    stride 1; a list of <= size terms (empty included) is one window."""
-    n = F.size("terms")
-    starts = F.sequence(F.lit(0), F.greatest(n - size, F.lit(0)))
-    return (term_lists.select(id_col, "terms", F.posexplode(starts).alias("w", "start"))
-            .select(id_col, "w", F.slice("terms", F.col("start") + 1, size).alias("window")))
-
-
-def window_freq(wins: DataFrame) -> DataFrame:
-    """g_window_freq: number of windows containing each term (once per window)."""
-    return (wins.select(F.explode(F.array_distinct("window")).alias("term"))
-            .groupBy("term").agg(F.count(F.lit(1)).alias("freq")))
-
-
-def pair_count(wins: DataFrame) -> DataFrame:
-    """g_pair_count / j_pair_window: windows containing an ordered pair (i, j),
-    i != j, counted in both directions as the reference does per position pair."""
-    grouped = wins.groupBy("window").agg(F.count(F.lit(1)).alias("mult"))
-    n = F.size("window")
-    idx = F.sequence(F.lit(0), n - 1)
-    pairs = F.flatten(F.transform(idx, lambda a: F.transform(
-        F.filter(idx, lambda b: (b != a) & (F.element_at("window", a + 1) != F.element_at("window", b + 1))),
-        lambda b: F.struct(F.element_at("window", a + 1).alias("i"),
-                           F.element_at("window", b + 1).alias("j")))))
-    return (grouped.where(n > 1).select("mult", F.explode(pairs).alias("p"))
-            .groupBy(F.col("p.i").alias("i"), F.col("p.j").alias("j"))
-            .agg(F.sum("mult").alias("count")))
-
-
-def pmi(wins: DataFrame) -> DataFrame:
-    """g_pmi: ln(c * N / (f_i * f_j)) for pairs with PMI > 0; N counts every
-    window, including the single window of an empty doc."""
-    n_win = wins.select(F.count(F.lit(1)).cast("double")).scalar()
-    f = window_freq(wins)
+def _in_doc(id_col: str):
+    return Window.partitionBy(id_col).orderBy("pos")
+
+
+def windows(doc_terms: DataFrame, docs: DataFrame, size: int = WINDOW, id_col: str = "note_id") -> DataFrame:
+    """g_windows / w_sliding: windows of ``size`` over each doc's terms (id, pos, term_id),
+    stride 1; a doc of <= size terms (none included) is one window. Each position
+    collects only its own window."""
+    w = _in_doc(id_col)
+    rows = (doc_terms.withColumn("window", F.collect_list("term_id").over(w.rowsBetween(0, size - 1)))
+            .withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(id_col)))
+            .where(F.col("pos") <= F.greatest(F.col("_n") - size, F.lit(0)))
+            .select(id_col, F.col("pos").cast("int").alias("w"), "window"))
+    bare = docs.select(id_col).join(doc_terms.select(id_col), id_col, "left_anti")
+    return rows.unionByName(bare.select(id_col, F.lit(0).alias("w"), F.array().cast("array<int>").alias("window")))
+
+
+def _sized(doc_terms: DataFrame, size: int, id_col: str) -> DataFrame:
+    """Adds ``_last``, the number of the doc's last window."""
+    n = F.count(F.lit(1)).over(Window.partitionBy(id_col))
+    return doc_terms.withColumn("_last", F.greatest(n - size, F.lit(0)))
+
+
+def window_freq(doc_terms: DataFrame, size: int = WINDOW, id_col: str = "note_id") -> DataFrame:
+    """g_window_freq: number of windows containing each term, from its position alone:
+    windows pos - size + 1 to pos, as far as they exist."""
+    n = F.least("pos", "_last") - F.greatest(F.col("pos") - size + 1, F.lit(0)) + 1
+    return (_sized(doc_terms, size, id_col).groupBy(F.col("term_id").alias("term"))
+            .agg(F.sum(n).cast("long").alias("freq")))
+
+
+def pair_count(doc_terms: DataFrame, size: int = WINDOW, id_col: str = "note_id") -> DataFrame:
+    """g_pair_count / j_pair_window: windows containing an ordered pair (i, j), i != j,
+    counted in both directions. The windows that hold positions p < q start at
+    q - size + 1 to p, so a pair row needs no window rows; a term pairs with the
+    size - 1 terms after it."""
+    after = F.collect_list(F.struct(F.col("term_id").alias("j"), F.col("pos").alias("q"))).over(
+        _in_doc(id_col).rowsBetween(1, size - 1))
+    pairs = _sized(doc_terms, size, id_col).withColumn("_after", after).select(
+        F.col("term_id").alias("i"), "pos", "_last", F.explode("_after").alias("b"))
+    n = F.least("pos", "_last") - F.greatest(F.col("b.q") - size + 1, F.lit(0)) + 1
+    once = (pairs.where(F.col("i") != F.col("b.j")).groupBy("i", F.col("b.j").alias("j"))
+            .agg(F.sum(n).cast("long").alias("count")))
+    both = F.array(F.struct("i", "j"), F.struct(F.col("j").alias("i"), F.col("i").alias("j")))
+    return (once.select("count", F.explode(both).alias("p")).groupBy(F.col("p.i").alias("i"), F.col("p.j").alias("j"))
+            .agg(F.sum("count").alias("count")))
+
+
+def n_windows(doc_terms: DataFrame, docs: DataFrame, size: int = WINDOW, id_col: str = "note_id") -> DataFrame:
+    """One row: the number of windows of all docs, with one for each doc without a term."""
+    per = doc_terms.groupBy(id_col).agg(F.greatest(F.count(F.lit(1)) - size, F.lit(0)).alias("_more"))
+    more = per.select(F.coalesce(F.sum("_more"), F.lit(0))).scalar()
+    return docs.select((F.count(F.lit(1)) + more).cast("double").alias("n_windows"))
+
+
+def pmi(doc_terms: DataFrame, docs: DataFrame, size: int = WINDOW, id_col: str = "note_id") -> DataFrame:
+    """g_pmi: ln(c * N / (f_i * f_j)) for pairs with PMI > 0; N counts every window,
+    including the single window of an empty doc."""
+    total = n_windows(doc_terms, docs, size, id_col).scalar()
+    f = window_freq(doc_terms, size, id_col)
     fi = f.select(F.col("term").alias("i"), F.col("freq").alias("fi"))
     fj = f.select(F.col("term").alias("j"), F.col("freq").alias("fj"))
-    p = (pair_count(wins).join(fi, "i").join(fj, "j")
-         .withColumn("weight", F.log(F.col("count") * n_win / (F.col("fi") * F.col("fj")))))
+    p = (pair_count(doc_terms, size, id_col).join(fi, "i").join(fj, "j")
+         .withColumn("weight", F.log(F.col("count") * total / (F.col("fi") * F.col("fj")))))
     return p.where(F.col("weight") > 0).select("i", "j", "weight")
 
 
@@ -144,7 +168,6 @@ def fanout_sample(edges: DataFrame, k: int, seed: int = 42, dst: str = "dst",
     smallest by md5(src || seed). Exact two-stage top-k: first per
     (node, relation, salt) so a node with a huge in-degree is split over
     ``salts`` tasks, then over the <= salts*k survivors of each node."""
-    from pyspark.sql import Window
     key = F.md5(F.concat(F.col(src).cast("string"), F.lit(str(seed))))
     e = edges.withColumn("_k", key).withColumn("_s", F.abs(F.xxhash64(src)) % salts)
     w1 = Window.partitionBy(dst, etype, "_s").orderBy("_k", src)

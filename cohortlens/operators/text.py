@@ -1,255 +1,134 @@
-"""Text operators (t_*): mentions, trimming, patient notes, near-duplicate
-removal, shortening, final notes.
-
-Design: a note stays one row with its sentences as an array column, so every
-per-note step (split, trim, near-dup fold, shortening) is a native
-higher-order-function expression with no shuffle. The only shuffles are the
-per-patient dedupe (grouped on (patient, sentence), so a hot patient spreads
-over many tasks) and the final per-patient assembly of the note text, which is
-the output format itself.
+"""Text operators (t_*): mentions, trimming, patient notes, near-duplicate removal,
+shortening, final notes.
+
+Notes become rows of sentences early, and stay rows: mentions come from the term index
+(``match``), neighbourhoods are an equi join on positions, a patient's distinct sentences
+are grouped by (patient, sentence hash), near duplicates are a pair table (``neardup``),
+and shortening is a window over a patient's sentences. Only the text that a query returns
+is put together again, in the end.
 """
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import (SEP, contains_any, contains_any_folded, join_sep, let,
-                              sentence_split, word_count_clean)
-
-MAX_LITERAL_TERMS = 50_000
-
-
-def term_list(lexicon: DataFrame, col: str = "term", order: str = "term_id",
-              max_terms: int = MAX_LITERAL_TERMS) -> list[str]:
-    """Bring a lexicon to the driver as a literal list, after a size check.
-
-    The lexicon is a vocabulary (hundreds of terms); it is embedded in the plan
-    as an array literal so matching is one pass per note with no join. The
-    count is checked first so an unexpectedly large table is never collected.
-    """
-    n = lexicon.count()
-    if n > max_terms:
-        raise ValueError(f"lexicon has {n} terms (> {max_terms}); use doc_terms_join")
-    return [r[0] for r in lexicon.orderBy(order).select(col).collect()]
-
-
-def lit_array(xs: Sequence) -> Column:
-    return F.array(*[F.lit(x) for x in xs]) if xs else F.array().cast("array<string>")
-
-
-def has_mention(text, terms: Sequence[str]) -> Column:
-    """Lower-cased literal containment of any vocabulary term (regex '|'.join
-    of unescaped terms without metacharacters is the same test). An empty
-    vocabulary matches everything, as the reference's empty regex does."""
-    if not terms:
-        return F.lit(True)
-    return contains_any_folded(text, [t.lower() for t in terms], F.lower)
-
-
-def sentence_hits(sentences, terms: Sequence[str]) -> Column:
-    """Per sentence, does it mention a term. Each sentence is lower-cased once
-    (an inner transform), not once per term: higher-order lambdas get no
-    common-subexpression elimination."""
-    s = F.col(sentences) if isinstance(sentences, str) else sentences
-    if not terms:
-        return F.transform(s, lambda x: F.lit(True))
-    low = [t.lower() for t in terms]
-    return F.transform(F.transform(s, F.lower), lambda x: contains_any(x, low))
-
-
-def _term_ids(folded_text: Column, folded_terms: Sequence[str]) -> Column:
-    lex = F.array(*[F.struct(F.lit(i).alias("id"), F.lit(t).alias("t"))
-                    for i, t in enumerate(folded_terms)])
-    return F.transform(F.filter(lex, lambda e: folded_text.contains(e["t"])), lambda e: e["id"])
-
-
-def doc_term_lists(notes: DataFrame, terms: Sequence[str], id_col: str = "note_id",
-                   text_col: str = "note", fold: str = "upper") -> DataFrame:
-    """Per note, the ordered array of contained term ids (lexicon order, term id
-    = position in ``terms``); notes without a term keep an empty array. The
-    folded note is a column of its own so it is computed once per note."""
-    fn = F.upper if fold == "upper" else F.lower
-    folded = [t.upper() if fold == "upper" else t.lower() for t in terms]
-    if not terms:
-        return notes.select(id_col, F.array().cast("array<int>").alias("terms"))
-    return notes.select(id_col, let(fn(F.col(text_col)), lambda f: _term_ids(f, folded))
-                        .alias("terms"))
-
-
-def doc_terms(notes: DataFrame, terms: Sequence[str], id_col: str = "note_id",
-              text_col: str = "note", fold: str = "upper") -> DataFrame:
-    """t_doc_term: (note, pos, term_id) for every lexicon term contained in the
-    note, in lexicon order."""
-    # explode_outer: an inner explode makes Catalyst infer size(terms) > 0 as a
-    # filter and evaluate the whole matching twice
-    return (doc_term_lists(notes, terms, id_col, text_col, fold)
-            .select(id_col, F.posexplode_outer("terms").alias("pos", "term_id"))
-            .where(F.col("term_id").isNotNull()))
-
-
-def mention_filter(notes: DataFrame, terms: Sequence[str]) -> DataFrame:
-    """t_mention_filter: notes with a mention; distinct (patient, note, time)."""
-    return (notes.where(has_mention("note", terms))
-            .select("pat_deid", "note", "effective_time").distinct())
-
-
-def neighbourhood(sentences, hits, n: int = 2) -> Column:
-    """w_neighborhood: keep sentences within +-n positions of a mentioning one
-    (ascending order); ``hits`` is a bound boolean array."""
-    return F.filter(sentences, lambda s, i: F.exists(
-        F.slice(hits, F.greatest(i - n, F.lit(0)) + 1, 2 * n + 1 + F.least(i - n, F.lit(0))),
-        lambda h: h))
-
-
-def trim(notes: DataFrame, terms: Sequence[str], n: int = 2,
-         out: str = "sentence_list") -> DataFrame:
-    """t_trim: split into sentences and keep the mention neighbourhoods
-    (without terms every sentence is kept)."""
-    if not terms:
-        return notes.withColumn(out, sentence_split("note"))
-    return notes.withColumn(out, let(sentence_split("note"), lambda s: let(
-        sentence_hits(s, terms), lambda h: neighbourhood(s, h, n))))
-
-
-def patient_sentences(trimmed: DataFrame,
-                      order: Sequence[str] = ("effective_time", "note_key")) -> DataFrame:
-    """Long form of t_patient_note: one row per (patient, distinct sentence) with
-    the sort key of its first occurrence (time, then md5 of the note text as a
-    stable tie-break, then position). Dedupe groups by (patient, sentence), so a
-    patient with very many notes is spread over many tasks."""
-    if "note_key" in order and "note_key" not in trimmed.columns:
-        trimmed = trimmed.withColumn("note_key", F.md5("note"))
-    ex = trimmed.select("pat_deid", *order, F.posexplode("sentence_list").alias("idx", "sentence"))
+from ..functions.text import SEP, sentence_split, word_count_clean
+from .match import mentioning, term_hits
+
+FIRST_ORDER = ("effective_time", "note_key")
+
+
+def fold_column(name: str, fold: str) -> Column:
+    return F.upper(name) if fold == "upper" else F.lower(name)
+
+
+def folded_terms(lexicon: DataFrame, term: str = "term", term_id: str = "term_id", fold: str = "lower") -> DataFrame:
+    """(term_id, term) with the terms' case folded as the texts' will be."""
+    return lexicon.select(F.col(term_id).alias("term_id"), fold_column(term, fold).alias("term"))
+
+
+def _hits(rows: DataFrame, key: Sequence[str], text: str, terms: DataFrame, fold: str = "lower") -> DataFrame:
+    folded = rows.select(*key, fold_column(text, fold).alias("_folded"))
+    return term_hits(folded, key, "_folded", terms)
+
+
+def doc_terms(notes: DataFrame, lexicon: DataFrame, id_col: str = "note_id", text_col: str = "note",
+              fold: str = "upper") -> DataFrame:
+    """t_doc_term: (note, pos, term_id) for every lexicon term contained in the note, in
+    lexicon order (by term_id)."""
+    hits = _hits(notes, [id_col], text_col, folded_terms(lexicon, fold=fold), fold)
+    w = Window.partitionBy(id_col).orderBy("term_id")
+    return hits.select(id_col, (F.row_number().over(w) - 1).alias("pos"), "term_id")
+
+
+def mention_filter(notes: DataFrame, terms: DataFrame) -> DataFrame:
+    """t_mention_filter: notes with a mention; distinct (patient, note, time). Terms are
+    lower-case; an empty vocabulary matches no note."""
+    key = ["pat_deid", "note_key", "effective_time"]
+    rows = notes.select("pat_deid", "note", "effective_time").distinct().withColumn("note_key", F.md5("note"))
+    found = mentioning(rows.withColumn("note", F.lower("note")), key, "note", terms)
+    return rows.join(found, key, "left_semi").select("pat_deid", "note", "effective_time")
+
+
+def sentences(notes: DataFrame) -> DataFrame:
+    """(pat_deid, note_key, effective_time, idx, sentence) of every note."""
+    split = notes.withColumn("note_key", F.md5("note"))
+    return split.select("pat_deid", "note_key", "effective_time", F.posexplode(sentence_split("note")).alias("idx", "sentence"))
+
+
+def trim(rows: DataFrame, terms: DataFrame | None, n: int = 2) -> DataFrame:
+    """t_trim / w_neighborhood: the sentences within n places of a mentioning one;
+    ``terms`` None keeps every sentence (the reference's with_vocabulary=False)."""
+    if terms is None:
+        return rows
+    key = ["pat_deid", "note_key", "effective_time", "idx"]
+    hit = mentioning(rows.withColumn("sentence", F.lower("sentence")), key, "sentence", terms)
+    near = hit.select(*key[:3], F.explode(F.sequence(F.col("idx") - n, F.col("idx") + n)).alias("idx")).distinct()
+    return rows.join(near, key, "left_semi")
+
+
+def patient_sentences(trimmed: DataFrame, order: Sequence[str] = FIRST_ORDER) -> DataFrame:
+    """(pat_deid, sentence, first_at): a patient's distinct sentences with the place of
+    their first occurrence (time, md5 of the note as a stable tie-break, position).
+
+    Rows are grouped by (patient, hash of the sentence); the sentence itself is fetched
+    for the first occurrence alone."""
     key = F.struct(*[F.col(c) for c in order], F.col("idx"))
-    return ex.groupBy("pat_deid", "sentence").agg(F.min(key).alias("first_at"))
-
-
-def patient_note(trimmed: DataFrame, outcomes: DataFrame | None = None,
-                 order: Sequence[str] = ("effective_time", "note_key")) -> DataFrame:
-    """t_patient_note: time-ordered concatenation of a patient's sentence lists,
-    order-preserving dedupe, '[SEP]' join; right join to the outcome table keeps
-    patients without a note (their text is null)."""
-    ps = patient_sentences(trimmed, order)
-    agg = (ps.groupBy("pat_deid")
-           .agg(F.array_sort(F.collect_list(F.struct("first_at", "sentence"))).alias("_s"))
-           .select("pat_deid", join_sep(F.transform("_s", lambda x: x["sentence"])).alias("sentence_list")))
-    if outcomes is None:
-        return agg
-    return agg.join(outcomes, "pat_deid", "right")
-
-
-def lev_ratio(a: Column, b: Column) -> Column:
-    """1 - levenshtein / max length (the default near-duplicate similarity)."""
-    m = F.greatest(F.length(a), F.length(b))
-    return 1 - F.levenshtein(a, b) / m
-
-
-def near_dup_expr(sentences: Column, threshold: float = 0.8) -> Column:
-    """t_near_dup: greedy fold, keep a sentence iff its similarity to every kept
-    sentence is below the threshold. Pruned: pairs whose length ratio is below
-    the threshold cannot reach it; the bounded Levenshtein stops early."""
-    def similar(s, k):
-        ls, lk = F.length(s), F.length(k)
-        mx, mn = F.greatest(ls, lk), F.least(ls, lk)
-        budget = F.floor(mx * (1 - threshold) + 1e-9).cast("int")
-        d = F.call_function("levenshtein", s, k, budget)
-        return (mn >= mx * threshold - 1e-9) & (d >= 0) & ((1 - d / mx) >= threshold)
-    empty = F.array().cast("array<string>")
-    return F.aggregate(sentences, empty,
-                       lambda acc, s: F.when(F.exists(acc, lambda k: similar(s, k)), acc)
-                       .otherwise(F.concat(acc, F.array(s))))
-
-
-def near_dup(df: DataFrame, col: str = "sentence_list", threshold: float = 0.8,
-             sep: str = SEP) -> DataFrame:
-    """Apply t_near_dup to a '[SEP]'-joined column; result joined with newlines."""
-    s = F.split(F.col(col), "\\[SEP\\]") if sep == SEP else F.split(F.col(col), sep)
-    return df.withColumn(col, F.array_join(near_dup_expr(s, threshold), "\n"))
-
-
-def shorten_gaps(df: DataFrame, text_col: str, terms: Sequence[str], out: str = "g") -> DataFrame:
-    """t_shorten_gaps: split on blank-line/newline; between consecutive
-    mentioning sentences y < y+x with x > 3, delete y+2 .. y+x-2.
-    The sentence array and the hit positions are let-bound (computed once)."""
-    def with_idx(s):
-        h = sentence_hits(s, terms)
-        return let(h, lambda hh: F.filter(F.sequence(F.lit(0), F.size(s) - 1),
-                                          lambda i: F.element_at(hh, i + 1)))
-
-    def body(s):
-        def keep(idx):
-            def k(x, i):
-                prev = F.array_max(F.filter(idx, lambda j: j < i))
-                nxt = F.array_min(F.filter(idx, lambda j: j > i))
-                # i is not a hit, so prev/nxt are consecutive hits around it
-                gone = (~F.array_contains(idx, i) & prev.isNotNull() & nxt.isNotNull()
-                        & (nxt - prev > 3) & (i >= prev + 2) & (i <= nxt - 2))
-                return ~F.coalesce(gone, F.lit(False))
-            return F.filter(s, k)
-        return let(with_idx(s), keep)
-    return df.withColumn(out, let(F.split(F.col(text_col), "\n\n|\n"), body))
-
-
-def shorten_budget(df: DataFrame, sent_col: str, terms: Sequence[str], max_length: int = 512,
-                   overshoot: int = 2, out: str = "kept") -> DataFrame:
-    """t_shorten_budget: if still over budget, drop the longest non-mention
-    sentences (length desc, then position): the smallest prefix of that order
-    whose words cover the excess, plus ``overshoot`` more (2 = reference)."""
-    def body(s):
-        n = word_count_clean(F.array_join(s, "\n"))
-
-        def with_n(nn):
-            def with_hits(h):
-                cand = F.array_sort(F.filter(
-                    F.transform(s, lambda x, i: F.struct((-word_count_clean(x)).alias("neg"),
-                                                         i.alias("i"),
-                                                         F.element_at(h, i + 1).alias("hit"))),
-                    lambda r: ~r["hit"]))
-
-                def with_cand(c):
-                    cum = F.aggregate(c, F.array(F.lit(0).cast("bigint")),
-                                      lambda acc, r: F.concat(acc, F.array(F.element_at(acc, -1) - r["neg"])))
-                    k = F.size(F.filter(cum, lambda v: v < nn - max_length)) - 1
-                    drop = F.transform(F.slice(c, 1, F.greatest(k + 1 + overshoot, F.lit(1))),
-                                       lambda r: r["i"])
-                    return let(drop, lambda d: F.filter(s, lambda x, i: ~F.array_contains(d, i)))
-                return let(cand, with_cand)
-            return F.when(nn > max_length, let(sentence_hits(s, terms), with_hits)).otherwise(s)
-        return let(n, with_n)
-    return df.withColumn(out, let(F.col(sent_col), body))
-
-
-def _minhash_bands(s: Column, n_hash: int = 8, rows: int = 2) -> Column:
-    """Band keys of a sentence: min over its 3-character shingles of
-    md5(k|shingle) for k < n_hash, grouped ``rows`` hashes per band."""
-    def with_shingles(sh):
-        mh = [F.array_min(F.transform(sh, lambda g, k=k: F.md5(F.concat(F.lit(f"{k}|"), g))))
-              for k in range(n_hash)]
-        return F.array(*[F.md5(F.concat_ws("|", F.lit(f"b{b}"), *mh[b * rows:(b + 1) * rows]))
-                         for b in range(n_hash // rows)])
-    shingles = F.transform(F.sequence(F.lit(1), F.greatest(F.length(s) - 2, F.lit(1))),
-                           lambda p: F.substring(s, p, 3))
-    return let(shingles, with_shingles)
-
-
-def near_dup_lsh(df: DataFrame, col: str = "sentence_list", threshold: float = 0.8,
-                 n_hash: int = 8, rows: int = 2) -> DataFrame:
-    """t_near_dup_lsh: the greedy fold where only sentences sharing a MinHash
-    band with a kept sentence are compared (bounded Levenshtein), so the
-    quadratic edit-distance work shrinks to candidate pairs; no pair table is
-    ever materialised."""
-    def similar(s, k):
-        ls, lk = F.length(s), F.length(k)
-        mx, mn = F.greatest(ls, lk), F.least(ls, lk)
-        budget = F.floor(mx * (1 - threshold) + 1e-9).cast("int")
-        d = F.call_function("levenshtein", s, k, budget)
-        return (mn >= mx * threshold - 1e-9) & (d >= 0) & ((1 - d / mx) >= threshold)
-    items = F.transform(F.split(F.col(col), "\\[SEP\\]"),
-                        lambda x: F.struct(x.alias("s"), _minhash_bands(x, n_hash, rows).alias("b")))
-    empty = F.array().cast("array<struct<s:string,b:array<string>>>")
-    kept = F.aggregate(items, empty, lambda acc, x: F.when(
-        F.exists(acc, lambda k: F.arrays_overlap(k["b"], x["b"]) & similar(x["s"], k["s"])), acc)
-        .otherwise(F.concat(acc, F.array(x))))
-    return df.withColumn(col, F.array_join(F.transform(kept, lambda e: e["s"]), "\n"))
+    rows = trimmed.select("pat_deid", key.alias("first_at"), F.xxhash64("sentence").alias("h1"),
+                          F.xxhash64(F.lit(7), "sentence").alias("h2"), "sentence")
+    first = rows.groupBy("pat_deid", "h1", "h2").agg(F.min("first_at").alias("first_at"))
+    return rows.join(first, ["pat_deid", "h1", "h2", "first_at"], "left_semi").select(
+        "pat_deid", "sentence", "first_at").dropDuplicates(["pat_deid", "first_at"])
+
+
+def joined(rows: DataFrame, sep: str, out: str, key: str = "pat_deid", order: str = "first_at", text: str = "sentence",
+           *more: Column) -> DataFrame:
+    """The texts of a key in order, joined: the output format of the patient notes."""
+    held = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(text).alias("t"))))
+    return rows.groupBy(key).agg(held.alias("_s"), *more).withColumn(
+        out, F.array_join(F.transform("_s", lambda x: x["t"]), sep)).drop("_s")
+
+
+def patient_note(rows: DataFrame, outcomes: DataFrame | None = None) -> DataFrame:
+    """t_patient_note: a patient's distinct sentences joined by '[SEP]'; with outcomes,
+    patients without a sentence keep a null text."""
+    agg = joined(rows, SEP, "sentence_list").select("pat_deid", "sentence_list")
+    return agg if outcomes is None else agg.join(outcomes, "pat_deid", "right")
+
+
+def text_sentences(df: DataFrame, text_col: str, terms: DataFrame) -> DataFrame:
+    """(pat_deid, i, x, hit): the lines of a patient's text and whether each mentions a term."""
+    rows = df.select("pat_deid", F.posexplode(F.split(F.col(text_col), "\n\n|\n")).alias("i", "x"))
+    hits = mentioning(rows.withColumn("x", F.lower("x")), ["pat_deid", "i"], "x", terms).withColumn("hit", F.lit(True))
+    return rows.join(hits, ["pat_deid", "i"], "left").withColumn("hit", F.coalesce("hit", F.lit(False)))
+
+
+def shorten_gaps(lines: DataFrame) -> DataFrame:
+    """t_shorten_gaps / w_gap_delete: between consecutive mentioning lines y < z with
+    z - y > 3, lines y+2 .. z-2 go. One pass forwards and one backwards carry the mention
+    before and after each line along; ``i`` is numbered anew."""
+    w = Window.partitionBy("pat_deid").orderBy("i")
+    at = F.when(F.col("hit"), F.col("i"))
+    before = F.last(at, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    after = F.first(at, ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))
+    kept = lines.withColumn("_y", before).withColumn("_z", after).where(
+        F.col("hit") | F.col("_y").isNull() | F.col("_z").isNull() | (F.col("_z") - F.col("_y") <= 3)
+        | (F.col("i") < F.col("_y") + 2) | (F.col("i") > F.col("_z") - 2))
+    return kept.withColumn("i", F.row_number().over(w) - 1).drop("_y", "_z")
+
+
+def shorten_budget(lines: DataFrame, max_length: int = 512, overshoot: int = 2) -> DataFrame:
+    """t_shorten_budget / w_cumsum_budget: adds ``dropped``. If the lines are still over
+    the budget, the longest lines without a mention go (then the earliest): as many as
+    cover the excess, and ``overshoot`` more (2 as the reference). ``i`` numbers the lines."""
+    rows = lines.withColumn("_n", word_count_clean("x"))
+    whole = Window.partitionBy("pat_deid")
+    rows = rows.withColumn("_excess", F.sum("_n").over(whole) - max_length)
+    order = Window.partitionBy("pat_deid", "hit").orderBy(F.desc("_n"), "i")
+    rows = (rows.withColumn("_r", F.row_number().over(order))
+            .withColumn("_cum", F.sum("_n").over(order.rowsBetween(Window.unboundedPreceding, 0))))
+    short = F.sum((F.col("_cum") < F.col("_excess")).cast("int")).over(Window.partitionBy("pat_deid", "hit"))
+    return rows.withColumn("dropped", ~F.col("hit") & (F.col("_excess") > 0) & (F.col("_r") <= short + 1 + overshoot)).drop(
+        "_n", "_excess", "_r", "_cum")

@@ -1,9 +1,8 @@
 """Vocabulary operators (v_*): assemble, occurrence, minimal terms, review
 drop, cross-class assignment, profile.
 
-Vocabularies are small (hundreds to a few thousand terms) but the notes they
-are matched against are not: matching is a per-note array filter (no join),
-followed by a partial aggregate per term.
+Terms are matched through the inverted index of ``match``, against notes or against
+each other, so neither a vocabulary nor the notes have a size limit.
 """
 from __future__ import annotations
 
@@ -13,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .relational import add_new_terms
-from .text import doc_terms, term_list
+from .match import term_hits
 
 CLASSES = ["class_1", "class_2", "class_3", "class_4"]
 
@@ -37,34 +36,30 @@ def occurrence(vocab: DataFrame, notes: DataFrame, outcomes: DataFrame) -> DataF
     """v_occurrence: per class, number of notes of that class's single-label
     patients containing the term (upper-cased containment); zero rows dropped.
 
-    Each note is matched against the whole vocabulary in one array pass, then
-    exploded (note, term) pairs are counted per term with a partial aggregate.
-    """
+    Notes are matched against the distinct terms once, with their class carried along."""
     v = vocab.select("name", "diagnose").distinct()
-    v = v.withColumn("term_id", F.dense_rank().over(Window.orderBy("name")) - 1)
-    names = term_list(v.select("name", "term_id").distinct(), "name", "term_id")
-    hits = doc_terms(single_label_notes(notes, outcomes).withColumnRenamed("note", "text"),
-                     names, "note_id", "text", fold="upper")
-    with_cls = hits.join(single_label_notes(notes, outcomes).select("note_id", "diagnose"),
-                         "note_id")
-    counts = with_cls.groupBy("term_id", "diagnose").agg(
-        F.count_distinct("note_id").alias("occurence"))
-    return v.join(counts, ["term_id", "diagnose"]).select("name", "diagnose", "occurence")
+    terms = v.select(F.col("name").alias("term_id"), F.upper("name").alias("term")).distinct()
+    sl = single_label_notes(notes, outcomes).withColumn("note", F.upper("note"))
+    hits = term_hits(sl, ["note_id", "diagnose"], "note", terms)
+    counts = hits.groupBy(F.col("term_id").alias("name"), "diagnose").agg(F.count_distinct("note_id").alias("occurence"))
+    return v.join(counts, ["name", "diagnose"]).select("name", "diagnose", "occurence")
 
 
 def minimal_terms(terms: DataFrame, col: str = "name", by: Sequence[str] = ()) -> DataFrame:
-    """v_minimal_terms / j_term_nested: lower-case, drop 'nan'/null, unique,
-    then drop every term that contains another term (within ``by`` groups).
-
-    The vocabulary is size-checked by the caller; the containment anti-join is
-    a nested-loop join on that small side."""
+    """v_minimal_terms / j_term_nested: lower-case, drop 'nan'/null, unique, then drop
+    every term that contains another term (within ``by`` groups). Terms are matched
+    against each other through the index; an equi anti join drops the containing ones."""
     t = (terms.select(*by, F.lower(col).alias("name"))
          .where(F.col("name").isNotNull() & (F.col("name") != "nan")).distinct())
-    o = t.select(*[F.col(b).alias("_" + b) for b in by], F.col("name").alias("_other"))
-    cond = (F.col("name") != F.col("_other")) & F.col("name").contains(F.col("_other"))
-    for b in by:
-        cond = cond & (F.col(b) == F.col("_" + b))
-    return t.join(F.broadcast(o), cond, "left_anti")
+    names = t.select("name").distinct()
+    nested = (term_hits(names.withColumn("text", F.col("name")), ["name"], "text",
+                        names.select(F.col("name").alias("term_id"), F.col("name").alias("term")))
+              .where(F.col("name") != F.col("term_id")))
+    if not by:
+        return t.join(nested, "name", "left_anti")
+    inner = t.withColumnRenamed("name", "term_id")
+    outer = t.join(nested, "name").join(inner, [*by, "term_id"], "left_semi")
+    return t.join(outer, [*by, "name"], "left_anti")
 
 
 def feedback_drop(vocab: DataFrame, reviewed: DataFrame) -> DataFrame:

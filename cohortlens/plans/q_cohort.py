@@ -25,9 +25,15 @@ def sym(t):
     return C.dx_short(opx(t))
 
 
+def noted(t):
+    """Labelled events of patients with a note in their window; ids and times of the
+    notes decide, their texts are not read."""
+    return C.has_note(sym(t), C.notes_in_window(anchor_sym(t), t.notes.select("pat_deid", "encounter_date")))
+
+
 def symu(t):
     """Outcomes count only patients with a note in their window."""
-    return O.symptom_unique(C.has_note(sym(t), notewin(t)))
+    return O.symptom_unique(noted(t))
 
 
 def anchor_sym(t):
@@ -109,9 +115,10 @@ def o_table_2(t):
     return O.table_2(symu(t))
 
 
-@query("o_table_3", chain(*SYMS) + _sum_sql("sym"))
+@query("o_table_3", chain(*SYMS, SYMU, "noted as (select * from sym where pat_deid in (select pat_deid from symu))")
+       + _sum_sql("noted"))
 def o_table_3(t):
-    return O.table_3(sym(t))
+    return O.table_3(noted(t))
 
 
 @query("c_acu_anchor", chain(*COHORT, ANCHOR)

@@ -7,29 +7,31 @@ from pyspark.sql import functions as F
 
 from ..operators import graph as G
 from ..operators import text as T
-from ..session import checkpoint_dir
+from ..session import checkpoint_dir, cut_lineage
 from ..sources import tables as IO
-from .q_text import SQL_LEX, lex_terms
+from .q_split import LK, split_table
+from .q_text import DOC_TERM_SQL, doc_terms, wnotes
 from .registry import query
 
 W = G.WINDOW
 
 
-def term_lists(t):
-    return T.doc_term_lists(t.notes, lex_terms(t))
+def terms(t):
+    """Terms of every note, written once for the several counts made of them."""
+    return t.memo("graph_terms", lambda: cut_lineage(doc_terms(t)))
 
 
-def wins(t):
-    return G.windows(term_lists(t), W)
+def doc_word(t):
+    return G.doc_word_edges(doc_terms(t))
 
 
-def doc_word(t):
-    return G.doc_word_edges(T.doc_terms(t.notes, lex_terms(t)))
+def wins(t):
+    return G.windows(terms(t), t.notes, W)
 
 
-TL = ("tl as (select note_id, list_filter(range(0, " + str(len(SQL_LEX)) + "), lambda i: "
-      "contains(upper(replace(note, 'ß', 'SS')), upper([" + ", ".join(f"'{w}'" for w in SQL_LEX)
-      + "][i + 1]))) as terms from notes)")
+TL = ("dt as (" + DOC_TERM_SQL + "),\ntl as (select n.note_id, coalesce(list(d.term_id order by d.term_id) "
+      "filter (where d.term_id is not null), []) as terms from {notes} n left join dt d on n.note_id = d.note_id "
+      "group by n.note_id)")
 WINS = f"""wins as (select note_id, w, terms[start + 1: start + {W}] as win from
   (select note_id, terms, unnest(range(0, greatest(len(terms) - {W}, 0) + 1)) as start,
           generate_subscripts(range(0, greatest(len(terms) - {W}, 0) + 1), 1) - 1 as w from tl) z)"""
@@ -41,7 +43,7 @@ PAIRS = """pairs as (select a.t as i, b.t as j, count(*) as count from
   on a.note_id = b.note_id and a.w = b.w and a.t <> b.t group by a.t, b.t)"""
 PMI = """pmi as (select p.i, p.j, ln(p.count * (select count(*) from wins)::double / (fi.freq * fj.freq)) as weight
   from pairs p join freq fi on p.i = fi.term join freq fj on p.j = fj.term)"""
-BASE = "with " + TL + ",\n" + WINS + ",\n" + FREQ + ",\n" + PAIRS + ",\n" + PMI + "\n"
+BASE = "with " + TL.replace("{notes}", "notes") + ",\n" + WINS + ",\n" + FREQ + ",\n" + PAIRS + ",\n" + PMI + "\n"
 DW = ("dw as (select distinct note_id as doc, unnest(terms) as term, 1.0 as weight from tl)")
 
 
@@ -63,25 +65,25 @@ def w_sliding(t):
 
 @query("g_window_freq", BASE + "select * from freq")
 def g_window_freq(t):
-    return G.window_freq(wins(t))
+    return G.window_freq(terms(t), W)
 
 
 @query("g_pair_count", BASE + "select * from pairs")
 def g_pair_count(t):
-    return G.pair_count(wins(t))
+    return G.pair_count(terms(t), W)
 
 
 @query("j_pair_window", BASE + "select count(*) as n_pairs, cast(sum(count) as bigint) as n_window_pairs "
        "from pairs")
 def j_pair_window(t):
-    p = G.pair_count(wins(t))
+    p = G.pair_count(terms(t), W)
     return p.agg(F.count(F.lit(1)).alias("n_pairs"),
                  F.sum("count").cast("bigint").alias("n_window_pairs"))
 
 
 @query("g_pmi", BASE + "select i, j, round(weight, 6) as weight from pmi where weight > 0")
 def g_pmi(t):
-    return G.pmi(wins(t)).withColumn("weight", F.round("weight", 6))
+    return G.pmi(terms(t), t.notes, W).withColumn("weight", F.round("weight", 6))
 
 
 @query("g_doc_word", BASE.rstrip() + ",\n" + DW + "\nselect * from dw")
@@ -89,14 +91,12 @@ def g_doc_word(t):
     return doc_word(t)
 
 
-@query("g_nonzero", BASE + f"""select note_id as row, j as col, 1.0 as weight from
-  (select note_id, terms, unnest(range(0, {len(SQL_LEX)})) as j from tl) z
-  where list_contains(terms, j)""")
+@query("g_nonzero", BASE + "select note_id as row, unnest(terms) as col, 1.0 as weight from tl")
 def g_nonzero(t):
-    dense = term_lists(t).select(
-        F.col("note_id").alias("row"),
-        F.transform(F.sequence(F.lit(0), F.lit(len(SQL_LEX) - 1)),
-                    lambda j: F.when(F.array_contains("terms", j), 1.0).otherwise(0.0)).alias("values"))
+    v = t.note_terms.count()
+    held = doc_terms(t).groupBy(F.col("note_id").alias("row")).agg(F.collect_set("term_id").alias("_t"))
+    dense = held.select("row", F.transform(F.sequence(F.lit(0), F.lit(v - 1)), lambda j: F.when(
+        F.array_contains("_t", j), 1.0).otherwise(0.0)).alias("values"))
     return G.nonzero(dense)
 
 
@@ -105,18 +105,30 @@ select term as src, doc as dst, 'in' as etype, weight from dw
 union all select i, j, 'co-occur', round(weight, 6) from pmi where weight > 0
 union all select doc, term, 'contains', weight from dw""")
 def g_hetero_graph(t):
-    g = G.hetero_graph(doc_word(t), G.pmi(wins(t)))
+    g = G.hetero_graph(G.doc_word_edges(terms(t)), G.pmi(terms(t), t.notes, W))
     return g.withColumn("weight", F.round("weight", 6))
 
 
-@query("g_save")
+# g_save: PMI edges of the training notes alone, and each split's own note-term edges.
+SAVE_SQL = (LK.rstrip() + ",\ntrain_notes as (select * from wnotes where pat_deid in (select pat_deid from sp where split = 'train')),\n"
+            + TL.replace("{notes}", "train_notes") + ",\n" + WINS + ",\n" + FREQ + ",\n" + PAIRS + ",\n" + PMI + """
+select 'pmi' as part, 'train' as split, count(*) as n_edges, round(sum(weight), 4) as weight from pmi where weight > 0 having count(*) > 0
+union all select 'doc_word', sp.split, count(*), cast(count(*) as double) from dt join wnotes n on dt.note_id = n.note_id
+join sp on n.pat_deid = sp.pat_deid group by sp.split""")
+
+
+@query("g_save", SAVE_SQL)
 def g_save(t):
     root = f"{checkpoint_dir(t.spark).rstrip('/')}/graph/{uuid.uuid4().hex}"
-    IO.write_table(G.pmi(wins(t)), root + "/pmi")
-    IO.write_table(doc_word(t), root + "/doc_word")
-    a = t.spark.read.parquet(root + "/pmi").select(F.lit("pmi").alias("part"))
-    b = t.spark.read.parquet(root + "/doc_word").select(F.lit("doc_word").alias("part"))
-    return a.unionByName(b).groupBy("part").agg(F.count(F.lit(1)).alias("n_edges"))
+    notes = cut_lineage(wnotes(t).join(split_table(t).select("pat_deid", "split"), "pat_deid"))
+    found = cut_lineage(T.doc_terms(notes, t.note_terms))
+    train = notes.where("split = 'train'")
+    IO.write_table(G.pmi(found.join(train.select("note_id"), "note_id", "left_semi"), train, W), root + "/pmi")
+    IO.write_table(G.doc_word_edges(found).join(notes.select(F.col("note_id").alias("doc"), "split"), "doc"),
+                   root + "/doc_word", partition_by=["split"])
+    a = t.spark.read.parquet(root + "/pmi").select(F.lit("pmi").alias("part"), F.lit("train").alias("split"), "weight")
+    b = t.spark.read.parquet(root + "/doc_word").select(F.lit("doc_word").alias("part"), "split", "weight")
+    return a.unionByName(b).groupBy("part", "split").agg(F.count(F.lit(1)).alias("n_edges"), F.round(F.sum("weight"), 4).alias("weight"))
 
 
 def feats(t):

@@ -1,12 +1,17 @@
 """Registered split queries (2.10 x_*) over the outcome table of the cohort."""
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators import split as S
 from ..operators import text as T
 from ..operators import vocab as V
-from .q_relational import LABEL_KEY, T1_BASE, t1
+from ..session import checkpoint_dir, cut_lineage
+from ..sources import tables as IO
+from .q_relational import LABEL_KEY, SPLIT_SQL, t1
+from .q_text import WBASE, wnotes
 from .registry import query
 
 SEED = 42
@@ -16,7 +21,7 @@ K = 4
 
 
 def labelled(t):
-    o = t1(t)
+    o = t.memo("labelled", lambda: cut_lineage(t1(t)))
     key = F.concat_ws("", *[F.col(f"class_{i}").cast("string") for i in range(1, 5)])
     return o.select("pat_deid", key.alias("label_key"))
 
@@ -31,7 +36,7 @@ def train_ids(t):
 
 
 H = "md5(cast(pat_deid as varchar) || '42'), pat_deid"
-LK = T1_BASE + f""", lk as (select pat_deid, {LABEL_KEY} as label_key from t1),
+LK = WBASE + f""", lk as (select pat_deid, {LABEL_KEY} as label_key from t1),
 sp as (select pat_deid, label_key, case when rk <= round(n * {TEST_FRAC}) then 'test' else 'train'
          end as split from (select *, row_number() over (partition by label_key order by {H}) as rk,
          count(*) over (partition by label_key) as n from lk) r),
@@ -70,38 +75,45 @@ def x_fold_expand(t):
 
 
 @query("x_apply_split", LK + """select n.note_id, n.pat_deid, t1.class_1, t1.class_2, t1.class_3,
-  t1.class_4 from notes n join t1 on n.pat_deid = t1.pat_deid
+  t1.class_4 from wnotes n join t1 on n.pat_deid = t1.pat_deid
   where n.pat_deid in (select pat_deid from sp where split = 'test')""")
 def x_apply_split(t):
     ids = split_table(t).where(F.col("split") == "test")
-    out = S.apply_split(t.notes.select("note_id", "pat_deid"), t1(t).drop("classes", "total"), ids)
+    out = S.apply_split(wnotes(t).select("note_id", "pat_deid"), t1(t).drop("classes", "total"), ids)
     return out
 
 
-# x_train_only_vocab: the vocabulary is refit on the train split only (terms
-# that occur in train notes of their class), then applied to the test notes.
-SL_TRAIN = """sl as (select n.note_id, n.note, case when t1.class_1 = 1 then 'class_1'
+# x_train_only_vocab: the vocabulary is refit on the train split only (terms that occur in
+# train notes of their class) and written as a table; both splits then go through the
+# mention filter, trimming and the patient notes with it. An empty vocabulary mentions
+# nothing, so no patient has a note.
+TRAIN_VOCAB = """, sl as (select n.note_id, n.note, case when t1.class_1 = 1 then 'class_1'
     when t1.class_2 = 1 then 'class_2' when t1.class_3 = 1 then 'class_3' else 'class_4' end as diagnose
-  from notes n join t1 on n.pat_deid = t1.pat_deid
+  from wnotes n join t1 on n.pat_deid = t1.pat_deid
   where t1.class_1 + t1.class_2 + t1.class_3 + t1.class_4 = 1
     and n.pat_deid in (select pat_deid from sp where split = 'train')),
-occ as (select v.term as name, v.class as diagnose, count(distinct sl.note_id) as occurence
-  from lexicon v join sl on v.class = sl.diagnose
-   and contains(upper(replace(sl.note, 'ß', 'SS')), upper(v.term)) group by v.term, v.class)
-"""
-
-
-@query("x_train_only_vocab", LK + ", " + SL_TRAIN + """select n.note_id, n.pat_deid
-from notes n where n.pat_deid in (select pat_deid from sp where split = 'test')
-  and exists (select 1 from occ where contains(lower(n.note), lower(occ.name)))""")
+occ as (select distinct lower(v.term) as name from lexicon v join sl on v.class = sl.diagnose
+   and contains(upper(replace(sl.note, 'ß', 'SS')), upper(v.term))),
+ment as (select distinct pat_deid, note, effective_time, md5(note) as note_key from wnotes
+  where exists (select 1 from occ where contains(lower(note), occ.name))),
+sen as (select pat_deid, note_key, effective_time, unnest(l) as sentence, generate_subscripts(l, 1) - 1 as idx
+  from (select *, """ + SPLIT_SQL.replace("{x}", "note") + """ as l from ment) z),
+hit as (select distinct s.pat_deid, s.note_key, s.effective_time, s.idx from sen s join occ on contains(lower(s.sentence), occ.name)),
+tr as (select distinct s.* from sen s join hit h on s.pat_deid = h.pat_deid and s.note_key = h.note_key
+  and s.effective_time = h.effective_time and abs(s.idx - h.idx) <= 2),
+ps as (select * from tr qualify row_number() over (partition by pat_deid, sentence order by effective_time, note_key, idx) = 1)
+select ps.pat_deid, sp.split, string_agg(ps.sentence, '[SEP]' order by ps.effective_time, ps.note_key, ps.idx) as sentence_list
+from ps join sp on ps.pat_deid = sp.pat_deid group by ps.pat_deid, sp.split"""
+
+
+@query("x_train_only_vocab", LK + TRAIN_VOCAB)
 def x_train_only_vocab(t):
-    ids = split_table(t)
-    o = t1(t)
-    train_notes = t.notes.join(ids.where(F.col("split") == "train").select("pat_deid"),
-                               "pat_deid", "left_semi")
-    vocab = V.occurrence(t.lexicon.select(F.col("term").alias("name"),
-                                          F.col("class").alias("diagnose")), train_notes, o)
-    terms = T.term_list(vocab.select("name").distinct(), "name", "name")
-    test_notes = t.notes.join(ids.where(F.col("split") == "test").select("pat_deid"),
-                              "pat_deid", "left_semi")
-    return test_notes.where(T.has_mention("note", terms)).select("note_id", "pat_deid")
+    ids = cut_lineage(split_table(t).select("pat_deid", "split"))
+    train = wnotes(t).join(ids.where("split = 'train'"), "pat_deid", "left_semi")
+    seed = t.lexicon.select(F.col("term").alias("name"), F.col("class").alias("diagnose"))
+    fitted = V.occurrence(seed, train, t1(t)).select(F.lower("name").alias("term")).distinct()
+    path = f"{checkpoint_dir(t.spark).rstrip('/')}/vocabulary/{uuid.uuid4().hex}"
+    IO.write_table(fitted.select(F.col("term").alias("term_id"), "term"), path)
+    terms = t.spark.read.schema("term_id string, term string").parquet(path)
+    rows = T.trim(T.sentences(T.mention_filter(wnotes(t), terms)), terms)
+    return T.patient_note(T.patient_sentences(rows)).join(ids, "pat_deid").select("pat_deid", "split", "sentence_list")

@@ -1,35 +1,43 @@
-"""Registered text queries (2.9 t_*): the note preprocessing chain over the
-fixture notes, with the test lexicon as vocabulary."""
+"""Registered text queries (2.9 t_*): the note preprocessing chain over the notes of
+outcome patients in their window, with the test lexicon as vocabulary."""
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from ..functions import text as TX
+from ..operators import cohort as C
+from ..operators import neardup as ND
 from ..operators import relational as R
 from ..operators import text as T
 from ..operators import vocab as V
-from ..sources.fixtures import LEXICON
+from ..operators.match import mentioning
+from ..session import cut_lineage
+from .q_cohort import ANCHOR_SYM, NOTE_TYPES_KEEP, notewin
 from .q_relational import CLEAN_PHRASES, SPLIT_SQL, T1_BASE, WCC, clean_sql, t1
 from .registry import query
+from .sqlfrag import NOTEWIN
 
 MAX_WORDS = 512
 
 
-def lex_terms(t) -> list[str]:
-    """Lexicon terms in term_id order (size-checked collect of a small table)."""
-    return t.memo("lex_terms", lambda: T.term_list(t.lexicon, "term", "term_id"))
+def vocab_terms(t):
+    """(term_id, term): the lexicon's minimal terms (no term contains another)."""
+    return t.memo("vocab_terms", lambda: cut_lineage(V.minimal_terms(t.lexicon, "term").select(
+        F.col("name").alias("term_id"), F.col("name").alias("term"))))
 
 
-def vocab_terms(t) -> list[str]:
-    """Minimal vocabulary terms (no term contains another), sorted."""
-    return t.memo("vocab_terms", lambda: sorted(
-        T.term_list(V.minimal_terms(t.lexicon, "term"), "name", "name")))
+def wnotes(t):
+    """Notes of outcome patients, inside their window and of the kept types: what the
+    text chain, the vocabulary and the splits read."""
+    return t.memo("wnotes", lambda: cut_lineage(C.note_type_list(notewin(t), NOTE_TYPES_KEEP).join(
+        t1(t).select("pat_deid"), "pat_deid", "left_semi")))
 
 
-# Oracle side: the same lists restated from the fixture values.
-SQL_LEX = [x[1] for x in LEXICON]
-SQL_TERMS = sorted({a for a in (x.lower() for x in SQL_LEX)
-                    if not any(b != a and b in a for b in (y.lower() for y in SQL_LEX))})
+# Oracle side: the same chain restated; the minimal terms of the lexicon written out.
+SQL_TERMS = ["ach", "eau", "er", "naus", "oral", "pale", "sore", "sting", "tens", "tingl", "tion", " ha "]
+WNOTES = """wnotes as (select * from notewin where note_desc in ('ED Provider Notes', 'H&P', 'Discharge Summary')
+  and pat_deid in (select pat_deid from t1))"""
+WBASE = T1_BASE.rstrip() + ",\n" + ANCHOR_SYM + ",\n" + NOTEWIN + ",\n" + WNOTES + "\n"
 
 
 def mention_sql(x: str) -> str:
@@ -43,7 +51,7 @@ def _q(s: str) -> str:
 TRIM_SQL = ("list_filter({l}, lambda s, i: len(list_filter(range(greatest(i - 2, 1), "
             "least(i + 2, len({l})) + 1), lambda j: " + mention_sql("{l}[j]") + ")) > 0)")
 
-MENTIONS = f"""mentions as (select distinct pat_deid, note, effective_time from notes
+MENTIONS = f"""mentions as (select distinct pat_deid, note, effective_time from wnotes
   where {mention_sql('note')})"""
 TRIMMED = f"""trimmed as (select pat_deid, note, effective_time, md5(note) as note_key,
   {TRIM_SQL.replace('{l}', 'l')} as sentence_list
@@ -115,7 +123,7 @@ FINAL = f"""final as (select p.pat_deid, p.class_1, p.class_2, p.class_3, p.clas
   from pnote p left join neardup d on p.pat_deid = d.pat_deid
   left join budget b on p.pat_deid = b.pat_deid)"""
 
-TEXT_CHAIN = T1_BASE.rstrip() + ",\n" + ",\n".join([MENTIONS, TRIMMED, PSENT, PNOTE]) + "\n"
+TEXT_CHAIN = WBASE.rstrip() + ",\n" + ",\n".join([MENTIONS, TRIMMED, PSENT, PNOTE]) + "\n"
 
 
 def chain_sql(*more: str) -> str:
@@ -124,69 +132,76 @@ def chain_sql(*more: str) -> str:
 
 # ---------------------------------------------------------------- Spark chain
 def mentions(t):
-    return T.mention_filter(t.notes, vocab_terms(t))
+    return T.mention_filter(wnotes(t), vocab_terms(t))
+
+
+def note_sentences(t):
+    return T.sentences(mentions(t))
 
 
 def trimmed(t):
-    return T.trim(mentions(t), vocab_terms(t))
+    return T.trim(note_sentences(t), vocab_terms(t))
 
 
 def outcomes(t):
     return t1(t).drop("classes")
 
 
-def pnote(t):
-    return T.patient_note(trimmed(t), outcomes(t))
+def psent(t):
+    return T.patient_sentences(trimmed(t))
 
 
-def neardup(t):
-    return T.near_dup(pnote(t).where(F.col("sentence_list").isNotNull()))
+def neardup(t, lsh: bool = False):
+    kept = ND.near_dup(psent(t), lsh=lsh)
+    return T.joined(kept, "\n", "sentence_list").join(outcomes(t), "pat_deid")
 
 
-def cleaned(t):
-    c = neardup(t).select("pat_deid", TX.clean_text("sentence_list", CLEAN_PHRASES).alias("txt"))
+def cleaned(nd):
+    c = nd.select("pat_deid", TX.clean_text("sentence_list", CLEAN_PHRASES).alias("txt"))
     return c.withColumn("n_words", TX.word_count_clean("txt"))
 
 
-def gaps(t):
-    terms = vocab_terms(t)
-    c = cleaned(t).where(F.col("n_words") > MAX_WORDS)
-    return T.shorten_gaps(c, "txt", terms, "g").select("pat_deid", "n_words", "g")
-
-
-def budget(t):
-    terms = vocab_terms(t)
-    return T.shorten_budget(gaps(t), "g", terms, MAX_WORDS).select("pat_deid", "n_words", "kept")
-
-
-def final_notes(t):
-    """t_final_notes: shortened (cleaned) text for notes over the budget, the
-    near-dup text otherwise (clean='long_only' parity), n_words on the result;
-    every outcome patient. One pass: the near-dup fold is computed once and
-    both branches are columns of the same rows."""
-    terms = vocab_terms(t)
-    nd = neardup(t).select("pat_deid", F.col("sentence_list").alias("_merged"))
-    c = (nd.withColumn("txt", TX.clean_text("_merged", CLEAN_PHRASES))
-         .withColumn("_n", TX.word_count_clean("txt")))
-    long_ = F.col("_n") > MAX_WORDS
-    g = T.shorten_gaps(c.withColumn("txt", F.when(long_, F.col("txt"))), "txt", terms, "g")
-    k = T.shorten_budget(g, "g", terms, MAX_WORDS)
-    text = (k.select("pat_deid", F.when(long_, F.array_join("kept", "\n"))
-                     .otherwise(F.col("_merged")).alias("all_sentences_merged")))
-    out = outcomes(t).join(text, "pat_deid", "left")
+def gaps(t, c):
+    """(pat_deid, n_words, i, x, hit) of the cleaned texts over the budget."""
+    long_ = c.where(F.col("n_words") > MAX_WORDS)
+    lines = T.shorten_gaps(T.text_sentences(long_, "txt", vocab_terms(t)))
+    return lines.join(long_.select("pat_deid", "n_words"), "pat_deid")
+
+
+def budget(t, c):
+    return T.shorten_budget(gaps(t, c), MAX_WORDS)
+
+
+def kept_text(b):
+    """(pat_deid, txt) of the lines that the budget left; no line is an empty text."""
+    return T.joined(b.where("not dropped"), "\n", "txt", "pat_deid", "i", "x").join(
+        b.select("pat_deid").distinct(), "pat_deid", "right").withColumn("txt", F.coalesce("txt", F.lit("")))
+
+
+def final_notes(t, nd=None, b=None):
+    """t_final_notes: shortened (cleaned) text for notes over the budget, the near-dup
+    text otherwise (clean='long_only' parity), n_words on the result; every outcome patient."""
+    nd = cut_lineage(neardup(t)) if nd is None else nd
+    b = budget(t, cleaned(nd)) if b is None else b
+    out = (outcomes(t).join(nd.select("pat_deid", "sentence_list"), "pat_deid", "left")
+           .join(kept_text(b), "pat_deid", "left")
+           .withColumn("all_sentences_merged", F.coalesce("txt", "sentence_list")).drop("txt", "sentence_list"))
     return out.withColumn("n_words", TX.word_count_clean("all_sentences_merged"))
 
 
 # ---------------------------------------------------------------- registered
-DOC_TERM_SQL = ("select note_id, generate_subscripts(ids, 1) - 1 as pos, unnest(ids) as term_id "
-                "from (select note_id, list_filter(range(0, " + str(len(SQL_LEX)) + "), lambda i: "
-                "contains(upper(replace(note, 'ß', 'SS')), upper([" + ", ".join(f"'{w}'" for w in SQL_LEX)
-                + "][i + 1]))) as ids from notes) z")
+DOC_TERM_SQL = ("select note_id, row_number() over (partition by note_id order by term_id) - 1 as pos, term_id "
+                "from notes n join note_terms l on contains(upper(replace(n.note, 'ß', 'SS')), "
+                "upper(replace(l.term, 'ß', 'SS')))")
+
+
+def doc_terms(t):
+    return T.doc_terms(t.notes, t.note_terms)
 
 
 @query("t_doc_term", DOC_TERM_SQL)
 def t_doc_term(t):
-    return T.doc_terms(t.notes, lex_terms(t))
+    return doc_terms(t)
 
 
 @query("t_mention_filter", chain_sql() + "select * from mentions")
@@ -197,33 +212,33 @@ def t_mention_filter(t):
 @query("t_trim", chain_sql() + "select pat_deid, note_key, effective_time, "
        "array_to_string(sentence_list, '[SEP]') as trimmed from trimmed")
 def t_trim(t):
-    return trimmed(t).select("pat_deid", F.md5("note").alias("note_key"), "effective_time",
-                             TX.join_sep("sentence_list").alias("trimmed"))
+    key = ["pat_deid", "note_key", "effective_time"]
+    held = F.array_sort(F.collect_list(F.struct("idx", "sentence")))
+    texts = trimmed(t).groupBy(*key).agg(TX.join_sep(F.transform(held, lambda x: x["sentence"])).alias("trimmed"))
+    notes = mentions(t).select("pat_deid", F.md5("note").alias("note_key"), "effective_time")
+    return notes.join(texts, key, "left").withColumn("trimmed", F.coalesce("trimmed", F.lit("")))
 
 
 @query("w_neighborhood", chain_sql() + "select pat_deid, note_key, len(sentence_list) as n_kept, "
        "len(l) as n_all from (select *, " + SPLIT_SQL.replace("{x}", "note") + " as l from trimmed) z")
 def w_neighborhood(t):
-    tr = trimmed(t)
-    return tr.select("pat_deid", F.md5("note").alias("note_key"),
-                     F.size("sentence_list").alias("n_kept"),
-                     F.size(TX.sentence_split("note")).alias("n_all"))
+    key = ["pat_deid", "note_key", "effective_time"]
+    n = trimmed(t).groupBy(*key).agg(F.count(F.lit(1)).cast("int").alias("n_kept"))
+    notes = mentions(t).select("pat_deid", F.md5("note").alias("note_key"), "effective_time",
+                               F.size(TX.sentence_split("note")).alias("n_all"))
+    return notes.join(n, key, "left").select("pat_deid", "note_key", F.coalesce("n_kept", F.lit(0)).alias("n_kept"), "n_all")
 
 
 @query("t_patient_note", chain_sql() + "select * from pnote")
 def t_patient_note(t):
-    return pnote(t)
+    return T.patient_note(psent(t), outcomes(t))
 
 
 @query("a_collect_ordered", chain_sql() + "select pat_deid, string_agg(sentence, '[SEP]' order by "
        "effective_time, note_key, idx) as sentences, count(*) as n from psent group by pat_deid")
 def a_collect_ordered(t):
-    ps = T.patient_sentences(trimmed(t))
-    return (ps.groupBy("pat_deid")
-            .agg(F.array_sort(F.collect_list(F.struct("first_at", "sentence"))).alias("_s"),
-                 F.count(F.lit(1)).alias("n"))
-            .select("pat_deid", TX.join_sep(F.transform("_s", lambda x: x["sentence"])).alias("sentences"),
-                    "n"))
+    return T.joined(psent(t), "[SEP]", "sentences", "pat_deid", "first_at", "sentence",
+                    F.count(F.lit(1)).alias("n")).select("pat_deid", "sentences", "n")
 
 
 @query("t_near_dup", chain_sql(NEARDUP) + "select * from neardup")
@@ -233,7 +248,7 @@ def t_near_dup(t):
 
 @query("p_clean_text_notes", chain_sql(NEARDUP, CLEANED) + "select * from cleaned")
 def p_clean_text_notes(t):
-    return cleaned(t)
+    return cleaned(neardup(t))
 
 
 LEN_SQL = f"""select stage, count(n) as n, cast(max(n) as double) as max, cast(min(n) as double) as min,
@@ -249,10 +264,12 @@ group by stage"""
 
 @query("t_length_report", chain_sql(NEARDUP, CLEANED, GAPS, BUDGET, FINAL) + LEN_SQL)
 def t_length_report(t):
-    c = cleaned(t).select(F.lit("cleaned").alias("stage"), F.col("n_words").alias("n"))
-    b = budget(t).select(F.lit("long_shortened").alias("stage"),
-                         TX.word_count_clean(F.array_join("kept", "\n")).alias("n"))
-    f = final_notes(t).select(F.lit("final").alias("stage"), F.col("n_words").alias("n"))
+    nd = cut_lineage(neardup(t))
+    texts = cleaned(nd)
+    lines = cut_lineage(budget(t, texts))
+    c = texts.select(F.lit("cleaned").alias("stage"), F.col("n_words").alias("n"))
+    b = kept_text(lines).select(F.lit("long_shortened").alias("stage"), TX.word_count_clean("txt").alias("n"))
+    f = final_notes(t, nd, lines).select(F.lit("final").alias("stage"), F.col("n_words").alias("n"))
     n = F.col("n")
     return c.unionByName(b).unionByName(f).groupBy("stage").agg(
         F.count(n).alias("n"), F.max(n).cast("double").alias("max"),
@@ -266,30 +283,32 @@ def t_length_report(t):
 @query("t_shorten_gaps", chain_sql(NEARDUP, CLEANED, GAPS)
        + "select pat_deid, n_words, array_to_string(g, chr(10)) as txt, len(g) as n_sentences from gaps")
 def t_shorten_gaps(t):
-    return gaps(t).select("pat_deid", "n_words", F.array_join("g", "\n").alias("txt"),
-                          F.size("g").alias("n_sentences"))
+    g = gaps(t, cleaned(cut_lineage(neardup(t))))
+    return T.joined(g, "\n", "txt", "pat_deid", "i", "x", F.first("n_words").alias("n_words"),
+                    F.count(F.lit(1)).cast("int").alias("n_sentences")).select("pat_deid", "n_words", "txt", "n_sentences")
 
 
 @query("w_gap_delete", chain_sql(NEARDUP, CLEANED, GAPS)
        + "select pat_deid, len(g) as n_kept from gaps")
 def w_gap_delete(t):
-    return gaps(t).select("pat_deid", F.size("g").alias("n_kept"))
+    g = gaps(t, cleaned(cut_lineage(neardup(t))))
+    return g.groupBy("pat_deid").agg(F.count(F.lit(1)).cast("int").alias("n_kept"))
 
 
 @query("t_shorten_budget", chain_sql(NEARDUP, CLEANED, GAPS, BUDGET)
        + "select pat_deid, kept_txt as txt, "
        + WCC.replace("{x}", "kept_txt") + " as new_n_words from budget")
 def t_shorten_budget(t):
-    b = budget(t).select("pat_deid", F.array_join("kept", "\n").alias("txt"))
-    return b.withColumn("new_n_words", TX.word_count_clean("txt"))
+    b = cut_lineage(budget(t, cleaned(cut_lineage(neardup(t)))))
+    return kept_text(b).withColumn("new_n_words", TX.word_count_clean("txt"))
 
 
 @query("w_cumsum_budget", chain_sql(NEARDUP, CLEANED, GAPS, BUDGET)
        + "select g.pat_deid, (select count(*) from dropped d where d.pat_deid = g.pat_deid) "
          "as n_dropped from gaps g")
 def w_cumsum_budget(t):
-    return (budget(t).join(gaps(t).select("pat_deid", "g"), "pat_deid")
-            .select("pat_deid", (F.size("g") - F.size("kept")).alias("n_dropped")))
+    b = budget(t, cleaned(cut_lineage(neardup(t))))
+    return b.groupBy("pat_deid").agg(F.sum(F.col("dropped").cast("long")).alias("n_dropped"))
 
 
 @query("t_final_notes", chain_sql(NEARDUP, CLEANED, GAPS, BUDGET, FINAL)
@@ -327,7 +346,7 @@ LSH_SQL = ("array_to_string(list_transform(list_reduce(list_transform(string_spl
 @query("t_near_dup_lsh", chain_sql() + "select pat_deid, class_1, class_2, class_3, class_4, total, "
        + LSH_SQL + " as sentence_list from pnote where sentence_list is not null")
 def t_near_dup_lsh(t):
-    return T.near_dup_lsh(pnote(t).where(F.col("sentence_list").isNotNull()))
+    return neardup(t, lsh=True)
 
 
 # ------------------------------------------------------------ note types (NB2)
@@ -343,10 +362,16 @@ def c_type_share(t):
     return R.value_counts_norm(t.notes, "note_desc").where(F.col("share") >= 0.015)
 
 
+def relevant(t, notes):
+    """note_id of the notes that mention a term."""
+    return mentioning(notes.select("note_id", F.lower("note").alias("note")), ["note_id"], "note", vocab_terms(t))
+
+
 def _type_relevance(t, min_pct=50.0):
-    terms = vocab_terms(t)
     often = R.value_counts_norm(t.notes, "note_desc").where(F.col("share") >= 0.015).select("note_desc")
-    h = t.notes.join(often, "note_desc", "left_semi").select("note_desc", T.has_mention("note", terms).cast("double").alias("hit"))
+    hit = relevant(t, t.notes).withColumn("hit", F.lit(1.0))
+    h = (t.notes.select("note_id", "note_desc").join(often, "note_desc", "left_semi").join(hit, "note_id", "left")
+         .select("note_desc", F.coalesce("hit", F.lit(0.0)).alias("hit")))
     return (h.groupBy("note_desc").agg(F.round(F.avg("hit") * 100, 6).alias("pct"),
                                        F.sum("hit").alias("_hits"))
             .where((F.col("_hits") > 0) & (F.col("pct") >= min_pct)).drop("_hits"))
@@ -405,7 +430,7 @@ select r.pat_deid, r.note_id, r.pat_deid not in (select pat_deid from rel) as pa
 from removed r""")
 def c_relevant_notes(t):
     n = t.notes.select("pat_deid", "note_id", "note")
-    rel = n.where(T.has_mention("note", vocab_terms(t))).select("pat_deid", "note_id")
+    rel = n.join(relevant(t, n), "note_id", "left_semi").select("pat_deid", "note_id")
     removed = R.symdiff(n.select("pat_deid", "note_id"), rel)
     kept_pat = rel.select("pat_deid").distinct().withColumn("_k", F.lit(True))
     return (removed.join(kept_pat, "pat_deid", "left")

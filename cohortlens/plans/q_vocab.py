@@ -5,11 +5,10 @@ from pyspark.sql import functions as F
 
 from ..operators import cohort as C
 from ..operators import relational as R
-from ..operators import text as T
 from ..operators import vocab as V
 from .q_cohort import sym
-from .q_relational import T1_BASE, t1
-from .q_text import DOC_TERM_SQL, lex_terms
+from .q_relational import t1
+from .q_text import DOC_TERM_SQL, WBASE, doc_terms, wnotes
 from .registry import query
 from .sqlfrag import AE_CASE, SYMS, chain
 
@@ -64,9 +63,9 @@ def v_profile(t):
     return V.profile(assembled(t))
 
 
-SL = T1_BASE + """, sl as (select n.note_id, n.note, case when t1.class_1 = 1 then 'class_1'
+SL = WBASE + """, sl as (select n.note_id, n.note, case when t1.class_1 = 1 then 'class_1'
     when t1.class_2 = 1 then 'class_2' when t1.class_3 = 1 then 'class_3' else 'class_4' end as diagnose
-  from notes n join t1 on n.pat_deid = t1.pat_deid
+  from wnotes n join t1 on n.pat_deid = t1.pat_deid
   where t1.class_1 + t1.class_2 + t1.class_3 + t1.class_4 = 1)
 """
 OCC = """occ as (select v.name, v.diagnose, count(distinct sl.note_id) as occurence
@@ -79,28 +78,27 @@ ALLV = ("(select term as name, unnest(['class_1', 'class_2', 'class_3', 'class_4
 
 @query("v_occurrence", SL + ", " + OCC.format(vocab=LEXV) + " select * from occ")
 def v_occurrence(t):
-    return V.occurrence(seed_vocab(t), t.notes, t1(t))
+    return V.occurrence(seed_vocab(t), wnotes(t), t1(t))
 
 
-@query("v_minimal_terms", "select distinct lower(term) as name from lexicon a where not exists "
-       "(select 1 from lexicon b where lower(b.term) <> lower(a.term) "
-       "and contains(lower(a.term), lower(b.term)))")
+# Candidate terms are the frequent words and word pairs of the documents.
+@query("v_minimal_terms", "select distinct term as name from note_ngrams a where not exists "
+       "(select 1 from note_ngrams b where b.term <> a.term and contains(a.term, b.term))")
 def v_minimal_terms(t):
-    return V.minimal_terms(t.lexicon, "term")
+    return V.minimal_terms(t.note_ngrams, "term")
 
 
-@query("j_term_nested", "select distinct class, lower(term) as name from lexicon a where not exists "
-       "(select 1 from lexicon b where b.class = a.class and lower(b.term) <> lower(a.term) "
-       "and contains(lower(a.term), lower(b.term)))")
+@query("j_term_nested", "select distinct n_words, term as name from note_ngrams a where not exists "
+       "(select 1 from note_ngrams b where b.n_words = a.n_words and b.term <> a.term and contains(a.term, b.term))")
 def j_term_nested(t):
-    return V.minimal_terms(t.lexicon, "term", by=["class"])
+    return V.minimal_terms(t.note_ngrams, "term", by=["n_words"])
 
 
 @query("v_feedback_drop", SL + ", " + OCC.format(vocab=LEXV) + """, reviewed as
   (select name, diagnose from occ where occurence < 20)
   select * from occ where (name, diagnose) not in (select name, diagnose from reviewed)""")
 def v_feedback_drop(t):
-    occ = V.occurrence(seed_vocab(t), t.notes, t1(t))
+    occ = V.occurrence(seed_vocab(t), wnotes(t), t1(t))
     reviewed = occ.where(F.col("occurence") < 20)
     return V.feedback_drop(occ, reviewed)
 
@@ -114,19 +112,17 @@ def v_feedback_drop(t):
 def v_cross_class(t):
     allv = seed_vocab(t).select("name", F.explode(F.array(*[F.lit(c) for c in CLASSES]))
                                 .alias("diagnose"))
-    occ = V.occurrence(allv, t.notes, t1(t))
-    return V.cross_class(occ, V.class_sizes(t.notes, t1(t)))
+    occ = V.occurrence(allv, wnotes(t), t1(t))
+    return V.cross_class(occ, V.class_sizes(wnotes(t), t1(t)))
 
 
 @query("a_doc_freq", "select term_id, count(distinct note_id) as n_notes from (" + DOC_TERM_SQL
        + ") d group by term_id")
 def a_doc_freq(t):
-    d = T.doc_terms(t.notes, lex_terms(t))
-    return d.groupBy("term_id").agg(F.count_distinct("note_id").alias("n_notes"))
+    return doc_terms(t).groupBy("term_id").agg(F.count_distinct("note_id").alias("n_notes"))
 
 
-@query("j_term_contains", "select n.note_id, l.term_id from notes n join lexicon l "
-       "on contains(upper(replace(n.note, 'ß', 'SS')), upper(l.term))")
+@query("j_term_contains", "select note_id, term_id from (" + DOC_TERM_SQL + ") d")
 def j_term_contains(t):
-    return T.doc_terms(t.notes, lex_terms(t)).select("note_id", "term_id")
+    return doc_terms(t).select("note_id", "term_id")
 

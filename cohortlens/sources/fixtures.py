@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -29,6 +29,7 @@ def _n_patients(t) -> Column:
     return t.events.select(F.countDistinct("user_id")).scalar()
 
 
+# The reference's note types.
 NOTE_TYPES = {0: "ED Provider Notes", 1: "H&P", 2: "Discharge Summary",
               3: "Progress Notes"}
 
@@ -65,9 +66,11 @@ DX_BY_CODE = ["Acute abdominal pain", "Headache", "Nausea with vomiting", "Dehyd
 
 def encounters(t) -> DataFrame:
     """Every event is an encounter. Patients whose id ends in 3 are seen on the day of
-    treatment only (their admissions fall on it), in one kind of visit each."""
+    treatment only (their admissions fall on it), in one kind of visit each. A patient has
+    one to five diagnoses, so all combinations of classes occur."""
     tr = t.treatments
-    code = (F.col("event_id") % 13).cast("int")
+    user, nth = F.col("user_id"), F.col("event_id") % (1 + F.col("user_id") % 5)
+    code = ((user * 7 + nth * (2 + F.floor(user / 5) % 11)) % 13).cast("int")
     dx = F.lit(None).cast("string")
     for k in reversed(range(len(DX_BY_CODE))):
         dx = F.when(code == k, F.lit(DX_BY_CODE[k])).otherwise(dx)
@@ -84,6 +87,7 @@ def encounters(t) -> DataFrame:
                     "che_tx_date", pt.alias("pt_class"), dx.alias("dx_name")))
 
 
+# Fixed values of the fixture.
 RACES = {0: "Asian", 1: "White", 2: "Black", 3: "Native American", 4: "Unknown"}
 
 
@@ -113,6 +117,34 @@ def lexicon(t) -> DataFrame:
     return t.spark.createDataFrame(LEXICON, "term_id int, term string, class string")
 
 
+# Words of the notes; a blank, a line break or one of .,;:!? ends a word.
+WORD_END = r"[\x20\x09-\x0D.,;:!?]+"
+
+
+def note_ngrams(t) -> DataFrame:
+    """(term, n_words, n_docs): the words of three letters or more, and pairs of them, of
+    a fiftieth of the documents or more. Their number is bounded by fifty times the mean
+    number of different n-grams of a document, whatever the table's size."""
+    words = F.filter(F.split(F.lower("text"), WORD_END), lambda w: F.length(w) >= 3)
+    d = t.documents.select(F.monotonically_increasing_id().alias("d"), words.alias("w"))
+    pairs = F.zip_with(F.slice("w", F.lit(1), F.greatest(F.size("w") - 1, F.lit(0))), F.slice("w", 2, 1 << 30),
+                       lambda a, b: F.struct(F.concat_ws(" ", a, b).alias("term"), F.lit(2).alias("n_words")))
+    each = d.select(F.explode(F.array_distinct(F.concat(
+        F.transform("w", lambda a: F.struct(a.alias("term"), F.lit(1).alias("n_words"))), pairs))).alias("g"))
+    total = t.documents.select(F.count(F.lit(1))).scalar()
+    return (each.groupBy("g.term", "g.n_words").agg(F.count(F.lit(1)).alias("n_docs"))
+            .where(F.col("n_docs") * 50 >= total))
+
+
+def note_terms(t) -> DataFrame:
+    """(term_id, term, class): the single words of a twentieth of the documents or more,
+    numbered in order; a few hundred at any size of the table."""
+    total = t.documents.select(F.count(F.lit(1))).scalar()
+    often = t.note_ngrams.where((F.col("n_words") == 1) & (F.col("n_docs") * 20 >= total))
+    return often.select((F.row_number().over(Window.orderBy("term")) - 1).alias("term_id"), "term",
+                        F.concat(F.lit("class_"), (1 + F.length("term") % 4).cast("string")).alias("class"))
+
+
 def scored(t) -> DataFrame:
     j = t.documents.join(t.labels, "doc_id")
     n = F.col("n_chars").cast("double")
@@ -166,7 +198,7 @@ from events""",
             when e.event_type in ('error', 'purchase') then 'Emergency Services'
             when e.event_type in ('click', 'view') then 'Inpatient'
             else 'Outpatient' end as pt_class,
-       case cast(e.event_id % 13 as int)
+       case cast((e.user_id * 7 + (e.event_id % (1 + e.user_id % 5)) * (2 + (e.user_id // 5) % 11)) % 13 as int)
             when 0 then 'Acute abdominal pain' when 1 then 'Headache'
             when 2 then 'Nausea with vomiting' when 3 then 'Dehydration'
             when 4 then 'Diarrhea, unspecified' when 5 then 'Anemia in neoplastic disease'
@@ -188,6 +220,15 @@ from customer""",
                       (6, 'sore', 'class_1'), (7, 'tingl', 'class_1'), (8, 'oral', 'class_4'),
                       (9, 'tion', 'class_2'), (10, 'eau', 'class_3'), (11, 'ering', 'class_4'),
                       (12, 'steri', 'class_4'), (13, 'er', 'class_4')) t(term_id, term, class)""",
+    "note_ngrams": r"""select term, n_words, count(*) as n_docs from (
+  select distinct d, unnest(w) as term, 1 as n_words from note_words
+  union all select distinct d, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])), 2 from note_words) g
+group by term, n_words having count(*) * 50 >= (select count(*) from documents)""",
+    "note_words": r"""select row_number() over () as d, list_filter(
+  string_split_regex(lower(text), '[\x20\x09-\x0D.,;:!?]+'), lambda x: length(x) >= 3) as w from documents""",
+    "note_terms": """select cast(row_number() over (order by term) - 1 as int) as term_id, term,
+  'class_' || (1 + length(term) % 4) as class from note_ngrams
+  where n_words = 1 and n_docs * 20 >= (select count(*) from documents)""",
     "scored": """select d.doc_id as id, 'quality' as class, l.quality as y,
        round(1.0 / (1.0 + exp((1500 - cast(d.n_chars as double)) / 1000.0)), 6) as score
 from documents d join labels l on d.doc_id = l.doc_id
@@ -202,8 +243,8 @@ select vec_id, vec_id % 50, 'in', cast(1.0 as double) from embeddings""",
     "chunks": """select vec_id % 100 as note_id, cast(floor(vec_id / 100) as bigint) as chunk,
        embedding, label from embeddings""",
 }
-FIXTURE_DEPS = {"encounters": ["treatments"]}
-_ORDER = ["treatments", "notes", "encounters", "patients", "lexicon", "scored",
+FIXTURE_DEPS = {"encounters": ["treatments"], "note_terms": ["note_ngrams", "note_words"], "note_ngrams": ["note_words"]}
+_ORDER = ["note_words", "note_ngrams", "note_terms", "treatments", "notes", "encounters", "patients", "lexicon", "scored",
           "graph_edges", "chunks"]
 
 

@@ -1,3 +1,6 @@
+import random
+from collections import Counter
+
 from pyspark.sql import functions as F
 
 from cohortlens.operators import graph as G
@@ -5,17 +8,35 @@ from cohortlens.operators import metrics as M
 from cohortlens.operators import split as S
 
 
+def doc_rows(spark, lists):
+    docs = spark.createDataFrame([(i,) for i, _ in lists], "note_id long")
+    rows = [(i, p, x) for i, xs in lists for p, x in enumerate(xs)]
+    return spark.createDataFrame(rows, "note_id long, pos int, term_id int"), docs
+
+
 def test_window_counts(spark):
-    rows = [(i, list(range(n))) for i, n in enumerate([0, 1, 20, 21, 25])]
-    df = spark.createDataFrame(rows, "note_id long, terms array<int>")
-    got = {r[0]: r[1] for r in G.windows(df).groupBy("note_id").count().collect()}
+    terms, docs = doc_rows(spark, [(i, list(range(n))) for i, n in enumerate([0, 1, 20, 21, 25])])
+    got = {r[0]: r[1] for r in G.windows(terms, docs).groupBy("note_id").count().collect()}
     assert [got[i] for i in range(5)] == [1, 1, 1, 2, 6]
+    assert G.n_windows(terms, docs).first()[0] == 11
+
+
+def test_position_counts_equal_the_windows(spark):
+    """Frequencies and pairs from positions are those of the windows themselves."""
+    rng = random.Random(2)
+    lists = [(i, rng.sample(range(60), rng.randrange(0, 45))) for i in range(30)]
+    terms, docs = doc_rows(spark, lists)
+    freq, pairs = Counter(), Counter()
+    for r in G.windows(terms, docs, 7).collect():
+        freq.update(r["window"])
+        pairs.update((a, b) for a in r["window"] for b in r["window"] if a != b)
+    assert {r["term"]: r["freq"] for r in G.window_freq(terms, 7).collect()} == freq
+    assert {(r["i"], r["j"]): r["count"] for r in G.pair_count(terms, 7).collect()} == pairs
 
 
 def test_pmi_symmetric_positive(spark):
-    rows = [(0, [0, 1]), (1, [0, 1]), (2, [2]), (3, [])]
-    df = spark.createDataFrame(rows, "note_id long, terms array<int>")
-    p = {(r.i, r.j): r.weight for r in G.pmi(G.windows(df)).collect()}
+    terms, docs = doc_rows(spark, [(0, [0, 1]), (1, [0, 1]), (2, [2]), (3, [])])
+    p = {(r.i, r.j): r.weight for r in G.pmi(terms, docs).collect()}
     assert p and all(w > 0 for w in p.values())
     assert all(abs(p[(i, j)] - p[(j, i)]) < 1e-12 for i, j in p)
     assert (0, 2) not in p   # never co-occur

@@ -1,76 +1,145 @@
 import random
+import string
 
+import pytest
 from pyspark.sql import functions as F
 
+from cohortlens.operators import match as M
+from cohortlens.operators import neardup as ND
 from cohortlens.operators import text as T
 from cohortlens.operators import vocab as V
+from cohortlens.plans import q_text as Q
+from cohortlens.plans.q_cohort import anchor_sym
+from cohortlens.sources.tables import Tables
 
+SENT = "pat_deid long, first_at int, sentence string"
 
-def python_lev(a, b):
-    prev = list(range(len(b) + 1))
-    for i, ca in enumerate(a, 1):
-        cur = [i]
-        for j, cb in enumerate(b, 1):
-            cur.append(min(prev[j] + 1, cur[j - 1] + 1, prev[j - 1] + (ca != cb)))
-        prev = cur
-    return prev[-1]
-
-
-def greedy(sents, th=0.8):
-    kept = []
-    for p in sents:
-        if all(1 - python_lev(p, q) / max(len(p), len(q)) < th for q in kept):
-            kept.append(p)
-    return kept
-
-
-def test_near_dup_matches_brute_force(spark):
-    rng = random.Random(7)
-    base = ["the patient reports pain", "nausea after meals", "no fever today", "x"]
-    docs = []
-    for d in range(30):
-        s = []
-        for _ in range(rng.randint(1, 12)):
-            w = list(rng.choice(base))
-            for _ in range(rng.randint(0, 4)):
-                w[rng.randrange(len(w))] = rng.choice("abcdeé ")
-            s.append("".join(w))
-        docs.append((d, "[SEP]".join(s)))
-    df = spark.createDataFrame(docs, "pat_deid long, sentence_list string")
-    got = {r[0]: r[1] for r in T.near_dup(df).collect()}
-    for d, text in docs:
-        assert got[d] == "\n".join(greedy(text.split("[SEP]")))
+
+def edits(a, b):
+    """Edit distance, by the recursion on the last characters."""
+    memo = {}
+
+    def d(i, j):
+        if not i or not j:
+            return i + j
+        if (i, j) not in memo:
+            memo[i, j] = min(d(i - 1, j) + 1, d(i, j - 1) + 1, d(i - 1, j - 1) + (a[i - 1] != b[j - 1]))
+        return memo[i, j]
+    return d(len(a), len(b))
+
+
+def similar(a, b):
+    return edits(a, b) <= (max(len(a), len(b)) + 1e-9) // 5
+
+
+def edited(rng, x):
+    w = list(x)
+    for _ in range(rng.randrange(1, 2 + len(w) // 4)):
+        at = rng.randrange(len(w))
+        w[at:at + 1] = rng.choice([[], [rng.choice("abcdé😀 ")], [w[at], rng.choice("abc ")]])
+        w = w or ["a"]
+    return "".join(w)
+
+
+def test_near_dup_keeps_no_similar_pair_and_drops_only_similar_ones(spark):
+    rng, rows = random.Random(3), []
+    for pat in range(6):
+        seen = {}
+        for i in range(40):
+            x = edited(rng, rng.choice(list(seen))) if seen and rng.random() < .6 else "".join(
+                rng.choice("abcdefgh ü") for _ in range(rng.randrange(2, 45)))
+            seen.setdefault(x, i)
+        rows += [(pat, i, x) for x, i in seen.items()]
+    kept = {(r["pat_deid"], r["first_at"]) for r in ND.near_dup(spark.createDataFrame(rows, SENT)).collect()}
+    assert len(kept) < len(rows)
+    for pat, i, x in rows:
+        earlier = [y for p, j, y in rows if p == pat and j < i and (p, j) in kept]
+        assert ((pat, i) in kept) == (not any(similar(x, y) for y in earlier))
 
 
 def test_near_dup_chain_keeps_a_and_c(spark):
     a, b, c = "abcdefghij", "abcdefghzz", "abcdefzzzz"   # a~b, b~c, a!~c
-    df = spark.createDataFrame([(1, "[SEP]".join([a, a, b, c]))], "pat_deid long, sentence_list string")
-    assert T.near_dup(df).collect()[0][1] == "\n".join([a, c])
+    df = spark.createDataFrame([(1, 0, a), (1, 1, b), (1, 2, c), (2, 0, c), (2, 1, b)], SENT)
+    assert {(r[0], r[1]) for r in ND.near_dup(df).collect()} == {(1, 0), (1, 2), (2, 0)}
+
+
+def test_near_dup_of_one_large_patient_runs_on_many_tasks(spark):
+    words = spark.range(0, 4000).select(F.lit(1).cast("long").alias("pat_deid"), F.col("id").cast("int").alias("first_at"),
+                                        F.substring(F.md5(F.col("id").cast("string")), 1, 30).alias("sentence"))
+    copies = words.where("first_at < 300").select("pat_deid", (F.col("first_at") + 5000).alias("first_at"),
+                                                  F.concat("sentence", F.lit("zz")).alias("sentence"))
+    nodes = ND._nodes(words.unionByName(copies))
+    tasks = ND.candidate_pairs(nodes).select(F.spark_partition_id().alias("p")).distinct().count()
+    assert tasks >= 4 or spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled") == "true"
+    left = ND.near_dup(words.unionByName(copies))
+    assert left.where("first_at >= 5000").count() == 0 and left.count() > 3900
+
+
+def test_lsh_compares_only_pairs_of_one_band(spark):
+    a, b = "the patient reports severe pain today", "the patient reports severe pain todax"
+    nodes = ND._nodes(spark.createDataFrame([(1, 0, a), (1, 1, b), (1, 2, "entirely other words here"), (2, 0, b)], SENT))
+    pairs = ND.band_pairs(nodes).collect()
+    assert len(pairs) == 1 and pairs[0]["pat_deid"] == 1
+    # every hash function is its own: the bands of a sentence differ
+    assert all(len(set(r[0])) == 4 for r in nodes.select(ND.minhash_bands(F.col("sentence"))).collect())
+    kept = {r["first_at"] for r in ND.near_dup(spark.createDataFrame([(1, 0, a), (1, 1, b)], SENT), lsh=True).collect()}
+    assert kept == {0}
+
+
+@pytest.mark.parametrize("most", [M.BROADCAST_TERMS, 10])
+def test_sixty_thousand_terms_match_brute_force(spark, most):
+    rng = random.Random(11)
+    letters = string.ascii_lowercase + "éß "
+    terms = sorted({"".join(rng.choice(letters) for _ in range(rng.randint(1, 9))) for _ in range(84_000)})
+    assert len(terms) >= 60_000
+    texts = ["".join(rng.choice(letters + ".") for _ in range(rng.randint(0, 160))) for _ in range(25)] + [None, "", "é", "😀ab"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    vocab = spark.createDataFrame([*enumerate(terms), (-1, None), (-2, "")], "term_id int, term string")
+    hits = M.term_hits(rows, ["id"], "text", vocab, most=most)
+    assert "Literal" not in hits._jdf.queryExecution().toString() and len(hits._jdf.queryExecution().toString()) < 60_000
+    got = sorted(map(tuple, hits.collect()))
+    assert got == sorted((i, k) for i, t in enumerate(texts) if t for k, w in enumerate(terms) if w in t)
+
+
+def lines_of(spark, xs, hit="hit"):
+    return spark.createDataFrame([(1, i, x, hit in x) for i, x in enumerate(xs)], "pat_deid long, i int, x string, hit boolean")
 
 
 def test_trim_neighbourhoods(spark):
     s = ["hit one", "b1", "b2", "b3", "b4", "b5", "b6", "hit two"]
-    df = spark.createDataFrame([(". ".join(s),), ("no match here. at all",)], "note string")
-    out = [r[0] for r in T.trim(df, ["hit"]).select("sentence_list").collect()]
-    assert out[0] == ["hit one", "b1", "b2", "b5", "b6", "hit two"]
-    assert out[1] == []
+    notes = [(1, ". ".join(s), "2024-01-01"), (2, "no match here. at all", "2024-01-01"), (3, ". ".join(s[:3]), "2024-01-02")]
+    df = T.sentences(spark.createDataFrame(notes, "pat_deid long, note string, effective_time string"))
+    terms = spark.createDataFrame([("hit", "hit")], "term_id string, term string")
+    got = {}
+    for r in T.trim(df, terms).orderBy("pat_deid", "idx").collect():
+        got.setdefault(r["pat_deid"], []).append(r["sentence"])
+    assert got == {1: ["hit one", "b1", "b2", "b5", "b6", "hit two"], 3: s[:3]}
+    assert T.trim(df, None).count() == df.count()
+    assert T.trim(df, terms.limit(0)).count() == 0
 
 
 def test_shorten_gaps(spark):
     lines = ["pre", "hit a", "x1", "x2", "hit b", "y1", "y2", "y3", "hit c", "post"]
-    df = spark.createDataFrame([("\n".join(lines),)], "txt string")
-    g = T.shorten_gaps(df, "txt", ["hit"]).collect()[0]["g"]
+    g = T.shorten_gaps(lines_of(spark, lines)).orderBy("i").collect()
     # gap 3 (a->b): nothing; gap 4 (b->c): deletes y2 only (b+2 .. c-2)
-    assert g == ["pre", "hit a", "x1", "x2", "hit b", "y1", "y3", "hit c", "post"]
+    assert [r["x"] for r in g] == ["pre", "hit a", "x1", "x2", "hit b", "y1", "y3", "hit c", "post"]
+    assert [r["i"] for r in g] == list(range(9))
 
 
 def test_shorten_budget_drops_longest_plus_two(spark):
     sents = ["hit " + "w " * 3, "a " * 6, "b " * 5, "c " * 5, "d " * 2, "e"]
-    df = spark.createDataFrame([(sents,)], "g array<string>")
     # total words = 4 + 6 + 5 + 5 + 2 + 1 = 23; budget 22 -> excess 1:
     # one sentence needed, the reference drops three (longest first, ties by position)
-    kept = T.shorten_budget(df, "g", ["hit"], max_length=22).collect()[0]["kept"]
-    assert kept == [sents[0], sents[4], sents[5]]
+    kept = T.shorten_budget(lines_of(spark, sents), max_length=22).where("not dropped").orderBy("i").collect()
+    assert [r["x"] for r in kept] == [sents[0], sents[4], sents[5]]
+    assert T.shorten_budget(lines_of(spark, sents), max_length=23).where("dropped").count() == 0
+
+
+def test_patient_sentences_keep_the_first_place(spark):
+    rows = [(1, "k2", 2, 0, "b"), (1, "k1", 1, 1, "b"), (1, "k1", 1, 0, "a"), (1, "k3", 1, 0, "a"), (2, "k1", 1, 0, "a")]
+    df = spark.createDataFrame(rows, "pat_deid long, note_key string, effective_time int, idx int, sentence string")
+    notes = {r[0]: r[1] for r in T.patient_note(T.patient_sentences(df)).collect()}
+    assert notes == {1: "a[SEP]b", 2: "a"}
 
 
 def test_minimal_terms_property(spark):
@@ -78,5 +147,17 @@ def test_minimal_terms_property(spark):
                                 (" ha ",), ("ha",)], "term string")
     got = sorted(r[0] for r in V.minimal_terms(df, "term").collect())
     assert got == ["ha", "pain"]
-    for a in got:
-        assert not any(b != a and b in a for b in got)
+    plan = V.minimal_terms(df, "term")._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    grouped = spark.createDataFrame([("a", "pain"), ("b", "back pain"), ("b", "ache"), ("b", "headache")], "g string, term string")
+    assert {tuple(r) for r in V.minimal_terms(grouped, "term", by=["g"]).collect()} == {("a", "pain"), ("b", "back pain"), ("b", "ache")}
+
+
+def test_no_note_outside_its_window_enters_the_chain(spark):
+    t = Tables(spark, "/root/testdata/sf0.001")
+    notes = Q.wnotes(t)
+    assert notes.count() > 0
+    late = notes.join(anchor_sym(t).withColumnRenamed("hosp_admsn_time", "last"), "pat_deid").where(
+        (F.col("encounter_date") > F.col("last")) | (F.col("encounter_date") < F.col("che_tx_date")))
+    assert late.count() == 0
+    assert {r[0] for r in notes.select("note_desc").distinct().collect()} <= set(Q.NOTE_TYPES_KEEP)
