@@ -23,6 +23,7 @@ from ._tokens import NONSPACE, grams, tokenise
 
 BAND = 1.25         # sizes from one band's smallest to its largest
 CHECK_WORDS = 12    # 64-bit words of the fixed sketch that candidates are checked with first
+FOLDED_WORDS = 4    # words of the same sketch, folded, that travel with the key rows
 BLOCK = 1 << 20
 KEY_ROWS = 4096     # rows whose keys are combined at once
 PIECE_WORDS = 1 << 18  # sketch words of pairs that are compared at once
@@ -197,12 +198,19 @@ def _shingles(docs: DataFrame, rule: Rule) -> DataFrame:
     return docs.mapInArrow(run, "id long, s array<long>")
 
 
-def _near_enough(rule: Rule, a: str, b: str) -> Column:
-    """Sizes that a link allows, and fixed sketches no further apart than the largest
-    symmetric difference of a link."""
+def _folded(sketch: str) -> list[Column]:
+    """The fixed sketch XOR-folded to ``FOLDED_WORDS``: a sketch of the same set."""
+    words = [F.col(sketch)[i] for i in range(CHECK_WORDS)]
+    return [functools.reduce(Column.bitwiseXOR, words[i::FOLDED_WORDS]).alias(f"f{i}") for i in range(FOLDED_WORDS)]
+
+
+def _near_enough(rule: Rule, a: str, b: str, folded: bool = False) -> Column:
+    """Sizes that a link allows, and fixed (or folded) sketches no further apart than the
+    largest symmetric difference of a link."""
     an, bn, apart = F.col(a + "n"), F.col(b + "n"), F.lit(0)
-    for i in range(CHECK_WORDS):
-        apart = apart + F.bit_count(F.col(f"{a}sketch")[i].bitwiseXOR(F.col(f"{b}sketch")[i]))
+    for i in range(FOLDED_WORDS if folded else CHECK_WORDS):
+        x, y = (F.col(f"{side}f{i}") if folded else F.col(f"{side}sketch")[i] for side in (a, b))
+        apart = apart + F.bit_count(x.bitwiseXOR(y))
     return ((F.greatest(an, bn) * rule.num <= F.least(an, bn) * rule.den)
             & (apart * (rule.den + rule.num) <= (an + bn) * (rule.den - rule.num)))
 
@@ -262,12 +270,16 @@ def _sides(sets: DataFrame, *columns: str) -> tuple[DataFrame, DataFrame]:
                  for x in "ab")
 
 
-def _check(pairs: DataFrame, base: DataFrame, wide: tuple[DataFrame, DataFrame], rule: Rule) -> DataFrame:
-    """Links among distinct candidate pairs (a, b): by the wide sketches, then by shingles."""
-    pairs = written(_wide_enough(pairs.join(wide[0], "a").join(wide[1], "b"), rule), "candidate-pairs")
+def _check(pairs: DataFrame, base: DataFrame, wide: tuple[DataFrame, DataFrame], rule: Rule, repeats: bool) -> DataFrame:
+    """Links among distinct candidate pairs (a, b): by the wide sketches, then by shingles.
+    With ``repeats``, equal rows of an id become one before they are looked up."""
+    pairs = written(_wide_enough(pairs.join(wide[0], "a").join(wide[1], "b"), rule).distinct(), "candidate-pairs")
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
     few = pairs.count() <= BROADCAST_IDS
-    sets = _shingles(base.join(F.broadcast(ids) if few else ids, "id", "left_semi"), rule)
+    sought = base.join(F.broadcast(ids) if few else ids, "id", "left_semi")
+    if repeats:
+        sought = sought.withColumn("t", F.xxhash64("text")).dropDuplicates(["id", "t"]).drop("t")
+    sets = _shingles(sought, rule)
     return written(_verified(pairs.join(sets.withColumnsRenamed({"id": "a", "s": "as"}), "a")
                              .join(sets.withColumnsRenamed({"id": "b", "s": "bs"}), "b"), rule), "links")
 
@@ -290,9 +302,12 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", ru
     known = sets.where("n > 0 and id is not null")
     classes = known.groupBy("h1", "h2", "n").agg(F.min("id").alias("rep"))
     rep = written(known.join(classes, ["h1", "h2", "n"]).select("id", "rep").distinct(), "shingle-classes")
-    sketches = sets.join(rep.where("id = rep").select("id"), "id", "left_semi")
     rows, words = sets.agg(F.count("*"), F.coalesce(F.sum(F.size("wide")), F.lit(0))).first()
     few = rows <= BROADCAST_IDS
+    repeats = not known.groupBy("id", "h1", "h2").agg(F.count(F.lit(1)).alias("c")).where("c > 1").isEmpty()
+    sketches = sets.join(rep.where("id = rep").select("id"), "id", "left_semi")
+    if repeats:
+        sketches = written(sketches.dropDuplicates(["id", "h1", "h2"]), "sketches")
 
     def small(df):
         return F.broadcast(df) if few else df
@@ -316,21 +331,23 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", ru
         wide = tuple(F.broadcast(side) for side in wide)
     texts = base.where("text is not null and id is not null")
     links = _check(first.join(left, "a").join(right, "b").where(_near_enough(rule, "a", "b"))
-                   .select("a", "b"), texts, wide, rule)
+                   .select("a", "b"), texts, wide, rule, repeats)
     found = components(links)
 
     # rows of a block's representative may be missing where the block alone shares the key
     every = shared.select("key", "id").union(shared.where("hub <> 0").select("key", F.col("to").alias("id")))
+    alike = Window.partitionBy("key")
     label = to_rep(every, "id").distinct().join(small(found), "id", "left").select(
         "key", "id", F.coalesce("component", "id").alias("c"))
-    mixed = label.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")
-    rest = label.join(mixed, "key", "left_semi").join(
-        small(sketches.select("id", "n", "sketch")), "id")
-    x, y = _sides(rest, "key", "c", "n", "sketch")
-    more = (x.join(y, "key").where((F.col("a") < F.col("b")) & (F.col("ac") != F.col("bc")) & _near_enough(rule, "a", "b"))
+    mixed = written(label.withColumn("lo", F.min("c").over(alike)).withColumn("hi", F.max("c").over(alike))
+                    .where("lo <> hi").select("key", "id", "c"), "mixed-keys")
+    rest = mixed.join(small(sketches.select("id", "n", *_folded("sketch"))), "id")
+    x, y = _sides(rest, "key", "c", "n", *[f"f{i}" for i in range(FOLDED_WORDS)])
+    near = (x.join(y, "key").where((F.col("a") < F.col("b")) & (F.col("ac") != F.col("bc")) & _near_enough(rule, "a", "b", folded=True))
             .select("a", "b").distinct().join(first, ["a", "b"], "left_anti"))
+    more = near.join(left, "a").join(right, "b").where(_near_enough(rule, "a", "b")).select("a", "b")
     copies = rep.where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))
-    final = components(links.union(_check(more, texts, wide, rule)).union(copies))
+    final = components(links.union(_check(more, texts, wide, rule, repeats)).union(copies))
     return sets.join(final, "id", "left").select(
         "id", F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
 

@@ -557,3 +557,24 @@ def test_wide_sketches_keep_links(spark, n):
     wide = {r["a"] for r in ngram_join._wide_enough(df, rule).collect()}
     assert {0, 1} <= near and {0, 1} <= wide
     assert n < 40 or 2 not in wide
+
+
+def test_ngram_join_repeated_rows_verify_no_more_than_one(spark, monkeypatch):
+    """300 equal rows of one id and a near copy: as many pairs are verified as for one row."""
+    checked = []
+    plain = ngram_join._verified
+
+    def counted(pairs, rule):
+        checked.append(pairs.count())
+        return plain(pairs, rule)
+    monkeypatch.setattr(ngram_join, "_verified", counted)
+    text = prose(3, 300, 5000)
+    near = text.replace("w1 ", "other ", 1) + " end"
+    once = spark.createDataFrame([(1, text), (2, near), (3, prose(4, 200, 5000))], "doc_id long, text string")
+    many = once.union(spark.createDataFrame([(1, text)] * 300 + [(2, near)] * 50, once.schema))
+    want = {(r["id"], r["component_id"]) for r in ngram_join.near_duplicates(once).collect()}
+    before = sum(checked)
+    checked.clear()
+    got = ngram_join.near_duplicates(many).collect()
+    assert {(r["id"], r["component_id"]) for r in got} == want == {(1, 1), (2, 1), (3, 3)}
+    assert len(got) == 353 and sum(checked) == before
