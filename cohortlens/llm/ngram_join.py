@@ -313,10 +313,13 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", ru
         return F.broadcast(df) if few else df
 
     same = Window.partitionBy("key", "hub")
-    keys = _keys(base.where("text is not null and id is not null"), rule)
+    texts = base.where("text is not null and id is not null")
+    # Copies have the keys of their representative; a large table sends them all the same.
+    keys = _keys(texts.join(F.broadcast(rep.where("id = rep").select("id")), "id", "left_semi") if few else texts, rule)
     shared = written(keys.withColumn("lo", F.min("id").over(same)).withColumn("hi", F.max("id").over(same))
-                     .where("hub <> 0 or lo <> hi").select("key", "id", "hub", F.when(
-                         F.col("hub") != 0, F.col("hub")).otherwise(F.col("lo")).alias("to")), "shared-keys")
+                     .where("hub <> 0 or lo <> hi").select("key", "id", F.when(
+                         F.col("hub") != 0, F.col("hub")).otherwise(F.col("lo")).alias("to"),
+                         ((F.col("hub") != 0) & (F.col("id") == F.col("lo"))).alias("heads")), "shared-keys")
 
     def to_rep(df, column):
         return df.join(small(rep.select(F.col("id").alias(column), F.col("rep").alias("r"))), column).drop(column) \
@@ -329,18 +332,18 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", ru
     wide = _sides(sketches, "n", "wide")
     if words <= BROADCAST_WORDS:
         wide = tuple(F.broadcast(side) for side in wide)
-    texts = base.where("text is not null and id is not null")
     links = _check(first.join(left, "a").join(right, "b").where(_near_enough(rule, "a", "b"))
                    .select("a", "b"), texts, wide, rule, repeats)
     found = components(links)
 
     # rows of a block's representative may be missing where the block alone shares the key
-    every = shared.select("key", "id").union(shared.where("hub <> 0").select("key", F.col("to").alias("id")))
+    every = shared.select("key", F.explode(F.when(F.col("heads"), F.array("id", "to")).otherwise(F.array("id"))).alias("id"))
     alike = Window.partitionBy("key")
-    label = to_rep(every, "id").distinct().join(small(found), "id", "left").select(
+    label = to_rep(every, "id").join(small(found), "id", "left").select(
         "key", "id", F.coalesce("component", "id").alias("c"))
-    mixed = written(label.withColumn("lo", F.min("c").over(alike)).withColumn("hi", F.max("c").over(alike))
-                    .where("lo <> hi").select("key", "id", "c"), "mixed-keys")
+    # Dealt by key once: the window, the distinct rows and the join below all use it.
+    mixed = (label.withColumn("lo", F.min("c").over(alike)).withColumn("hi", F.max("c").over(alike))
+             .where("lo <> hi").select("key", "id", "c").dropDuplicates(["key", "id"]))
     rest = mixed.join(small(sketches.select("id", "n", *_folded("sketch"))), "id")
     x, y = _sides(rest, "key", "c", "n", *[f"f{i}" for i in range(FOLDED_WORDS)])
     near = (x.join(y, "key").where((F.col("a") < F.col("b")) & (F.col("ac") != F.col("bc")) & _near_enough(rule, "a", "b", folded=True))
