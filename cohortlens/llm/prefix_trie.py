@@ -363,8 +363,8 @@ def build(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str
                   F.count(F.lit(1)).alias("n_convs"), childless.alias("n_children"),
                   F.greatest(F.sum(F.col("leaf").cast("long")), one).alias("n_leaves"), F.sum("owned").alias("saved_tokens"))
     turnless = end_hashes(rest.where("d = 0").select(F.lit(0).cast("long").alias("d1"), F.lit(0).cast("long").alias("d2"), "c"))
-    top = top.join(turnless.select(F.lit(0).cast("long").alias("d"), "ends_sha256"), "d", "left").withColumn(
-        "ends_sha256", F.coalesce("ends_sha256", F.lit(NO_ENDS)))
+    at_root = turnless.first()  # one hash
+    top = top.withColumn("ends_sha256", F.lit(at_root["ends_sha256"] if at_root else NO_ENDS))
     return below.unionByName(top).select(
         F.col("c").alias("conv_id"), F.col("d").alias("depth"), F.col("parent").alias("parent_conv_id"),
         "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
