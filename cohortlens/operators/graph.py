@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 WINDOW = 20
 
 
@@ -162,17 +164,33 @@ def relation_sum(per_rel: DataFrame) -> DataFrame:
     return per_rel.groupBy("dst", "dim").agg(F.sum("value").alias("value"))
 
 
-def fanout_sample(edges: DataFrame, k: int, seed: int = 42, dst: str = "dst",
+def fanout_sample(edges: DataFrame, k: int | dict[str, int], seed: int = 42, dst: str = "dst",
                   etype: str = "etype", src: str = "src", salts: int = 64) -> DataFrame:
-    """w_fanout_sample: keep <= k in-neighbours per (node, relation), the k
-    smallest by md5(src || seed). Exact two-stage top-k: first per
-    (node, relation, salt) so a node with a huge in-degree is split over
-    ``salts`` tasks, then over the <= salts*k survivors of each node."""
+    """w_fanout_sample: keep <= k in-neighbours per (node, relation), the k smallest by
+    md5(src || seed); a dict gives each relation its own k (0 for those left out). Exact
+    two-stage top-k: first per (node, relation, salt) so a node with a huge in-degree is
+    split over ``salts`` tasks, then over the <= salts*k survivors of each node."""
     key = F.md5(F.concat(F.col(src).cast("string"), F.lit(str(seed))))
-    e = edges.withColumn("_k", key).withColumn("_s", F.abs(F.xxhash64(src)) % salts)
+    most = F.lit(k) if isinstance(k, int) else F.lit(0)
+    for name, n in ({} if isinstance(k, int) else k).items():
+        most = F.when(F.col(etype) == name, n).otherwise(most)
+    e = edges.withColumn("_k", key).withColumn("_s", F.abs(F.xxhash64(src)) % salts).withColumn("_m", most)
     w1 = Window.partitionBy(dst, etype, "_s").orderBy("_k", src)
-    first = e.withColumn("_r", F.row_number().over(w1)).where(F.col("_r") <= k)
+    first = e.withColumn("_r", F.row_number().over(w1)).where(F.col("_r") <= F.col("_m"))
     w2 = Window.partitionBy(dst, etype).orderBy("_k", src)
-    return (first.withColumn("_r", F.row_number().over(w2)).where(F.col("_r") <= k)
-            .drop("_r", "_k", "_s"))
-
+    return (first.withColumn("_r", F.row_number().over(w2)).where(F.col("_r") <= F.col("_m"))
+            .drop("_r", "_k", "_s", "_m"))
+
+
+def layered_sample(edges: DataFrame, seeds: DataFrame, k: int | dict[str, int], layers: int = 2,
+                   seed: int = 42) -> DataFrame:
+    """Neighbour sampling over several layers: the sampled in-edges of the seeds (``dst``),
+    then those of the nodes reached, and so on. Each layer is checkpointed, so the next
+    joins a written frontier; a node reached twice is one in the frontier."""
+    frontier, out = seeds.select("dst").distinct(), None
+    for layer in range(1, layers + 1):
+        found = cut_lineage(fanout_sample(edges.join(frontier, "dst", "left_semi"), k, seed)
+                            .select(F.lit(layer).alias("layer"), "src", "dst", "etype", "weight"))
+        out = found if out is None else out.unionByName(found)
+        frontier = found.select(F.col("src").alias("dst")).distinct()
+    return out

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.mathx import bce_with_logits, predict
 
-SCORE_BUCKETS = 4096
+SCORE_RANGES = 256  # ranges of distinct scores of a class in m_roc / m_auc
 
 
 def confusion(scored: DataFrame, threshold: float = 0.5) -> DataFrame:
@@ -96,15 +96,16 @@ def accuracy_avg(scored: DataFrame, threshold: float = 0.5) -> DataFrame:
 
 
 def _cum_by_score(scored: DataFrame) -> DataFrame:
-    """Per (class, distinct score): pos/neg counts and the positives/negatives
-    with a strictly higher score. Offsets come from per-(class, bucket) totals
-    (bucket = floor(score * 4096) for scores in [0, 1]); the exact running sum
-    is only taken inside one (class, bucket)."""
-    b = F.least(F.greatest(F.floor(F.col("score") * SCORE_BUCKETS), F.lit(0)),
-                F.lit(SCORE_BUCKETS - 1)).cast("int")
-    d = (scored.groupBy("class", "score").agg(F.sum(F.col("y")).cast("long").alias("pos"),
-                                              F.sum(1 - F.col("y")).cast("long").alias("neg"))
-         .withColumn("_b", b))
+    """Per (class, distinct score): pos/neg counts and the positives/negatives with a
+    strictly higher score. Distinct scores are dealt into ranges by splitters taken from
+    the class's own scores, whatever their scale; a range's offset is the running total
+    of the ranges above it, and the exact running sum is only taken inside one range.
+    A score that many rows share is one row by then."""
+    d = scored.groupBy("class", "score").agg(F.sum(F.col("y")).cast("long").alias("pos"),
+                                             F.sum(1 - F.col("y")).cast("long").alias("neg"))
+    cuts = d.groupBy("class").agg(F.percentile_approx(
+        "score", [i / SCORE_RANGES for i in range(1, SCORE_RANGES)]).alias("_cuts"))
+    d = d.join(cuts, "class").withColumn("_b", F.size(F.filter("_cuts", lambda c: c < F.col("score")))).drop("_cuts")
     bt = d.groupBy("class", "_b").agg(F.sum("pos").alias("bp"), F.sum("neg").alias("bn"))
     wb = Window.partitionBy("class").orderBy(F.desc("_b"))
     bt = (bt.withColumn("op", F.sum("bp").over(wb) - F.col("bp"))

@@ -15,6 +15,9 @@ from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+from .split import stratified_kfold
+
 
 def param_grid(folds: DataFrame, grid: dict[str, list]) -> DataFrame:
     """m_param_grid: every setting combination for every fold of the data
@@ -33,30 +36,38 @@ def _pipeline(text_col: str, label_col: str, features: int = 1 << 16, reg: float
     return Pipeline(stages=[tok, tf, idf, lr]), lr
 
 
-def baseline(docs: DataFrame, labels: DataFrame, classes: list[str],
+def _folds(data: DataFrame, id_col: str, label: str, k: int) -> DataFrame:
+    """The data with a ``fold``, stratified on the label, written once."""
+    folds = stratified_kfold(data.select(id_col, F.col(label).cast("string").alias("_key")).dropDuplicates([id_col]),
+                             id_col, ["_key"], k)
+    return cut_lineage(data.join(folds.select(id_col, "fold"), id_col))
+
+
+def baseline(docs: DataFrame, labels: DataFrame, classes: list[str], k: int = 3,
              text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """m_baseline: one binary text classifier per class; returns the scored
-    long table (id, class, y, score) that the m_* metrics consume."""
+    """m_baseline: one binary text classifier per class and fold; returns the scored long
+    table (id, class, y, score, fold) that the m_* metrics consume. A row is scored by the
+    model (features included) fitted on the other folds, which never saw it."""
     data = docs.select(id_col, text_col).join(labels, id_col)
     out = None
     for c in classes:
-        d = data.withColumn("_y", F.col(c).cast("double"))
-        pipe, _ = _pipeline(text_col, "_y")
-        model = pipe.fit(d)
-        s = model.transform(d).select(
-            F.col(id_col).alias("id"), F.lit(c).alias("class"), F.col(c).alias("y"),
-            vector_to_array("probability")[1].alias("score"))
-        out = s if out is None else out.unionByName(s)
+        d = _folds(data.withColumn("_y", F.col(c).cast("double")), id_col, c, k)
+        for fold in range(k):
+            pipe, _ = _pipeline(text_col, "_y")
+            model = pipe.fit(d.where(F.col("fold") != fold))
+            s = model.transform(d.where(F.col("fold") == fold)).select(
+                F.col(id_col).alias("id"), F.lit(c).alias("class"), F.col(c).alias("y"),
+                vector_to_array("probability")[1].alias("score"), "fold")
+            out = s if out is None else out.unionByName(s)
     return out
 
 
 def cv_baseline(docs: DataFrame, labels: DataFrame, label: str, k: int = 3,
                 text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """m_cv_baseline: choose the regularisation by k-fold cross-validation on
-    a fold column (hash of the id), report the metric per setting."""
-    data = (docs.select(id_col, text_col).join(labels, id_col)
-            .withColumn("_y", F.col(label).cast("double"))
-            .withColumn("fold", (F.abs(F.xxhash64(id_col)) % k).cast("int")))
+    """m_cv_baseline: choose the regularisation by cross-validation on the stratified
+    folds, report the metric per setting."""
+    data = _folds(docs.select(id_col, text_col).join(labels, id_col).withColumn("_y", F.col(label).cast("double")),
+                  id_col, label, k)
     pipe, lr = _pipeline(text_col, "_y")
     grid = ParamGridBuilder().addGrid(lr.regParam, [0.001, 0.01, 0.1]).build()
     cv = CrossValidator(estimator=pipe, estimatorParamMaps=grid, foldCol="fold",

@@ -7,7 +7,7 @@ from ..operators import cohort as C
 from ..operators import outcome as O
 from ..operators import relational as R
 from ..operators import report as RP
-from .registry import query
+from .registry import ORACLE, query
 from .sqlfrag import (ANCHOR, CLS, COHORT, NOTEWIN, OP30, SYMS, SYMU, chain, DX_CASE,
                       FLOOR_DAYS)
 
@@ -328,3 +328,5 @@ def a_table_one(t):
     return RP.table_one(O.ae_class(symu(t)), t.patients)
 
 
+# The written report is table one read back.
+ORACLE["io_report"] = ORACLE["a_table_one"]

@@ -39,7 +39,7 @@ def io_read_table(t):
     return IO.read_table(t.spark, t.root, "orders")
 
 
-@query("io_write_table")
+@query("io_write_table", "select * from notes")
 def io_write_table(t):
     p = scratch(t, "notes")
     IO.write_table(t.notes, p)
@@ -52,17 +52,14 @@ select distinct a.pat_deid, n.note_id, n.encounter_date, n.note_desc
 from anchor a join treatments t on a.pat_deid = t.pat_deid join notes n on a.pat_deid = n.pat_deid
 where n.encounter_date <= a.hosp_admsn_time and n.encounter_date >= t.che_tx_date""")
 def io_sql(t):
-    """The warehouse note-window SQL, run by Spark SQL on temp views."""
+    """The warehouse note-window SQL, run by Spark SQL on the frames; it leaves no view."""
     from .q_cohort import opx
-    tag = uuid.uuid4().hex[:8]
-    C.acu_anchor(opx(t)).createOrReplaceTempView(f"anchor_{tag}")
-    t.treatments.createOrReplaceTempView(f"treat_{tag}")
-    t.notes.createOrReplaceTempView(f"notes_{tag}")
-    return t.spark.sql(f"""
+    return t.spark.sql("""
         SELECT DISTINCT a.pat_deid, n.note_id, n.encounter_date, n.note_desc
-        FROM anchor_{tag} a JOIN treat_{tag} t ON a.pat_deid = t.pat_deid
-        JOIN notes_{tag} n ON a.pat_deid = n.pat_deid
-        WHERE n.encounter_date <= a.hosp_admsn_time AND n.encounter_date >= t.che_tx_date""")
+        FROM {anchor} a JOIN {treatments} t ON a.pat_deid = t.pat_deid
+        JOIN {notes} n ON a.pat_deid = n.pat_deid
+        WHERE n.encounter_date <= a.hosp_admsn_time AND n.encounter_date >= t.che_tx_date""",
+                       anchor=C.acu_anchor(opx(t)), treatments=t.treatments, notes=t.notes)
 
 
 NOTE_CSV_SCHEMA = "note_id long, pat_deid long, note string, note_desc string"
@@ -77,14 +74,15 @@ def io_read_csv(t):
     return IO.read_csv(t.spark, p, NOTE_CSV_SCHEMA)
 
 
-@query("io_write_csv")
+@query("io_write_csv", "select note_desc, count(*) as n from notes where note_desc is not null group by note_desc")
 def io_write_csv(t):
     p = scratch(t, "vc_csv")
     IO.write_csv(R.value_counts(t.notes, "note_desc"), p)
     return IO.read_csv(t.spark, p, "note_desc string, n long")
 
 
-@query("io_lexicon")
+@query("io_lexicon", "select l.term_id, l.term as lexicon, e.embedding as feature from lexicon l "
+       "left join embeddings e on l.term_id = e.vec_id")
 def io_lexicon(t):
     """Lexicon with feature vectors as parquet (term_id, lexicon, feature)."""
     lex = t.lexicon.join(t.embeddings, F.col("term_id") == F.col("vec_id"), "left")
@@ -102,14 +100,6 @@ def io_edges(t):
     return t.spark.read.parquet(p)
 
 
-@query("io_split_dirs")
-def io_split_dirs(t):
-    from .q_split import split_table
-    p = scratch(t, "splits")
-    IO.write_table(split_table(t), p, partition_by=["split"])
-    return t.spark.read.parquet(p)
-
-
 @query("io_report")
 def io_report(t):
     from ..operators import outcome as O
@@ -602,11 +592,18 @@ def w_array_dedupe(t):
     return s.select("note_id", TX.join_sep(F.array_distinct("l")).alias("sentences"))
 
 
-@query("w_fanout_sample", """select src, dst, etype, weight from graph_edges
-  qualify row_number() over (partition by dst, etype order by md5(cast(src as varchar) || '42'), src) <= 3""")
+# Two layers from the target nodes of the 'in' relation, each relation with its own k.
+FANOUT = {"in": 5, "co-occur": 2}
+FANOUT_SQL = """(select * from graph_edges where dst in ({nodes}) qualify row_number() over (
+  partition by dst, etype order by md5(cast(src as varchar) || '42'), src) <= case etype when 'in' then 5 else 2 end)"""
+
+
+@query("w_fanout_sample", "with one as " + FANOUT_SQL.format(nodes="select dst from graph_edges where etype = 'in'")
+       + ", two as " + FANOUT_SQL.format(nodes="select src from one")
+       + " select 1 as layer, src, dst, etype, weight from one union all select 2, src, dst, etype, weight from two")
 def w_fanout_sample(t):
-    from ..operators.graph import fanout_sample
-    return fanout_sample(t.graph_edges, 3, seed=42)
+    from ..operators.graph import layered_sample
+    return layered_sample(t.graph_edges, t.graph_edges.where("etype = 'in'"), FANOUT, layers=2, seed=42)
 
 
 # ------------------------------------------------------------------ 2.7 set operations

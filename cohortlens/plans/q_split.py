@@ -83,6 +83,26 @@ def x_apply_split(t):
     return out
 
 
+def split_rows(t):
+    """(pat_deid, label_key, note_id, split, fold, role): test patients once (fold -1), the
+    others in every fold as val or train; patients without a note keep a null one."""
+    sp = cut_lineage(split_table(t).select("pat_deid", "label_key", "split"))
+    test = sp.where("split = 'test'").withColumn("fold", F.lit(-1)).withColumn("role", F.lit("test"))
+    folds = S.fold_expand(S.stratified_kfold(sp.where("split = 'train'"), "pat_deid", ["label_key"], K, SEED), K)
+    rows = test.unionByName(folds.select("pat_deid", "label_key", "split", F.col("fold_i").alias("fold"), "role"))
+    return rows.join(wnotes(t).select("pat_deid", "note_id"), "pat_deid", "left")
+
+
+@query("io_split_dirs", LK + f"""select r.pat_deid, r.label_key, n.note_id, r.split, r.fold, r.role from
+  (select pat_deid, label_key, split, -1 as fold, 'test' as role from sp where split = 'test'
+   union all select pat_deid, label_key, 'train', fold_i, case when fold = fold_i then 'val' else 'train' end
+   from kf, (select unnest(range(0, {K})) as fold_i) f) r left join wnotes n on r.pat_deid = n.pat_deid""")
+def io_split_dirs(t):
+    path = f"{checkpoint_dir(t.spark).rstrip('/')}/splits/{uuid.uuid4().hex}"
+    IO.write_splits(split_rows(t), path)
+    return t.spark.read.parquet(path)
+
+
 # x_train_only_vocab: the vocabulary is refit on the train split only (terms that occur in
 # train notes of their class) and written as a table; both splits then go through the
 # mention filter, trimming and the patient notes with it. An empty vocabulary mentions

@@ -49,6 +49,12 @@ def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None,
     w.save(path)
 
 
+def write_splits(rows: DataFrame, path: str, by: tuple[str, ...] = ("split", "fold", "role")) -> None:
+    """io_split_dirs: one folder for each (split, fold, role). Only the folders that
+    ``rows`` has are replaced, so a fold can be written anew beside the others."""
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
+
+
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
     """io_read_csv: CSV with quoted multi-line text fields, explicit schema."""
     return (spark.read.schema(schema).option("header", True)

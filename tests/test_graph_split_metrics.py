@@ -88,3 +88,51 @@ def test_report_zero_division(spark):
     rep = {r["label"]: r for r in M.report(s).collect()}
     assert rep["a"]["precision"] == 0.0 and rep["a"]["recall"] == 0.0
     assert rep["b"]["precision"] == 0.5 and rep["b"]["recall"] == 1.0
+
+
+def test_roc_and_auc_of_logits_with_one_hot_score(spark):
+    rng = random.Random(4)
+    rows = [(i, "a", int(rng.random() < .4), 3.5 if i % 2 else rng.gauss(0, 40)) for i in range(3000)]
+    df = spark.createDataFrame(rows, "id long, class string, y int, score double")
+    pos, neg = [r[3] for r in rows if r[2]], [r[3] for r in rows if not r[2]]
+    want = sum((p > n) + .5 * (p == n) for p in pos for n in neg) / (len(pos) * len(neg))
+    assert abs(M.auc(df).first()["auc"] - want) < 1e-9
+    for r in M.roc(df).where("threshold is not null").collect()[::97]:
+        assert abs(r["tpr"] - sum(p >= r["threshold"] for p in pos) / len(pos)) < 1e-9
+        assert abs(r["fpr"] - sum(n >= r["threshold"] for n in neg) / len(neg)) < 1e-9
+
+
+def test_layers_of_the_neighbour_sample(spark):
+    edges = [(s, 0, "in", 1.0) for s in range(1, 60)] + [(s + 100, s, "co-occur", 1.0) for s in range(1, 60)] * 1
+    edges += [(s + 200, s, "co-occur", 1.0) for s in range(1, 60)] + [(5, 3, "other", 1.0)]
+    df = spark.createDataFrame(edges, "src long, dst long, etype string, weight double")
+    got = G.layered_sample(df, df.where("dst = 0").select("dst"), {"in": 4, "co-occur": 1}).collect()
+    one = [r for r in got if r["layer"] == 1]
+    assert len(one) == 4 and {r["dst"] for r in one} == {0}
+    two = [r for r in got if r["layer"] == 2]
+    assert len(two) == 4 and {r["dst"] for r in two} == {r["src"] for r in one} and {r["etype"] for r in two} == {"co-occur"}
+
+
+def test_a_rewritten_fold_leaves_the_others(spark, tmp_path):
+    from cohortlens.sources.tables import write_splits
+    rows = [(i, "train", f, "val" if i % 2 == f else "train") for i in range(10) for f in range(2)]
+    df = spark.createDataFrame(rows, "pat_deid long, split string, fold int, role string")
+    path = str(tmp_path / "splits")
+    write_splits(df, path)
+    write_splits(df.where("fold = 1").withColumn("pat_deid", F.col("pat_deid") + 100), path)
+    back = {tuple(r) for r in spark.read.parquet(path).select("pat_deid", "split", "fold", "role").collect()}
+    assert back == {(i + 100 * f, s, f, r) for i, s, f, r in rows}
+
+
+def test_no_row_is_scored_by_its_own_training_fold(spark):
+    """Texts that only a model that saw them could score: out of fold they carry nothing."""
+    from cohortlens.operators import ml
+    rng = random.Random(8)
+    rows = [(i, " ".join(f"u{i}w{j}" for j in range(6)), int(rng.random() < .5)) for i in range(80)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, quality int")
+    scored = ml.baseline(docs, labels, ["quality"])
+    assert scored.count() == 80 and scored.select("id").distinct().count() == 80
+    assert sorted(r["fold"] for r in scored.select("fold").distinct().collect()) == [0, 1, 2]
+    auc = M.auc(scored.select("id", "class", "y", "score")).first()["auc"]
+    assert auc < 0.75  # a model that had seen its rows would reach 1
