@@ -121,28 +121,34 @@ def lexicon(t) -> DataFrame:
 WORD_END = r"[\x20\x09-\x0D.,;:!?]+"
 
 
+def _words():
+    return F.filter(F.split(F.lower("text"), WORD_END), lambda w: F.length(w) >= 3)
+
+
+def _frequent(t, grams, n_words: int, share: int) -> DataFrame:
+    """(term, n_words, n_docs) of the n-grams that one of ``share`` documents has."""
+    total = t.documents.select(F.count(F.lit(1))).scalar()
+    each = t.documents.select(F.explode(F.array_distinct(grams)).alias("term"))
+    return (each.groupBy("term").agg(F.count(F.lit(1)).alias("n_docs")).where(F.col("n_docs") * share >= total)
+            .select("term", F.lit(n_words).alias("n_words"), "n_docs"))
+
+
 def note_ngrams(t) -> DataFrame:
     """(term, n_words, n_docs): the words of three letters or more, and pairs of them, of
     a fiftieth of the documents or more. Their number is bounded by fifty times the mean
     number of different n-grams of a document, whatever the table's size."""
-    words = F.filter(F.split(F.lower("text"), WORD_END), lambda w: F.length(w) >= 3)
-    d = t.documents.select(F.monotonically_increasing_id().alias("d"), words.alias("w"))
-    pairs = F.zip_with(F.slice("w", F.lit(1), F.greatest(F.size("w") - 1, F.lit(0))), F.slice("w", 2, 1 << 30),
-                       lambda a, b: F.struct(F.concat_ws(" ", a, b).alias("term"), F.lit(2).alias("n_words")))
-    each = d.select(F.explode(F.array_distinct(F.concat(
-        F.transform("w", lambda a: F.struct(a.alias("term"), F.lit(1).alias("n_words"))), pairs))).alias("g"))
-    total = t.documents.select(F.count(F.lit(1))).scalar()
-    return (each.groupBy("g.term", "g.n_words").agg(F.count(F.lit(1)).alias("n_docs"))
-            .where(F.col("n_docs") * 50 >= total))
+    w = _words()
+    pairs = F.zip_with(F.slice(w, F.lit(1), F.greatest(F.size(w) - 1, F.lit(0))), F.slice(w, 2, 1 << 30),
+                       lambda a, b: F.concat_ws(" ", a, b))
+    return _frequent(t, w, 1, 50).unionByName(_frequent(t, pairs, 2, 50))
 
 
 def note_terms(t) -> DataFrame:
     """(term_id, term, class): the single words of a twentieth of the documents or more,
     numbered in order; a few hundred at any size of the table."""
-    total = t.documents.select(F.count(F.lit(1))).scalar()
-    often = t.note_ngrams.where((F.col("n_words") == 1) & (F.col("n_docs") * 20 >= total))
-    return often.select((F.row_number().over(Window.orderBy("term")) - 1).alias("term_id"), "term",
-                        F.concat(F.lit("class_"), (1 + F.length("term") % 4).cast("string")).alias("class"))
+    return _frequent(t, _words(), 1, 20).select(
+        (F.row_number().over(Window.orderBy("term")) - 1).alias("term_id"), "term",
+        F.concat(F.lit("class_"), (1 + F.length("term") % 4).cast("string")).alias("class"))
 
 
 def scored(t) -> DataFrame:
