@@ -3,7 +3,27 @@
 They restate the cohort chain in plain SQL so each oracle query is
 self-contained; fixture views are added by ``with_fixtures``.
 """
-from ..operators.cohort import AE_CLASSES, DX_RULES
+# Fixed values, written out here so that the SQL does not share the operators' own lists:
+# symptom label -> fragments of the diagnosis name, and class -> labels.
+DX_RULES = [
+    ("ANEMIA", ["ANEM", "RED CELL"]),
+    ("DEHYDRATION", ["DEHY", "HYPERNAT"]),
+    ("DIARRHEA", ["DIAR"]),
+    ("NAUSEA", ["NAUS"]),
+    ("EMESIS", ["EMES", "VOMIT", "GASTROENTER", "GASTRIT"]),
+    ("FEVER", ["FEVER", "FEBRILE", "HYPERTHERM", "PYREX"]),
+    ("NEUTROPENIA", ["NEUT", "PANCY", "AGRAN"]),
+    ("PAIN", ["PAIN", "HEADACH", "ALGIA", "DYSURIA", "DYNIA", "ACHE", "PRESSURE", "DISCOMFORT",
+        "CRAMP", "TIGHTNESS", "RADICULOPATHY", "TENDERNES", "ABDOMINAL CRIS"]),
+    ("PNEUMONIA", ["PNEUMO", "CONSOLID"]),
+    ("SEPSIS", ["SEPS", "INFLAM", "CANDIDEMIA", "SEPTIC"]),
+]
+AE_CLASSES = [
+    ("CLASS_1", ["PAIN"]),
+    ("CLASS_2", ["NAUSEA", "EMESIS", "DEHYDRATION", "DIARRHEA"]),
+    ("CLASS_3", ["ANEMIA"]),
+    ("CLASS_4", ["FEVER", "NEUTROPENIA", "SEPSIS", "PNEUMONIA"]),
+]
 
 
 def _any(col: str, frags) -> str:
