@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.mathx import bin_index
+from .quantile import with_quantiles
 
 
 def _cols(xs):
@@ -85,17 +86,17 @@ def basic_stats(df: DataFrame, col: str, by: Sequence[str] = ()) -> DataFrame:
     x = F.col(col)
     aggs = [F.count(x).alias("count"), F.min(x).cast("double").alias("min"),
             F.max(x).cast("double").alias("max"), F.avg(x).alias("mean"),
-            F.median(x).alias("median"), F.stddev_samp(x).alias("std")]
-    return df.groupBy(*by).agg(*aggs) if by else df.agg(*aggs)
+            F.stddev_samp(x).alias("std")]
+    return with_quantiles(df.groupBy(*by).agg(*aggs), df, col, {"median": 0.5}, by)
 
 
 def describe(df: DataFrame, col: str) -> DataFrame:
     """a_describe: count/mean/std/min/25%/50%/75%/max, linear interpolation."""
     x = F.col(col)
-    return df.agg(F.count(x).alias("count"), F.avg(x).alias("mean"),
-                  F.stddev_samp(x).alias("std"), F.min(x).cast("double").alias("min"),
-                  F.percentile(x, 0.25).alias("p25"), F.percentile(x, 0.5).alias("p50"),
-                  F.percentile(x, 0.75).alias("p75"), F.max(x).cast("double").alias("max"))
+    stats = df.agg(F.count(x).alias("count"), F.avg(x).alias("mean"),
+                   F.stddev_samp(x).alias("std"), F.min(x).cast("double").alias("min"),
+                   F.max(x).cast("double").alias("max"))
+    return with_quantiles(stats, df, col, {"p25": 0.25, "p50": 0.5, "p75": 0.75})
 
 
 def histogram(df: DataFrame, col: str, bins: int) -> DataFrame:

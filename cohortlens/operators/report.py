@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import word_count
+from ..session import cut_lineage
+from .quantile import quantiles
 
 # Fixed values (must equal the reference): many-to-one recodes applied to
 # every string column before characterization.
@@ -49,15 +51,22 @@ def patient_table(notes: DataFrame, classes: DataFrame, sym_unique: DataFrame,
 
 
 def stats_table(pt: DataFrame) -> DataFrame:
-    """r_stats_table: one row with mean/median/min/max of each measure + totals."""
+    """r_stats_table: one row with mean/median/min/max of each measure + totals. The patient
+    table is written once; the medians are selected by rank, all measures in one pass."""
+    pt = cut_lineage(pt)
+    long = pt.select(F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), F.col(m).cast("double").alias("value"))
+                                         for m in STAT_MEASURES])).alias("m")).select("m.*")
+    medians = quantiles(long, "value", {"median": 0.5}, ["measure"]).agg(
+        *[F.max(F.when(F.col("measure") == m, F.col("median"))).alias(f"{m}_median") for m in STAT_MEASURES])
     aggs = []
     for m in STAT_MEASURES:
-        aggs += [F.avg(m).alias(f"{m}_mean"), F.median(m).alias(f"{m}_median"),
+        aggs += [F.avg(m).alias(f"{m}_mean"),
                  F.min(m).cast("double").alias(f"{m}_min"),
                  F.max(m).cast("double").alias(f"{m}_max")]
     aggs += [F.count(F.lit(1)).alias("n_patients"),
              F.sum("note_count").cast("bigint").alias("n_notes")]
-    return pt.agg(*aggs)
+    one = F.lit(0).alias("_one")
+    return pt.agg(*aggs).withColumn("_one", one).join(medians.withColumn("_one", one), "_one").drop("_one")
 
 
 def characterize(classes: DataFrame, patients: DataFrame) -> DataFrame:

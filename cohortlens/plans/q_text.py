@@ -11,6 +11,7 @@ from ..operators import relational as R
 from ..operators import text as T
 from ..operators import vocab as V
 from ..operators.match import mentioning
+from ..operators.quantile import with_quantiles
 from ..session import cut_lineage
 from .q_cohort import ANCHOR_SYM, NOTE_TYPES_KEEP, notewin
 from .q_relational import CLEAN_PHRASES, SPLIT_SQL, T1_BASE, WCC, clean_sql, t1
@@ -271,13 +272,15 @@ def t_length_report(t):
     b = kept_text(lines).select(F.lit("long_shortened").alias("stage"), TX.word_count_clean("txt").alias("n"))
     f = final_notes(t, nd, lines).select(F.lit("final").alias("stage"), F.col("n_words").alias("n"))
     n = F.col("n")
-    return c.unionByName(b).unionByName(f).groupBy("stage").agg(
+    lengths = cut_lineage(c.unionByName(b).unionByName(f))
+    stats = lengths.groupBy("stage").agg(
         F.count(n).alias("n"), F.max(n).cast("double").alias("max"),
         F.min(n).cast("double").alias("min"), F.round(F.avg(n), 6).alias("mean"),
-        F.median(n).alias("median"), F.round(F.stddev_samp(n), 6).alias("std"),
+        F.round(F.stddev_samp(n), 6).alias("std"),
         F.sum((n > 512).cast("int")).cast("bigint").alias("n_over_512"),
         F.sum((n > 1024).cast("int")).cast("bigint").alias("n_over_1024"),
         F.round(100.0 * F.sum((n > 512).cast("int")) / F.count(n), 6).alias("pct_over_512"))
+    return with_quantiles(stats, lengths, "n", {"median": 0.5}, ["stage"])
 
 
 @query("t_shorten_gaps", chain_sql(NEARDUP, CLEANED, GAPS)
@@ -402,9 +405,11 @@ def c_type_patients(t):
   round(avg(wc), 6) as mean, median(wc) as median
   from (select note_desc, len(string_split(note, ' ')) as wc from notes) z group by note_desc""")
 def c_type_length(t):
-    return (_wc(t).groupBy("note_desc")
-            .agg(F.min("wc").cast("double").alias("min"), F.max("wc").cast("double").alias("max"),
-                 F.round(F.avg("wc"), 6).alias("mean"), F.median("wc").alias("median")))
+    lengths = _wc(t)
+    stats = lengths.groupBy("note_desc").agg(
+        F.min("wc").cast("double").alias("min"), F.max("wc").cast("double").alias("max"),
+        F.round(F.avg("wc"), 6).alias("mean"))
+    return with_quantiles(stats, lengths, "wc", {"median": 0.5}, ["note_desc"])
 
 
 @query("c_note_outliers", """with c as (select pat_deid, count(*) as n_notes,
