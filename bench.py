@@ -25,7 +25,7 @@ HEADLINE = [
     "v_occurrence",       # vocabulary occurrence on single-label notes
     "x_stratified_kfold", # exact distributed stratified ranks
     "g_pmi",              # windows -> pair counts -> PMI
-    "g_neighbor_mean",    # exploded-vector neighbour aggregate
+    "g_neighbor_mean",    # neighbour aggregate of whole vectors
     "m_auc",              # ROC-AUC with tie handling
 ]
 

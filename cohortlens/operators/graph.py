@@ -112,56 +112,62 @@ def hetero_graph(doc_word: DataFrame, word_word: DataFrame, contains: bool = Tru
     return out
 
 
-def explode_features(nodes: DataFrame, id_col: str, vec_col: str) -> DataFrame:
-    return nodes.select(F.col(id_col).alias("node"),
-                        F.posexplode(vec_col).alias("dim", "x")).withColumn(
-        "x", F.col("x").cast("double"))
+def node_vectors(nodes: DataFrame, id_col: str, vec_col: str) -> DataFrame:
+    """(node, vec): features as one array of doubles a node."""
+    return nodes.select(F.col(id_col).alias("node"), F.col(vec_col).cast("array<double>").alias("vec"))
 
 
-def _messages(edges: DataFrame, feats: DataFrame, use_weight: bool = True) -> DataFrame:
-    """u_mul_e messages: (dst, etype, dim, m = w * x_src)."""
-    w = F.col("weight") if use_weight else F.lit(1.0)
-    return (edges.join(feats.withColumnRenamed("node", "src"), "src")
-            .select("dst", "etype", "dim", (w * F.col("x")).alias("m")))
+def _reduced(edges: DataFrame, vectors: DataFrame, dims: int, reducer) -> DataFrame:
+    """u_mul_e messages reduced by element: (dst, etype, deg, vec). A vector crosses the
+    join whole, with one row an edge; its elements are ``dims`` aggregates of one group,
+    combined before the shuffle, so a node of many in-edges is no hot task. A null vector,
+    a null element or one past the vector's end takes no part."""
+    pairs = edges.select("src", "dst", "etype", "weight").join(
+        vectors.select(F.col("node").alias("src"), "vec"), "src")
+    return pairs.groupBy("dst", "etype").agg(
+        F.count(F.lit(1)).alias("deg"),
+        F.array(*[reducer(F.col("weight") * F.get("vec", F.lit(i))) for i in range(dims)]).alias("vec"))
 
 
-def neighbor_mean(edges: DataFrame, feats: DataFrame) -> DataFrame:
-    """g_neighbor_mean: mean of weighted messages over in-edges per relation."""
-    return (_messages(edges, feats).groupBy("dst", "etype", "dim")
-            .agg(F.avg("m").alias("value")))
+def by_dim(vectors: DataFrame, *keys: str) -> DataFrame:
+    """(*keys, dim, value) rows of reduced vectors, without elements that no message has."""
+    return vectors.select(*keys, F.posexplode("vec").alias("dim", "value")).where("value is not null")
 
 
-def neighbor_gcn(edges: DataFrame, feats: DataFrame, etypes: list[str]) -> DataFrame:
+def neighbor_mean(edges: DataFrame, vectors: DataFrame, dims: int) -> DataFrame:
+    """g_neighbor_mean: (dst, etype, deg, vec), mean of weighted messages over in-edges per
+    relation."""
+    return _reduced(edges, vectors, dims, F.avg)
+
+
+def neighbor_gcn(edges: DataFrame, vectors: DataFrame, etypes: list[str], dims: int) -> DataFrame:
     """g_neighbor_gcn: (sum of messages + own feature) / (in-degree + 1), for every node
     and relation; a node without in-edges keeps its own feature."""
-    deg = edges.groupBy("dst", "etype").agg(F.count(F.lit(1)).alias("deg"))
-    s = _messages(edges, feats).groupBy("dst", "etype", "dim").agg(F.sum("m").alias("s"))
-    own = feats.select(F.col("node").alias("dst"), "dim", F.col("x").alias("own"),
-                       F.explode(F.array(*[F.lit(e) for e in etypes])).alias("etype"))
-    return (own.join(s, ["dst", "etype", "dim"], "left").join(deg, ["dst", "etype"], "left")
-            .select("dst", "etype", "dim", ((F.coalesce("s", F.lit(0.0)) + F.col("own"))
-                                            / (F.coalesce("deg", F.lit(0)) + 1)).alias("value")))
+    s = _reduced(edges, vectors, dims, F.sum).withColumnRenamed("vec", "sums")
+    own = vectors.select(F.col("node").alias("dst"), "vec", F.explode(F.array(*[F.lit(e) for e in etypes])).alias("etype"))
+    sums = F.coalesce("sums", F.array_repeat(F.lit(None).cast("double"), dims))
+    mixed = F.transform("vec", lambda x, i: (F.coalesce(F.get(sums, i), F.lit(0.0)) + x) / (F.coalesce("deg", F.lit(0)) + 1))
+    return own.join(s, ["dst", "etype"], "left").select("dst", "etype", mixed.alias("vec"))
 
 
-def neighbor_max(edges: DataFrame, feats: DataFrame) -> DataFrame:
+def neighbor_max(edges: DataFrame, vectors: DataFrame, dims: int) -> DataFrame:
     """g_neighbor_max: element-wise max of the messages (pool reducer)."""
-    return (_messages(edges, feats).groupBy("dst", "etype", "dim")
-            .agg(F.max("m").alias("value")))
+    return _reduced(edges, vectors, dims, F.max)
 
 
-def zero_degree(agg: DataFrame, nodes: DataFrame, etypes: list[str], dims: int) -> DataFrame:
-    """g_zero_degree: nodes without in-edges of a relation get zero vectors.
-    The (node, etype, dim) frame is generated per node (explode), not crossed."""
+def zero_degree(reduced: DataFrame, nodes: DataFrame, etypes: list[str], dims: int) -> DataFrame:
+    """g_zero_degree: nodes without in-edges of a relation get zero vectors. The (node,
+    etype) frame is generated per node (explode), not crossed."""
     full = (nodes.select(F.col("node").alias("dst")).distinct()
-            .withColumn("etype", F.explode(F.array(*[F.lit(e) for e in etypes])))
-            .withColumn("dim", F.explode(F.sequence(F.lit(0), F.lit(dims - 1)))))
-    return (full.join(agg, ["dst", "etype", "dim"], "left")
-            .withColumn("value", F.coalesce("value", F.lit(0.0))))
+            .withColumn("etype", F.explode(F.array(*[F.lit(e) for e in etypes]))))
+    zeros = F.array_repeat(F.lit(0.0), dims)
+    filled = F.transform(F.coalesce("vec", zeros), lambda x: F.coalesce(x, F.lit(0.0)))
+    return full.join(reduced, ["dst", "etype"], "left").select("dst", "etype", filled.alias("vec"))
 
 
-def relation_sum(per_rel: DataFrame) -> DataFrame:
+def relation_sum(reduced: DataFrame, dims: int) -> DataFrame:
     """g_relation_sum: sum of the per-relation results (aggregate='sum')."""
-    return per_rel.groupBy("dst", "dim").agg(F.sum("value").alias("value"))
+    return reduced.groupBy("dst").agg(F.array(*[F.sum(F.get("vec", F.lit(i))) for i in range(dims)]).alias("vec"))
 
 
 def fanout_sample(edges: DataFrame, k: int | dict[str, int], seed: int = 42, dst: str = "dst",

@@ -131,8 +131,15 @@ def g_save(t):
     return a.unionByName(b).groupBy("part", "split").agg(F.count(F.lit(1)).alias("n_edges"), F.round(F.sum("weight"), 4).alias("weight"))
 
 
-def feats(t):
-    return G.explode_features(t.embeddings, "vec_id", "embedding")
+DIMS = 64
+
+
+def vectors(t):
+    return G.node_vectors(t.embeddings, "vec_id", "embedding")
+
+
+def by_dim(reduced, *keys):
+    return G.by_dim(reduced, *keys).withColumn("value", F.round("value", 6))
 
 
 FEATS = ("feats as (select vec_id as node, generate_subscripts(embedding, 1) - 1 as dim, "
@@ -145,7 +152,7 @@ GBASE = "with " + FEATS + ",\n" + MSG + "\n"
 @query("g_neighbor_mean", GBASE + "select dst, etype, dim, round(avg(m), 6) as value from msg "
        "group by dst, etype, dim")
 def g_neighbor_mean(t):
-    return G.neighbor_mean(t.graph_edges, feats(t)).withColumn("value", F.round("value", 6))
+    return by_dim(G.neighbor_mean(t.graph_edges, vectors(t), DIMS), "dst", "etype")
 
 
 ETYPES = ["co-occur", "in"]
@@ -159,13 +166,13 @@ left join (select dst, etype, dim, sum(m) as s from msg group by dst, etype, dim
 left join (select dst, etype, count(*) as deg from graph_edges group by dst, etype) d
   on d.dst = f.node and d.etype = f.etype""")
 def g_neighbor_gcn(t):
-    return G.neighbor_gcn(t.graph_edges, feats(t), ETYPES).withColumn("value", F.round("value", 6))
+    return by_dim(G.neighbor_gcn(t.graph_edges, vectors(t), ETYPES, DIMS), "dst", "etype")
 
 
 @query("g_neighbor_max", GBASE + "select dst, etype, dim, round(max(m), 6) as value from msg "
        "group by dst, etype, dim")
 def g_neighbor_max(t):
-    return G.neighbor_max(t.graph_edges, feats(t)).withColumn("value", F.round("value", 6))
+    return by_dim(G.neighbor_max(t.graph_edges, vectors(t), DIMS), "dst", "etype")
 
 
 @query("g_zero_degree", GBASE + """, agg as (select dst, etype, dim, avg(m) as value from msg
@@ -175,13 +182,12 @@ from (select distinct node from feats) n, (select unnest(['co-occur', 'in']) as
      (select unnest(range(0, 64)) as dim) d
 left join agg a on a.dst = n.node and a.etype = et.etype and a.dim = d.dim""")
 def g_zero_degree(t):
-    agg = G.neighbor_mean(t.graph_edges, feats(t))
-    nodes = feats(t).select("node").distinct()
-    return G.zero_degree(agg, nodes, ETYPES, 64).withColumn("value", F.round("value", 6))
+    mean = G.neighbor_mean(t.graph_edges, vectors(t), DIMS)
+    return by_dim(G.zero_degree(mean, vectors(t), ETYPES, DIMS), "dst", "etype")
 
 
 @query("g_relation_sum", GBASE + """select dst, dim, round(sum(value), 6) as value from
   (select dst, etype, dim, avg(m) as value from msg group by dst, etype, dim) a group by dst, dim""")
 def g_relation_sum(t):
-    per = G.neighbor_mean(t.graph_edges, feats(t))
-    return G.relation_sum(per).withColumn("value", F.round("value", 6))
+    mean = G.neighbor_mean(t.graph_edges, vectors(t), DIMS)
+    return by_dim(G.relation_sum(mean, DIMS), "dst")

@@ -136,3 +136,43 @@ def test_no_row_is_scored_by_its_own_training_fold(spark):
     assert sorted(r["fold"] for r in scored.select("fold").distinct().collect()) == [0, 1, 2]
     auc = M.auc(scored.select("id", "class", "y", "score")).first()["auc"]
     assert auc < 0.75  # a model that had seen its rows would reach 1
+
+
+def test_neighbours_of_whole_vectors_match_brute_force(spark):
+    rng = random.Random(9)
+    vecs = {i: [rng.choice([rng.uniform(-2, 2), 0.0]) for _ in range(5)] for i in range(12)}
+    vecs[3] = [None, 1.0, None, 2.0, 0.5]
+    vecs[4] = None
+    edges = [(rng.randrange(14), rng.choice([0, rng.randrange(12)]), rng.choice("ab"), rng.uniform(-1, 1))
+             for _ in range(90)]
+    nodes = G.node_vectors(spark.createDataFrame(list(vecs.items()), "id long, v array<double>"), "id", "v")
+    e = spark.createDataFrame(edges, "src long, dst long, etype string, weight double").repartition(3)
+    found, deg = {}, Counter()
+    for s, d, t, w in edges:
+        if s in vecs:
+            deg[d, t] += 1
+            for i, x in enumerate(vecs[s] or []):
+                if x is not None:
+                    found.setdefault((d, t, i), []).append(w * x)
+
+    def rows(df):
+        return {(r["dst"], r["etype"], r["dim"]): r["value"] for r in G.by_dim(df, "dst", "etype").collect()}
+
+    def same(got, want):
+        assert got.keys() == want.keys()
+        assert all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+    mean = G.neighbor_mean(e, nodes, 5)
+    same(rows(mean), {k: sum(m) / len(m) for k, m in found.items()})
+    same(rows(G.neighbor_max(e, nodes, 5)), {k: max(m) for k, m in found.items()})
+    same(rows(G.neighbor_gcn(e, nodes, ["a", "b"], 5)),
+         {(n, t, i): (sum(found.get((n, t, i), [])) + x) / (deg[n, t] + 1)
+          for n, v in vecs.items() for t in "ab" for i, x in enumerate(v or []) if x is not None})
+    same(rows(G.zero_degree(mean, nodes, ["a", "b"], 5)),
+         {(n, t, i): sum(found.get((n, t, i), [0.0])) / len(found.get((n, t, i), [0.0]))
+          for n in vecs for t in "ab" for i in range(5)})
+    total = Counter()
+    for (d, t, i), m in found.items():
+        total[d, i] += sum(m) / len(m)
+    got = {(r["dst"], r["dim"]): r["value"] for r in G.by_dim(G.relation_sum(mean, 5), "dst").collect()}
+    same(got, total)
