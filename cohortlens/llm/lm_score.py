@@ -2,8 +2,9 @@
 
 Two bigram models over one vocabulary, one of target documents and one of all, score
 each word; a document's score is the mean difference of its losses (low: like the
-target). Every word and bigram is counted and kept, in Spark tables that grow with the
-input; documents are scored by a join of their bigram counts with them.
+target). Every word and bigram is counted and kept, whatever its count. ``fit`` and
+``score`` keep the counts as tables, to score any texts; ``score_own`` scores the texts
+that the models count, by one exchange of counts.
 """
 from __future__ import annotations
 
@@ -13,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ._common import boxed, byte_column, mix64, row_blocks, written
 from ._tokens import ALNUM, Tokens, tokenise
@@ -23,6 +25,9 @@ ADD = 0.5                 # added to every unigram count
 BLOCK = 1 << 20
 START = 1                 # stands for the word before a text
 UNIT = 1 << 32            # losses are summed as integers of 1 / UNIT nats, so in any order
+SPAN = 8 << 20            # bytes of text whose words are numbered together
+ENTRIES = 1 << 20         # words of texts for each bucket of hashes
+WORD = np.uint64(0x5851F42D4C957F2D)  # tells a word's key from its hash
 BROADCAST_IDS = 1_000_000  # more target ids than this are joined by shuffle
 BROADCAST_WORDS = 1_000_000  # more distinct words than this are joined by shuffle
 
@@ -201,6 +206,183 @@ def score(docs: DataFrame, models: Models, text: str = "text", fitted: bool = Fa
         "score", F.col("target_ce") - F.col("background_ce"))
 
 
+def _squeezed(x: np.ndarray) -> bytes:
+    """64-bit integers by byte planes, compressed: small numbers take about a byte."""
+    planes = np.ascontiguousarray(np.ascontiguousarray(x, np.int64).view(np.uint8).reshape(-1, 8).T)
+    return pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
+
+
+def _restored(b: bytes, n: int) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(b, decompressed_size=8 * n, codec="zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(planes.reshape(8, n).T).view(np.int64).ravel()
+
+
+def _numbered(batches):
+    """Documents without their texts; the first one of a span holds its words: their
+    hashes, every word's number and the words of each document."""
+    for b in batches:
+        data, bounds, _ = byte_column(b.column("text"))
+        flags = np.asarray(b.column("target").fill_null(False).to_numpy(zero_copy_only=False), bool)
+        for lo, hi in row_blocks(bounds, SPAN):
+            t = tokenise(data[bounds[lo]:bounds[hi]], bounds[lo:hi + 1] - bounds[lo], ALNUM)
+            words, at = np.unique(t.hash, return_inverse=True)
+            lengths = np.diff(t.first).astype(np.int64)
+            size = hi - lo
+            rest = [None] * (size - 1)
+            held = len(at) > 0
+            ids = b.column("id").slice(lo, size)
+            yield pa.RecordBatch.from_arrays(
+                [ids, b.column("row").slice(lo, size), pa.array(lengths), pa.array(np.where(flags[lo:hi], lengths, 0)),
+                 *(pa.array([n] + rest if held else [None] * size, pa.int64()) for n in (size, len(words))),
+                 *(pa.array([_squeezed(x)] + rest if held else [None] * size, pa.binary())
+                   for x in (words.view(np.int64), at, lengths, flags[lo:hi]))],
+                ["id", "row", "n_tokens", "n_target", "n_docs", "n_words", "words", "at", "lengths", "flags"])
+
+
+@dataclass
+class _Span:
+    """Words (then the start of a text) and bigrams of a span as entries under 63-bit keys,
+    odd for words: ``counts`` are background, target and, of a word as the one before, next
+    background and next target. ``pair`` gives every word's bigram, ``order`` sorts keys."""
+    keys: np.ndarray
+    counts: np.ndarray
+    order: np.ndarray
+    before: np.ndarray
+    word: np.ndarray
+    pair: np.ndarray
+    first: np.ndarray
+
+
+def _span(row: dict) -> _Span:
+    n = row["n_words"]
+    words = np.append(_restored(row["words"], n).view(np.uint64), np.uint64(START))
+    lengths = _restored(row["lengths"], row["n_docs"])
+    first = np.concatenate([[0], np.cumsum(lengths)])
+    at = _restored(row["at"], int(first[-1]))
+    flag = np.repeat(_restored(row["flags"], len(lengths)), lengths).astype(float)
+    ahead = np.concatenate([[n], at[:-1]])
+    ahead[first[:-1][lengths > 0]] = n
+    both, pair = np.unique(ahead * (n + 1) + at, return_inverse=True)
+    before, word = np.divmod(both, n + 1)
+    none = np.zeros(len(both))
+
+    def count(x, size):
+        return [np.bincount(x, minlength=size), np.bincount(x, flag, size)]
+    keys = np.concatenate([mix64(words ^ WORD) | np.uint64(1), _code(words[before], words[word]) & ~np.uint64(1)])
+    counts = np.concatenate([np.stack(count(at, n + 1) + count(ahead, n + 1)),
+                             np.stack(count(pair, len(both)) + [none, none])], 1).astype(np.int64)
+    return _Span(keys, counts, np.argsort(keys, kind="stable"), before, word, pair, first)
+
+
+def _rows(table) -> list[dict]:
+    """Rows of an Arrow table or batch, one at a time."""
+    for i in range(table.num_rows):
+        yield {c: table.column(c)[i].as_py() for c in table.schema.names}
+
+
+def _sent(bits: int):
+    """Keys and counts of spans by bucket, the highest bits of a key."""
+    def send(batches):
+        for b in batches:
+            for row in _rows(b):
+                s = _span(row)
+                keys, counts = s.keys[s.order], s.counts[:, s.order]
+                bucket = (keys >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
+                cut = np.flatnonzero(np.diff(bucket, prepend=-1, append=1 << bits))
+                parts = list(zip(cut[:-1], cut[1:]))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(bucket[cut[:-1]]), pa.array([row["id"]] * len(parts), pa.int64()),
+                     pa.array(np.diff(cut)),
+                     pa.array([_squeezed(np.diff(keys[lo:hi], prepend=np.uint64(0)).view(np.int64)) for lo, hi in parts]),
+                     pa.array([_squeezed(counts[:, lo:hi].ravel()) for lo, hi in parts])],
+                    ["bucket", "id", "n", "keys", "counts"])
+    return send
+
+
+def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    keys, counts = np.concatenate(keys), np.concatenate(counts, 1)
+    order = np.argsort(keys, kind="stable")
+    keys, counts = keys[order], counts[:, order]
+    start = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    return keys[start], np.add.reduceat(counts, start, axis=1)
+
+
+def _answered(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+    """Corpus counts of the entries of one bucket, in the order in which each span sent them;
+    one more row has the number of different words. Spans are unpacked one by one, so a
+    bucket needs its packed rows and its different keys."""
+    def keys_of(row):
+        return np.cumsum(_restored(row["keys"], row["n"]).view(np.uint64), dtype=np.uint64)
+    keys, counts, waiting = [], [], 0
+    for row in _rows(table.select(["n", "keys", "counts"])):
+        keys.append(keys_of(row))
+        counts.append(_restored(row["counts"], 4 * row["n"]).reshape(4, -1))
+        waiting += row["n"]
+        if waiting > 2 * ENTRIES:
+            one, sums = _summed(keys, counts)
+            keys, counts, waiting = [one], [sums], 0
+    known, sums = _summed(keys, counts)
+    found = [_squeezed(sums[:, np.searchsorted(known, keys_of(row))].ravel()) for row in _rows(table.select(["n", "keys"]))]
+    words = int(((known & np.uint64(1)) == 1)[sums[0] > 0].sum())
+    return pa.table({"id": pa.concat_arrays([*table.column("id").chunks, pa.array([None], pa.int64())]),
+                     "bucket": pa.concat_arrays([*table.column("bucket").chunks, pa.array([key[0].as_py()], pa.int64())]),
+                     "n": pa.concat_arrays([*table.column("n").chunks, pa.array([0], pa.int64())]),
+                     "sums": pa.array(found + [None], pa.binary()),
+                     "words": pa.array([None] * len(found) + [words], pa.int64())})
+
+
+def score_own(docs: DataFrame, target: Column, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """``score`` of documents by models of themselves: the background model counts all of
+    them, the target model those where ``target`` is true (null: false). ``row`` holds the
+    columns ``keep`` (all if not given).
+
+    Words and bigrams of a span of texts are counted there and cross the shuffle once, under
+    a 64-bit hash, without their documents; the corpus counts come back in the order in which
+    they were sent, so they need no keys, and the span scores its own documents. Nothing is
+    left out, and a frequent word is one entry a span. Two words or bigrams of one hash count
+    as one (expected for fewer than one pair in 10^8 different ones). Texts without words,
+    null ones too, have n_tokens 0 and null losses; repeated rows get equal scores."""
+    spark = docs.sparkSession
+    names = docs.columns if keep is None else keep
+    frame = docs.select(F.monotonically_increasing_id().alias("id"), F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"),
+                        target.cast("boolean").alias("target"), F.col(f"`{text}`").alias("text"))
+    schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("row", frame.schema["row"].dataType)]
+                          + [T.StructField(c, T.LongType()) for c in ("n_tokens", "n_target", "n_docs", "n_words")]
+                          + [T.StructField(c, T.BinaryType()) for c in ("words", "at", "lengths", "flags")])
+    packed = written(frame.mapInArrow(_numbered, schema), "lm-docs")
+    none = F.lit(0).cast("long")
+    total = packed.agg(*[F.coalesce(F.sum(c), none).alias(m) for c, m in (("n_tokens", "background"), ("n_target", "target"))]).first()
+    spans = packed.where("n_words is not null").select("id", "n_docs", "n_words", "words", "at", "lengths", "flags")
+    bits = max(0, (total["background"] // ENTRIES).bit_length())
+    answers = written(spans.mapInArrow(_sent(bits), "bucket long, id long, n long, keys binary, counts binary")
+                      .groupBy("bucket").applyInArrow(_answered, "id long, bucket long, n long, sums binary, words long"),
+                      "lm-counts")
+    n_words = answers.agg(F.coalesce(F.sum("words"), none)).first()[0]
+    names = ("target", "background")
+
+    def scored(own: pa.Table, answers: pa.Table) -> pa.Table:
+        row = next(_rows(own))
+        s = _span(row)
+        counts = np.empty_like(s.counts)
+        parts = sorted(_rows(answers), key=lambda r: r["bucket"])
+        counts[:, s.order] = np.concatenate([_restored(r["sums"], 4 * r["n"]).reshape(4, -1) for r in parts], 1)
+        words, pairs = counts[:, :row["n_words"] + 1], counts[:, row["n_words"] + 1:]
+        out = {"id": row["id"] + np.arange(row["n_docs"])}
+        for m, at in (("target", 1), ("background", 0)):
+            context = np.maximum(np.maximum(words[at], words[2 + at])[s.before], 1e-9)
+            single = (words[at] + ADD)[s.word] / (total[m] + ADD * (n_words + 1))
+            loss = -np.log(MIX * pairs[at] / context + (1 - MIX * words[2 + at][s.before] / context) * single)
+            upto = np.concatenate([[0], np.cumsum(np.rint(loss * UNIT).astype(np.int64)[s.pair])])
+            out[m] = upto[s.first[1:]] - upto[s.first[:-1]]
+        return pa.table(out)
+
+    sums = spans.groupBy("id").cogroup(answers.where("id is not null").select("id", "bucket", "n", "sums").groupBy("id")).applyInArrow(
+        scored, "id long, target long, background long")
+    ce = [F.when(F.col("n_tokens") > 0, F.col(m) / F.lit(float(UNIT)) / F.col("n_tokens")).alias(f"{m}_ce") for m in names]
+    return packed.select("id", "row", "n_tokens").join(sums, "id", "left").select("row", "n_tokens", *ce).withColumn(
+        "score", F.col("target_ce") - F.col("background_ce"))
+
+
 def op4_lm_score(spark, sf_dir) -> DataFrame:
     """Cross-entropy difference of every document between documents labelled of good
     quality and all documents: doc_id, n_tokens, target_ce, background_ce, score."""
@@ -208,6 +390,7 @@ def op4_lm_score(spark, sf_dir) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     good = read(spark, sf_dir, "labels").where("quality = 1 and doc_id is not null").select("doc_id").distinct()
     few = good.count() <= BROADCAST_IDS
-    target = docs.join(F.broadcast(good) if few else good, "doc_id", "left_semi")
-    models = fit(docs, target, vocabulary(docs))
-    return score(docs, models, fitted=True).select("row.doc_id", "n_tokens", "target_ce", "background_ce", "score")
+    good = good.withColumn("target", F.lit(True))
+    docs = docs.join(F.broadcast(good) if few else good, "doc_id", "left")
+    return score_own(docs, F.col("target"), keep=["doc_id"]).select(
+        "row.doc_id", "n_tokens", "target_ce", "background_ce", "score")

@@ -211,6 +211,35 @@ def test_lm_score_keeps_rare_words_and_bigrams(spark):
             assert abs(rows[i]["target_ce"] - losses([texts[j] for j in good], t)) < 1e-8
             assert abs(rows[i]["background_ce"] - losses(texts, t)) < 1e-8
 
+    own = {r["row"]["doc_id"]: r for r in lm_score.score_own(df, F.col("doc_id").isin(1, 2), keep=["doc_id"]).collect()}
+    for i, t in enumerate(texts):
+        assert own[i]["n_tokens"] == len(alnum(t))
+        assert abs(own[i]["target_ce"] - losses([texts[j] for j in good], t)) < 1e-8
+        assert abs(own[i]["background_ce"] - losses(texts, t)) < 1e-8
+
+
+def test_lm_score_own_equals_the_tables(spark, monkeypatch):
+    """Spans and buckets of any size give the scores of the tables; null, empty and repeated
+    rows, null targets and clashing column names."""
+    texts = [prose(i % 30, 60 + i, 40 + i) for i in range(90)] + [None, "", " .,- ", "single", "single", "Ärger Größe 東京"]
+    base = docs_of(spark, texts).union(docs_of(spark, texts).limit(3))
+    df = base.selectExpr("doc_id", "text", "doc_id as id", "'x' as row", "1 as n_tokens", "2 as target", "3 as bucket").repartition(4)
+    chosen = F.when(F.col("doc_id") != 7, F.col("doc_id") % 3 == 0)
+
+    def rounded(rows):
+        return sorted((r["row"]["doc_id"], r["n_tokens"], *[None if r[c] is None else round(r[c], 8) for c in
+                       ("target_ce", "background_ce", "score")]) for r in rows.collect())
+    models = lm_score.fit(df, df.where(chosen), lm_score.vocabulary(df))
+    want = rounded(lm_score.score(df, models, fitted=True))
+    assert len(want) == len(texts) + 3 and want[93][1:] == (0, None, None, None)
+    assert rounded(lm_score.score_own(df, chosen)) == want
+    monkeypatch.setattr(lm_score, "SPAN", 3000)
+    monkeypatch.setattr(lm_score, "ENTRIES", 100)
+    assert rounded(lm_score.score_own(df, chosen)) == want
+    assert lm_score.score_own(df, chosen).first()["row"]["bucket"] == 3
+    assert lm_score.score_own(df.limit(0), chosen).count() == 0
+    assert all(r["target_ce"] is not None for r in lm_score.score_own(df, F.lit(False)).collect() if r["n_tokens"])
+
 
 # 5 mixing
 
