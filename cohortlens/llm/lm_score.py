@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import boxed, byte_column, mix64, row_blocks, written
+from ._common import boxed, byte_column, mix64, restored, row_blocks, squeezed, written
 from ._tokens import ALNUM, Tokens, tokenise
 
 HOT_SHARE = 2e-6          # bigrams of this share (at most 5e5) are looked up without a shuffle
@@ -206,17 +206,6 @@ def score(docs: DataFrame, models: Models, text: str = "text", fitted: bool = Fa
         "score", F.col("target_ce") - F.col("background_ce"))
 
 
-def _squeezed(x: np.ndarray) -> bytes:
-    """64-bit integers by byte planes, compressed: small numbers take about a byte."""
-    planes = np.ascontiguousarray(np.ascontiguousarray(x, np.int64).view(np.uint8).reshape(-1, 8).T)
-    return pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
-
-
-def _restored(b: bytes, n: int) -> np.ndarray:
-    planes = np.frombuffer(pa.decompress(b, decompressed_size=8 * n, codec="zstd", asbytes=True), np.uint8)
-    return np.ascontiguousarray(planes.reshape(8, n).T).view(np.int64).ravel()
-
-
 def _numbered(batches):
     """Documents without their texts; the first one of a span holds its words: their
     hashes, every word's number and the words of each document."""
@@ -234,7 +223,7 @@ def _numbered(batches):
             yield pa.RecordBatch.from_arrays(
                 [ids, b.column("row").slice(lo, size), pa.array(lengths), pa.array(np.where(flags[lo:hi], lengths, 0)),
                  *(pa.array([n] + rest if held else [None] * size, pa.int64()) for n in (size, len(words))),
-                 *(pa.array([_squeezed(x)] + rest if held else [None] * size, pa.binary())
+                 *(pa.array([squeezed(x)] + rest if held else [None] * size, pa.binary())
                    for x in (words.view(np.int64), at, lengths, flags[lo:hi]))],
                 ["id", "row", "n_tokens", "n_target", "n_docs", "n_words", "words", "at", "lengths", "flags"])
 
@@ -255,11 +244,11 @@ class _Span:
 
 def _span(row: dict) -> _Span:
     n = row["n_words"]
-    words = np.append(_restored(row["words"], n).view(np.uint64), np.uint64(START))
-    lengths = _restored(row["lengths"], row["n_docs"])
+    words = np.append(restored(row["words"], n).view(np.uint64), np.uint64(START))
+    lengths = restored(row["lengths"], row["n_docs"])
     first = np.concatenate([[0], np.cumsum(lengths)])
-    at = _restored(row["at"], int(first[-1]))
-    flag = np.repeat(_restored(row["flags"], len(lengths)), lengths).astype(float)
+    at = restored(row["at"], int(first[-1]))
+    flag = np.repeat(restored(row["flags"], len(lengths)), lengths).astype(float)
     ahead = np.concatenate([[n], at[:-1]])
     ahead[first[:-1][lengths > 0]] = n
     both, pair = np.unique(ahead * (n + 1) + at, return_inverse=True)
@@ -293,8 +282,8 @@ def _sent(bits: int):
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(bucket[cut[:-1]]), pa.array([row["id"]] * len(parts), pa.int64()),
                      pa.array(np.diff(cut)),
-                     pa.array([_squeezed(np.diff(keys[lo:hi], prepend=np.uint64(0)).view(np.int64)) for lo, hi in parts]),
-                     pa.array([_squeezed(counts[:, lo:hi].ravel()) for lo, hi in parts])],
+                     pa.array([squeezed(np.diff(keys[lo:hi], prepend=np.uint64(0)).view(np.int64)) for lo, hi in parts]),
+                     pa.array([squeezed(counts[:, lo:hi].ravel()) for lo, hi in parts])],
                     ["bucket", "id", "n", "keys", "counts"])
     return send
 
@@ -312,17 +301,17 @@ def _answered(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     one more row has the number of different words. Spans are unpacked one by one, so a
     bucket needs its packed rows and its different keys."""
     def keys_of(row):
-        return np.cumsum(_restored(row["keys"], row["n"]).view(np.uint64), dtype=np.uint64)
+        return np.cumsum(restored(row["keys"], row["n"]).view(np.uint64), dtype=np.uint64)
     keys, counts, waiting = [], [], 0
     for row in _rows(table.select(["n", "keys", "counts"])):
         keys.append(keys_of(row))
-        counts.append(_restored(row["counts"], 4 * row["n"]).reshape(4, -1))
+        counts.append(restored(row["counts"], 4 * row["n"]).reshape(4, -1))
         waiting += row["n"]
         if waiting > 2 * ENTRIES:
             one, sums = _summed(keys, counts)
             keys, counts, waiting = [one], [sums], 0
     known, sums = _summed(keys, counts)
-    found = [_squeezed(sums[:, np.searchsorted(known, keys_of(row))].ravel()) for row in _rows(table.select(["n", "keys"]))]
+    found = [squeezed(sums[:, np.searchsorted(known, keys_of(row))].ravel()) for row in _rows(table.select(["n", "keys"]))]
     words = int(((known & np.uint64(1)) == 1)[sums[0] > 0].sum())
     return pa.table({"id": pa.concat_arrays([*table.column("id").chunks, pa.array([None], pa.int64())]),
                      "bucket": pa.concat_arrays([*table.column("bucket").chunks, pa.array([key[0].as_py()], pa.int64())]),
@@ -365,7 +354,7 @@ def score_own(docs: DataFrame, target: Column, text: str = "text", keep: list[st
         s = _span(row)
         counts = np.empty_like(s.counts)
         parts = sorted(_rows(answers), key=lambda r: r["bucket"])
-        counts[:, s.order] = np.concatenate([_restored(r["sums"], 4 * r["n"]).reshape(4, -1) for r in parts], 1)
+        counts[:, s.order] = np.concatenate([restored(r["sums"], 4 * r["n"]).reshape(4, -1) for r in parts], 1)
         words, pairs = counts[:, :row["n_words"] + 1], counts[:, row["n_words"] + 1:]
         out = {"id": row["id"] + np.arange(row["n_docs"])}
         for m, at in (("target", 1), ("background", 0)):

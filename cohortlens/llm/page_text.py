@@ -3,8 +3,7 @@
 Markup tells most parts of a page apart: menus, adverts and the like are named, and
 an article is too. Runs of words are hashed and the distinct pages of a host that have
 them counted over the whole host; ``shared_words`` says the same of a few pages by a
-suffix array. Blocks
-that the markup leaves open (pages without an article) lose covered boilerplate and
+suffix array. Blocks that the markup leaves open (pages without an article) lose covered boilerplate and
 keep their unique runs; blocks of an article are the text and stay.
 """
 from __future__ import annotations
@@ -16,16 +15,20 @@ from html.parser import HTMLParser
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import mix64, written
+from ._common import mix64, restored, squeezed, written
 from ._tokens import Tokens, grams
 
 CHUNK_PAGES = 256        # pages worked on at a time
 CHUNK_BYTES = 32 << 20
 RUN_WORDS = 8            # shortest shared substring
 MIN_PAGES = 3            # distinct pages that share it
+FLUSH_RUNS = 1 << 20     # runs of pages packed at a time
+SCREEN_RUNS = 1 << 21    # runs of a bucket in the screening, on average
+SPARE_BITS = 8           # a run's shortened hash has so many bits more than their number
 BROADCAST_RUNS = 2_000_000  # more shared runs, or copies of pages, are joined by shuffle
 
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
@@ -267,10 +270,51 @@ def _page_runs(pdfs):
             yield both.drop_duplicates()
 
 
-def _run_counts(pdfs):
-    for both in _page_runs(pdfs):
-        run, n = np.unique(both["run"].to_numpy(), return_counts=True)
-        yield pd.DataFrame({"run": run, "n": n})
+def _run_counts(screen):
+    """Rows of (run, pages) of the runs whose shortened hash is in ``screen``: (bits, their
+    sorted values as a broadcast); all runs without it."""
+    def count(pdfs):
+        for both in _page_runs(pdfs):
+            run = both["run"].to_numpy()
+            if screen:
+                bits, known = screen
+                run = run[np.isin(run.view(np.uint64) >> np.uint64(64 - bits), known.value)]
+            run, n = np.unique(run, return_counts=True)
+            yield pd.DataFrame({"run": run, "n": n})
+    return count
+
+
+def _shortened(bits: int, bucket_bits: int):
+    """Shortened hashes of the runs of many pages, each as often as pages have it but no more
+    often than decides, by bucket: sorted, as packed differences."""
+    def pack(waiting):
+        runs = np.sort(np.concatenate(waiting).view(np.uint64) >> np.uint64(64 - bits))
+        if len(runs) > MIN_PAGES:
+            runs = runs[np.concatenate([np.ones(MIN_PAGES, bool), runs[MIN_PAGES:] != runs[:-MIN_PAGES]])]
+        bucket = (runs >> np.uint64(bits - bucket_bits)).astype(np.int64)
+        cut = np.flatnonzero(np.diff(bucket, prepend=-1, append=1 << bucket_bits))
+        return pd.DataFrame({"bucket": bucket[cut[:-1]], "n": np.diff(cut), "runs": [
+            squeezed(np.diff(runs[lo:hi], prepend=np.uint64(0)).view(np.int64)) for lo, hi in zip(cut[:-1], cut[1:])]})
+
+    def send(pdfs):
+        waiting, size = [], 0
+        for both in _page_runs(pdfs):
+            waiting.append(both["run"].to_numpy())
+            size += len(waiting[-1])
+            if size >= FLUSH_RUNS:
+                yield pack(waiting)
+                waiting, size = [], 0
+        if size:
+            yield pack(waiting)
+    return send
+
+
+def _repeated(table: pa.Table) -> pa.Table:
+    """The shortened hashes of a bucket that enough pages have."""
+    runs = np.concatenate([np.cumsum(restored(b.as_py(), n.as_py()).view(np.uint64), dtype=np.uint64)
+                           for b, n in zip(table.column("runs"), table.column("n"))])
+    one, n = np.unique(runs, return_counts=True)
+    return pa.table({"run": one[n >= MIN_PAGES].view(np.int64)})
 
 
 def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
@@ -281,7 +325,10 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
     own; rows of a host with equal blocks count as one page and give equal texts; an empty
     table gives no rows; other columns don't matter. The pages that have a run of words
     are counted over the whole host, whatever its size, by an aggregate over hashes of
-    (host, run); the shared runs are broadcast while they are few, else joined by shuffle."""
+    (host, run). Shortened hashes are counted first, as packed sorted differences of about two
+    bytes a run: only runs whose shortened hash enough pages have can be shared, and these
+    alone are counted by their whole hash. The shared runs are broadcast while they are few,
+    else joined by shuffle (and then counted without the screening)."""
     spark = pages.sparkSession
     base = pages.select(F.col(f"`{key}`").alias("key"), F.col(f"`{url}`").alias("url"), F.col(f"`{html}`").alias("html"),
                         host_of(F.col(f"`{url}`")).alias("host"), F.monotonically_increasing_id().alias("id"))
@@ -292,17 +339,29 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
                 blocks = [page_blocks(h if isinstance(h, str) else None) for h in piece["html"]]
                 yield piece.drop(columns="html").assign(
                     inside=[[i for i, _ in b] for b in blocks], block=[[t for _, t in b] for b in blocks],
+                    n_words=[sum(t.count(" ") + 1 for _, t in b) for b in blocks],
                     digest=[hashlib.md5("\n".join(f"{i:d}{t}" for i, t in b).encode("utf-8", "surrogatepass")).hexdigest()
                             for b in blocks])
 
     kind = dict(base.dtypes)
     parsed = written(base.mapInPandas(parse, f"key {kind['key']}, url string, host string, id long, "
-                                             "inside array<boolean>, block array<string>, digest string"), "pages")
+                                             "inside array<boolean>, block array<string>, n_words long, digest string"), "pages")
     same = ["host", "digest"]
     first = parsed.groupBy(same).agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
     later = parsed.select(*same, "id").join(first, same).where("id > first").select("id")
     later = F.broadcast(later) if later.count() <= BROADCAST_RUNS else later
-    counts = parsed.join(later, "id", "left_anti").select("id", "host", "block").mapInPandas(_run_counts, "run long, n long")
+    distinct = parsed.join(later, "id", "left_anti")
+    n_words = distinct.agg(F.coalesce(F.sum("n_words"), F.lit(0))).first()[0]
+    bucket_bits = (n_words // SCREEN_RUNS).bit_length()
+    bits = min(63, max(1, n_words.bit_length()) + SPARE_BITS)
+    repeated = written(distinct.select("id", "host", "block")
+                       .mapInPandas(_shortened(bits, bucket_bits), "bucket long, n long, runs binary")
+                       .groupBy("bucket").applyInArrow(_repeated, "run long"), "page-screen")
+    screen = None
+    if repeated.count() <= BROADCAST_RUNS:
+        known = np.sort(repeated.toPandas()["run"].to_numpy(np.int64).view(np.uint64))
+        screen = bits, spark.sparkContext.broadcast(known)
+    counts = distinct.select("id", "host", "block").mapInPandas(_run_counts(screen), "run long, n long")
     shared = written(counts.groupBy("run").agg(F.sum("n").alias("n")).where(F.col("n") >= MIN_PAGES).select("run"), "page-runs")
     few = shared.count() <= BROADCAST_RUNS
     if few:
