@@ -60,8 +60,8 @@ def shard_rows(df: DataFrame, key: list[str], shards: int, seed: int = SEED) ->
     """``row`` (the input row as a struct), ``row_number``, ``shard`` (int) and ``slot``.
 
     Shards differ by one row at most and slots have no gaps. Row numbers follow a hash
-    of the columns of ``key`` and then one of the whole row, so they depend on the data
-    alone, not on partitions. Equal rows are counted before they are dealt out, so many
+    of both the columns of ``key`` and the whole row, so they depend on the data alone, not
+    on partitions, and different rows of one key (or of none) lie in different buckets. Equal rows are counted before they are dealt out, so many
     copies (or nulls) are one row in a bucket; they take consecutive numbers. Empty
     tables give no rows; columns of any name stay inside ``row``. Whole rows are
     shuffled once; all else runs on two hashes of a row."""
@@ -70,7 +70,7 @@ def shard_rows(df: DataFrame, key: list[str], shards: int, seed: int = SEED) ->
         F.struct(*columns).alias("row"), F.xxhash64(*[F.col(f"`{c}`") for c in key]).alias("k"),
         F.xxhash64(F.lit(seed), *columns, *[c.isNull() for c in columns]).alias("h"))
     counted = (named.groupBy("k", "h").agg(F.count(F.lit(1)).alias("n"))
-               .withColumn("b", F.shiftrightunsigned("k", 48)))
+               .withColumn("b", F.shiftrightunsigned(F.xxhash64("k", "h"), 48)))
     sums = counted.groupBy("b").agg(F.sum("n").alias("n")).toPandas().sort_values("b")  # at most BUCKETS rows
     n = int(sums["n"].sum())
     sums["start"] = sums["n"].cumsum() - sums["n"]

@@ -316,6 +316,20 @@ def test_shards_are_even_without_gaps(spark):
     assert sharding.shard_rows(df.limit(0), ["doc_id"], 5).count() == 0
 
 
+def test_sharding_spreads_rows_of_one_key(spark):
+    """Rows of null keys with different contents fall in many buckets; copies stay one."""
+    rows = [(None, f"t{i}") for i in range(3000)] + [(None, "same")] * 500 + [(i, "x") for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    named = df.where("doc_id is null").select(F.xxhash64("doc_id").alias("k"), F.xxhash64("text").alias("h"))
+    assert named.select(F.shiftrightunsigned(F.xxhash64("k", "h"), 48)).distinct().count() > 2500
+    out = sharding.shard_rows(df, ["doc_id"], 7).select("row_number", "shard", "slot", "row.text").toPandas()
+    assert sorted(out["row_number"]) == list(range(6500)) and np.ptp(out["shard"].value_counts().to_numpy()) <= 1
+    same = sorted(out[out["text"] == "same"]["row_number"])
+    assert same == list(range(same[0], same[0] + 500))
+    for _, part in out.groupby("shard"):
+        assert sorted(part["slot"]) == list(range(len(part)))
+
+
 # 7 pages
 
 def test_page_text_reads_the_article(spark):
