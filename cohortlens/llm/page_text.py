@@ -20,8 +20,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._common import mix64, restored, squeezed, written
-from ._tokens import Tokens, grams
+from ._tokens import grams, tokenise
 
+BETWEEN = np.arange(256) != 0x20  # bytes of words
+AS_IS = np.arange(256, dtype=np.uint8)
 CHUNK_PAGES = 256        # pages worked on at a time
 CHUNK_BYTES = 32 << 20
 RUN_WORDS = 8            # shortest shared substring
@@ -221,21 +223,6 @@ def main_texts(pages: list[str | None]) -> list[tuple[str, int]]:
     return [(without(page, tokens, cover), int(cover.sum())) for page, tokens, cover in zip(blocks, words, shared)]
 
 
-def run_keys(hosts: list[str], words: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash of (host, run) of every run of ``RUN_WORDS`` words inside a page, with its page
-    and the place of its first word among all words."""
-    doc = np.repeat(np.arange(len(words)), [len(w) for w in words])
-    flat = np.array([x for w in words for x in w], dtype=object)
-    if len(flat) < RUN_WORDS:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    t = Tokens(pd.util.hash_array(flat), doc, None, None, None, None)
-    run, page = grams(t, RUN_WORDS)
-    n = len(doc) - RUN_WORDS + 1
-    at = np.flatnonzero(doc[:n] == doc[RUN_WORDS - 1:])
-    own = pd.util.hash_array(np.array(hosts, dtype=object))
-    return mix64(run + mix64(own[page])), page, at
-
-
 def host_of(url: Column) -> Column:
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
 
@@ -247,14 +234,18 @@ def _pieces(pdf: pd.DataFrame, size: pd.Series):
         yield piece
 
 
-def _words(blocks) -> list[list[str]]:
-    return [t.split(" ") for t in blocks]
-
-
-def _keys_of(piece: pd.DataFrame):
-    words = [_words(b) for b in piece["block"]]
-    flat = [[w for block in page for w in block] for page in words]
-    return words, flat, *run_keys(list(piece["host"]), flat)
+def _keys_of(piece: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """First word of every page, and for every run of ``RUN_WORDS`` words inside a page the
+    hash of (host, run), the page and the place of its first word among all words. A block's
+    words lie between single spaces."""
+    texts = [" ".join(b).encode("utf-8", "surrogatepass") for b in piece["block"]]
+    bounds = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
+    t = tokenise(np.array(bytearray(b"".join(texts)), np.uint8), bounds, BETWEEN, AS_IS)
+    run, page = grams(t, RUN_WORDS)
+    n = max(0, len(t.doc) - RUN_WORDS + 1)
+    at = np.flatnonzero(t.doc[:n] == t.doc[len(t.doc) - n:])
+    own = pd.util.hash_array(piece["host"].to_numpy(object))
+    return t.first, mix64(run + mix64(own[page])), page, at
 
 
 def _size(pdf: pd.DataFrame) -> pd.Series:
@@ -265,7 +256,7 @@ def _page_runs(pdfs):
     """(page, run), once for each run of a page."""
     for pdf in pdfs:
         for piece in _pieces(pdf, _size(pdf)):
-            _, _, keys, page, _ = _keys_of(piece)
+            _, keys, page, _ = _keys_of(piece)
             both = pd.DataFrame({"id": piece["id"].to_numpy()[page], "run": keys.view(np.int64)})
             yield both.drop_duplicates()
 
@@ -278,7 +269,9 @@ def _run_counts(screen):
             run = both["run"].to_numpy()
             if screen:
                 bits, known = screen
-                run = run[np.isin(run.view(np.uint64) >> np.uint64(64 - bits), known.value)]
+                short = run.view(np.uint64) >> np.uint64(64 - bits)
+                place = np.minimum(np.searchsorted(known.value, short), max(0, len(known.value) - 1))
+                run = run[known.value[place] == short] if len(known.value) else run[:0]
             run, n = np.unique(run, return_counts=True)
             yield pd.DataFrame({"run": run, "n": n})
     return count
@@ -375,7 +368,7 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
     def finish(pdfs):
         for pdf in pdfs:
             for piece in _pieces(pdf, _size(pdf)):
-                words, flat, keys, page, at = _keys_of(piece)
+                first, keys, page, at = _keys_of(piece)
                 keys = keys.view(np.int64)
                 if few:
                     place = np.minimum(np.searchsorted(runs.value, keys), max(0, len(runs.value) - 1))
@@ -386,14 +379,13 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
                     for i, r in enumerate(piece["runs"]):
                         if r is not None:
                             hit[edge[i]:edge[i + 1]] = np.isin(keys[edge[i]:edge[i + 1]], r)
-                ends = np.cumsum([len(f) for f in flat])
-                cover = np.zeros(int(ends[-1]) + 1, np.int64)
+                cover = np.zeros(int(first[-1]) + 1, np.int64)
                 np.add.at(cover, at[hit], 1)
                 np.add.at(cover, at[hit] + RUN_WORDS, -1)
                 cover = np.cumsum(cover)[:-1] > 0
-                covers = [cover[e - len(f):e] for e, f in zip(ends, flat)]
-                texts = [without(list(zip(i, b)), w, c)
-                         for i, b, w, c in zip(piece["inside"], piece["block"], words, covers)]
+                covers = [cover[lo:hi] for lo, hi in zip(first[:-1], first[1:])]
+                texts = [without(list(zip(i, b)), [t.split(" ") for t in b], c) if c.any() and not all(i) else "\n\n".join(b)
+                         for i, b, c in zip(piece["inside"], piece["block"], covers)]
                 yield pd.DataFrame({"key": piece["key"], "url": piece["url"], "text": texts,
                                     "n_chars": [len(t) for t in texts], "n_shared": [int(c.sum()) for c in covers]})
 
