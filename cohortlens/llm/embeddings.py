@@ -1,10 +1,11 @@
 """3. Embedding near-dedup with binary codes of randomised rotations.
 
 Vectors are rotated at random and their signs kept as bits. Bands of bits, as many as
-the wanted recall asks for at the threshold, bring near vectors into one bucket. There
-the code, with its stored correction factor, gives an unbiased estimate of the inner
-product and a confidence bound; only pairs whose bound reaches the threshold are
-computed exactly, and only exact values make links.
+the wanted recall asks for at the threshold, bring near vectors into one bucket. Codes
+and their correction factors are stored once with each vector and go to the buckets in
+its place. They give an unbiased estimate of the inner product and a confidence bound;
+the vectors of rows whose bound reaches the threshold with some other follow, and only
+such pairs are computed exactly. Only exact values make links.
 """
 from __future__ import annotations
 
@@ -25,7 +26,8 @@ EXTRA_BITS = 4        # bits of a band beyond log2(rows)
 ESTIMATE_ROTATIONS = 2
 SIGMAS = 5.0
 BLOCK = 512           # vectors of a bucket that one group holds of either side
-PAIRS = 1 << 16
+PAIRS = 1 << 14       # pairs compared at a time
+PLANES = 4            # bits of a rounded component of the rotated vector
 SEED = 20240229
 
 
@@ -54,17 +56,36 @@ def unit(v: np.ndarray) -> np.ndarray:
     return v / np.sqrt((v * v).sum(axis=1, keepdims=True))
 
 
-def band_keys(u: np.ndarray, bits: int, bands: int) -> np.ndarray:
-    """The bands' bits as integers, one column a band."""
-    d = u.shape[1]
-    signs = u @ rotations(d, -(-bits * bands // d)) > 0
+def sign_string(u: np.ndarray, bits: int, bands: int) -> np.ndarray:
+    """The packed signs that all bands take their bits from, one row a vector."""
+    return np.packbits(u @ rotations(u.shape[1], -(-bits * bands // u.shape[1])) > 0, axis=1, bitorder="little")
+
+
+def band_values(signs: np.ndarray, bits: int, bands: int) -> np.ndarray:
+    """The bands' bits of packed signs as integers, one column a band."""
+    out = np.empty((len(signs), bands), np.uint64)
     weight = np.uint64(1) << np.arange(bits, dtype=np.uint64)
-    out = np.empty((len(u), bands), np.uint64)
+    loose = np.unpackbits(signs, axis=1, count=bits * bands, bitorder="little")
     for b in range(bands):
-        out[:, b] = signs[:, b * bits:(b + 1) * bits].astype(np.uint64) @ weight
+        out[:, b] = loose[:, b * bits:(b + 1) * bits].astype(np.uint64) @ weight
     return out
 
 
+def _bound(dots: np.ndarray, f: np.ndarray, d: int, noise: np.ndarray | float = 0.0) -> np.ndarray:
+    """Upper confidence bound from <code, rotated> and the code's factor, a column a
+    rotation: their quotients' mean is unbiased, and what the code leaves of a unit vector
+    spreads each by about sqrt((1 - f^2) / f^2 / (d - 1)); ``noise`` is the deviation that
+    rounding adds to the dot product."""
+    spread = np.sqrt(np.maximum(0, 1 - f * f) / max(1, d - 1) + noise * noise) / f
+    return (dots / f).mean(1) + SIGMAS * spread.mean(1) / math.sqrt(f.shape[1])
+
+
+def _words(loose: np.ndarray) -> np.ndarray:
+    """Booleans of the last axis packed to 64-bit words."""
+    fill = [(0, 0)] * (loose.ndim - 1) + [(0, -loose.shape[-1] % 64)]
+    return np.packbits(np.pad(loose, fill), axis=-1, bitorder="little").view(np.uint64)
+
+
 class Codes:
     """Sign codes over a few rotations and their correction factors."""
 
@@ -75,13 +96,44 @@ class Codes:
         self.factor = (self.signs * self.rotated).reshape(len(u), count, self.d).sum(2)
 
     def upper(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        """Upper confidence bound of the inner products of rows i and j: the mean over
-        rotations of <code, rotated> / factor is unbiased, and what the code leaves of a
-        unit vector spreads it by about sqrt((1 - f^2) / f^2 / (d - 1))."""
+        """Upper confidence bound of the inner products of rows i and j."""
         dots = (self.signs[i] * self.rotated[j]).reshape(len(i), self.count, self.d).sum(2)
-        f = self.factor[i]
-        spread = np.sqrt(np.maximum(0, 1 - f * f) / (f * f) / max(1, self.d - 1)).mean(1) / math.sqrt(self.count)
-        return (dots / f).mean(1) + SIGMAS * spread
+        return _bound(dots, self.factor[i], self.d)
+
+    def packed(self) -> np.ndarray:
+        """The rows of ``PackedCodes``: the rotated vector is rounded to ``PLANES`` bits a
+        component, up or down at random, so that the estimate stays unbiased."""
+        x = self.rotated.reshape(-1, self.count, self.d)
+        low = x.min(2).astype(np.float32)
+        step = ((x.max(2) - low) / (2 ** PLANES - 1)).astype(np.float32)
+        rng = np.random.default_rng([SEED, self.d, self.count])
+        level = np.floor((x - low[:, :, None]) / np.where(step > 0, step, 1)[:, :, None] + rng.random(x.shape))
+        level = np.clip(level, 0, 2 ** PLANES - 1).astype(np.uint8)
+        planes = np.stack([x > 0, *[level >> p & 1 == 1 for p in range(PLANES)]], axis=2)
+        scales = np.stack([self.factor.astype(np.float32), low, step], axis=2)
+        return np.hstack([y.reshape(len(x), -1).view(np.uint8) for y in (_words(planes), np.ascontiguousarray(scales))])
+
+
+class PackedCodes:
+    """Stored codes: for each rotation a word row of signs, ``PLANES`` word rows of the
+    rounded rotated vector, and the correction factor, lowest value and step."""
+
+    def __init__(self, rows: np.ndarray, d: int, count: int = ESTIMATE_ROTATIONS):
+        self.d, split = d, count * (1 + PLANES) * -(-d // 64) * 8
+        words = np.ascontiguousarray(rows[:, :split]).view(np.uint64).reshape(len(rows), count, 1 + PLANES, -1)
+        self.signs, self.planes = words[:, :, 0], words[:, :, 1:]
+        scales = np.ascontiguousarray(rows[:, split:]).view(np.float32).reshape(len(rows), count, 3).astype(np.float64)
+        self.factor, self.low, self.step = scales[:, :, 0], scales[:, :, 1], scales[:, :, 2]
+        weight = 1 << np.arange(PLANES)
+        self.ones = np.bitwise_count(self.signs).sum(2, dtype=np.int64)
+        self.levels = np.bitwise_count(self.planes).sum(3, dtype=np.int64) @ weight
+
+    def upper(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Upper confidence bound of the inner products of rows i and j, by popcounts."""
+        both = sum(np.bitwise_count(self.signs[i] & self.planes[j, :, p]).sum(2, dtype=np.int64) << p
+                   for p in range(PLANES))
+        dots = self.low[j] * (2 * self.ones[i] - self.d) + self.step[j] * (2 * both - self.levels[j])
+        return _bound(dots / math.sqrt(self.d), self.factor[i], self.d, self.step[j] / 2) + 1e-6
 
 
 def usable(v: Column) -> Column:
@@ -94,44 +146,100 @@ def _vectors(col: pa.Array) -> list[np.ndarray]:
     return [x.values.to_numpy(zero_copy_only=False) for x in col]
 
 
-def _keys_of(classes: DataFrame, bits: int, bands: int) -> DataFrame:
-    """(id, band, key) of every class and band; the key also holds the dimension."""
+def _fixed(col: pa.Array) -> np.ndarray:
+    """A binary column of equal lengths as a matrix of bytes."""
+    return np.frombuffer(b"".join(col.to_pylist()), np.uint8).reshape(len(col), -1)
+
+
+def _binary(rows: np.ndarray) -> pa.Array:
+    rows = np.ascontiguousarray(rows)
+    return pa.array([x.tobytes() for x in rows], pa.binary())
+
+
+def _encoded(classes: DataFrame, bits: int, bands: int) -> DataFrame:
+    """(id, w, d, code, signs): what is stored of every class beside its vector."""
     def run(batches):
         for b in batches:
-            ids = b.column("id").to_numpy(zero_copy_only=False)
+            ids, w = (b.column(c).to_numpy(zero_copy_only=False) for c in ("id", "w"))
             vectors = _vectors(b.column("v"))
             sizes = np.array([len(v) for v in vectors])
             for d in np.unique(sizes):
                 at = np.flatnonzero(sizes == d)
-                keys = band_keys(unit(np.stack([vectors[i] for i in at])), bits, bands)
+                u = unit(np.stack([vectors[i] for i in at]))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(ids[at]), pa.array(w[at]), pa.array(np.full(len(at), d, np.int32)),
+                     _binary(Codes(u).packed()), _binary(sign_string(u, bits, bands))], ["id", "w", "d", "code", "signs"])
+    return classes.mapInArrow(run, "id long, w long, d int, code binary, signs binary")
+
+
+def _keys_of(codes: DataFrame, bits: int, bands: int) -> DataFrame:
+    """(id, band, key) of every class and band; the key also holds the dimension."""
+    def run(batches):
+        for b in batches:
+            ids, sizes = (b.column(c).to_numpy(zero_copy_only=False) for c in ("id", "d"))
+            for d in np.unique(sizes):
+                at = np.flatnonzero(sizes == d)
+                keys = band_values(_fixed(b.column("signs").take(pa.array(at))), bits, bands)
                 keys = mix64(keys + np.uint64(int(d) << 44)).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.repeat(ids[at], bands)), pa.array(np.tile(np.arange(bands, dtype=np.int32), len(at))),
                      pa.array(keys.ravel())], ["id", "band", "key"])
-    return classes.mapInArrow(run, "id long, band int, key long")
-
-
-def _group_links(ids, weights, side, u, keys, codes, band, threshold):
-    """Links of one group: pairs that share no earlier band and whose bound and then
-    exact cosine reach the threshold. Rows of side 0 are one block with itself; sides 1
-    and 2, in this order, are two blocks against each other."""
-    n = len(ids)
-    if side[0] == 0:
-        i, j = np.triu_indices(n, 1)
-    else:
-        split = int(np.searchsorted(side, 2))
-        i, j = (x.ravel() for x in np.meshgrid(np.arange(split), np.arange(split, n), indexing="ij"))
-    for lo in range(0, len(i), PAIRS):
-        a, b = i[lo:lo + PAIRS], j[lo:lo + PAIRS]
-        for e in range(band):
-            new = keys[a, e] != keys[b, e]
-            a, b = a[new], b[new]
-            if not len(a):
-                break
-        near = codes.upper(a, b) >= threshold
-        a, b = a[near], b[near]
-        exact = (u[a] * u[b]).sum(1) >= threshold
-        yield a[exact], b[exact]
+    return codes.select("id", "d", "signs").mapInArrow(run, "id long, band int, key long")
+
+
+def _whole_groups(batches):
+    """Tables of whole groups of one dimension, from rows that come sorted by group."""
+    def by_dimension(t):
+        d = t["d"].to_numpy()
+        for x in np.unique(d):
+            yield int(x), t.take(pa.array(np.flatnonzero(d == x))).combine_chunks()
+
+    held = None
+    for b in batches:
+        t = pa.Table.from_batches([b])
+        t = t if held is None else pa.concat_tables([held, t])
+        g = t["g"].to_numpy()
+        cut = int(np.searchsorted(g, g[-1])) if len(g) else 0
+        if cut:
+            yield from by_dimension(t.slice(0, cut))
+        held = t.slice(cut)
+    if held is not None and held.num_rows:
+        yield from by_dimension(held)
+
+
+def _pairs(g: np.ndarray, side: np.ndarray):
+    """(i, j) of all pairs to compare, some ``PAIRS`` at a time. Rows of side 0 are one
+    block with itself; sides 1 and 2, in this order, are two blocks against each other."""
+    n = len(g)
+    start = np.flatnonzero(np.r_[True, g[1:] != g[:-1]])
+    size = np.diff(np.r_[start, n])
+    end = np.repeat(start + size, size)
+    second = np.repeat(start + np.add.reduceat((side < 2).astype(np.int64), start), size)
+    first = np.where(side == 0, np.arange(n) + 1, np.where(side == 1, second, end))
+    count = end - first
+    total = np.r_[0, np.cumsum(count)]
+    lo = 0
+    while lo < n:
+        hi = max(lo + 1, int(np.searchsorted(total, total[lo] + PAIRS, side="right")) - 1)
+        c = count[lo:hi]
+        i = np.repeat(np.arange(lo, hi), c)
+        if len(i):
+            yield i, np.arange(len(i)) + np.repeat(first[lo:hi] - (np.cumsum(c) - c), c)
+        lo = hi
+
+
+def _screened(grouped: DataFrame, threshold: float) -> DataFrame:
+    """The rows of ``grouped`` whose bound reaches the threshold with some row of their
+    group: only their vectors are fetched."""
+    def run(batches):
+        for d, t in _whole_groups(batches):
+            codes = PackedCodes(_fixed(t["code"]), d)
+            some = np.zeros(t.num_rows, bool)
+            for i, j in _pairs(t["g"].to_numpy(), t["side"].to_numpy()):
+                near = codes.upper(i, j) >= threshold
+                some[i[near]] = some[j[near]] = True
+            yield from t.filter(pa.array(some)).select(["g", "band", "side", "id"]).to_batches()
+    return grouped.mapInArrow(run, "g long, band int, side int, id long")
 
 
 def _spanning(a: np.ndarray, b: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -149,48 +257,32 @@ def _spanning(a: np.ndarray, b: np.ndarray, n: int) -> tuple[np.ndarray, np.ndar
     return linked, label[linked]
 
 
-def _group_rows(rows: dict, bits: int, bands: int, threshold: float):
-    """(id, links, to) of one group: linked weight of every row, and spanning links."""
-    ids, weights, band = rows["id"], rows["w"], int(rows["band"][0])
-    u = unit(np.stack(rows["v"]))
-    found = list(_group_links(ids, weights, rows["side"], u, band_keys(u, bits, bands), Codes(u), band, threshold))
-    a = np.concatenate([x for x, _ in found]) if found else np.zeros(0, np.int64)
-    b = np.concatenate([x for _, x in found]) if found else np.zeros(0, np.int64)
-    if not len(a):
-        return None
-    links = np.bincount(a, weights[b], len(ids)) + np.bincount(b, weights[a], len(ids))
-    x, y = _spanning(a, b, len(ids))
-    some = np.flatnonzero(links)
-    to = np.full(len(ids), -1, np.int64)
-    to[x] = y
-    return ids[some], links[some].astype(np.int64), np.where(to[some] >= 0, ids[to[some]], ids[some])
-
-
 def _compared(grouped: DataFrame, bits: int, bands: int, threshold: float) -> DataFrame:
-    """Runs over partitions that are sorted by group, one group in memory at a time."""
+    """(id, links, to): linked weight of every row of a group, and spanning links. A pair
+    counts in the first band that it shares; its bound and then its exact cosine must
+    reach the threshold."""
     def run(batches):
-        open_rows: dict[str, list] = {c: [] for c in ("g", "band", "side", "id", "w", "v")}
-
-        def close():
-            if len(open_rows["id"]) > 1:
-                rows = {c: np.array(x) if c != "v" else x for c, x in open_rows.items()}
-                out = _group_rows(rows, bits, bands, threshold)
-                if out is not None:
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], ["id", "links", "to"])
-            for x in open_rows.values():
-                x.clear()
-
-        for b in batches:
-            g = b.column("g").to_numpy(zero_copy_only=False)
-            cut = [0, *(np.flatnonzero(g[1:] != g[:-1]) + 1).tolist(), len(g)]
-            for lo, hi in zip(cut, cut[1:]):
-                if lo < hi and open_rows["g"] and open_rows["g"][-1] != g[lo]:
-                    yield from close()
-                part = b.slice(lo, hi - lo)
-                for c in ("g", "band", "side", "id", "w"):
-                    open_rows[c].extend(part.column(c).to_pylist())
-                open_rows["v"].extend(_vectors(part.column("v")))
-        yield from close()
+        for d, t in _whole_groups(batches):
+            n, ids, weights, band = t.num_rows, *(t[c].to_numpy() for c in ("id", "w", "band"))
+            codes, values = PackedCodes(_fixed(t["code"]), d), band_values(_fixed(t["signs"]), bits, bands)
+            u = unit(np.stack(_vectors(t["v"])))
+            links, a, b = np.zeros(n), np.zeros(0, np.int64), np.zeros(0, np.int64)
+            for i, j in _pairs(t["g"].to_numpy(), t["side"].to_numpy()):
+                near = codes.upper(i, j) >= threshold
+                i, j = i[near], j[near]
+                new = (values[i] == values[j]).argmax(1) == band[i]
+                i, j = i[new], j[new]
+                exact = (u[i] * u[j]).sum(1) >= threshold
+                i, j = i[exact], j[exact]
+                if len(i):
+                    links += np.bincount(i, weights[j], n) + np.bincount(j, weights[i], n)
+                    a, b = _spanning(np.r_[a, i], np.r_[b, j], n)
+            some = np.flatnonzero(links)
+            if len(some):
+                to = np.arange(n)
+                to[a] = b
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(x) for x in (ids[some], links[some].astype(np.int64), ids[to[some]])], ["id", "links", "to"])
     return grouped.mapInArrow(run, "id long, links long, to long")
 
 
@@ -209,7 +301,9 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embe
     classes = written(fit.groupBy("v").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("w")), "vector-classes")
     bits, bands = band_shape(classes.count(), threshold, miss)
 
-    keys = _keys_of(classes.select("id", "v"), bits, bands)
+    codes = written(_encoded(classes, bits, bands), "vector-codes")
+
+    keys = _keys_of(codes, bits, bands)
     sizes = keys.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     shared = keys.join(sizes, ["band", "key"])
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
@@ -219,8 +313,13 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embe
     grouped = dealt.select("id", "band", F.xxhash64("band", "key", lo, hi).alias("g"),
                            F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1)
                            .otherwise(2).alias("side"))
-    grouped = grouped.join(classes, "id").repartition("g").sortWithinPartitions("g", "side", "id")
-    found = written(_compared(grouped, bits, bands, threshold), "vector-links")
+
+    def in_groups(df):
+        return df.repartition("g").sortWithinPartitions("g", "side", "id")
+
+    near = _screened(in_groups(grouped.join(codes.select("id", "d", "code"), "id")), threshold)
+    near = near.join(codes, "id").join(classes.select("id", "v"), "id")
+    found = written(_compared(in_groups(near), bits, bands, threshold), "vector-links")
 
     copies = base.join(classes.select(F.col("v"), F.col("id").alias("rep"), "w"), "v").where("id is not null") \
         .select("id", "rep", "w")

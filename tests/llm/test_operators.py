@@ -621,3 +621,21 @@ def test_ngram_join_repeated_rows_verify_no_more_than_one(spark, monkeypatch):
     got = ngram_join.near_duplicates(many).collect()
     assert {(r["id"], r["component_id"]) for r in got} == want == {(1, 1), (2, 1), (3, 3)}
     assert len(got) == 353 and sum(checked) == before
+
+
+@pytest.mark.parametrize("d", [1, 7, 64, 100])
+def test_stored_codes_bound_like_the_full_ones(d):
+    u = embeddings.unit(np.random.default_rng(8).standard_normal((300, d)))
+    codes = embeddings.Codes(u)
+    stored = embeddings.PackedCodes(codes.packed(), d)
+    i, j = np.triu_indices(300, 1)
+    upper = stored.upper(i, j)
+    assert (upper >= (u[i] * u[j]).sum(1)).mean() > 0.9999
+    assert abs((upper - codes.upper(i, j)).mean()) < 0.02 and abs(upper - codes.upper(i, j)).max() < 0.2
+
+
+def test_pairs_of_groups_are_all_and_only_those():
+    g = np.array([1, 1, 1, 4, 5, 5, 5, 5, 9, 9])
+    side = np.array([0, 0, 0, 0, 1, 1, 2, 2, 1, 1])
+    got = {p for i, j in embeddings._pairs(g, side) for p in zip(i.tolist(), j.tolist())}
+    assert got == {(0, 1), (0, 2), (1, 2), (4, 6), (4, 7), (5, 6), (5, 7)}
