@@ -20,6 +20,12 @@ RECODE_TO_OTHER = ["Other", "Hawaiian or Pacific Islander",
                    "Ethnic group not given - patient refused", "Native American", "Unknown",
                    "Patient Refused"]
 
+# Fixed values (must equal the reference): the order of levels in table one.
+LEVEL_ORDER = {"race": ["Asian", "White", "Black", "Other"],
+               "ethnic_group": ["Hispanic/Latino", "Non-Hispanic/Non-Latino", "Other"],
+               "insurance_payor": ["MEDICARE", "PRIVATE", "MediCal_MEDICAID"],
+               "stage_four": ["1.0", "2.0", "3.0", "4.0"]}
+
 STAT_MEASURES = ["note_count", "avg_word_count_note", "class_count",
                  "distinct_symptom_count", "symptom_count"]
 
@@ -81,33 +87,40 @@ def characterize_cohort(classes: DataFrame, patients: DataFrame) -> DataFrame:
 
 
 def table_one(classes: DataFrame, patients: DataFrame,
-              categorical=("race", "cancer_group", "stage_four"),
-              single_level: dict | None = None, numeric=("age_at_dx",)) -> DataFrame:
+              categorical=("race", "ethnic_group", "cancer_group", "stage_four", "insurance_payor"),
+              single_level: dict | None = None, numeric=("age_at_dx",), order: dict | None = None) -> DataFrame:
     """a_table_one: per class (and 'ALL'): n and % of non-null rows for each
     categorical level; mean and SD for numeric columns. ``single_level`` keeps
-    one level of a binary variable (the reference shows one SEX row)."""
+    one level of a binary variable (the reference shows one SEX row). Levels stand at a
+    ``position``: those of ``order`` first, others found behind them in their own order;
+    every class has a row for every level, with 0 where it has none."""
     single_level = single_level if single_level is not None else {"sex": "Female"}
+    order = order if order is not None else LEVEL_ORDER
     by_class = characterize(classes, patients)
     overall = characterize_cohort(classes, patients).withColumn("ae_class", F.lit("ALL"))
-    j = by_class.unionByName(overall)
-    w = Window.partitionBy("ae_class")
-    parts = []
-    for v in list(single_level) + list(categorical):
-        lv = F.col(v).cast("string")
-        c = (j.where(F.col(v).isNotNull()).groupBy("ae_class", lv.alias("level"))
-             .agg(F.count(F.lit(1)).alias("n")))
-        c = c.withColumn("pct", F.round(100.0 * F.col("n") / F.sum("n").over(w), 6))
-        if v in single_level:
-            c = c.where(F.col("level") == single_level[v])
-        parts.append(c.select("ae_class", F.lit(v).alias("variable"), "level", "n", "pct",
-                              F.lit(None).cast("double").alias("mean"),
-                              F.lit(None).cast("double").alias("sd")))
-    for v in numeric:
-        parts.append(j.groupBy("ae_class").agg(
-            F.lit(v).alias("variable"), F.lit(None).cast("string").alias("level"),
-            F.count(v).alias("n"), F.lit(None).cast("double").alias("pct"),
-            F.round(F.avg(v), 6).alias("mean"), F.round(F.stddev_samp(v), 6).alias("sd")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    j = cut_lineage(by_class.unionByName(overall))
+    variables = [*single_level, *categorical]
+    levels = F.array(*[F.struct(F.lit(v).alias("variable"), F.col(v).cast("string").alias("level")) for v in variables])
+    counts = (j.select("ae_class", F.explode(levels).alias("x")).select("ae_class", "x.*").where("level is not null")
+              .groupBy("ae_class", "variable", "level").agg(F.count(F.lit(1)).alias("n")))
+    counts = cut_lineage(counts)  # a row for each class and level
+    given = j.sparkSession.createDataFrame(
+        [(v, x, i) for v, xs in order.items() if v in variables for i, x in enumerate(xs)],
+        "variable string, level string, given int")
+    every = counts.select("variable", "level").distinct().join(given, ["variable", "level"], "full")
+    every = every.withColumn("position", F.row_number().over(
+        Window.partitionBy("variable").orderBy(F.col("given").asc_nulls_last(), "level"))).drop("given")
+    names = j.select(F.collect_set("ae_class")).scalar()
+    grid = every.withColumn("ae_class", F.explode(names))
+    total = F.sum("n").over(Window.partitionBy("ae_class", "variable"))
+    cat = (grid.join(counts, ["ae_class", "variable", "level"], "left").na.fill(0, ["n"])
+           .withColumn("pct", F.round(100.0 * F.col("n") / F.nullif(total, F.lit(0)), 6)))
+    for v, level in single_level.items():
+        cat = cat.where((F.col("variable") != v) | (F.col("level") == level))
+    missing = F.lit(None).cast("double")
+    cat = cat.select("ae_class", "variable", "position", "level", "n", "pct", missing.alias("mean"), missing.alias("sd"))
+    values = F.array(*[F.struct(F.lit(v).alias("variable"), F.col(v).cast("double").alias("value")) for v in numeric])
+    num = j.select("ae_class", F.explode(values).alias("x")).select("ae_class", "x.*").groupBy("ae_class", "variable").agg(
+        F.lit(None).cast("int").alias("position"), F.lit(None).cast("string").alias("level"), F.count("value").alias("n"),
+        missing.alias("pct"), F.round(F.avg("value"), 6).alias("mean"), F.round(F.stddev_samp("value"), 6).alias("sd"))
+    return cat.unionByName(num)

@@ -48,6 +48,16 @@ def stratified_split(df: DataFrame, id_col: str, strata: list[str], frac: float,
     return out.drop("rank", "n", "_all")
 
 
+def train_val_test(df: DataFrame, id_col: str, strata: list[str], test_frac: float, val_frac: float,
+                   seed: int = 42) -> DataFrame:
+    """x_stratified_split: the test share is split off first, then the validation share of
+    the rest, both within strata: ``split`` is train or test, ``part`` train, val or test."""
+    first = stratified_split(df, id_col, strata, test_frac, seed)
+    r = stratum_rank(first, id_col, [*strata, "split"], seed)
+    val = (F.col("split") == "train") & (F.col("rank") <= F.round(F.col("n") * val_frac))
+    return r.withColumn("part", F.when(val, F.lit("val")).otherwise(F.col("split"))).drop("rank", "n")
+
+
 def stratified_kfold(df: DataFrame, id_col: str, strata: list[str], k: int = 4,
                      seed: int = 42) -> DataFrame:
     """x_stratified_kfold: fold = (rank - 1) % k inside each stratum."""

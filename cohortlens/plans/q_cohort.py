@@ -290,7 +290,9 @@ def _rc(c):
 
 CHAR_SQL = f"""charz as (select c.pat_deid, {_rc('c.ae_class').replace(' as c.ae_class', ' as ae_class')},
   {_rc('p.sex').replace(' as p.sex', ' as sex')}, p.age_at_dx, {_rc('p.race').replace(' as p.race', ' as race')},
-  {_rc('p.cancer_group').replace(' as p.cancer_group', ' as cancer_group')}, p.stage_four
+  {_rc('p.cancer_group').replace(' as p.cancer_group', ' as cancer_group')}, p.stage_four,
+  {_rc('p.ethnic_group').replace(' as p.ethnic_group', ' as ethnic_group')},
+  {_rc('p.insurance_payor').replace(' as p.insurance_payor', ' as insurance_payor')}
   from cls c join patients p on c.pat_deid = p.pat_deid)"""
 
 
@@ -300,26 +302,34 @@ def r_characterize(t):
 
 
 @query("r_characterize_cohort", chain(*SYMS, SYMU, CLS, CHAR_SQL)
-       + "select distinct pat_deid, sex, age_at_dx, race, cancer_group, stage_four from charz")
+       + "select distinct pat_deid, sex, age_at_dx, race, cancer_group, stage_four, ethnic_group, insurance_payor from charz")
 def r_characterize_cohort(t):
     return RP.characterize_cohort(O.ae_class(symu(t)), t.patients)
 
 
-def _cat(v, where=""):
-    lv = v if v != "stage_four" else "cast(stage_four as varchar)"
-    return (f"select ae_class, '{v}' as variable, {lv} as level, count(*) as n, "
-            f"round(100.0 * count(*) / sum(count(*)) over (partition by ae_class), 6) as pct, "
-            f"cast(null as double) as mean, cast(null as double) as sd "
-            f"from j where {v} is not null group by ae_class, {v}")
-
-
 TABLE_ONE_SQL = chain(*SYMS, SYMU, CLS, CHAR_SQL) + """, j as (
   select * from charz union all
-  select distinct pat_deid, 'ALL' as ae_class, sex, age_at_dx, race, cancer_group, stage_four
-  from charz)
-select * from (""" + _cat("sex") + ") s where level = 'Female' union all " + \
-    " union all ".join(_cat(v) for v in ["race", "cancer_group", "stage_four"]) + """
-union all select ae_class, 'age_at_dx', null, count(age_at_dx), null, round(avg(age_at_dx), 6),
+  select distinct pat_deid, 'ALL' as ae_class, sex, age_at_dx, race, cancer_group, stage_four, ethnic_group,
+    insurance_payor from charz),
+cnt as (select ae_class, variable, level, count(*) as n from (""" + " union all ".join(
+    f"select ae_class, '{v}' as variable, cast({v} as varchar) as level from j" for v in
+    ["sex", "race", "ethnic_group", "cancer_group", "stage_four", "insurance_payor"]) + """) x
+  where level is not null group by all),
+given(variable, level, g) as (values ('race', 'Asian', 0), ('race', 'White', 1), ('race', 'Black', 2),
+  ('race', 'Other', 3), ('ethnic_group', 'Hispanic/Latino', 0), ('ethnic_group', 'Non-Hispanic/Non-Latino', 1),
+  ('ethnic_group', 'Other', 2), ('insurance_payor', 'MEDICARE', 0), ('insurance_payor', 'PRIVATE', 1),
+  ('insurance_payor', 'MediCal_MEDICAID', 2), ('stage_four', '1.0', 0), ('stage_four', '2.0', 1),
+  ('stage_four', '3.0', 2), ('stage_four', '4.0', 3)),
+lev as (select variable, level, cast(row_number() over (partition by variable order by min(g) nulls last, level) as int)
+    as position from (select variable, level, null as g from cnt union all select * from given) u
+  group by variable, level),
+full_cnt as (select c.ae_class, l.variable, l.position, l.level, coalesce(cnt.n, 0) as n from lev l
+  cross join (select distinct ae_class from j) c left join cnt
+  on cnt.ae_class = c.ae_class and cnt.variable = l.variable and cnt.level = l.level)
+select * from (select *, round(100.0 * n / nullif(sum(n) over (partition by ae_class, variable), 0), 6) as pct,
+  cast(null as double) as mean, cast(null as double) as sd from full_cnt) f
+where variable <> 'sex' or level = 'Female'
+union all select ae_class, 'age_at_dx', null, null, count(age_at_dx), null, round(avg(age_at_dx), 6),
   round(stddev_samp(age_at_dx), 6) from j group by ae_class"""
 
 

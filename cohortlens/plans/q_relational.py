@@ -105,7 +105,7 @@ def io_report(t):
     from ..operators import outcome as O
     p = scratch(t, "table_one")
     IO.write_csv(RP.table_one(O.ae_class(symu(t)), t.patients), p)
-    return IO.read_csv(t.spark, p, "ae_class string, variable string, level string, n long, "
+    return IO.read_csv(t.spark, p, "ae_class string, variable string, position int, level string, n long, "
                                    "pct double, mean double, sd double")
 
 
@@ -205,7 +205,7 @@ _RC = _sql_list(RP.RECODE_TO_OTHER)
 
 @query("p_replace_map", "select pat_deid, " + ", ".join(
     f"case when {c} in ({_RC}) then 'Other' else {c} end as {c}"
-    for c in ["sex", "race", "cancer_group"]) + ", age_at_dx, stage_four from patients")
+    for c in ["sex", "race", "cancer_group", "ethnic_group", "insurance_payor"]) + ", age_at_dx, stage_four from patients")
 def p_replace_map(t):
     return RP.replace_all(t.patients, RP.RECODE_TO_OTHER)
 
@@ -278,7 +278,8 @@ def p_ratio(t):
     return t.customer.select("c_custkey", safe_div("c_acctbal", "c_nationkey").alias("ratio"))
 
 
-@query("p_dropna", "select * from patients where race is not null")
+@query("p_dropna", "select * from patients where race is not null and ethnic_group is not null "
+       "and insurance_payor is not null")
 def p_dropna(t):
     return t.patients.na.drop(how="any")
 
@@ -334,7 +335,7 @@ def p_sigmoid_threshold(t):
 @query("p_shape", """select 'notes' as name, count(*) as n_rows, 6 as n_cols,
   count(distinct pat_deid) as n_patients from notes
 union all select 'encounters', count(*), 7, count(distinct pat_deid) from encounters
-union all select 'patients', count(*), 6, count(distinct pat_deid) from patients""")
+union all select 'patients', count(*), 8, count(distinct pat_deid) from patients""")
 def p_shape(t):
     out = None
     for name in ["notes", "encounters", "patients"]:
@@ -390,29 +391,34 @@ def f_single_label(t):
 
 
 # ------------------------------------------------------------------ 2.4 joins
-@query("j_left_multikey", """select distinct l.l_orderkey, l.l_partkey, l.l_suppkey, l.l_linenumber,
-  l.l_quantity, r.l_tax as tax_match
-from lineitem l left join (select l_orderkey, l_partkey, l_suppkey, l_linenumber, l_tax
-  from lineitem) r
-on l.l_orderkey = r.l_orderkey and l.l_partkey = r.l_partkey and l.l_suppkey = r.l_suppkey
-and l.l_linenumber = r.l_linenumber""")
+# Each line looks for the line before it in its order, of the same flag and status; many
+# have none, and the flag N counts as missing, which matches nothing.
+@query("j_left_multikey", """select distinct l.l_orderkey, l.l_linenumber, nullif(l.l_returnflag, 'N') as l_returnflag,
+  l.l_linestatus, l.l_quantity, r.tax_before
+from lineitem l left join (select l_orderkey, l_linenumber + 1 as l_linenumber,
+  nullif(l_returnflag, 'N') as l_returnflag, l_linestatus, l_tax as tax_before from lineitem) r
+on l.l_orderkey = r.l_orderkey and l.l_linenumber = r.l_linenumber
+and nullif(l.l_returnflag, 'N') = r.l_returnflag and l.l_linestatus = r.l_linestatus""")
 def j_left_multikey(t):
-    li = t.lineitem
-    keys = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"]
-    right = li.select(*keys, F.col("l_tax").alias("tax_match"))
-    return li.select(*keys, "l_quantity").join(right, keys, "left").distinct()
-
-
-@query("j_left_sixkey", """select distinct l.*, r.flag from events l left join
-  (select event_id, user_id, event_type, ts, value, props, length(event_type) as flag
-   from events) r
+    keys = ["l_orderkey", "l_linenumber", "l_returnflag", "l_linestatus"]
+    li = t.lineitem.withColumn("l_returnflag", F.nullif("l_returnflag", F.lit("N")))
+    before = li.withColumn("l_linenumber", F.col("l_linenumber") + 1).withColumnRenamed("l_tax", "tax_before")
+    return C.enrich_left(li.select(*keys, "l_quantity"), before, keys, ["tax_before"])
+
+
+# A second record of the events names another user for every third one, and the type
+# error is missing on both sides.
+@query("j_left_sixkey", """select distinct l.*, r.flag from
+  (select * replace (nullif(event_type, 'error') as event_type) from events) l left join
+  (select event_id, case when event_id % 3 = 0 then user_id + 1 else user_id end as user_id,
+     nullif(event_type, 'error') as event_type, ts, value, props, length(event_type) as flag from events) r
 on l.event_id = r.event_id and l.user_id = r.user_id and l.event_type = r.event_type
 and l.ts = r.ts and l.value = r.value and l.props = r.props""")
 def j_left_sixkey(t):
-    e = t.events
-    right = e.withColumn("flag", F.length("event_type"))
-    return C.enrich_left(e, right, ["event_id", "user_id", "event_type", "ts", "value", "props"],
-                         ["flag"])
+    e = t.events.withColumn("event_type", F.nullif("event_type", F.lit("error")))
+    other = e.withColumn("flag", F.length("event_type")).withColumn(
+        "user_id", F.when(F.col("event_id") % 3 == 0, F.col("user_id") + 1).otherwise(F.col("user_id")))
+    return C.enrich_left(e, other, ["event_id", "user_id", "event_type", "ts", "value", "props"], ["flag"])
 
 
 @query("j_left", T1_BASE + """select n.note_id, n.pat_deid, t1.class_1, t1.class_2, t1.class_3,

@@ -45,9 +45,20 @@ kf as (select pat_deid, label_key, cast((row_number() over (partition by label_k
 """
 
 
-@query("x_stratified_split", LK + "select * from sp")
+PARTS = f"""tv as (select pat_deid, label_key, split, case when split = 'test' then 'test'
+         when rk <= round(n * {VAL_FRAC}) then 'val' else 'train' end as part from (select *,
+         row_number() over (partition by label_key, split order by {H}) as rk,
+         count(*) over (partition by label_key, split) as n from sp) r)
+"""
+
+
+def parts(t):
+    return S.train_val_test(labelled(t), "pat_deid", ["label_key"], TEST_FRAC, VAL_FRAC, SEED)
+
+
+@query("x_stratified_split", LK + ", " + PARTS + "select * from tv")
 def x_stratified_split(t):
-    return split_table(t)
+    return parts(t)
 
 
 @query("x_random_split", LK + f"""select pat_deid, case when rk <= round(n * {VAL_FRAC}) then 'val'
@@ -84,17 +95,19 @@ def x_apply_split(t):
 
 
 def split_rows(t):
-    """(pat_deid, label_key, note_id, split, fold, role): test patients once (fold -1), the
-    others in every fold as val or train; patients without a note keep a null one."""
-    sp = cut_lineage(split_table(t).select("pat_deid", "label_key", "split"))
-    test = sp.where("split = 'test'").withColumn("fold", F.lit(-1)).withColumn("role", F.lit("test"))
+    """(pat_deid, label_key, note_id, split, fold, role): fold -1 holds every patient as train,
+    val or test, the others the train patients as val or train; patients without a note keep
+    a null one."""
+    sp = cut_lineage(parts(t).select("pat_deid", "label_key", "split", "part"))
+    one = sp.select("pat_deid", "label_key", "split", F.lit(-1).alias("fold"), F.col("part").alias("role"))
+    sp = sp.drop("part")
     folds = S.fold_expand(S.stratified_kfold(sp.where("split = 'train'"), "pat_deid", ["label_key"], K, SEED), K)
-    rows = test.unionByName(folds.select("pat_deid", "label_key", "split", F.col("fold_i").alias("fold"), "role"))
+    rows = one.unionByName(folds.select("pat_deid", "label_key", "split", F.col("fold_i").alias("fold"), "role"))
     return rows.join(wnotes(t).select("pat_deid", "note_id"), "pat_deid", "left")
 
 
-@query("io_split_dirs", LK + f"""select r.pat_deid, r.label_key, n.note_id, r.split, r.fold, r.role from
-  (select pat_deid, label_key, split, -1 as fold, 'test' as role from sp where split = 'test'
+@query("io_split_dirs", LK + ", " + PARTS + f"""select r.pat_deid, r.label_key, n.note_id, r.split, r.fold, r.role from
+  (select pat_deid, label_key, split, -1 as fold, part as role from tv
    union all select pat_deid, label_key, 'train', fold_i, case when fold = fold_i then 'val' else 'train' end
    from kf, (select unnest(range(0, {K})) as fold_i) f) r left join wnotes n on r.pat_deid = n.pat_deid""")
 def io_split_dirs(t):

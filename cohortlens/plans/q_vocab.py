@@ -9,6 +9,7 @@ from ..operators import vocab as V
 from .q_cohort import sym
 from .q_relational import t1
 from .q_text import DOC_TERM_SQL, WBASE, doc_terms, wnotes
+from ..sources.fixtures import note_ngrams
 from .registry import query
 from .sqlfrag import AE_CASE, SYMS, chain
 
@@ -26,19 +27,37 @@ def dx_vocab(t):
                      F.lower(C.ae_class_expr()).alias("diagnose")).distinct())
 
 
+def associated_vocab(t):
+    """Associated phrases: the word pairs that many notes share."""
+    pairs = note_ngrams(t).where("n_words = 2").select(F.col("term").alias("name"))
+    return pairs.withColumn("diagnose", F.concat(F.lit("class_"), (1 + F.length("name") % 4).cast("string")))
+
+
 def abbrev_vocab(t):
-    return seed_vocab(t).select(F.upper("name").alias("name"), "diagnose")
+    """First letters of diagnosis names of two words or more."""
+    w = F.split(F.col("name"), "[^a-z]+")
+    return (dx_vocab(t).where(F.size(w) > 1)
+            .select(F.concat_ws("", F.transform(w, lambda x: F.substring(x, 1, 1))).alias("name"), "diagnose").distinct())
+
+
+def additional_vocab(t):
+    """Further terms: the single words that many notes share."""
+    return t.note_terms.select(F.col("term").alias("name"), F.col("class").alias("diagnose"))
 
 
 def assembled(t):
-    return V.assemble([("seed", seed_vocab(t)), ("clinician", dx_vocab(t)),
-                       ("abbreviation", abbrev_vocab(t))])
+    return V.assemble([("seed", seed_vocab(t)), ("clinician", dx_vocab(t)), ("snomedct_us", associated_vocab(t)),
+                       ("abbreviation", abbrev_vocab(t)), ("additional", additional_vocab(t))])
 
 
-ASSEMBLE_SQL = chain(*SYMS) + f""", src as (
+ASSEMBLE_SQL = chain(*SYMS) + f""", dxv as (select distinct lower(dx_name) as name, lower({AE_CASE}) as diagnose from sym),
+src as (
   select lower(term) as name, class as diagnose, 'seed' as type, 0 as prio from lexicon
-  union all select distinct lower(dx_name), lower({AE_CASE}), 'clinician', 1 from sym
-  union all select lower(upper(term)), class, 'abbreviation', 2 from lexicon),
+  union all select name, diagnose, 'clinician', 1 from dxv
+  union all select lower(term), 'class_' || (1 + length(term) % 4), 'snomedct_us', 2 from note_ngrams where n_words = 2
+  union all select lower(array_to_string(list_transform(string_split_regex(name, '[^a-z]+'), lambda w: w[1]), '')),
+    diagnose, 'abbreviation', 3 from dxv where len(string_split_regex(name, '[^a-z]+')) > 1
+  union all select lower(term), class, 'additional', 4 from note_terms),
 asm as (select name, diagnose, type from src where name is not null
   qualify row_number() over (partition by diagnose, name order by prio) = 1)
 """

@@ -91,7 +91,20 @@ def encounters(t) -> DataFrame:
 RACES = {0: "Asian", 1: "White", 2: "Black", 3: "Native American", 4: "Unknown"}
 
 
+ETHNIC_GROUPS = {0: "Hispanic/Latino", 1: "Non-Hispanic/Non-Latino", 2: "Non-Hispanic/Non-Latino", 3: "Unknown",
+                 4: "Patient Refused"}
+PAYORS = {0: "MEDICARE", 1: "PRIVATE"}
+
+
+def _coded(code: Column, values: dict) -> Column:
+    out = F.lit(None).cast("string")
+    for k in sorted(values, reverse=True):
+        out = F.when(code == k, F.lit(values[k])).otherwise(out)
+    return out
+
+
 def patients(t) -> DataFrame:
+    """Ethnic group and payor are missing for some; no patient has the third payor."""
     c = t.customer
     code = (F.col("c_custkey") % 6).cast("int")
     race = F.lit(None).cast("string")
@@ -102,7 +115,9 @@ def patients(t) -> DataFrame:
                     F.round(18 + F.abs("c_acctbal") / 150, 0).alias("age_at_dx"),
                     race.alias("race"),
                     F.col("c_mktsegment").alias("cancer_group"),
-                    (1 + F.col("c_nationkey") % 4).cast("double").alias("stage_four")))
+                    (1 + F.col("c_nationkey") % 4).cast("double").alias("stage_four"),
+                    _coded(F.col("c_custkey") % 7, ETHNIC_GROUPS).alias("ethnic_group"),
+                    _coded(F.col("c_nationkey") % 3, PAYORS).alias("insurance_payor")))
 
 
 # Test lexicon (fixed values of the fixture, FIXTURES.md §3).
@@ -219,7 +234,11 @@ from events e join treatments t on e.user_id = t.pat_deid""",
        case cast(c_custkey % 6 as int) when 0 then 'Asian' when 1 then 'White' when 2 then 'Black'
             when 3 then 'Native American' when 4 then 'Unknown' else null end as race,
        c_mktsegment as cancer_group,
-       cast(1 + c_nationkey % 4 as double) as stage_four
+       cast(1 + c_nationkey % 4 as double) as stage_four,
+       case c_custkey % 7 when 0 then 'Hispanic/Latino' when 1 then 'Non-Hispanic/Non-Latino'
+            when 2 then 'Non-Hispanic/Non-Latino' when 3 then 'Unknown' when 4 then 'Patient Refused'
+            else null end as ethnic_group,
+       case c_nationkey % 3 when 0 then 'MEDICARE' when 1 then 'PRIVATE' else null end as insurance_payor
 from customer""",
     "lexicon": """select * from (values (0, 'sting', 'class_1'), (1, 'ach', 'class_1'), (2, 'naus', 'class_2'),
                       (3, 'tens', 'class_1'), (4, ' ha ', 'class_1'), (5, 'pale', 'class_3'),

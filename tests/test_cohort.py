@@ -47,3 +47,30 @@ def test_outcome_tables_worked_example(spark):
     t3 = O.table_3(sym).collect()[0]
     assert (t1["class_2"], t2["class_2"], t3["class_2"]) == (1, 2, 5)
     assert t1["classes"] == ["class_2"] and t1["total"] == 1
+
+
+def test_table_one_keeps_the_given_order_and_empty_levels(spark):
+    from cohortlens.operators import report as RP
+    classes = spark.createDataFrame([(1, "CLASS_1"), (2, "CLASS_1"), (2, "CLASS_2"), (3, "CLASS_2")],
+                                    "pat_deid long, ae_class string")
+    patients = spark.createDataFrame(
+        [(1, "Female", 50.0, "White", "x"), (2, "Male", 60.0, "Unknown", "x"), (3, "Female", 70.0, None, "y")],
+        "pat_deid long, sex string, age_at_dx double, race string, grp string")
+    rows = RP.table_one(classes, patients, categorical=("race", "grp")).collect()
+    got = {(r["ae_class"], r["variable"], r["level"]): (r["position"], r["n"], r["pct"]) for r in rows}
+    races = [x for _, x in sorted((v[0], k[2]) for k, v in got.items() if k[:2] == ("CLASS_1", "race"))]
+    assert races == ["Asian", "White", "Black", "Other"]
+    assert got["CLASS_1", "race", "Asian"] == (1, 0, 0.0) and got["CLASS_2", "race", "Other"] == (4, 1, 100.0)
+    assert got["ALL", "sex", "Female"] == (1, 2, 66.666667) and ("ALL", "sex", "Male") not in got
+    assert got["CLASS_1", "grp", "y"] == (2, 0, 0.0)
+    age = {r["ae_class"]: (r["n"], r["mean"]) for r in rows if r["variable"] == "age_at_dx"}
+    assert age == {"CLASS_1": (2, 55.0), "CLASS_2": (2, 65.0), "ALL": (3, 60.0)}
+
+
+def test_left_joins_leave_rows_and_missing_keys_unmatched(spark):
+    import __spark_entry__ as E
+    for name, col, key in (("j_left_multikey", "tax_before", "l_returnflag"), ("j_left_sixkey", "flag", "event_type")):
+        rows = E.queries()[name](spark, "/root/testdata/sf0.001").collect()
+        assert any(r[col] is None and r[key] is not None for r in rows) and any(r[col] is not None for r in rows)
+        missing = [r[col] for r in rows if r[key] is None]
+        assert missing and set(missing) == {None}

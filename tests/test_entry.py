@@ -33,7 +33,8 @@ FAST = ["c_followup_30d", "c_exclude_day0_ed", "o_table_1", "o_table_2", "o_tabl
         "t_patient_note", "t_near_dup", "t_shorten_budget", "v_occurrence", "x_stratified_kfold",
         "g_pmi", "g_neighbor_gcn", "m_report", "m_auc", "m_roc", "w_fanout_sample", "a_histogram",
         "f_single_label", "v_feedback_drop", "v_cross_class", "x_train_only_vocab", "t_near_dup_lsh",
-        "v_minimal_terms", "j_term_nested", "g_save"]
+        "v_minimal_terms", "j_term_nested", "g_save", "j_left_multikey", "j_left_sixkey", "x_stratified_split",
+        "v_assemble", "io_split_dirs"]
 
 
 def norm(v):

@@ -176,3 +176,13 @@ def test_neighbours_of_whole_vectors_match_brute_force(spark):
         total[d, i] += sum(m) / len(m)
     got = {(r["dst"], r["dim"]): r["value"] for r in G.by_dim(G.relation_sum(mean, 5), "dst").collect()}
     same(got, total)
+
+
+def test_validation_split_is_stratified_and_apart_from_the_test(spark):
+    rows = [(i, "a" if i % 3 else "b") for i in range(3000)]
+    ids = spark.createDataFrame(rows, "pat_deid long, label_key string")
+    out = S.train_val_test(ids, "pat_deid", ["label_key"], 0.06, 0.2).collect()
+    assert len(out) == 3000 and all((r["split"] == "test") == (r["part"] == "test") for r in out)
+    n = {(k, p): sum(r["label_key"] == k and r["part"] == p for r in out) for k in "ab" for p in ("train", "val", "test")}
+    assert n == {("a", "test"): 120, ("a", "val"): 376, ("a", "train"): 1504,
+                 ("b", "test"): 60, ("b", "val"): 188, ("b", "train"): 752}
