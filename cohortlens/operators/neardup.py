@@ -11,12 +11,18 @@ side sends k + 1 disjoint grams, the shorter all its grams.
 """
 from __future__ import annotations
 
+import hashlib
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.grams import counted_up, mix64, row_blocks, text_points
 from ..session import cut_lineage
 
 THRESHOLD = 0.8
+BLOCK = 1 << 18
 SIZES = (4, 3, 2, 1)
 
 
@@ -25,12 +31,13 @@ def budget(length: Column, threshold: float) -> Column:
     return F.floor(length * (1 - threshold) + 1e-9).cast("int")
 
 
-def _gram_size(length: Column, threshold: float) -> Column:
-    """The largest q with more disjoint q-grams than edits (0: only equal strings)."""
-    out = F.lit(0)
+def _gram_sizes(n: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Edit budgets, and the largest q with more disjoint q-grams than edits (0: only equal strings)."""
+    k = np.floor(n * (1 - threshold) + 1e-9).astype(np.int64)
+    size = np.zeros(len(n), np.int64)
     for q in reversed(SIZES):
-        out = F.when(F.floor(length / q) > budget(length, threshold), q).otherwise(out)
-    return F.when(budget(length, threshold) > 0, out).otherwise(0)
+        size = np.where(n // q > k, q, size)
+    return k, np.where(k > 0, size, 0)
 
 
 def _nodes(sentences: DataFrame) -> DataFrame:
@@ -38,30 +45,50 @@ def _nodes(sentences: DataFrame) -> DataFrame:
                             F.length("sentence").alias("n"))
 
 
+def _gram_rows(nodes: DataFrame, threshold: float, longer: bool) -> DataFrame:
+    """(key, pat_deid, id, n, at): a row for each gram that a sentence sends, as the longer
+    side of a pair its k + 1 disjoint grams, as the shorter one all grams of each size that
+    a longer side may have. ``key`` is a hash of patient and gram, ``at`` the gram's place."""
+    def run(batches):
+        for b in batches:
+            points, bounds = text_points(b.column("sentence"))
+            patient = b.column("p").to_numpy(zero_copy_only=False).view(np.uint64)
+            for lo, hi in row_blocks(bounds, BLOCK):
+                text, first = points[bounds[lo]:bounds[hi]].astype(np.uint64), bounds[lo:hi] - bounds[lo]
+                n = np.diff(bounds[lo:hi + 1])
+                k, size = _gram_sizes(n, threshold)
+                up_to = np.floor(n / threshold + 1e-9).astype(np.int64)
+                sizes = _gram_sizes(np.arange(up_to.max() + 1), threshold)[1]
+                for q in SIZES:
+                    if longer:
+                        count, step = np.where(size == q, k + 1, 0), q
+                    else:
+                        of_size = np.concatenate([[0], np.cumsum(sizes == q)])
+                        count, step = np.where(of_size[up_to + 1] > of_size[n], np.maximum(n - q + 1, 0), 0), 1
+                    own, at = counted_up(count)
+                    at *= step
+                    code = np.zeros(len(own), np.uint64)
+                    for i in range(q):
+                        code = code * np.uint64(0x9E3779B97F4A7C15) + text[first[own] + at + i] + np.uint64(1)
+                    key = mix64(code ^ mix64(patient[lo:hi] + np.uint64(q))[own])
+                    rows = pa.array(own + lo)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(key.view(np.int64)), b.column("pat_deid").take(rows), b.column("sid").take(rows),
+                         pa.array(n[own].astype(np.int32)), pa.array(at.astype(np.int32))], ["key", "pat_deid", "id", "n", "at"])
+    rows = nodes.select("pat_deid", F.xxhash64("pat_deid").alias("p"), "sid", "sentence")
+    patient = rows.schema["pat_deid"].dataType.simpleString()
+    return rows.mapInArrow(run, f"key long, pat_deid {patient}, id long, n int, at int")
+
+
 def candidate_pairs(nodes: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(pat_deid, a, b): every pair that may be similar, once."""
-    n = F.col("n")
-    size = _gram_size(n, threshold)
-    k = budget(n, threshold)
-    disjoint = F.lit(None).cast("array<string>")
-    for q in SIZES:
-        disjoint = F.when(size == q, F.regexp_extract_all("sentence", F.lit(f"(?s).{{{q}}}"), F.lit(0))).otherwise(disjoint)
-    long = (nodes.where(size > 0).select("pat_deid", F.col("sid").alias("a"), n.alias("na"), size.alias("q"), k.alias("k"),
-                                         F.posexplode(F.slice(disjoint, F.lit(1), k + 1)).alias("nth", "gram"))
-            .withColumn("at", F.col("nth") * F.col("q")))
-    # Positions of the overlapping grams count UTF-16 units: up to one more for each astral character.
-    astral = F.regexp_count("sentence", F.lit(r"[\x{10000}-\x{10FFFF}]"))
-    short = None
-    for q in SIZES:
-        longer = F.sequence(n, F.floor(n / threshold + 1e-9).cast("int"))
-        sizes = F.transform(longer, lambda m: _gram_size(m, threshold))
-        part = nodes.where((n > 0) & F.array_contains(sizes, q)).select(
-            "pat_deid", F.col("sid").alias("b"), n.alias("nb"), astral.alias("slack"),
-            F.posexplode(F.regexp_extract_all("sentence", F.lit(f"(?s)(?=(.{{{q}}}))"), F.lit(1))).alias("to", "gram"))
-        short = part if short is None else short.unionByName(part)
+    """(pat_deid, a, b): every pair that may be similar, once. The join is on one integer;
+    two patients' grams of one hash make a pair that no patient has, and it finds no nodes."""
+    nodes = nodes.where("pat_deid is not null and n > 0")
+    long = _gram_rows(nodes, threshold, True).select("key", "pat_deid", F.col("id").alias("a"), F.col("n").alias("na"), "at")
+    short = _gram_rows(nodes, threshold, False).select("key", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("at").alias("to"))
     near = (F.col("a") != F.col("b")) & (F.col("nb") <= F.col("na")) & (F.col("nb") >= F.col("na") * threshold - 1e-9)
-    moved = F.abs(F.col("to") - F.col("at")) <= F.col("k") + F.col("slack")
-    return (long.join(short, ["pat_deid", "gram"]).where(near & moved)
+    moved = F.abs(F.col("to") - F.col("at")) <= budget(F.col("na"), threshold)
+    return (long.join(short, "key").where(near & moved)
             .select("pat_deid", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
 
 
@@ -78,10 +105,51 @@ def minhash_bands(s: Column, n_hash: int = 8, rows: int = 2) -> Column:
                      for b in range(n_hash // rows)])
 
 
+def _shingles(text: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(codes of the 3-character shingles of the rows, first one of each row); a shorter
+    text is one shingle. A code holds three characters of 21 bits, an absent one as 0."""
+    n = np.diff(bounds)
+    room = np.maximum(n, 3)
+    first = np.cumsum(room) - room
+    held = np.zeros(room.sum(), np.int64)
+    own, at = counted_up(n)
+    held[first[own] + at] = text.astype(np.int64) + 1
+    own, at = counted_up(room - 2)
+    place = first[own] + at
+    return held[place] | held[place + 1] << 21 | held[place + 2] << 42, np.cumsum(room - 2) - (room - 2)
+
+
+def _bands(nodes: DataFrame, n_hash: int, rows: int) -> DataFrame:
+    """(pat_deid, sid, band): ``minhash_bands`` as binary, each hash of a shingle computed
+    once in a block of sentences."""
+    def run(batches):
+        for b in batches:
+            points, bounds = text_points(b.column("sentence"))
+            for lo, hi in row_blocks(bounds, BLOCK):
+                codes, first = _shingles(points[bounds[lo]:bounds[hi]], bounds[lo:hi + 1] - bounds[lo])
+                kinds, which = np.unique(codes, return_inverse=True)
+                texts = ["".join(chr((c >> i & 0x1FFFFF) - 1) for i in (0, 21, 42) if c >> i & 0x1FFFFF) for c in kinds.tolist()]
+                low = []
+                for k in range(n_hash):
+                    digests = [hashlib.md5(f"{k}|{x}".encode()).hexdigest() for x in texts]
+                    order = sorted(range(len(digests)), key=digests.__getitem__)
+                    rank = np.empty(len(order), np.int64)
+                    rank[order] = np.arange(len(order))
+                    low.append([digests[order[r]] for r in np.minimum.reduceat(rank[which], first).tolist()])
+                own = pa.array(np.arange(lo, hi))
+                for j in range(n_hash // rows):
+                    band = [hashlib.md5("|".join([f"b{j}", *x]).encode()).digest() for x in zip(*low[j * rows:(j + 1) * rows])]
+                    yield pa.RecordBatch.from_arrays([b.column("pat_deid").take(own), b.column("sid").take(own),
+                                                      pa.array(band, pa.binary())], ["pat_deid", "sid", "band"])
+    patient = nodes.schema["pat_deid"].dataType.simpleString()
+    return nodes.select("pat_deid", "sid", "sentence").where("sentence is not null").mapInArrow(
+        run, f"pat_deid {patient}, sid long, band binary")
+
+
 def band_pairs(nodes: DataFrame, n_hash: int = 8, rows: int = 2) -> DataFrame:
     """(pat_deid, a, b) of sentences of one patient that share a MinHash band."""
-    keys = nodes.select("pat_deid", "sid", "n", F.explode(F.array_distinct(minhash_bands(F.col("sentence"), n_hash, rows))).alias("band"))
-    a, b = keys.withColumnRenamed("sid", "a").drop("n"), keys.withColumnRenamed("sid", "b").drop("n")
+    keys = _bands(nodes, n_hash, rows)
+    a, b = keys.withColumnRenamed("sid", "a"), keys.withColumnRenamed("sid", "b")
     return a.join(b, ["pat_deid", "band"]).where("a < b").select("pat_deid", "a", "b").distinct()
 
 
