@@ -12,6 +12,8 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import let
+
 
 def ntz(ts: str) -> Column:
     return F.lit(ts).cast("timestamp_ntz")
@@ -152,10 +154,9 @@ def note_ngrams(t) -> DataFrame:
     """(term, n_words, n_docs): the words of three letters or more, and pairs of them, of
     a fiftieth of the documents or more. Their number is bounded by fifty times the mean
     number of different n-grams of a document, whatever the table's size."""
-    w = _words()
-    pairs = F.zip_with(F.slice(w, F.lit(1), F.greatest(F.size(w) - 1, F.lit(0))), F.slice(w, 2, 1 << 30),
-                       lambda a, b: F.concat_ws(" ", a, b))
-    return _frequent(t, w, 1, 50).unionByName(_frequent(t, pairs, 2, 50))
+    pairs = let(_words(), lambda w: F.zip_with(
+        F.slice(w, F.lit(1), F.greatest(F.size(w) - 1, F.lit(0))), F.slice(w, 2, 1 << 30), lambda a, b: F.concat_ws(" ", a, b)))
+    return _frequent(t, _words(), 1, 50).unionByName(_frequent(t, pairs, 2, 50))
 
 
 def note_terms(t) -> DataFrame:
