@@ -28,12 +28,18 @@ def param_grid(folds: DataFrame, grid: dict[str, list]) -> DataFrame:
     return out
 
 
-def _pipeline(text_col: str, label_col: str, features: int = 1 << 16, reg: float = 0.01):
+def _counted(data: DataFrame, text_col: str, features: int = 1 << 16) -> DataFrame:
+    """The text's hashed term frequencies ``_tf`` in its place. They depend on the row
+    alone, so they are made once, not in every fit."""
     tok = RegexTokenizer(inputCol=text_col, outputCol="_tok", pattern="\\W+", minTokenLength=2)
     tf = HashingTF(inputCol="_tok", outputCol="_tf", numFeatures=features)
+    return tf.transform(tok.transform(data)).drop(text_col, "_tok")
+
+
+def _pipeline(label_col: str, reg: float = 0.01):
     idf = IDF(inputCol="_tf", outputCol="_x")
     lr = LogisticRegression(featuresCol="_x", labelCol=label_col, regParam=reg, maxIter=50)
-    return Pipeline(stages=[tok, tf, idf, lr]), lr
+    return Pipeline(stages=[idf, lr]), lr
 
 
 def _folds(data: DataFrame, id_col: str, label: str, k: int) -> DataFrame:
@@ -48,12 +54,12 @@ def baseline(docs: DataFrame, labels: DataFrame, classes: list[str], k: int = 3,
     """m_baseline: one binary text classifier per class and fold; returns the scored long
     table (id, class, y, score, fold) that the m_* metrics consume. A row is scored by the
     model (features included) fitted on the other folds, which never saw it."""
-    data = docs.select(id_col, text_col).join(labels, id_col)
+    data = cut_lineage(_counted(docs.select(id_col, text_col).join(labels, id_col), text_col))
     out = None
     for c in classes:
         d = _folds(data.withColumn("_y", F.col(c).cast("double")), id_col, c, k)
         for fold in range(k):
-            pipe, _ = _pipeline(text_col, "_y")
+            pipe, _ = _pipeline("_y")
             model = pipe.fit(d.where(F.col("fold") != fold))
             s = model.transform(d.where(F.col("fold") == fold)).select(
                 F.col(id_col).alias("id"), F.lit(c).alias("class"), F.col(c).alias("y"),
@@ -66,9 +72,9 @@ def cv_baseline(docs: DataFrame, labels: DataFrame, label: str, k: int = 3,
                 text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """m_cv_baseline: choose the regularisation by cross-validation on the stratified
     folds, report the metric per setting."""
-    data = _folds(docs.select(id_col, text_col).join(labels, id_col).withColumn("_y", F.col(label).cast("double")),
-                  id_col, label, k)
-    pipe, lr = _pipeline(text_col, "_y")
+    counted = cut_lineage(_counted(docs.select(id_col, text_col).join(labels, id_col), text_col))
+    data = _folds(counted.withColumn("_y", F.col(label).cast("double")), id_col, label, k)
+    pipe, lr = _pipeline("_y")
     grid = ParamGridBuilder().addGrid(lr.regParam, [0.001, 0.01, 0.1]).build()
     cv = CrossValidator(estimator=pipe, estimatorParamMaps=grid, foldCol="fold",
                         evaluator=BinaryClassificationEvaluator(labelCol="_y"), numFolds=k)
