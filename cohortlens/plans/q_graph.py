@@ -94,9 +94,12 @@ def g_doc_word(t):
 @query("g_nonzero", BASE + "select note_id as row, unnest(terms) as col, 1.0 as weight from tl")
 def g_nonzero(t):
     v = t.note_terms.count()
-    held = doc_terms(t).groupBy(F.col("note_id").alias("row")).agg(F.collect_set("term_id").alias("_t"))
-    dense = held.select("row", F.transform(F.sequence(F.lit(0), F.lit(v - 1)), lambda j: F.when(
-        F.array_contains("_t", j), 1.0).otherwise(0.0)).alias("values"))
+    held = doc_terms(t).groupBy(F.col("note_id").alias("row")).agg(F.array_sort(F.collect_set("term_id")).alias("_t"))
+    # A row is built from the zeros before each term and after the last one.
+    before = F.concat(F.array(F.lit(-1)), F.slice("_t", F.lit(1), F.size("_t") - 1))
+    upto = F.zip_with("_t", before, lambda a, b: F.concat(F.array_repeat(F.lit(0.0), a - b - 1), F.array(F.lit(1.0))))
+    rest = F.array_repeat(F.lit(0.0), F.lit(v - 1) - F.array_max("_t"))
+    dense = held.select("row", F.concat(F.flatten(upto), rest).alias("values"))
     return G.nonzero(dense)
 
 
