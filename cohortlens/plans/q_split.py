@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import split as S
 from ..operators import text as T
 from ..operators import vocab as V
-from ..session import checkpoint_dir, cut_lineage
+from ..session import checkpoint_dir, cut_lineage, stored
 from ..sources import tables as IO
 from .q_relational import LABEL_KEY, SPLIT_SQL, t1
 from .q_text import WBASE, wnotes
@@ -148,5 +148,5 @@ def x_train_only_vocab(t):
     path = f"{checkpoint_dir(t.spark).rstrip('/')}/vocabulary/{uuid.uuid4().hex}"
     IO.write_table(fitted.select(F.col("term").alias("term_id"), "term"), path)
     terms = t.spark.read.schema("term_id string, term string").parquet(path)
-    rows = T.trim(T.sentences(T.mention_filter(wnotes(t), terms)), terms)
+    rows = T.trim(T.sentences(stored(T.mention_filter(wnotes(t), terms), "mentions")), terms)
     return T.patient_note(T.patient_sentences(rows)).join(ids, "pat_deid").select("pat_deid", "split", "sentence_list")

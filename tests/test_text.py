@@ -9,6 +9,7 @@ from cohortlens.operators import neardup as ND
 from cohortlens.operators import text as T
 from cohortlens.operators import vocab as V
 from cohortlens.plans import q_text as Q
+from cohortlens.operators.cohort import dx_short_expr, note_window
 from cohortlens.plans.q_cohort import anchor_sym
 from cohortlens.sources.tables import Tables
 
@@ -161,3 +162,66 @@ def test_no_note_outside_its_window_enters_the_chain(spark):
         (F.col("encounter_date") > F.col("last")) | (F.col("encounter_date") < F.col("che_tx_date")))
     assert late.count() == 0
     assert {r[0] for r in notes.select("note_desc").distinct().collect()} <= set(Q.NOTE_TYPES_KEEP)
+
+
+def test_mention_filter_and_trim_take_all_notes(spark):
+    t = Tables(spark, "/root/testdata/sf0.001")
+    want = {r[0] for r in t.notes.where(Q.F.lower("note").rlike("|".join(Q.SQL_TERMS))).select(F.md5("note")).collect()}
+    inside = {r[0] for r in Q.wnotes(t).select(F.md5("note")).collect()}
+    assert {r[0] for r in Q.t_mention_filter(t).select(F.md5("note")).collect()} == want
+    assert {r["note_key"] for r in Q.t_trim(t).collect()} == want and want - inside
+
+
+def test_cohort_chain_is_computed_once(spark):
+    t = Tables(spark, "/root/testdata/sf0.001")
+    for df in (Q.t1(t), Q.mentions(t), anchor_sym(t)):
+        assert not [f for f in df.inputFiles() if f.endswith(("events.parquet", "documents.parquet"))]
+
+
+def test_labels_are_found_in_a_name_evaluated_once(spark):
+    df = spark.createDataFrame([("Anemia and fever",), (None,), ("well",), ("gastritis",)], "dx_name string")
+    rows = df.select(dx_short_expr().alias("x"))
+    assert [r[0] for r in rows.collect()] == ["FEVER", None, None, "EMESIS"]
+    assert rows._jdf.queryExecution().analyzed().toString().count("upper(dx_name") == 1
+
+
+def test_note_window_keeps_the_first_of_equal_texts_and_null_ones(spark):
+    anchor = spark.createDataFrame([(1, 0, 9)], "pat_deid long, che_tx_date int, hosp_admsn_time int")
+    rows = [(1, 5, "a", 3, 0, "x"), (1, 4, "a", 3, 0, "x"), (1, 4, "a", 3, 0, "x"), (1, 6, None, 2, 0, "x"),
+            (1, 7, None, 1, 0, "x"), (1, 8, "b", 10, 0, "x")]
+    got = note_window(anchor, spark.createDataFrame(
+        rows, "pat_deid long, note_id long, note string, encounter_date int, effective_time int, note_desc string"))
+    assert sorted(r["note_id"] for r in got.collect()) == [4, 7]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert not any("Aggregate [" in x and " note#" in x.split("]")[0] for x in plan.splitlines())
+
+
+def test_grams_are_integers_and_sought_ones_alone_leave_the_texts(spark):
+    rows = spark.createDataFrame([(1, "xéyabcabc"), (2, None), (3, "c"), (4, "")], "id int, _text string")
+    code = int.from_bytes(b"abc", "big")
+    assert [(r["id"], r["grams"]) for r in M.with_grams(rows, {3: [code]}).collect()] == [(1, [3 << 24 | code])]
+    assert {r["id"]: len(r["grams"]) for r in M.with_grams(rows, {1: None}).collect()} == {1: 7, 3: 1}
+
+
+def test_bands_of_blocks_equal_the_expression(spark):
+    texts = ["", "a", "é\U0001f600", "abc", "the patient reports pain", "abcabcabc \U0001f600ü"]
+    nodes = ND._nodes(spark.createDataFrame([(1, i, x) for i, x in enumerate(texts)], SENT))
+    got, want = {}, {}
+    for r in ND._bands(nodes, 8, 2).collect():
+        got.setdefault(r["sid"], set()).add(r["band"].hex())
+    for r in nodes.select("sid", ND.minhash_bands(F.col("sentence")).alias("b")).collect():
+        want[r["sid"]] = set(r["b"])
+    assert got == want
+
+
+def test_candidates_join_on_one_integer(spark):
+    nodes = ND._nodes(spark.createDataFrame([(1, 0, "abcdefghij"), (None, 1, "abcdefghij"), (1, 2, "abcdefghix"), (2, 0, "abcdefghiy")], SENT))
+    pairs = ND.candidate_pairs(nodes)
+    assert pairs.join(nodes.select("pat_deid", F.col("sid").alias("a")), ["pat_deid", "a"]).join(
+        nodes.select("pat_deid", F.col("sid").alias("b")), ["pat_deid", "b"]).count() == 1
+    assert "regexp" not in pairs._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_minimal_terms_read_their_source_once(spark):
+    t = Tables(spark, "/root/testdata/sf0.001")
+    assert not V.minimal_terms(t.note_ngrams, "term").inputFiles()
