@@ -572,7 +572,7 @@ def test_llm_oracles_agree(spark):
     from cohortlens.llm.queries import ORACLE, QUERIES
     sf = "/root/testdata/sf0.001"
     con = duckdb.connect()
-    for t in ("documents", "benchmark"):
+    for t in ("documents", "benchmark", "labels", "pages", "conversations", "embeddings"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
     for name, sql in ORACLE.items():
         got, want = QUERIES[name](spark, sf).toPandas(), con.sql(sql).df()

@@ -225,3 +225,12 @@ def test_candidates_join_on_one_integer(spark):
 def test_minimal_terms_read_their_source_once(spark):
     t = Tables(spark, "/root/testdata/sf0.001")
     assert not V.minimal_terms(t.note_ngrams, "term").inputFiles()
+
+
+def test_notes_without_patient_or_time_are_filtered_and_trimmed(spark):
+    notes = spark.createDataFrame([(None, "a hit. b. cc", "t1"), (1, "a hit. b. cc", None), (1, "a hit. b. cc", None), (1, None, "t1")],
+                                  "pat_deid long, note string, effective_time string")
+    terms = spark.createDataFrame([("hit", "hit")], "term_id string, term string")
+    kept = T.mention_filter(notes, terms)
+    assert {(r[0], r[2]) for r in kept.collect()} == {(None, "t1"), (1, None)} and kept.count() == 2
+    assert T.trim(T.sentences(kept), terms).count() == 4
