@@ -1,11 +1,13 @@
 """2. N-gram Jaccard join with parity sketches.
 
-A text's shingles flip bits of a sketch, so the Hamming distance of two sketches is
-at most the symmetric difference of the sets. A Jaccard threshold bounds that
-difference by D for a band of set sizes: of D + 1 sketch words one must be equal
-(pigeonhole), so an equi join on sketch words loses no pair. Candidates are checked
-with two further sketches, one of a fixed size and one that grows with the set, and then
-against the shingles themselves.
+Two linked sets share all but a small part of either, so the shingles of each that come
+first, in any order common to all sets and one more than may be missing in the other,
+have one in common: an equi join on these loses no pair. The order puts shingles that
+few sets have first, by counts of a fixed size. Then sketches decide: a text's shingles
+flip bits of a sketch, so the Hamming distance of two sketches is at most the symmetric
+difference of the sets, which a Jaccard threshold bounds. Candidates are checked with a
+sketch of a fixed size and one that grows with the set, and what these leave against the
+shingles themselves.
 """
 from __future__ import annotations
 
@@ -21,13 +23,16 @@ from ._common import boxed, byte_column, mix64, row_blocks, written
 from ._components import components
 from ._tokens import NONSPACE, grams, tokenise
 
-BAND = 1.25         # sizes from one band's smallest to its largest
+CELLS = 1 << 22     # counts of shingles; they give the order, on which no result depends
+SLICE = 1 << 14     # cells that are summed together
+COUNT_ROWS = 512    # rows whose shingles are counted at once
 CHECK_WORDS = 12    # 64-bit words of the fixed sketch that candidates are checked with first
 FOLDED_WORDS = 4    # words of the same sketch, folded, that travel with the key rows
 BLOCK = 1 << 20
 KEY_ROWS = 4096     # rows whose keys are combined at once
 PIECE_WORDS = 1 << 18  # sketch words of pairs that are compared at once
 BROADCAST_IDS = 500_000  # tables of ids with more rows than this are joined by shuffle
+BROADCAST_SKETCHES = 100_000  # and fixed sketches of more rows
 BROADCAST_WORDS = 1 << 20  # and wide sketches of more words (8 MB) in all
 
 
@@ -46,38 +51,6 @@ class Rule:
         return self.den * both >= self.num * (a + b - both)
 
 
-@dataclass(frozen=True)
-class Band:
-    """Sets of ``low`` to ``high`` shingles as the smaller side of a link: sketches of
-    ``parts`` words differ in at most ``apart`` of them."""
-    at: int
-    low: int
-    high: int
-    reach: int
-    apart: int
-    parts: int
-
-
-@functools.cache
-def bands(rule: Rule, up_to_bits: int = 40) -> tuple[Band, ...]:
-    """All size bands. ``parts`` leaves room for the words that stay zero by chance, so
-    that nearly every set can leave those out of its keys."""
-    out, low = [], 1
-    while low < 1 << up_to_bits:
-        high = max(low, int(low * BAND) - 1)
-        reach = high * rule.den // rule.num
-        apart = rule.most_apart(high + reach)
-        parts = apart + 1
-        while parts < 2 * (apart + 1):
-            zero = parts * (1 - 1 / parts) ** low
-            if parts - apart - 1 >= zero + 3 * zero ** 0.5:
-                break
-            parts += max(1, parts // 50)
-        out.append(Band(len(out), low, high, reach, apart, parts))
-        low = high + 1
-    return tuple(out)
-
-
 def shingle_sets(col: pa.Array, k: int):
     """Per text, in order: its sorted distinct shingle hashes."""
     data, bounds, _ = byte_column(col)
@@ -100,24 +73,17 @@ def _flip(part: np.ndarray, bit: np.ndarray, parts: int) -> np.ndarray:
     return out
 
 
-def sketch_keys(s: np.ndarray, rule: Rule) -> np.ndarray:
-    """Join keys of a set: a hash of (band, part, sketch word) for its own band and for
-    every lower one that it can reach as the larger side of a link. Zero words say
-    little and are left out unless they are so many that they could be all that two
-    linked sets agree in; both sets have them then."""
-    n, out = len(s), []
-    for band in bands(rule):
-        if band.low > n:
-            break
-        if n <= band.reach:
-            mixed = mix64(s + np.uint64(band.at + 1))
-            words = _flip((mixed >> np.uint64(8)) % np.uint64(band.parts), mixed & np.uint64(63), band.parts)
-            at = np.arange(band.parts, dtype=np.uint64)
-            if np.count_nonzero(words) > band.apart:
-                at = np.flatnonzero(words).astype(np.uint64)
-                words = words[words != 0]
-            out.append(mix64(mix64(words) + mix64((np.uint64(band.at + 1) << np.uint64(40)) + at)))
-    return np.concatenate(out)
+def cells(s: np.ndarray) -> np.ndarray:
+    return (s >> np.uint64(65 - CELLS.bit_length())).astype(np.int64)
+
+
+def sketch_keys(s: np.ndarray, rule: Rule, levels: np.ndarray | None = None) -> np.ndarray:
+    """Join keys of a set: its first shingles by the levels of their cells, then by hash, one
+    more than a linked set can lack. The level is part of the key, so that shingles in one
+    place of the order are one key."""
+    lacking = len(s) - -(-len(s) * rule.num // rule.den)
+    level = np.zeros(len(s), np.uint64) if levels is None else levels[cells(s)].astype(np.uint64)
+    return np.partition((level << np.uint64(56)) | (s >> np.uint64(8)), lacking)[:lacking + 1]
 
 
 def check_sketch(s: np.ndarray, words: int) -> np.ndarray:
@@ -156,10 +122,40 @@ def _sets(docs: DataFrame, rule: Rule) -> DataFrame:
     return docs.mapInArrow(run, "id long, n long, h1 long, h2 long, sketch array<long>, wide array<long>")
 
 
+def _levels(docs: DataFrame, rule: Rule) -> np.ndarray:
+    """A level for each cell of shingles: eight times the logarithm of the number of rows
+    with a shingle in it. Each task counts its rows in one array of fixed size; its slices
+    are added up in many tasks."""
+    def count(batches):
+        total = np.zeros(CELLS, np.uint32)
+        for b in (b.slice(lo, COUNT_ROWS) for b in batches for lo in range(0, b.num_rows, COUNT_ROWS)):
+            sets = list(shingle_sets(b.column("text"), rule.k))
+            if sets:
+                cell, n = np.unique(cells(np.concatenate(sets)), return_counts=True)
+                total[cell] += n.astype(np.uint32)
+        at = [lo for lo in range(0, CELLS, SLICE) if total[lo:lo + SLICE].any()]
+        packed = [pa.compress(total[lo:lo + SLICE].tobytes(), codec="zstd", asbytes=True) for lo in at]
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(packed, pa.binary())], ["at", "counts"])
+
+    def add(table):
+        total = np.zeros(SLICE)
+        for x in table.column("counts"):
+            total += np.frombuffer(pa.decompress(x.as_py(), decompressed_size=4 * SLICE, codec="zstd"), np.uint32)
+        level = np.minimum(8 * np.log2(1 + total), 255).astype(np.uint8).tobytes()
+        return pa.table({"at": table.column("at").slice(0, 1), "level": pa.array([level], pa.binary())})
+
+    out = np.zeros(CELLS, np.uint8)
+    for r in docs.mapInArrow(count, "at long, counts binary").groupBy("at").applyInArrow(add, "at long, level binary").collect():
+        out[r["at"]:r["at"] + SLICE] = np.frombuffer(r["level"], np.uint8)
+    return out
+
+
 def _keys(docs: DataFrame, rule: Rule) -> DataFrame:
-    """(key, id, hub) of the sketch words of every row. Rows are combined before they
+    """(key, id, hub) of the first shingles of every row. Rows are combined before they
     are shuffled: in each block of rows, equal sets are one, and rows that share a key
     point at the smallest id with it (hub 0: the row stands for the block)."""
+    levels = docs.sparkSession.sparkContext.broadcast(_levels(docs, rule))
+
     def run(batches):
         for b in (b.slice(lo, KEY_ROWS) for b in batches for lo in range(0, b.num_rows, KEY_ROWS)):
             ids = b.column("id").to_numpy(zero_copy_only=False)
@@ -167,7 +163,7 @@ def _keys(docs: DataFrame, rule: Rule) -> DataFrame:
             for i, s in zip(ids, shingle_sets(b.column("text"), rule.k)):
                 if len(s) and (name := set_hash(s)) not in seen:
                     seen.add(name)
-                    key.append(sketch_keys(s, rule))
+                    key.append(sketch_keys(s, rule, levels.value))
                     own.append(np.full(len(key[-1]), i, np.int64))
             if key:
                 yield from _combined(np.concatenate(key), np.concatenate(own))
@@ -293,7 +289,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", ru
     empty tables give no rows; other columns don't matter.
 
     Equal sets are one class first, so exact copies cost one row each. Members of a
-    shared sketch word are then tested against one id that has it (linear in the
+    shared key are then tested against one id that has it (linear in the
     members), and only classes that this leaves in different components are tested
     with each other, behind the sketch distance: near copies are not expanded into pairs. Copies are one
     row under a key by then, in every block."""
@@ -312,6 +308,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", ru
     def small(df):
         return F.broadcast(df) if few else df
 
+    def light(df):
+        return F.broadcast(df) if rows <= BROADCAST_SKETCHES else df
+
     same = Window.partitionBy("key", "hub")
     texts = base.where("text is not null and id is not null")
     # Copies have the keys of their representative; a large table sends them all the same.
@@ -328,7 +327,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", ru
     first = to_rep(to_rep(shared.select("id", "to").where("id <> to").distinct(), "id"), "to")
     first = written(first.where("id <> to").select(F.least("id", "to").alias("a"), F.greatest("id", "to").alias("b"))
                     .distinct(), "hub-pairs")
-    left, right = (small(side) for side in _sides(sketches, "n", "sketch"))
+    left, right = (light(side) for side in _sides(sketches, "n", "sketch"))
     wide = _sides(sketches, "n", "wide")
     if words <= BROADCAST_WORDS:
         wide = tuple(F.broadcast(side) for side in wide)
@@ -344,7 +343,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", ru
     # Dealt by key once: the window, the distinct rows and the join below all use it.
     mixed = (label.withColumn("lo", F.min("c").over(alike)).withColumn("hi", F.max("c").over(alike))
              .where("lo <> hi").select("key", "id", "c").dropDuplicates(["key", "id"]))
-    rest = mixed.join(small(sketches.select("id", "n", *_folded("sketch"))), "id")
+    rest = mixed.join(light(sketches.select("id", "n", *_folded("sketch"))), "id")
     x, y = _sides(rest, "key", "c", "n", *[f"f{i}" for i in range(FOLDED_WORDS)])
     near = (x.join(y, "key").where((F.col("a") < F.col("b")) & (F.col("ac") != F.col("bc")) & _near_enough(rule, "a", "b", folded=True))
             .select("a", "b").distinct().join(first, ["a", "b"], "left_anti"))

@@ -5,6 +5,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -116,6 +117,34 @@ def test_sketch_keys_lose_no_linked_pair():
                 assert set(ngram_join.sketch_keys(a, rule)) & set(ngram_join.sketch_keys(b, rule))
 
 
+def test_join_keys_are_few_rare_and_lose_no_linked_pair():
+    """A fifth of the shingles and one; none that every set has, where others are enough;
+    and whatever the levels are, linked sets share a key."""
+    rng, rule = np.random.default_rng(5), ngram_join.Rule()
+    passage = rng.integers(0, 2**63, 600, dtype=np.uint64) * np.uint64(2)
+    sets = [np.unique(np.concatenate([passage, rng.integers(0, 2**63, 400, dtype=np.uint64) * np.uint64(2)])) for _ in range(9)]
+    levels = np.zeros(ngram_join.CELLS, np.uint8)
+    np.add.at(levels, np.concatenate([ngram_join.cells(s) for s in sets]), 1)
+    keys = [ngram_join.sketch_keys(s, rule, levels) for s in sets]
+    assert all(len(k) == 201 for k in keys)
+    assert len(np.unique(np.concatenate(keys))) == 9 * 201
+    for n in range(1, 120):
+        a = np.unique(rng.integers(0, 2**63, n, dtype=np.uint64) * np.uint64(2))
+        levels = rng.integers(0, 256, ngram_join.CELLS).astype(np.uint8)
+        for b in (a[: -(-4 * len(a) // 5)], np.concatenate([a, rng.integers(0, 2**63, len(a) // 4, dtype=np.uint64)])):
+            assert rule.linked(len(a), len(b), len(np.intersect1d(a, b)))
+            assert set(ngram_join.sketch_keys(a, rule, levels)) & set(ngram_join.sketch_keys(np.unique(b), rule, levels))
+
+
+def test_levels_count_the_rows_of_a_cell(spark):
+    text = prose(3, 200, 5000)
+    df = docs_of(spark, [text] * 15 + [prose(4, 200, 5000), None, ""]).selectExpr("doc_id id", "text")
+    levels = ngram_join._levels(df.repartition(3), ngram_join.Rule())
+    common, rare = (next(ngram_join.shingle_sets(pa.array([t]), 5)) for t in (text, prose(4, 200, 5000)))
+    assert set(levels[ngram_join.cells(common)]) == {32} and set(levels[ngram_join.cells(rare)]) == {8}
+    assert not ngram_join._levels(df.limit(0), ngram_join.Rule()).any()
+
+
 def test_ngram_join_null_ids_repeats_and_empty(spark):
     df = spark.createDataFrame([(None, prose(1, 50), 1), (3, prose(1, 50), 1), (3, prose(1, 50), 1), (4, prose(1, 50), 2)],
                                "doc_id long, text string, key int")
