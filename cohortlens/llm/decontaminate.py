@@ -20,6 +20,7 @@ WINDOW = 13
 DEPTH = 4              # words that order the suffixes of a shard
 SHARD_BYTES = 4 << 20  # text of one suffix array
 TEST_BYTES = 64 << 20  # test text broadcast at once; more goes in several passes
+PIECE = 1 << 17        # suffixes or candidates that are handled at once
 
 MATCH = "struct<item_id:bigint,item_start:int,doc_start:int,n_words:int>"
 
@@ -61,7 +62,8 @@ def longest_matches(t: Tokens, block: TestBlock, window: int):
     test, suffix = block.words, block.suffix
     if not len(t.hash) or not len(suffix):
         return none
-    keys, _ = suffix_keys(t, np.arange(len(t.hash)))
+    keys = np.concatenate([suffix_keys(t, np.arange(lo, min(lo + PIECE, len(t.hash))))[0]
+                           for lo in range(0, len(t.hash), PIECE)])
     order = np.argsort(keys)  # the suffix array of this shard
     keys = keys[order]
     low, high = suffix_keys(test, suffix)
@@ -72,7 +74,7 @@ def longest_matches(t: Tokens, block: TestBlock, window: int):
     lo = 0
     while lo < len(suffix):
         before = many[lo - 1] if lo else 0
-        hi = max(lo + 1, int(np.searchsorted(many, before + (1 << 20), "right")))
+        hi = max(lo + 1, int(np.searchsorted(many, before + PIECE, "right")))
         n = right[lo:hi] - left[lo:hi]
         s = np.repeat(suffix[lo:hi], n)
         step = np.arange(len(s)) - np.repeat(np.cumsum(n) - n, n)
@@ -161,7 +163,8 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, text: str = "text", item
     pass over it one after the other; the matches of a block are written before the
     next one is gathered."""
     sc = docs.sparkSession.sparkContext
-    frame = boxed(docs, text=F.col(f"`{text}`")).withColumns(
+    at = [c.lower() for c in docs.columns].index(text.lower())  # the text travels in the row alone
+    frame = boxed(docs).withColumns(
         {"n_words": F.lit(0).cast("long"), "n_hit": F.lit(0).cast("long"),
          "matches": F.array().cast(f"array<{MATCH}>")})
     for last, block in test_blocks(benchmark, item, item_text, test_bytes):
@@ -173,9 +176,9 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, text: str = "text", item
             if test.words is None:
                 test.prepare(window)
             for b in batches:
-                n_words, found = scan(b.column("text"), test, window)
+                n_words, found = scan(b.column("row").field(at), test, window)
                 found = [x + y for x, y in zip(b.column("matches").to_pylist(), found)]
-                columns = {"row": b.column("row"), "text": b.column("text"), "n_words": pa.array(n_words),
+                columns = {"row": b.column("row"), "n_words": pa.array(n_words),
                            "n_hit": pa.array([covered(x) for x in found], pa.int64()),
                            "matches": pa.array(found, b.column("matches").type)}
                 yield pa.RecordBatch.from_arrays([columns[c] for c in b.schema.names], b.schema.names)
@@ -184,7 +187,7 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, text: str = "text", item
         if not last:
             frame = written(frame, "block-matches")
             shared.destroy()
-    return frame.drop("text")
+    return frame
 
 
 def contaminated(n_hit: Column, n_words: Column) -> Column:

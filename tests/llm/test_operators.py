@@ -145,6 +145,17 @@ def test_levels_count_the_rows_of_a_cell(spark):
     assert not ngram_join._levels(df.limit(0), ngram_join.Rule()).any()
 
 
+def test_decontamination_sends_a_text_once(spark):
+    """The text reaches the task in its row, in whatever case its column is named, not beside it as well."""
+    docs = spark.createDataFrame([(1, prose(1, 40)), (2, None)], "doc_id long, Text string")
+    bench = spark.createDataFrame([(7, prose(1, 40))], "item_id long, text string")
+    found = decontaminate.find_matches(docs, bench)
+    assert found.columns == ["row", "n_words", "n_hit", "matches"]
+    read = re.search(r"MapInArrow.*\n.*?Project \[(.*)\]", found._jdf.queryExecution().optimizedPlan().toString())
+    assert read and len(re.findall(r"(?i)text#", read[1])) == 1
+    assert {r["row"]["doc_id"]: r["n_hit"] for r in found.collect()} == {1: 40, 2: 0}
+
+
 def test_ngram_join_null_ids_repeats_and_empty(spark):
     df = spark.createDataFrame([(None, prose(1, 50), 1), (3, prose(1, 50), 1), (3, prose(1, 50), 1), (4, prose(1, 50), 2)],
                                "doc_id long, text string, key int")
