@@ -11,7 +11,6 @@ shingles themselves.
 """
 from __future__ import annotations
 
-import functools
 from dataclasses import dataclass
 
 import numpy as np
@@ -27,7 +26,6 @@ CELLS = 1 << 22     # counts of shingles; they give the order, on which no resul
 SLICE = 1 << 14     # cells that are summed together
 COUNT_ROWS = 512    # rows whose shingles are counted at once
 CHECK_WORDS = 12    # 64-bit words of the fixed sketch that candidates are checked with first
-FOLDED_WORDS = 4    # words of the same sketch, folded, that travel with the key rows
 BLOCK = 1 << 20
 KEY_ROWS = 4096     # rows whose keys are combined at once
 PIECE_WORDS = 1 << 18  # sketch words of pairs that are compared at once
@@ -194,18 +192,12 @@ def _shingles(docs: DataFrame, rule: Rule) -> DataFrame:
     return docs.mapInArrow(run, "id long, s array<long>")
 
 
-def _folded(sketch: str) -> list[Column]:
-    """The fixed sketch XOR-folded to ``FOLDED_WORDS``: a sketch of the same set."""
-    words = [F.col(sketch)[i] for i in range(CHECK_WORDS)]
-    return [functools.reduce(Column.bitwiseXOR, words[i::FOLDED_WORDS]).alias(f"f{i}") for i in range(FOLDED_WORDS)]
-
-
-def _near_enough(rule: Rule, a: str, b: str, folded: bool = False) -> Column:
-    """Sizes that a link allows, and fixed (or folded) sketches no further apart than the
-    largest symmetric difference of a link."""
+def _near_enough(rule: Rule, a: str, b: str) -> Column:
+    """Sizes that a link allows, and fixed sketches no further apart than the largest
+    symmetric difference of a link."""
     an, bn, apart = F.col(a + "n"), F.col(b + "n"), F.lit(0)
-    for i in range(FOLDED_WORDS if folded else CHECK_WORDS):
-        x, y = (F.col(f"{side}f{i}") if folded else F.col(f"{side}sketch")[i] for side in (a, b))
+    for i in range(CHECK_WORDS):
+        x, y = (F.col(f"{side}sketch")[i] for side in (a, b))
         apart = apart + F.bit_count(x.bitwiseXOR(y))
     return ((F.greatest(an, bn) * rule.num <= F.least(an, bn) * rule.den)
             & (apart * (rule.den + rule.num) <= (an + bn) * (rule.den - rule.num)))
@@ -266,6 +258,21 @@ def _sides(sets: DataFrame, *columns: str) -> tuple[DataFrame, DataFrame]:
                  for x in "ab")
 
 
+def _after(rows: DataFrame) -> DataFrame:
+    """``rows`` (key, id, ...) with ``before``, the key of the row's id that precedes it."""
+    return rows.withColumn("before", F.lag("key").over(Window.partitionBy("id").orderBy("key")))
+
+
+def _met(rows: DataFrame, rule: Rule) -> DataFrame:
+    """Pairs (a, b) that share a key, lie in different components c and have sketches near
+    enough. Rows that share a key and the one before it have met under that one already,
+    so a pair comes once from each run of shared keys, not from every key."""
+    x, y = _sides(rows, "key", "before", "c", "n", "sketch")
+    return x.join(y, "key").where(
+        (F.col("a") < F.col("b")) & (F.col("ac") != F.col("bc")) & _near_enough(rule, "a", "b")
+        & F.coalesce(F.col("abefore") != F.col("bbefore"), F.lit(True))).select("a", "b")
+
+
 def _check(pairs: DataFrame, base: DataFrame, wide: tuple[DataFrame, DataFrame], rule: Rule, repeats: bool) -> DataFrame:
     """Links among distinct candidate pairs (a, b): by the wide sketches, then by shingles.
     With ``repeats``, equal rows of an id become one before they are looked up."""
@@ -289,10 +296,10 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", ru
     empty tables give no rows; other columns don't matter.
 
     Equal sets are one class first, so exact copies cost one row each. Members of a
-    shared key are then tested against one id that has it (linear in the
-    members), and only classes that this leaves in different components are tested
-    with each other, behind the sketch distance: near copies are not expanded into pairs. Copies are one
-    row under a key by then, in every block."""
+    shared key are then tested against one id that has it, and against one drawn by hash
+    for each key (linear in the members), and only classes that this leaves in different
+    components are tested with each other, behind the sketch distance: linked near copies
+    are not expanded into pairs. Copies are one row under a key by then, in every block."""
     base = docs.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"))
     sets = written(_sets(base, rule), "shingle-sets")
     known = sets.where("n > 0 and id is not null")
@@ -338,16 +345,25 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", ru
     # rows of a block's representative may be missing where the block alone shares the key
     every = shared.select("key", F.explode(F.when(F.col("heads"), F.array("id", "to")).otherwise(F.array("id"))).alias("id"))
     alike = Window.partitionBy("key")
-    label = to_rep(every, "id").join(small(found), "id", "left").select(
-        "key", "id", F.coalesce("component", "id").alias("c"))
-    # Dealt by key once: the window, the distinct rows and the join below all use it.
-    mixed = (label.withColumn("lo", F.min("c").over(alike)).withColumn("hi", F.max("c").over(alike))
-             .where("lo <> hi").select("key", "id", "c").dropDuplicates(["key", "id"]))
-    rest = mixed.join(light(sketches.select("id", "n", *_folded("sketch"))), "id")
-    x, y = _sides(rest, "key", "c", "n", *[f"f{i}" for i in range(FOLDED_WORDS)])
-    near = (x.join(y, "key").where((F.col("a") < F.col("b")) & (F.col("ac") != F.col("bc")) & _near_enough(rule, "a", "b", folded=True))
-            .select("a", "b").distinct().join(first, ["a", "b"], "left_anti"))
-    more = near.join(left, "a").join(right, "b").where(_near_enough(rule, "a", "b")).select("a", "b")
+
+    def mixed(rows, found):
+        """Rows of the keys whose rows lie in different components, once each, with a row
+        (hash, id, c) drawn from those of the key."""
+        label = rows.join(small(found), "id", "left").select("key", "id", F.coalesce("component", "id").alias("c"))
+        return (label.withColumn("lo", F.min("c").over(alike)).withColumn("hi", F.max("c").over(alike))
+                .withColumn("drawn", F.min(F.struct(F.xxhash64("key", "id").alias("h"), "id", "c")).over(alike))
+                .where("lo <> hi").select("key", "id", "c", "drawn").dropDuplicates(["key", "id"]))
+
+    apart = written(mixed(to_rep(every, "id"), found), "mixed-keys")
+    second = written(apart.where("c <> drawn.c").select(F.least("id", "drawn.id").alias("a"), F.greatest("id", "drawn.id").alias("b"))
+                     .distinct().join(first, ["a", "b"], "left_anti"), "drawn-pairs")
+    links = links.union(_check(second.join(left, "a").join(right, "b").where(_near_enough(rule, "a", "b"))
+                               .select("a", "b"), texts, wide, rule, repeats))
+    found = components(links)
+
+    # Sorted by id once: the keys before, and the sketches of a large table.
+    rest = _after(mixed(apart.select("key", "id"), found).drop("drawn")).join(light(sketches.select("id", "n", "sketch")), "id")
+    more = _met(rest, rule).distinct().join(first.union(second), ["a", "b"], "left_anti")
     copies = rep.where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))
     final = components(links.union(_check(more, texts, wide, rule, repeats)).union(copies))
     return sets.join(final, "id", "left").select(

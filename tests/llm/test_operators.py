@@ -663,6 +663,58 @@ def test_ngram_join_repeated_rows_verify_no_more_than_one(spark, monkeypatch):
     assert len(got) == 353 and sum(checked) == before
 
 
+def test_near_copies_are_not_expanded_into_pairs(spark, monkeypatch):
+    """240 near copies, about half of their pairs linked: members are brought together by
+    few of them, and the classes are those of brute force."""
+    checked = []
+    plain = ngram_join._check
+
+    def counted(pairs, *more):
+        checked.append(pairs.count())
+        return plain(pairs, *more)
+    monkeypatch.setattr(ngram_join, "_check", counted)
+    rng, words, texts = np.random.default_rng(12), prose(12, 150, 5000).split(), []
+    for i in range(240):
+        copy = list(words)
+        for at in rng.integers(0, 150, 2 + i % 4):
+            copy[int(at)] = f"e{int(rng.integers(10**6))}"
+        texts.append(" ".join(copy))
+    rule = ngram_join.Rule(3, 85, 100)
+    found = ngram_join.near_duplicates(docs_of(spark, texts), rule=rule).collect()
+    assert {r["id"]: (r["n_shingles"], r["component_id"]) for r in found} == brute_components(texts, rule.k, rule.num, rule.den)
+    assert sum(checked) <= 10 * len(texts), checked
+
+
+def test_pairs_meet_once_in_a_run_of_shared_keys(spark, monkeypatch):
+    """Long texts that share half of their shingles meet under few of their keys, and behind
+    the whole fixed sketch: no folded one lets them through from every key."""
+    conditions = []
+    plain = ngram_join._met
+
+    def counted(rows, rule):
+        conditions.append((rows.count(), plain(rows, rule).count()))
+        return plain(rows, rule)
+    monkeypatch.setattr(ngram_join, "_met", counted)
+    half = prose(13, 1500, 10**6)
+    texts = [half + " " + prose(100 + i, 1500, 10**6) for i in range(20)]
+    texts += [prose(7, 100, 5000) + f" x{i}" * (i % 2) for i in range(4)]
+    got = ngram_join.near_duplicates(docs_of(spark, texts)).collect()
+    assert {r["id"]: r["component_id"] for r in got} == {i: min(i, 20) for i in range(24)}
+    assert sum(n for _, n in conditions) <= 20 * 19 // 2
+
+
+def test_runs_of_shared_keys_lose_no_pair(spark):
+    """Each pair that shares a key comes out, once from each run of shared keys."""
+    rng = np.random.default_rng(14)
+    has = {i: sorted(set(rng.choice(60, 25).tolist())) for i in range(12)}
+    rows = spark.createDataFrame([(k, i, i, 10, [0] * ngram_join.CHECK_WORDS) for i, ks in has.items() for k in ks],
+                                 "key long, id long, c long, n long, sketch array<long>")
+    got = [tuple(r) for r in ngram_join._met(ngram_join._after(rows), ngram_join.Rule()).collect()]
+    both = {(a, b): set(has[a]) & set(has[b]) for a in has for b in has if a < b}
+    assert set(got) == {p for p, keys in both.items() if keys}
+    assert len(got) < sum(map(len, both.values()))
+
+
 @pytest.mark.parametrize("d", [1, 7, 64, 100])
 def test_stored_codes_bound_like_the_full_ones(d):
     u = embeddings.unit(np.random.default_rng(8).standard_normal((300, d)))
