@@ -1,13 +1,13 @@
-"""Near-duplicate sentences of a patient (t_near_dup, t_near_dup_lsh) as joins.
+"""Near-duplicate sentences of a patient (t_near_dup, t_near_dup_lsh).
 
 The rule is greedy: a sentence stays if none of the patient's earlier kept sentences is
-similar (1 - edit distance / longer length >= threshold). Similar pairs are found by an
-equi join on (patient, gram), so a patient of any size is spread over many tasks, and the
+similar (1 - edit distance / longer length >= threshold). A patient's sentences are brought
+together in chunks, two at a time, so a patient of any size is spread over many tasks; a task
+finds the candidates of its chunks and decides them, and only similar pairs leave it. The
 greedy order is then resolved in rounds over the pair table.
 
-Candidates: k edits touch at most k of the longer string's disjoint q-grams, so of any
-k + 1 of them one survives in the shorter string, moved by at most k places. The longer
-side sends k + 1 disjoint grams, the shorter all its grams.
+Candidates: k edits touch at most k of the longer string's m disjoint q-grams, so m - k of
+them survive in the shorter string, each moved by at most k places.
 """
 from __future__ import annotations
 
@@ -15,15 +15,22 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.grams import counted_up, mix64, row_blocks, text_points
-from ..session import cut_lineage
+from ..session import cut_lineage, stored
+from .relational import marked
 
 THRESHOLD = 0.8
 BLOCK = 1 << 18
 SIZES = (4, 3, 2, 1)
+#: Characters of a patient that make a chunk. Every two chunks of a patient meet in a task.
+CHUNK = 1 << 20
+#: Bits of a gram's key that hold a length (a longer one counts as the largest).
+LENGTH_BITS = 20
+MATCHES = 1 << 20
 
 
 def budget(length: Column, threshold: float) -> Column:
@@ -45,51 +52,126 @@ def _nodes(sentences: DataFrame) -> DataFrame:
                             F.length("sentence").alias("n"))
 
 
-def _gram_rows(nodes: DataFrame, threshold: float, longer: bool) -> DataFrame:
-    """(key, pat_deid, id, n, at): a row for each gram that a sentence sends, as the longer
-    side of a pair its k + 1 disjoint grams, as the shorter one all grams of each size that
-    a longer side may have. ``key`` is a hash of patient and gram, ``at`` the gram's place."""
+def _dealt(nodes: DataFrame, chunk: int) -> DataFrame:
+    """The nodes with the group ``g`` of their patient, their ``part`` and whether the group
+    has this part ``alone``. A patient of more than ``chunk`` characters has several parts, dealt
+    by the hash of the sentence, and a group for every two of them and for each alone; there are
+    at most the characters of all / chunk such patients."""
+    large = nodes.groupBy("pat_deid").agg(F.sum("n").alias("_all")).where(F.col("_all") > chunk).select(
+        "pat_deid", F.ceil(F.col("_all") / chunk).cast("long").alias("_parts"))
+    rows = nodes.join(F.broadcast(large), "pat_deid", "left").withColumn("_parts", F.coalesce("_parts", F.lit(1).cast("long")))
+    rows = rows.withColumn("part", F.pmod("sid", "_parts")).withColumn("_with", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
+    return (rows.withColumn("g", F.least("part", "_with") * F.col("_parts") + F.greatest("part", "_with"))
+            .withColumn("alone", F.col("part") == F.col("_with")).drop("_parts", "_with"))
+
+
+def _grams(text: np.ndarray, first: np.ndarray, group: np.ndarray, count: np.ndarray, step: int, q: int):
+    """(row, place, key) of ``count`` q-grams of each row, ``step`` apart. The upper bits of a
+    key are a hash of group and gram, the LENGTH_BITS lower ones are empty."""
+    own, at = counted_up(count)
+    at *= step
+    code = np.zeros(len(own), np.uint64)
+    for i in range(q):
+        code = code * np.uint64(0x9E3779B97F4A7C15) + text[first[own] + at + i] + np.uint64(1)
+    key = mix64(code ^ mix64(group.astype(np.uint64) + np.uint64(q))[own])
+    return own.astype(np.int32), at.astype(np.int32), key >> np.uint64(LENGTH_BITS) << np.uint64(LENGTH_BITS)
+
+
+def _near_rows(text: np.ndarray, first: np.ndarray, n: np.ndarray, group: np.ndarray, threshold: float):
+    """(row, other row), each pair once: the pairs of a group of which the shorter row has
+    enough of the longer one's disjoint grams near their places."""
+    k, size = _gram_sizes(n, threshold)
+    up_to = np.floor(n / threshold + 1e-9).astype(np.int64)
+    sizes = _gram_sizes(np.arange(up_to.max(initial=0) + 1), threshold)[1]
+    most = (1 << LENGTH_BITS) - 1
+    low, high = (np.minimum(x, most).astype(np.uint64) for x in (np.ceil(n * threshold - 1e-9), n))
+    for q in SIZES:
+        of_size = np.concatenate([[0], np.cumsum(sizes == q)])
+        longer, place, key = _grams(text, first, group, np.where(size == q, n // q, 0), q, q)
+        if not len(longer):
+            continue
+        shorter, to, held = _grams(text, first, group, np.where(of_size[up_to + 1] > of_size[n], np.maximum(n - q + 1, 0), 0), 1, q)
+        held |= high[shorter]
+        order = np.argsort(held)
+        held, shorter, to = held[order], shorter[order], to[order]
+        begin = np.searchsorted(held, key | low[longer])
+        count = np.searchsorted(held, key | high[longer], side="right") - begin
+        ends = np.concatenate([[0], np.cumsum(count)])
+        rows = np.append(np.flatnonzero(np.diff(longer, prepend=-1)), len(longer))
+        for lo, hi in row_blocks(ends[rows], MATCHES):
+            pairs = []
+            for i, j in row_blocks(ends[rows[lo]:rows[hi] + 1], MATCHES):
+                i, j = rows[lo] + i, rows[lo] + j
+                own, nth = counted_up(count[i:j])
+                own += i
+                at = begin[own] + nth
+                x, y = longer[own], shorter[at]
+                ok = (np.abs(to[at] - place[own]) <= k[x]) & (n[y] >= n[x] * threshold - 1e-9) & ((n[y] < n[x]) | (n[y] == n[x]) & (y < x))
+                once = np.unique(own[ok] << 32 | y[ok])
+                pairs.append(longer[once >> 32].astype(np.int64) << 32 | once & 0xFFFFFFFF)
+            pair, shared = np.unique(np.concatenate(pairs), return_counts=True)
+            x = pair >> 32
+            pair = pair[shared >= n[x] // q - k[x]]
+            yield pair >> 32, pair & 0xFFFFFFFF
+
+
+def candidates(nodes: DataFrame, threshold: float = THRESHOLD, chunk: int = CHUNK) -> DataFrame:
+    """(pat_deid, first, later, x, y): every pair that may be similar, once and in order,
+    with its texts."""
+    def near(rows):
+        points, bounds = text_points(rows.column("sentence"))
+        group = np.cumsum(starts(rows))
+        part, alone = (rows.column(c).to_numpy(zero_copy_only=False) for c in ("part", "alone"))
+        n = np.diff(bounds)
+        for a, b in _near_rows(points.astype(np.uint64), bounds[:-1], n, group, threshold):
+            ok = alone[a] | (part[a] != part[b])
+            first, later = np.minimum(a, b)[ok], np.maximum(a, b)[ok]
+            for lo, hi in row_blocks(np.concatenate([[0], np.cumsum(n[first] + n[later])]), BLOCK):
+                i, j = pa.array(first[lo:hi]), pa.array(later[lo:hi])
+                yield pa.RecordBatch.from_arrays(
+                    [rows.column("pat_deid").take(i), rows.column("sid").take(i), rows.column("sid").take(j),
+                     rows.column("sentence").take(i), rows.column("sentence").take(j)], ["pat_deid", "first", "later", "x", "y"])
+
+    def starts(rows):
+        new = np.zeros(len(rows), bool)
+        for c in ("pat_deid", "g"):
+            col = rows.column(c)
+            new[1:] |= pc.not_equal(col[1:], col[:-1]).to_numpy(zero_copy_only=False)
+        return new
+
     def run(batches):
+        held, size = [], 0
         for b in batches:
-            points, bounds = text_points(b.column("sentence"))
-            patient = b.column("p").to_numpy(zero_copy_only=False).view(np.uint64)
-            for lo, hi in row_blocks(bounds, BLOCK):
-                text, first = points[bounds[lo]:bounds[hi]].astype(np.uint64), bounds[lo:hi] - bounds[lo]
-                n = np.diff(bounds[lo:hi + 1])
-                k, size = _gram_sizes(n, threshold)
-                up_to = np.floor(n / threshold + 1e-9).astype(np.int64)
-                sizes = _gram_sizes(np.arange(up_to.max() + 1), threshold)[1]
-                for q in SIZES:
-                    if longer:
-                        count, step = np.where(size == q, k + 1, 0), q
-                    else:
-                        of_size = np.concatenate([[0], np.cumsum(sizes == q)])
-                        count, step = np.where(of_size[up_to + 1] > of_size[n], np.maximum(n - q + 1, 0), 0), 1
-                    own, at = counted_up(count)
-                    at *= step
-                    code = np.zeros(len(own), np.uint64)
-                    for i in range(q):
-                        code = code * np.uint64(0x9E3779B97F4A7C15) + text[first[own] + at + i] + np.uint64(1)
-                    key = mix64(code ^ mix64(patient[lo:hi] + np.uint64(q))[own])
-                    rows = pa.array(own + lo)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(key.view(np.int64)), b.column("pat_deid").take(rows), b.column("sid").take(rows),
-                         pa.array(n[own].astype(np.int32)), pa.array(at.astype(np.int32))], ["key", "pat_deid", "id", "n", "at"])
-    rows = nodes.select("pat_deid", F.xxhash64("pat_deid").alias("p"), "sid", "sentence")
+            held.append(b)
+            size += pc.sum(pc.binary_length(b.column("sentence"))).as_py() or 0
+            if size < BLOCK:
+                continue
+            rows = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            last = int(np.flatnonzero(starts(rows)).max(initial=0))
+            if last:
+                yield from near(rows.slice(0, last))
+            held = [rows.slice(last)]
+            size = pc.sum(pc.binary_length(held[0].column("sentence"))).as_py()
+        if any(len(b) for b in held):
+            yield from near(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
+
+    nodes = nodes.where("pat_deid is not null and n > 0")
+    rows = _dealt(nodes, chunk).repartition("pat_deid", "g").sortWithinPartitions("pat_deid", "g", "first_at", F.desc("sid"))
+    rows = rows.select("pat_deid", "g", "part", "alone", "sid", "sentence")
     patient = rows.schema["pat_deid"].dataType.simpleString()
-    return rows.mapInArrow(run, f"key long, pat_deid {patient}, id long, n int, at int")
+    return rows.mapInArrow(run, f"pat_deid {patient}, first long, later long, x string, y string")
 
 
 def candidate_pairs(nodes: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(pat_deid, a, b): every pair that may be similar, once. The join is on one integer;
-    two patients' grams of one hash make a pair that no patient has, and it finds no nodes."""
-    nodes = nodes.where("pat_deid is not null and n > 0")
-    long = _gram_rows(nodes, threshold, True).select("key", "pat_deid", F.col("id").alias("a"), F.col("n").alias("na"), "at")
-    short = _gram_rows(nodes, threshold, False).select("key", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("at").alias("to"))
-    near = (F.col("a") != F.col("b")) & (F.col("nb") <= F.col("na")) & (F.col("nb") >= F.col("na") * threshold - 1e-9)
-    moved = F.abs(F.col("to") - F.col("at")) <= budget(F.col("na"), threshold)
-    return (long.join(short, "key").where(near & moved)
-            .select("pat_deid", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    """(pat_deid, a, b): every pair that may be similar, once."""
+    return candidates(nodes, threshold).select("pat_deid", F.least("first", "later").alias("a"), F.greatest("first", "later").alias("b"))
+
+
+def near_pairs(nodes: DataFrame, threshold: float = THRESHOLD, chunk: int = CHUNK) -> DataFrame:
+    """(pat_deid, first, later): every similar pair, decided in the task that found it."""
+    allowed = budget(F.greatest(F.length("x"), F.length("y")), threshold)
+    return candidates(nodes, threshold, chunk).where(
+        F.call_function("levenshtein", F.col("x"), F.col("y"), allowed) >= 0).select("pat_deid", "first", "later")
 
 
 def minhash_bands(s: Column, n_hash: int = 8, rows: int = 2) -> Column:
@@ -192,8 +274,7 @@ def greedy_dropped(edges: DataFrame) -> DataFrame:
 def near_dup(sentences: DataFrame, threshold: float = THRESHOLD, lsh: bool = False) -> DataFrame:
     """The sentences (pat_deid, first_at, sentence), distinct in each patient, that stay.
     ``lsh`` compares only pairs that share a MinHash band instead of all that may be similar."""
-    sentences = cut_lineage(sentences.select("pat_deid", "first_at", "sentence"))
+    sentences = stored(sentences.select("pat_deid", "first_at", "sentence"), "sentences")
     nodes = _nodes(sentences)
-    pairs = band_pairs(nodes) if lsh else candidate_pairs(nodes, threshold)
-    gone = greedy_dropped(similar_pairs(nodes, pairs, threshold))
-    return nodes.join(gone, ["pat_deid", "sid"], "left_anti").select("pat_deid", "first_at", "sentence")
+    gone = greedy_dropped(similar_pairs(nodes, band_pairs(nodes), threshold) if lsh else near_pairs(nodes, threshold))
+    return marked(nodes, gone, ["pat_deid", "sid"], ["pat_deid"], "gone").where("not gone").select("pat_deid", "first_at", "sentence")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from cohortlens.operators import match as M
 from cohortlens.operators import neardup as ND
+from cohortlens.operators import relational as R
 from cohortlens.operators import text as T
 from cohortlens.operators import vocab as V
 from cohortlens.plans import q_text as Q
@@ -234,3 +235,62 @@ def test_notes_without_patient_or_time_are_filtered_and_trimmed(spark):
     kept = T.mention_filter(notes, terms)
     assert {(r[0], r[2]) for r in kept.collect()} == {(None, "t1"), (1, None)} and kept.count() == 2
     assert T.trim(T.sentences(kept), terms).count() == 4
+
+
+def syllables(rng, n):
+    return "".join(rng.choice(["th", "er", "on", "the ", "tion", "ha", "ing ", "and "]) for _ in range(n))
+
+
+def test_sentences_that_share_a_common_start_alone_are_no_candidates(spark):
+    rng = random.Random(8)
+    xs = ["and the " + "".join(rng.choice(string.ascii_lowercase) for _ in range(80)) for _ in range(200)]
+    pairs = ND.candidate_pairs(ND._nodes(spark.createDataFrame([(1, i, x) for i, x in enumerate([*xs, xs[0] + "x"])], SENT)))
+    assert 1 <= pairs.count() < 100  # of 20,100
+    # the pairs are not shuffled: the only join is that with the large patients
+    assert pairs._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
+
+
+@pytest.mark.parametrize("chunk", [ND.CHUNK, 3000, 300])
+def test_near_pairs_of_a_patient_in_chunks_equal_brute_force(spark, chunk):
+    rng, rows = random.Random(9), [(None, 0, "abcdefghij"), (None, 1, "abcdefghix"), (7, 0, ""), (7, 1, None), (7, 2, "ab")]
+    for pat in range(2):
+        seen = {}
+        for i in range(50):
+            x = edited(rng, rng.choice(list(seen))) if seen and rng.random() < .5 else syllables(rng, rng.randrange(1, 14))
+            seen.setdefault(x, i)
+        rows += [(pat, i, x) for x, i in seen.items()]
+    nodes = ND._nodes(spark.createDataFrame(rows, SENT))
+    at = {(r["pat_deid"], r["sid"]): r["first_at"] for r in nodes.collect()}
+    got = sorted((r["pat_deid"], at[r["pat_deid"], r["first"]], at[r["pat_deid"], r["later"]]) for r in ND.near_pairs(nodes, chunk=chunk).collect())
+    want = sorted((p, i, j) for p, i, x in rows for r, j, y in rows if p == r and p is not None and i < j and x and y and similar(x, y))
+    assert got == want and len(got) > 20
+
+
+def test_small_patients_of_one_task_are_not_mixed(spark):
+    rows = [(p, i, x) for p in range(3000) for i, x in enumerate([f"patient {p % 7} has pain since monday " + "é" * 60, f"patient {p % 7} had pain since monday " + "é" * 60])]
+    nodes = ND._nodes(spark.createDataFrame(rows, SENT).coalesce(1))
+    pairs = ND.near_pairs(nodes).collect()
+    assert len(pairs) == 3000 and len({r["pat_deid"] for r in pairs}) == 3000
+
+
+def test_marked_rows_match_by_value_and_a_null_key_matches_nothing(spark):
+    rows = spark.createDataFrame([(1, 1, "a"), (1, 1, "b"), (1, 2, "c"), (None, 1, "d"), (2, None, "e")], "k int, i int, x string")
+    found = spark.createDataFrame([(1, 1), (1, 1), (None, 1), (2, None), (9, 9)], "k int, i int")
+    got = R.marked(rows, found, ["k", "i"], ["k"], "hit")
+    assert sorted((r["x"], r["hit"]) for r in got.collect()) == [("a", True), ("b", True), ("c", False), ("d", False), ("e", False)]
+
+
+def test_a_sentence_is_sent_once_by_each_step(spark):
+    notes = spark.createDataFrame([(1, "a hit. b. cc", "t1")], "pat_deid long, note string, effective_time string")
+    terms = spark.createDataFrame([("hit", "hit")], "term_id string, term string")
+    rows = T.sentences(notes)
+
+    def exchanges(df):
+        return [x for x in df._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange hashpartitioning(" in x]
+    assert len(exchanges(T.patient_sentences(rows))) == 1
+    # the rows by note; the grams' hits by their key twice (term and row)
+    trimmed = exchanges(T.trim(rows, terms))
+    assert len([x for x in trimmed if "idx#" not in x]) == 1
+    # what stays of a patient is not sent again to be joined
+    kept = ND.near_dup(spark.createDataFrame([(1, 0, "abcdefghij"), (1, 1, "abcdefghix")], SENT))
+    assert len(exchanges(T.joined(kept, "\n", "txt"))) == 1
