@@ -84,6 +84,8 @@ def _near_rows(text: np.ndarray, first: np.ndarray, n: np.ndarray, group: np.nda
     up_to = np.floor(n / threshold + 1e-9).astype(np.int64)
     sizes = _gram_sizes(np.arange(up_to.max(initial=0) + 1), threshold)[1]
     most = (1 << LENGTH_BITS) - 1
+    new = np.flatnonzero(np.diff(group, prepend=-1))
+    members, group_first = (np.repeat(x, np.diff(np.append(new, len(n)))) for x in (np.diff(np.append(new, len(n))), new))
     low, high = (np.minimum(x, most).astype(np.uint64) for x in (np.ceil(n * threshold - 1e-9), n))
     for q in SIZES:
         of_size = np.concatenate([[0], np.cumsum(sizes == q)])
@@ -92,27 +94,37 @@ def _near_rows(text: np.ndarray, first: np.ndarray, n: np.ndarray, group: np.nda
             continue
         shorter, to, held = _grams(text, first, group, np.where(of_size[up_to + 1] > of_size[n], np.maximum(n - q + 1, 0), 0), 1, q)
         held |= high[shorter]
-        order = np.argsort(held)
+        order = np.argsort(held, kind="stable")  # a row's equal grams stay beside one another
         held, shorter, to = held[order], shorter[order], to[order]
-        begin = np.searchsorted(held, key | low[longer])
-        count = np.searchsorted(held, key | high[longer], side="right") - begin
+        begin, count = np.empty((2, len(key)), np.int64)
+        order = np.argsort(key)  # searched in order, neighbours are in the cache
+        begin[order] = np.searchsorted(held, (key | low[longer])[order])
+        count[order] = np.searchsorted(held, (key | high[longer])[order], side="right")
+        count -= begin
         ends = np.concatenate([[0], np.cumsum(count)])
         rows = np.append(np.flatnonzero(np.diff(longer, prepend=-1)), len(longer))
-        for lo, hi in row_blocks(ends[rows], MATCHES):
-            pairs = []
+        with_matches = longer[rows[:-1]]
+        cells = np.concatenate([[0], np.cumsum(members[with_matches])])  # one for each row of the group
+        for lo, hi in row_blocks(ends[rows] + cells, MATCHES):
+            mine, cell = with_matches[lo:hi], cells[lo:hi] - cells[lo]
+            shared = np.zeros(cells[hi] - cells[lo], np.int64)
+            base = np.repeat(cell - group_first[mine], np.diff(rows[lo:hi + 1]))
             for i, j in row_blocks(ends[rows[lo]:rows[hi] + 1], MATCHES):
-                i, j = rows[lo] + i, rows[lo] + j
-                own, nth = counted_up(count[i:j])
-                own += i
-                at = begin[own] + nth
-                x, y = longer[own], shorter[at]
-                ok = (np.abs(to[at] - place[own]) <= k[x]) & (n[y] >= n[x] * threshold - 1e-9) & ((n[y] < n[x]) | (n[y] == n[x]) & (y < x))
-                once = np.unique(own[ok] << 32 | y[ok])
-                pairs.append(longer[once >> 32].astype(np.int64) << 32 | once & 0xFFFFFFFF)
-            pair, shared = np.unique(np.concatenate(pairs), return_counts=True)
-            x = pair >> 32
-            pair = pair[shared >= n[x] // q - k[x]]
-            yield pair >> 32, pair & 0xFFFFFFFF
+                own, nth = counted_up(count[rows[lo] + i:rows[lo] + j])
+                piece = own + (rows[lo] + i)
+                at = begin[piece] + nth
+                x, y = longer[piece], shorter[at]
+                ok = np.flatnonzero((np.abs(to[at] - place[piece]) <= k[x]) & ((n[y] < n[x]) | (y < x)))
+                own, y = own[ok], y[ok]
+                once = np.ones(len(ok), bool)
+                once[1:] = (own[1:] != own[:-1]) | (y[1:] != y[:-1])
+                shared += np.bincount(base[i + own[once]] + y[once], minlength=len(shared))
+            need = np.repeat(n[mine] // q - k[mine], members[mine])
+            found = np.flatnonzero(shared >= need)
+            x = np.repeat(mine, members[mine])[found]
+            y = found - np.repeat(cell - group_first[mine], members[mine])[found]
+            ok = n[y] >= n[x] * threshold - 1e-9
+            yield x[ok], y[ok]
 
 
 def candidates(nodes: DataFrame, threshold: float = THRESHOLD, chunk: int = CHUNK) -> DataFrame:
