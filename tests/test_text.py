@@ -291,6 +291,11 @@ def test_a_sentence_is_sent_once_by_each_step(spark):
     # the rows by note; the grams' hits by their key twice (term and row)
     trimmed = exchanges(T.trim(rows, terms))
     assert len([x for x in trimmed if "idx#" not in x]) == 1
+    texts = spark.createDataFrame([(1, "a hit\nb")], "pat_deid long, txt string")
+    lines = exchanges(T.shorten_gaps(T.text_sentences(texts, "txt", terms)))
+    assert len([x for x in lines if " i#" not in x]) == 1
+    # a frame to the end of a patient would be summed up anew for each line
+    assert "unboundedfollowing" not in T.shorten_gaps(lines_of(spark, ["a"]))._jdf.queryExecution().optimizedPlan().toString().lower()
     # what stays of a patient is not sent again to be joined
     kept = ND.near_dup(spark.createDataFrame([(1, 0, "abcdefghij"), (1, 1, "abcdefghix")], SENT))
     assert len(exchanges(T.joined(kept, "\n", "txt"))) == 1
