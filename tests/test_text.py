@@ -299,3 +299,16 @@ def test_a_sentence_is_sent_once_by_each_step(spark):
     # what stays of a patient is not sent again to be joined
     kept = ND.near_dup(spark.createDataFrame([(1, 0, "abcdefghij"), (1, 1, "abcdefghix")], SENT))
     assert len(exchanges(T.joined(kept, "\n", "txt"))) == 1
+
+
+@pytest.mark.parametrize("name, kept", [("t_shorten_budget", {"reduced-texts", "long-texts", "short-lines"})])
+def test_texts_between_steps_are_kept_as_parquet(spark, monkeypatch, name, kept):
+    seen, stored, cut = [], Q.stored, Q.cut_lineage
+
+    def no_text(df):
+        assert not {"sentence_list", "x", "txt"} & set(df.columns)
+        return cut(df)
+    monkeypatch.setattr(Q, "stored", lambda df, what: seen.append(what) or stored(df, what))
+    monkeypatch.setattr(Q, "cut_lineage", no_text)
+    Q.__dict__[name](Tables(spark, "/root/testdata/sf0.001"))
+    assert kept <= set(seen)
