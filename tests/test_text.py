@@ -301,7 +301,8 @@ def test_a_sentence_is_sent_once_by_each_step(spark):
     assert len(exchanges(T.joined(kept, "\n", "txt"))) == 1
 
 
-@pytest.mark.parametrize("name, kept", [("t_shorten_budget", {"reduced-texts", "long-texts", "short-lines"}),
+@pytest.mark.parametrize("name, kept", [("p_clean_text_notes", {"reduced-texts"}),
+                                        ("t_shorten_budget", {"reduced-texts", "long-texts", "short-lines"}),
                                         ("t_dataset_select", {"reduced-texts", "long-texts", "short-lines"}),
                                         ("t_length_report", {"reduced-texts", "long-texts", "short-lines"})])
 def test_texts_between_steps_are_kept_as_parquet(spark, monkeypatch, name, kept):
