@@ -12,6 +12,7 @@ from cohortlens.operators import vocab as V
 from cohortlens.plans import q_text as Q
 from cohortlens.operators.cohort import dx_short_expr, note_window
 from cohortlens.plans.q_cohort import anchor_sym
+from cohortlens.session import stored
 from cohortlens.sources.tables import Tables
 
 SENT = "pat_deid long, first_at int, sentence string"
@@ -315,3 +316,8 @@ def test_texts_between_steps_are_kept_as_parquet(spark, monkeypatch, name, kept)
     monkeypatch.setattr(Q, "cut_lineage", no_text)
     Q.__dict__[name](Tables(spark, "/root/testdata/sf0.001"))
     assert kept <= set(seen)
+
+
+def test_stored_texts_are_packed_tightly(spark):
+    df = stored(spark.createDataFrame([(i, syllables(random.Random(i), 40)) for i in range(50)], "i int, x string"), "packed")
+    assert all(".zstd." in f for f in df.inputFiles()) and df.count() == 50
